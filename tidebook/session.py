@@ -14,6 +14,15 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Runtime settings results or skew handling depend on. The forced skew join lets a hot window be
+# split even where the join feeds an aggregation on the same key.
+RUNTIME = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
 
 def build_session(app: str = "tidebook", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -26,7 +35,8 @@ def build_session(app: str = "tidebook", master: str | None = None, **conf: str)
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings results depend on; safe to call on any session."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
     return spark
 
 
@@ -50,3 +60,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_TABLES: dict[tuple[str, str, str], str] = {}
+
+
+def shared_table(spark: SparkSession, scope: str, name: str, build) -> DataFrame:
+    """A derived table written once per application to the shared folder and then only read."""
+    key = (spark.sparkContext.applicationId, scope, name)
+    if key not in _TABLES:
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
+        _TABLES[key] = path
+    return spark.read.parquet(_TABLES[key])
