@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import book as B
 from ..functions.num import decimilli, round_dp
+from ..functions.quality import bounds_violation
 from .scan import Running, running
 
 MID_SOURCES = ("recorded", "up_book", "two_sided")
@@ -115,22 +116,23 @@ def newest_per_series(windows: DataFrame, n: int = 10) -> DataFrame:
     return w.withColumn("rank", F.row_number().over(fin)).filter(F.col("rank") <= n).drop("__r", "__d")
 
 
-def gaps_and_reversals(ticks: DataFrame, keys: Sequence[str] = ("cid",), max_gap: float = 6.0) -> DataFrame:
+def gaps_and_reversals(ticks: DataFrame, keys: Sequence[str] = ("cid",), max_gap: float = 6.0, slice_by: Column | None = None) -> DataFrame:
     """Per-tick gap to the previous tick in arrival order (a sort on ts would hide reversals)."""
-    out = running(ticks, list(keys), ["line_no"], arrival_slice(), [Running("prev_ts_us", "prev", F.col("ts_us"))])
+    cut = arrival_slice() if slice_by is None else slice_by
+    out = running(ticks, list(keys), ["line_no"], cut, [Running("prev_ts_us", "prev", F.col("ts_us"))])
     delta = (F.col("ts_us") - F.col("prev_ts_us")) / 1e6
     return out.withColumns({"gap_sec": delta, "is_reversal": delta < 0, "is_gap": delta > max_gap})
 
 
-def window_continuity(ticks: DataFrame, max_gap: float = 6.0, max_delay: float = 5.0, keys: Sequence[str] = ("cid",)) -> DataFrame:
+def window_continuity(
+    ticks: DataFrame, max_gap: float = 6.0, max_delay: float = 5.0, keys: Sequence[str] = ("cid",), slice_by: Column | None = None
+) -> DataFrame:
     """Counts of gaps and reversals, delays at both ends, error and bounds counts, per window."""
     slim = ticks.select(
         *keys, *[c for c in ("series", "slug", "duration", "start_ts", "end_ts", "ts", "ts_us", "line_no", "err", "mid", "touch_pair") if c not in keys]
     )
-    g = gaps_and_reversals(slim, keys, max_gap)
+    g = gaps_and_reversals(slim, keys, max_gap, slice_by)
     arrival = F.col("line_no")
-    from ..functions.quality import bounds_violation
-
     agg = g.groupBy(*keys).agg(
         *[F.min_by(c, arrival).alias(c) for c in ("series", "slug", "duration", "start_ts", "end_ts") if c not in keys],
         F.min_by("ts", arrival).alias("first_ts"),

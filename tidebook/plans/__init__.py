@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("features", "outcomes", "quality")
+MODULES = ("features", "outcomes", "quality", "bronze", "results")
 
 
 def load_all() -> None:

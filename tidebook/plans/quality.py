@@ -223,14 +223,14 @@ def sampling_interval(spark, sf):
 
 @query(
     "opportunity_span",
-    T + f""", t1 AS (SELECT *, up_ask+dn_ask < 1.007e0 AS cheap FROM ticks), t2 AS (SELECT *, lag(coalesce(cheap,false),1,false) OVER w AS was, lead(coalesce(cheap,false)) OVER w AS nxt FROM t1 WINDOW w AS (PARTITION BY cid ORDER BY ts_us, line_no)),
+    T + f""", t1 AS (SELECT *, up_ask+dn_ask < 1.0115e0 AS cheap FROM ticks), t2 AS (SELECT *, lag(coalesce(cheap,false),1,false) OVER w AS was, lead(coalesce(cheap,false)) OVER w AS nxt FROM t1 WINDOW w AS (PARTITION BY cid ORDER BY ts_us, line_no)),
     t3 AS (SELECT *, sum(CASE WHEN coalesce(cheap,false) AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY cid ORDER BY ts_us, line_no ROWS UNBOUNDED PRECEDING) AS island FROM t2 ),
     s AS (SELECT series, cid, island, count(*) AS ticks FROM t3 WHERE cheap GROUP BY 1,2,3)
     SELECT series, count(*) AS runs, CAST(sum(ticks) AS BIGINT) AS ticks, max(ticks) AS longest, {R('count(*) FILTER (WHERE ticks=1)/count(*)', 4)} AS gone_next FROM s GROUP BY 1""",
 )
 def opportunity_span(spark, sf):
     """Runs of consecutive ticks whose touch pair is cheap, and the share gone by the next snapshot."""
-    t = ticks(spark, sf).select("series", "cid", "ts_us", "line_no", "el_ms", F.coalesce(c("up_ask") + c("dn_ask") < 1.007, F.lit(False)).alias("cheap"))
+    t = ticks(spark, sf).select("series", "cid", "ts_us", "line_no", "el_ms", F.coalesce(c("up_ask") + c("dn_ask") < 1.0115, F.lit(False)).alias("cheap"))
     t = running(t, ["cid"], ["ts_us", "line_no"], W.tick_slice(), [Running("was", "prev", c("cheap"))])
     t = Q.segments(t, ["cid"], c("cheap") & ~F.coalesce(c("was"), F.lit(False)))
     s = t.filter("cheap").groupBy("series", "cid", "island").agg(F.count(F.lit(1)).alias("ticks"))

@@ -70,13 +70,13 @@ def _levels(m: Column, descending: bool) -> Column:
     return F.reverse(arr) if descending else arr
 
 
-def to_silver(wire: DataFrame) -> DataFrame:
+def silver_columns() -> list[Column]:
     """Flat quote columns, sorted ladders, token fallbacks; NaN and infinities become NULL."""
     c = F.col
     books = {"up": "up_book", "dn": "down_book"}
     out = {
         "ts_us": F.floor(c("ts") * 1e6 + 0.5).cast("bigint"),
-        "el_ms": F.floor((c("ts") - c("start_ts")) * 1000).cast("bigint"),
+        "el_ms": F.floor((F.floor(c("ts") * 1e6 + 0.5) - c("start_ts") * 1e6) / 1000).cast("bigint"),
         "day": X.day_key(c("start_ts")),
         "up_token": F.coalesce(c("up_token"), c("up_book.token_id")),
         "dn_token": F.coalesce(c("down_token"), c("down_book.token_id")),
@@ -90,7 +90,11 @@ def to_silver(wire: DataFrame) -> DataFrame:
         out[f"{side}_bids"] = _levels(c(f"{b}.bids"), True)
         out[f"{side}_asks"] = _levels(c(f"{b}.asks"), False)
     keep = ["ts", "series", "duration", "label", "cid", "slug", "start_ts", "end_ts", "err"]
-    return wire.select(*keep, *[v.alias(k) for k, v in out.items()])
+    return [*[c(k) for k in keep], *[v.alias(k) for k, v in out.items()]]
+
+
+def to_silver(wire: DataFrame) -> DataFrame:
+    return wire.select(*silver_columns())
 
 
 def _as_map(levels: Column) -> Column:
