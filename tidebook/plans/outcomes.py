@@ -242,9 +242,14 @@ def first_exit(spark, sf):
 HOLD = O.Quote(config_id="hold", policy="hold", thr=0.9)
 
 
+def hold_outcomes(spark, sf):
+    """Outcomes when every naked leg is carried to the close."""
+    return shared_table(spark, sf, "outcomes_hold", lambda: O.outcomes(ticks(spark, sf), [HOLD]))
+
+
 @query("settlement_ladder", outcomes_sql([HOLD]) + "SELECT cid, held, entry, settle_source, exit_price FROM outcomes WHERE kind='settle'")
 def settlement_ladder(spark, sf):
-    o = O.outcomes(ticks(spark, sf), [HOLD]).filter(c("kind") == "settle")
+    o = hold_outcomes(spark, sf).filter(c("kind") == "settle")
     return o.select("cid", "held", "entry", "settle_source", "exit_price")
 
 

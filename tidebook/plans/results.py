@@ -18,7 +18,7 @@ from ..operators.scan import Running, global_rank, running
 from ..session import scratch_path, shared_table
 from ..sources import sinks
 from ..sources.derived import ticks
-from .outcomes import BASE, BASE_SQL, HOLD, LAB_SQL, base_outcomes, lab_timeline
+from .outcomes import BASE, BASE_SQL, HOLD, LAB_SQL, base_outcomes, hold_outcomes, lab_timeline
 from .outcomesql import outcomes_sql
 from .registry import query
 from .sqltext import R, T
@@ -369,7 +369,7 @@ def outcome_kind(spark, sf):
 )
 def settlement_audit(spark, sf):
     """Naked windows: ladder profit against true redemption, by source and result."""
-    o = O.outcomes(ticks(spark, sf), [HOLD]).filter((c("kind") == "settle") & c("winner").isNotNull())
+    o = hold_outcomes(spark, sf).filter((c("kind") == "settle") & c("winner").isNotNull())
     won = c("winner") == c("held")
     true = (won.cast("int") - c("entry")) * 100.0
     return o.groupBy("settle_source", won.alias("won")).agg(
@@ -460,14 +460,25 @@ def common_windows(spark, sf):
     return pick(a).intersect(pick(b))
 
 
-@query("config_mirror", _PAR + "SELECT 'entered' AS name, CAST(sum(CAST(a.entered AS INT)) AS DOUBLE) AS l, CAST(sum(CAST(b.entered AS INT)) AS DOUBLE) AS r FROM outcomes a JOIN outcomes b USING (cid) WHERE a.config_id='base' AND b.config_id='alt' HAVING l<>r UNION ALL SELECT 'stops', CAST(count(*) FILTER (WHERE a.kind='stop') AS DOUBLE), CAST(count(*) FILTER (WHERE b.kind='stop') AS DOUBLE) FROM outcomes a JOIN outcomes b USING (cid) WHERE a.config_id='base' AND b.config_id='alt' HAVING count(*) FILTER (WHERE a.kind='stop')<>count(*) FILTER (WHERE b.kind='stop')")
+_MIRROR = ", ".join(
+    f"sum({v}) FILTER (WHERE config_id='{k}') AS {n}_{k}"
+    for k in ("base", "alt") for n, v in (("entered", "CAST(entered AS INT)"), ("stops", "CASE WHEN kind='stop' THEN 1 ELSE 0 END"), ("pnl", "pnl"), ("fees", "fees"))
+)
+
+
+@query(
+    "config_mirror",
+    _PAR + f", mi AS (SELECT {_MIRROR} FROM outcomes) SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS name, {R(f'{n}_base', 3)} AS l, {R(f'{n}_alt', 3)} AS r FROM mi" for n in ("entered", "stops", "pnl", "fees"))
+    + ") WHERE l IS DISTINCT FROM r",
+)
 def config_mirror(spark, sf):
     """Two runs' recorded totals, unpivoted and compared name by name; only mismatches remain."""
     a, b = _two(spark, sf)
 
     def long(d, side):
-        m = d.agg(F.count_if("entered").cast("double").alias("entered"), F.count_if(c("kind") == "stop").cast("double").alias("stops"))
-        return m.unpivot([], ["entered", "stops"], "name", side)
+        m = d.agg(F.count_if("entered").cast("double").alias("entered"), F.count_if(c("kind") == "stop").cast("double").alias("stops"), round_dp(F.sum("pnl"), 3).alias("pnl"), round_dp(F.sum("fees"), 3).alias("fees"))
+        return m.unpivot([], ["entered", "stops", "pnl", "fees"], "name", side)
 
     j = long(a, "l").join(long(b, "r"), "name", "full_outer")
     return j.filter(~c("l").eqNullSafe(c("r")))

@@ -115,8 +115,8 @@ def fills(ticks: DataFrame) -> DataFrame:
     queue = (1 + e % 50).cast("double")
     return f.select(
         "event_id", "ts", c("slug").alias("market_slug"), "series", F.when(e % 4 == 0, "up").otherwise("down").alias("leg"), (e % 10 == 0).alias("chased"),
-        queue.alias("queue_ahead"), F.element_at("tape", 1)["size"].alias("printed"), F.when(e % 9 == 0, "rest").otherwise("ws").alias("tape_source"),
-        F.when(e % 42 != 0, F.element_at("tape", 1)["size"] / F.greatest(queue, F.lit(1.0)) / 4.0).alias("fill_ratio"),
+        queue.alias("queue_ahead"), F.try_element_at("tape", F.lit(1))["size"].alias("printed"), F.when(e % 9 == 0, "rest").otherwise("ws").alias("tape_source"),
+        F.when(e % 42 != 0, F.try_element_at("tape", F.lit(1))["size"] / F.greatest(queue, F.lit(1.0)) / 4.0).alias("fill_ratio"),
     )
 
 
