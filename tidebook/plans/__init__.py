@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("features", "outcomes", "quality", "bronze", "results", "stats", "feeds", "ledger")
+MODULES = ("features", "outcomes", "quality", "bronze", "results", "stats", "feeds", "ledger", "streams")
 
 
 def load_all() -> None:
