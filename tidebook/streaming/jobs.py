@@ -80,8 +80,8 @@ def frames(ticks: DataFrame) -> DataFrame:
 
 
 def book_state(frame_stream: DataFrame, ttl_ms: int = 2 * P.DAY_MS) -> DataFrame:
-    keep = frame_stream.drop("day", "at")
-    return keep.groupBy("token").transformWithStateInPandas(P.BookProcessor(ttl_ms), outputStructType=P.BookProcessor.OUT, outputMode="Append", timeMode="ProcessingTime")
+    keep = frame_stream.withWatermark("at", DELAY).drop("day")
+    return keep.groupBy("token").transformWithStateInPandas(P.BookProcessor(ttl_ms), outputStructType=P.BookProcessor.OUT, outputMode="Append", timeMode="EventTime")
 
 
 def top_of_book_log(frame_stream: DataFrame) -> DataFrame:

@@ -27,17 +27,19 @@ class BookProcessor(StatefulProcessor):
     """Ladder per token: snapshots replace, changes set or delete one level, declared tops prune ghosts.
 
     Emits the top of book after every frame with the last mutating frame kind and its declared quotes.
-    State of tokens that stop updating expires.
+    A token rotated out of the feed is dropped once event time passes its last frame by ``ttl_ms``.
     """
 
     OUT = "token string, event_id bigint, ts_us bigint, kind string, best_bid double, best_ask double, n_bids int, n_asks int, last_kind string, decl_bb double, decl_ba double, changed boolean"
+    NAMES = [c.split()[0] for c in OUT.split(", ")]
 
     def __init__(self, ttl_ms: int = 2 * DAY_MS):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.levels = handle.getMapState("levels", "side string, price double", "size double", self.ttl_ms)
-        self.meta = handle.getValueState("meta", "kind string, bb double, ba double, top_bb double, top_ba double, seen boolean", self.ttl_ms)
+        self.handle = handle
+        self.levels = handle.getMapState("levels", "side string, price double", "size double")
+        self.meta = handle.getValueState("meta", "kind string, bb double, ba double, top_bb double, top_ba double, seen boolean")
 
     def handleInputRows(self, key, rows, timerValues):
         before = {(k[0], k[1]): v[0] for k, v in self.levels.iterator()}
@@ -72,7 +74,15 @@ class BookProcessor(StatefulProcessor):
             if before.get(at) != size:
                 self.levels.updateValue(at, (size,))
         self.meta.update((kind, bb, ba, top_bb, top_ba, seen))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in self.OUT.split(", ")])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(out[-1][2]) // 1000 + self.ttl_ms)
+        yield pd.DataFrame(out, columns=self.NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.levels.clear()
+        self.meta.clear()
+        yield pd.DataFrame([], columns=self.NAMES)
 
     def close(self) -> None:
         pass
