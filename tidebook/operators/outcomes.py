@@ -17,8 +17,30 @@ from pyspark.sql import functions as F
 
 from ..functions import book as B
 from ..functions.num import round_dp
+from .agg import by_window
 
 KEYS = ["config_id", "cid"]
+TIE_BITS = 26
+START_US = F.floor(F.col("start_ts") * 1e6).cast("bigint")
+
+
+def position() -> Column:
+    """Place of a tick in its window as one BIGINT: microseconds since the start, then arrival.
+
+    A fixed-width ordering key keeps ``min``/``min_by`` on hash aggregation. Samples of one window that share
+    a microsecond are ordered by the low bits of their line number.
+    """
+    return (F.col("ts_us") - START_US) * (1 << TIE_BITS) + F.col("line_no") % (1 << TIE_BITS)
+
+
+def seconds(at: str) -> Column:
+    """Epoch seconds of a position."""
+    return (F.col("start_us") + F.shiftright(F.col(at), TIE_BITS)) / 1e6
+
+
+def held_name(up: Column | None = None) -> Column:
+    up = F.col("held_up") if up is None else up
+    return F.when(up, "up").when(~up, "down")
 
 
 @dataclass(frozen=True)
@@ -82,7 +104,8 @@ def quote_ticks(ticks: DataFrame) -> DataFrame:
         B.elapsed(F.col("ts"), F.col("start_ts")).alias("elapsed"),
         B.remaining(F.col("ts"), F.col("end_ts")).alias("rem"),
         length.alias("length"),
-        F.struct("ts_us", "line_no").alias("at"),
+        position().alias("at"),
+        START_US.alias("start_us"),
     )
 
 
@@ -106,6 +129,7 @@ def anchors(x: DataFrame, leg_range: bool = True) -> DataFrame:
         ok = ok & _in_range(ru) & _in_range(rd)
     at = F.when(ok, F.col("at"))
     return x.groupBy(*KEYS).agg(
+        F.min("start_us").alias("start_us"),
         F.min(at).alias("anchor_at"),
         F.min_by(F.col("tsm"), at).alias("anchor_mid"),
     )
@@ -113,7 +137,7 @@ def anchors(x: DataFrame, leg_range: bool = True) -> DataFrame:
 
 def placements(x: DataFrame, anchor: DataFrame) -> DataFrame:
     """First tick at or after the anchor on which both orders may be posted."""
-    j = x.join(anchor, KEYS)
+    j = x.drop("start_us").join(anchor, KEYS)
     j = j.withColumns(
         {
             "ru": B.resting_up(F.col("anchor_mid"), F.col("p_offset")),
@@ -136,13 +160,13 @@ def placements(x: DataFrame, anchor: DataFrame) -> DataFrame:
     )
     j = j.withColumn("__ok", ok)
     return j.groupBy(*KEYS).agg(
-        *_carry(j, ["anchor_at", "anchor_mid", "ru", "rd"]),
+        *_carry(j, ["start_us", "anchor_at", "anchor_mid", "ru", "rd"]),
         F.min(F.when(F.col("__ok"), F.col("at"))).alias("placed_at"),
         F.min(F.when(F.col("__ok"), F.col("elapsed"))).alias("placed_elapsed"),
     )
 
 
-STATE = ["anchor_at", "anchor_mid", "ru", "rd", "placed_at", "placed_elapsed"]
+STATE = ["start_us", "anchor_at", "anchor_mid", "ru", "rd", "placed_at", "placed_elapsed"]
 
 
 def leg_conditions(detector: str = "both", skip_buys: bool = False) -> tuple[Column, Column]:
@@ -159,7 +183,7 @@ def leg_conditions(detector: str = "both", skip_buys: bool = False) -> tuple[Col
 
 def leg_fills(x: DataFrame, placed: DataFrame, detector: str = "both", skip_buys: bool = False) -> DataFrame:
     """First fill of each leg; a first leg never fills inside the dead zone, a second leg may."""
-    j = x.join(placed, KEYS)
+    j = x.drop("start_us").join(placed, KEYS)
     up, dn = leg_conditions(detector, skip_buys)
     live = (F.col("at") >= F.col("placed_at")) & F.col("mid_up").isNotNull()
     j = j.withColumns({"__up": live & up, "__dn": live & dn, "__dz": _dz()})
@@ -184,12 +208,12 @@ def leg_fills(x: DataFrame, placed: DataFrame, detector: str = "both", skip_buys
             "pair_at": F.when(u.isNotNull() & d.isNotNull(), F.greatest(u, d)),
             "first_at": F.least(u, d),
             # the leg that is naked until (and unless) the pair completes; NULL when both fill together
-            "held": F.when(u.isNotNull() & (d.isNull() | (u < d)), F.lit("up")).when(d.isNotNull() & (u.isNull() | (d < u)), F.lit("down")),
+            "held_up": F.when(u.isNotNull() & (d.isNull() | (u < d)), True).when(d.isNotNull() & (u.isNull() | (d < u)), False),
         }
-    ).withColumn("entry", F.when(F.col("held") == "up", F.col("ru")).when(F.col("held") == "down", F.col("rd")))
+    ).withColumns({"entry": F.when(F.col("held_up"), F.col("ru")).when(~F.col("held_up"), F.col("rd")), "held": held_name()})
 
 
-FILL_STATE = [*STATE, "fill_up_at", "fill_dn_at", "pair_at", "first_at", "held", "entry"]
+FILL_STATE = [*STATE, "fill_up_at", "fill_dn_at", "pair_at", "first_at", "held_up", "entry"]
 
 
 def pair_or_naked(fills: DataFrame) -> DataFrame:
@@ -203,17 +227,17 @@ def excursion() -> Column:
     """Adverse move of the up-leg mid from the held leg's entry, 6 dp."""
     up = round_dp(F.col("entry") - F.col("mid_up"), 6)
     down = round_dp(F.col("mid_up") - (1.0 - F.col("entry")), 6)
-    return F.when(F.col("held") == "up", up).when(F.col("held") == "down", down)
+    return F.when(F.col("held_up"), up).when(~F.col("held_up"), down)
 
 
 def held_bid() -> Column:
-    return F.when(F.col("held") == "up", F.col("up_bid")).when(F.col("held") == "down", F.col("dn_bid"))
+    return F.when(F.col("held_up"), F.col("up_bid")).when(~F.col("held_up"), F.col("dn_bid"))
 
 
 def exits(x: DataFrame, fills: DataFrame) -> DataFrame:
     """Dead-zone close and stop exit of the naked leg, as the first ticks at which each could happen."""
-    j = x.join(fills, KEYS).withColumns({"exc": excursion(), "hb": held_bid()})
-    naked = (F.col("at") > F.col("first_at")) & F.col("mid_up").isNotNull() & F.coalesce(F.col("at") < F.col("pair_at"), F.lit(True)) & F.col("held").isNotNull()
+    j = x.drop("start_us").join(fills, KEYS).withColumns({"exc": excursion(), "hb": held_bid()})
+    naked = (F.col("at") > F.col("first_at")) & F.col("mid_up").isNotNull() & F.coalesce(F.col("at") < F.col("pair_at"), F.lit(True)) & F.col("held_up").isNotNull()
     close = naked & _dz() & (F.col("p_policy") == "close") & B.exec_quote(F.col("hb")).isNotNull()
     step = j.groupBy(*KEYS).agg(
         *_carry(j, FILL_STATE),
@@ -221,7 +245,7 @@ def exits(x: DataFrame, fills: DataFrame) -> DataFrame:
         F.min(F.when(close, F.col("at"))).alias("dz_at"),
         F.min_by("hb", F.when(close, F.col("at"))).alias("dz_bid"),
     )
-    k = x.join(step, KEYS).withColumns({"exc": excursion(), "hb": held_bid()})
+    k = x.drop("start_us").join(step, KEYS).withColumns({"exc": excursion(), "hb": held_bid()})
     after = (F.col("at") >= F.col("cross_at")) & F.col("mid_up").isNotNull() & F.coalesce(F.col("at") < F.col("pair_at"), F.lit(True))
     can = after & F.col("hb").isNotNull()
     names = [*FILL_STATE, "cross_at", "dz_at", "dz_bid"]
@@ -232,30 +256,20 @@ def exits(x: DataFrame, fills: DataFrame) -> DataFrame:
         F.min(F.when(after & (F.col("exc") < F.col("p_reversal")), F.col("at"))).alias("latch_at"),
     )
     fires = F.col("stop_at").isNotNull() & F.coalesce(F.col("stop_at") < F.col("latch_at"), F.lit(True))
-    return out.withColumns({"stop_at": F.when(fires, F.col("stop_at")), "stop_bid": F.when(fires, F.col("stop_bid"))})
+    return out.withColumns({"stop_at": F.when(fires, F.col("stop_at")), "stop_bid": F.when(fires, F.col("stop_bid")), "held": held_name()})
 
 
 def closings(qt: DataFrame) -> DataFrame:
     """Per window: identity, path extremes, last quotes and last usable quotes of both legs."""
-    at = F.col("at")
-
-    def latched(col):
-        q = B.exec_quote(F.col(col))
-        return F.max_by(q, F.when(q.isNotNull(), at)).alias(f"lat_{col}")
-
-    m = F.col("mid_up")
-    return qt.groupBy("cid").agg(
-        *[F.min_by(n, at).alias(n) for n in ("series", "slug", "duration", "day", "start_ts", "end_ts")],
-        F.count(F.lit(1)).alias("n_snaps"),
-        F.min("ts").alias("first_ts"),
-        F.min("line_no").alias("first_seq"),
-        F.max("ts").alias("last_ts"),
-        F.max(m).alias("max_mid"),
-        F.min(m).alias("min_mid"),
-        F.max_by("tsm", F.when(F.col("tsm").isNotNull(), at)).alias("last_tsm"),
-        *[F.max_by(n, at).alias(f"last_{n}") for n in ("up_bid", "up_ask", "dn_bid", "dn_ask")],
-        *[latched(n) for n in ("up_bid", "up_ask", "dn_bid", "dn_ask")],
-    )
+    quotes = ("up_bid", "up_ask", "dn_bid", "dn_ask")
+    specs = {n: ("first", F.col(n)) for n in ("duration", "start_ts", "end_ts")}
+    specs |= {
+        "n_snaps": ("count", F.lit(True)), "first_ts": ("min", F.col("ts")), "first_seq": ("min", F.col("line_no")), "last_ts": ("max", F.col("ts")),
+        "max_mid": ("max", F.col("mid_up")), "min_mid": ("min", F.col("mid_up")), "last_tsm": ("last_valid", F.col("tsm")),
+    }
+    specs |= {f"last_{n}": ("last", F.col(n)) for n in quotes}
+    specs |= {f"lat_{n}": ("last_valid", B.exec_quote(F.col(n))) for n in quotes}
+    return by_window(qt, ["cid"], ["series", "slug", "day"], F.col("at"), specs)
 
 
 def settlement_ladder(held: Column, entry: Column) -> Column:
@@ -319,7 +333,7 @@ def settle(exited: DataFrame, closing: DataFrame, configs: Sequence[Quote]) -> D
         .when(k == "settle", fee(F.lit(0.50)) + F.coalesce(fee(F.col("__ladder.mark")), F.lit(0.0)))
         .otherwise(F.lit(0.0))
     )
-    ts = lambda a: F.col(f"{a}.ts_us") / 1e6
+    ts = seconds
     up_filled = F.col("fill_up_at").isNotNull() & F.coalesce(F.col("fill_up_at") <= F.col("__first.at"), F.lit(True))
     dn_filled = F.col("fill_dn_at").isNotNull() & F.coalesce(F.col("fill_dn_at") <= F.col("__first.at"), F.lit(True))
     delay = F.greatest(F.lit(0.0), F.col("first_ts") - F.col("start_ts"))
@@ -334,7 +348,7 @@ def settle(exited: DataFrame, closing: DataFrame, configs: Sequence[Quote]) -> D
         up_filled.alias("filled_up"), dn_filled.alias("filled_dn"),
         "kind", F.when(k != "no_fill", F.when(k != "pair", F.col("held"))).alias("held"), "entry",
         F.coalesce(exit_bid, F.when(k == "settle", F.col("__ladder.mark"))).alias("exit_price"),
-        F.when(k == "pair", F.col("pair_at.ts_us") / 1e6).when(k == "no_fill", F.lit(None)).otherwise(F.coalesce(F.col("__first.at.ts_us") / 1e6, F.col("last_ts"))).alias("exit_ts"),
+        F.when(k == "pair", seconds("pair_at")).when(k == "no_fill", F.lit(None)).otherwise(F.coalesce(seconds("__first.at"), F.col("last_ts"))).alias("exit_ts"),
         F.when(k == "settle", F.col("__ladder.source")).alias("settle_source"),
         F.when(k == "pair", B.pair_cost(F.col("ru"), F.col("rd"))).alias("pair_cost"),
         F.when(k == "pair", edge).alias("pair_edge"),

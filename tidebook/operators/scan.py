@@ -36,7 +36,9 @@ def _total(kind: str, value: Column, order: Column, reverse: bool) -> Column:
         return F.max(value)
     if kind == "min":
         return F.min(value)
-    if kind in ("last", "prev"):
+    if kind == "prev":
+        return latest(value, order)
+    if kind == "last":
         return latest(value, F.when(value.isNotNull(), order))
     if kind == "first":
         return earliest(value, F.when(value.isNotNull(), order))
@@ -52,7 +54,7 @@ def _over(kind: str, value: Column, window) -> Column:
         return F.max(value).over(window)
     if kind == "min":
         return F.min(value).over(window)
-    if kind in ("last", "prev"):
+    if kind == "last":
         return F.last(value, ignorenulls=True).over(window)
     return F.first(value, ignorenulls=True).over(window)
 
@@ -86,8 +88,7 @@ def running(
     keys = list(keys)
     values = {}
     for i, o in enumerate(outputs):
-        v = F.struct(o.value.alias("v")) if o.kind == "prev" else o.value
-        values[f"__v{i}"] = v
+        values[f"__v{i}"] = o.value
     src = df.filter(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
     src = src.withColumns({"__slice": slice_by, **values})
 
@@ -98,35 +99,34 @@ def running(
     inside = Window.partitionBy(*part).orderBy(*[direction(c) for c in order])
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    order_key = F.struct(*[F.col(c) for c in order])
-
-    local = src.withColumns(
-        {
-            f"__l{i}": _over(o.kind, F.col(f"__v{i}"), before if (o.exclusive or o.kind == "prev") else upto)
-            for i, o in enumerate(outputs)
-        }
-    )
+    order_key = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
+
+    columns = {
+        f"__l{i}": F.lag(f"__v{i}").over(inside) if o.kind == "prev" else _over(o.kind, F.col(f"__v{i}"), before if o.exclusive else upto)
+        for i, o in enumerate(outputs)
+    }
+    if any(o.kind == "prev" for o in outputs):
+        columns["__n"] = F.row_number().over(inside)
+    local = src.withColumns(columns)
     summary = src.groupBy(*part).agg(
         *[_total(o.kind, F.col(f"__v{i}"), order_key, reverse).alias(f"__t{i}") for i, o in enumerate(outputs)]
     )
-    across = (
-        Window.partitionBy(*keys)
-        .orderBy(direction("__slice"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    neighbour = Window.partitionBy(*keys).orderBy(direction("__slice"))
+    across = neighbour.rowsBetween(Window.unboundedPreceding, -1)
     carry_kind = {"count": "sum"}
     carry = summary.select(
         *part,
         *[
-            _over(carry_kind.get(o.kind, o.kind), F.col(f"__t{i}"), across).alias(f"__c{i}")
+            # every slice has a row, so the previous slice's last row is the predecessor, NULL or not
+            (F.lag(f"__t{i}").over(neighbour) if o.kind == "prev" else _over(carry_kind.get(o.kind, o.kind), F.col(f"__t{i}"), across)).alias(f"__c{i}")
             for i, o in enumerate(outputs)
         ],
     )
     joined = local.join(carry, part)
     merged = {}
     for i, o in enumerate(outputs):
-        m = _merge(o.kind, F.col(f"__c{i}"), F.col(f"__l{i}"))
-        merged[o.name] = m["v"] if o.kind == "prev" else m
+        carried, own = F.col(f"__c{i}"), F.col(f"__l{i}")
+        merged[o.name] = F.when(F.col("__n") == 1, carried).otherwise(own) if o.kind == "prev" else _merge(o.kind, carried, own)
     keep = [c for c in df.columns if c not in merged]
     return joined.select(*[F.col(c) for c in keep], *[m.alias(n) for n, m in merged.items()])
 

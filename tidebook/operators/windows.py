@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import book as B
 from ..functions.num import decimilli, round_dp
 from ..functions.quality import bounds_violation
+from .agg import by_window
 from .scan import Running, running
 
 MID_SOURCES = ("recorded", "up_book", "two_sided")
@@ -133,17 +134,14 @@ def window_continuity(
     )
     g = gaps_and_reversals(slim, keys, max_gap, slice_by)
     arrival = F.col("line_no")
-    agg = g.groupBy(*keys).agg(
-        *[F.min_by(c, arrival).alias(c) for c in ("series", "slug", "duration", "start_ts", "end_ts") if c not in keys],
-        F.min_by("ts", arrival).alias("first_ts"),
-        F.max_by("ts", arrival).alias("last_ts"),
-        F.count(F.lit(1)).alias("tick_count"),
-        F.count_if("is_gap").alias("gaps_count"),
-        F.coalesce(F.max(F.when(F.col("is_gap"), F.col("gap_sec"))), F.lit(0.0)).alias("max_gap_sec"),
-        F.count_if("is_reversal").alias("time_reversals"),
-        F.count_if(F.coalesce(F.col("err"), F.lit("")) != "").alias("error_ticks"),
-        F.count_if(bounds_violation(F.col("mid"), F.col("touch_pair"))).alias("bounds_violations"),
-    )
+    specs = {n: ("first", F.col(n)) for n in ("duration", "start_ts", "end_ts")}
+    specs |= {
+        "first_ts": ("first", F.col("ts")), "last_ts": ("last", F.col("ts")), "tick_count": ("count", F.lit(True)), "gaps_count": ("count", F.col("is_gap")),
+        "max_gap_sec": ("max", F.when(F.col("is_gap"), F.col("gap_sec"))), "time_reversals": ("count", F.col("is_reversal")),
+        "error_ticks": ("count", F.coalesce(F.col("err"), F.lit("")) != ""), "bounds_violations": ("count", bounds_violation(F.col("mid"), F.col("touch_pair"))),
+    }
+    meta = [m for m in ("series", "slug") if m not in keys]
+    agg = by_window(g, keys, meta, F.col("line_no"), specs)
     delay = F.when(F.col("start_ts") > 0, F.greatest(F.lit(0.0), F.col("first_ts") - F.col("start_ts"))).otherwise(F.lit(0.0))
     cutoff = F.when(F.col("end_ts") > 0, F.greatest(F.lit(0.0), F.col("end_ts") - F.col("last_ts"))).otherwise(F.lit(0.0))
     return agg.withColumns(
@@ -153,6 +151,6 @@ def window_continuity(
             "start_delay_sec": round_dp(delay, 2),
             "end_cutoff_sec": round_dp(cutoff, 2),
             "span_sec": round_dp(F.greatest(F.lit(0.0), F.col("last_ts") - F.col("first_ts")), 2),
-            "max_gap_sec": round_dp(F.col("max_gap_sec"), 2),
+            "max_gap_sec": round_dp(F.coalesce(F.col("max_gap_sec"), F.lit(0.0)), 2),
         }
     )

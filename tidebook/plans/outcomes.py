@@ -47,14 +47,14 @@ def window_outcomes_variant(spark, sf):
 @query("entry_anchor", chain([BASE]) + _L)
 def entry_anchor(spark, sf):
     a = O.anchors(_x(spark, sf))
-    return a.select("config_id", "cid", (c("anchor_at.ts_us") / 1e6).alias("anchor_ts"), "anchor_mid")
+    return a.select("config_id", "cid", O.seconds("anchor_at").alias("anchor_ts"), "anchor_mid")
 
 
 @query("placement_tick", chain([SWEEP_VARIANT]) + "SELECT config_id, cid, p_us/1e6 AS placed_ts, p_el AS placed_elapsed, ru, rd FROM p")
 def placement_tick(spark, sf):
     x = _x(spark, sf, [SWEEP_VARIANT])
     p = O.placements(x, O.anchors(x))
-    return p.select("config_id", "cid", (c("placed_at.ts_us") / 1e6).alias("placed_ts"), "placed_elapsed", "ru", "rd")
+    return p.select("config_id", "cid", O.seconds("placed_at").alias("placed_ts"), "placed_elapsed", "ru", "rd")
 
 
 def _fills(spark, sf, configs=(BASE,), **kw):
@@ -65,7 +65,7 @@ def _fills(spark, sf, configs=(BASE,), **kw):
 @query("leg_fill", chain([BASE]) + "SELECT cid, u_us/1e6 AS fill_up_ts, d_us/1e6 AS fill_dn_ts FROM fl")
 def leg_fill(spark, sf):
     f = _fills(spark, sf)
-    return f.select("cid", (c("fill_up_at.ts_us") / 1e6).alias("fill_up_ts"), (c("fill_dn_at.ts_us") / 1e6).alias("fill_dn_ts"))
+    return f.select("cid", O.seconds("fill_up_at").alias("fill_up_ts"), O.seconds("fill_dn_at").alias("fill_dn_ts"))
 
 
 _KIND = "CASE WHEN pair_us IS NOT NULL THEN 'pair' WHEN first_us IS NOT NULL THEN 'naked' ELSE 'no_fill' END"
@@ -106,7 +106,7 @@ def lab_timeline(spark, sf):
     x = O.with_configs(qt, [BASE])
     f = O.leg_fills(x, O.placements(x, O.anchors(x, leg_range=False)), skip_buys=True)
     cl = O.closings(qt).select("cid", "series", "duration", "day", "last_tsm")
-    j = x.join(f, O.KEYS).withColumn("hb", O.held_bid())
+    j = x.drop("start_us").join(f, O.KEYS).withColumn("hb", O.held_bid())
     hm = F.when(c("held") == "up", B.mid(c("up_bid"), c("up_ask"))).otherwise(B.mid(c("dn_bid"), c("dn_ask")))
     dz = B.in_dead_zone(c("rem"), c("length"), c("p_dead_zone"))
     naked_dz = c("held").isNotNull() & (c("at") >= c("first_at")) & F.coalesce(c("at") < c("pair_at"), F.lit(True)) & dz
@@ -118,7 +118,7 @@ def lab_timeline(spark, sf):
         F.min_by(hm, at).alias("dz_mid"),
         F.min(F.when(c("at") == c("first_at"), c("elapsed"))).alias("first_elapsed"),
         F.min(F.when(c("at") == c("pair_at"), c("elapsed"))).alias("pair_elapsed"),
-    ).join(cl, "cid")
+    ).withColumn("held", O.held_name()).join(cl, "cid")
     out = F.when(c("pair_at").isNotNull(), "pair").when(c("dz_elapsed").isNotNull(), "naked").otherwise("no_fill")
     g = g.withColumns({"outcome": out, "winner": B.settlement_proxy(c("last_tsm"))})
     naked = c("outcome") == "naked"
@@ -168,7 +168,7 @@ def _naked_path(spark, sf):
     x = _x(spark, sf)
     f = O.leg_fills(x, O.placements(x, O.anchors(x)))
     j = x.select("config_id", "cid", "at", "ts_us", "line_no", "mid_up", "start_ts", "p_thr", "p_reversal").join(
-        f.select("config_id", "cid", "first_at", "pair_at", "held", "entry"), O.KEYS
+        f.select("config_id", "cid", "first_at", "pair_at", "held", "held_up", "entry"), O.KEYS
     )
     j = j.filter(c("held").isNotNull() & (c("at") > c("first_at")) & F.coalesce(c("at") < c("pair_at"), F.lit(True)) & c("mid_up").isNotNull())
     return j.withColumns({"exc": O.excursion(), "el_ms": F.floor(c("ts_us") / 1000 - c("start_ts") * 1000)})
@@ -224,14 +224,14 @@ def latched_quote(spark, sf):
 def stop_exit(spark, sf):
     x = _x(spark, sf)
     e = O.exits(x, O.leg_fills(x, O.placements(x, O.anchors(x)))).filter(c("held").isNotNull())
-    return e.select("cid", "held", "entry", (c("stop_at.ts_us") / 1e6).alias("stop_ts"), "stop_bid", F.when(c("stop_at").isNotNull(), (c("stop_bid") - c("entry")) * 100.0).alias("stop_pnl"))
+    return e.select("cid", "held", "entry", O.seconds("stop_at").alias("stop_ts"), "stop_bid", F.when(c("stop_at").isNotNull(), (c("stop_bid") - c("entry")) * 100.0).alias("stop_pnl"))
 
 
 @query("dead_zone_close", BASE_SQL + "SELECT cid, dz_us/1e6 AS dz_ts, dz_bid FROM o0")
 def dead_zone_close(spark, sf):
     x = _x(spark, sf)
     e = O.exits(x, O.leg_fills(x, O.placements(x, O.anchors(x))))
-    return e.select("cid", (c("dz_at.ts_us") / 1e6).alias("dz_ts"), "dz_bid")
+    return e.select("cid", O.seconds("dz_at").alias("dz_ts"), "dz_bid")
 
 
 @query("first_exit", BASE_SQL + "SELECT cid, kind, exit_ts FROM outcomes")
@@ -284,13 +284,13 @@ def chase(spark, sf, max_pair: float = 0.99):
     x = _x(spark, sf)
     f = O.leg_fills(x, O.placements(x, O.anchors(x))).filter(c("held").isNotNull())
     cols = ["config_id", "cid", "at", "ts_us", "line_no", "ts", "start_ts", "end_ts", "elapsed", "length", "mid_up", "up_ask", "dn_ask", "tape", "up_token", "dn_token", "p_dead_zone"]
-    j = x.select(*cols).join(f.select("config_id", "cid", "first_at", "held", "entry", "ru", "rd"), O.KEYS)
+    j = x.select(*cols).join(f.select("config_id", "cid", "first_at", "held", "entry", "ru", "rd", O.seconds("first_at").alias("first_ts_")), O.KEYS)
     j = j.filter((c("at") > c("first_at")) & c("mid_up").isNotNull())
     up_open = c("held") == "down"
     ask = F.when(up_open, c("up_ask")).otherwise(c("dn_ask"))
     orig = F.when(up_open, c("ru")).otherwise(c("rd"))
     dz_start = c("length") - B.dead_zone_cutoff(c("length"), c("p_dead_zone"))
-    prog = B.chase_progress(c("elapsed"), c("first_at.ts_us") / 1e6 - c("start_ts"), dz_start)
+    prog = B.chase_progress(c("elapsed"), c("first_ts_") - c("start_ts"), dz_start)
     ceiling = B.chase_ceiling(orig, B.chase_cap(max_pair, c("entry")), prog)
     j = j.withColumns({"ask": ask, "orig": orig, "target": F.when(ask.isNotNull(), round_dp(F.least(ask, ceiling), 3)), "el_ms": F.floor(c("elapsed") * 1000)})
     j = running(j, ["cid"], ["ts_us", "line_no"], W.tick_slice(), [Running("hi", "max", c("target")), Running("hi_before", "max", c("target"), exclusive=True)])
