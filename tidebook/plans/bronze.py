@@ -100,7 +100,7 @@ def verbatim_copy_sink(spark, sf):
     lines = p.select("value", c("tick.cid").alias("cid"), X.day_key(c("tick.start_ts")).alias("start_day"))
     path = scratch_path(spark, "pristine")
     sinks.copy_verbatim(lines, loose_passed(spark, sf), path)
-    back = spark.read.text(path)
+    back = spark.read.schema("value string, start_day string").text(path)
     return back.groupBy(c("start_day").cast("string").alias("start_day"), F.get_json_object("value", "$.cid").alias("cid")).agg(F.count(F.lit(1)).alias("lines"))
 
 
