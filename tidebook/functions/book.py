@@ -182,6 +182,21 @@ def tape_hit(tape: Column, token: Column, resting: Column, tick: float, skip_buy
     return F.coalesce(F.exists(tape, at_price), F.lit(False)) & resting.isNotNull()
 
 
+def token_prints(tape: Column, token: Column, skip_buys: Column | None = None) -> Column:
+    """Prices printed for one token; ``skip_buys`` (the ask) drops aggressor buys at or above it."""
+    def mine(x):
+        hit = x["asset"] == token
+        return hit if skip_buys is None else hit & ~F.coalesce(x["price"] >= skip_buys - 1e-9, F.lit(False))
+
+    return F.transform(F.filter(tape, mine), lambda x: x["price"])
+
+
+def printed_near(prices: Column, resting: Column, tick: float) -> Column:
+    """Any of the prices within one tick of ours."""
+    near = F.exists(prices, lambda p: F.abs(p - resting) <= tick + EPS)
+    return (F.size(prices) > 0) & resting.isNotNull() & F.coalesce(near, F.lit(False))
+
+
 def ask_through(ask: Column, resting: Column, tick: float, newly_placed: Column) -> Column:
     reach = F.when(newly_placed, ask <= resting + EPS).otherwise(ask <= resting - tick + EPS)
     return F.coalesce(reach, F.lit(False))

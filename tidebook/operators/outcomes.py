@@ -21,7 +21,10 @@ from .agg import by_window
 
 KEYS = ["config_id", "cid"]
 TIE_BITS = 26
-START_US = F.floor(F.col("start_ts") * 1e6).cast("bigint")
+
+
+def start_us() -> Column:
+    return F.floor(F.col("start_ts") * 1e6).cast("bigint")
 
 
 def position() -> Column:
@@ -30,7 +33,7 @@ def position() -> Column:
     A fixed-width ordering key keeps ``min``/``min_by`` on hash aggregation. Samples of one window that share
     a microsecond are ordered by the low bits of their line number.
     """
-    return (F.col("ts_us") - START_US) * (1 << TIE_BITS) + F.col("line_no") % (1 << TIE_BITS)
+    return (F.col("ts_us") - start_us()) * (1 << TIE_BITS) + F.col("line_no") % (1 << TIE_BITS)
 
 
 def seconds(at: str) -> Column:
@@ -92,8 +95,26 @@ def with_configs(df: DataFrame, configs: Sequence[Quote]) -> DataFrame:
     return df.select("*", F.inline(F.array(*[config_struct(q) for q in configs])))
 
 
-def quote_ticks(ticks: DataFrame) -> DataFrame:
-    """Narrow ticks with the config-independent columns every step needs."""
+def attach(qt: DataFrame, state: DataFrame, configs: Sequence[Quote]) -> DataFrame:
+    """Ticks next to the per-(config, window) state of the step before.
+
+    The state is packed to one row per window (an array over the configurations) so that ticks are joined, and
+    if need be shuffled, once per window and not once per configuration; rows multiply after the join, in the
+    same stage as the partial aggregation that follows.
+    """
+    qt = qt.drop("start_us")
+    if len(configs) == 1:
+        return qt.join(state, "cid").select("*", *[F.lit(getattr(configs[0], p)).alias(f"p_{p}") for p in PARAMS])
+    lookup = F.create_map(*[x for q in configs for x in (F.lit(q.config_id), config_struct(q))])
+    keep = [c for c in state.columns if c not in ("cid", "config_id")]
+    packed = state.withColumn("__p", F.element_at(lookup, F.col("config_id"))).groupBy("cid").agg(
+        F.collect_list(F.struct(*keep, "__p.*")).alias("__s")
+    )
+    return qt.join(packed, "cid").select(*qt.columns, F.inline("__s"))
+
+
+def quote_ticks(ticks: DataFrame, skip_buys: bool = False) -> DataFrame:
+    """Narrow ticks with the config-independent columns every step needs, computed before configs multiply rows."""
     t = ticks.filter(F.col("end_ts") > F.col("start_ts"))
     length = F.col("end_ts") - F.col("start_ts")
     return t.select(
@@ -104,8 +125,10 @@ def quote_ticks(ticks: DataFrame) -> DataFrame:
         B.elapsed(F.col("ts"), F.col("start_ts")).alias("elapsed"),
         B.remaining(F.col("ts"), F.col("end_ts")).alias("rem"),
         length.alias("length"),
+        B.token_prints(F.col("tape"), F.col("up_token"), F.col("up_ask") if skip_buys else None).alias("up_prints"),
+        B.token_prints(F.col("tape"), F.col("dn_token"), F.col("dn_ask") if skip_buys else None).alias("dn_prints"),
         position().alias("at"),
-        START_US.alias("start_us"),
+        start_us().alias("start_us"),
     )
 
 
@@ -121,8 +144,9 @@ def _carry(df: DataFrame, names: Sequence[str]):
     return [F.first(n).alias(n) for n in names]
 
 
-def anchors(x: DataFrame, leg_range: bool = True) -> DataFrame:
+def anchors(qt: DataFrame, configs: Sequence[Quote], leg_range: bool = True) -> DataFrame:
     """First in-range two-sided mid outside the dead zone; its value is held afterwards."""
+    x = with_configs(qt, configs)
     ru, rd = B.resting_up(F.col("tsm"), F.col("p_offset")), B.resting_down(F.col("tsm"), F.col("p_offset"))
     ok = F.col("tsm").isNotNull() & _in_range(F.col("tsm")) & ~_dz()
     if leg_range:
@@ -135,9 +159,9 @@ def anchors(x: DataFrame, leg_range: bool = True) -> DataFrame:
     )
 
 
-def placements(x: DataFrame, anchor: DataFrame) -> DataFrame:
+def placements(qt: DataFrame, anchor: DataFrame, configs: Sequence[Quote]) -> DataFrame:
     """First tick at or after the anchor on which both orders may be posted."""
-    j = x.drop("start_us").join(anchor, KEYS)
+    j = attach(qt, anchor, configs)
     j = j.withColumns(
         {
             "ru": B.resting_up(F.col("anchor_mid"), F.col("p_offset")),
@@ -169,22 +193,22 @@ def placements(x: DataFrame, anchor: DataFrame) -> DataFrame:
 STATE = ["start_us", "anchor_at", "anchor_mid", "ru", "rd", "placed_at", "placed_elapsed"]
 
 
-def leg_conditions(detector: str = "both", skip_buys: bool = False) -> tuple[Column, Column]:
+def leg_conditions(detector: str = "both") -> tuple[Column, Column]:
     """Fill predicates of the up and down leg under one detector: tape, ask or both."""
     newly = F.col("at") == F.col("placed_at")
 
-    def leg(resting, bid, ask, token):
-        hit = B.tape_hit(F.col("tape"), F.col(token), F.col(resting), 0.001, F.col(ask) if skip_buys else None)
+    def leg(resting, ask, prints):
+        hit = B.printed_near(F.col(prints), F.col(resting), 0.001)
         thr = B.ask_through(F.col(ask), F.col(resting), 0.001, newly)
-        return {"tape": hit, "ask": thr, "both": hit | thr}[detector]
+        return {"tape": hit, "ask": thr, "both": thr | hit}[detector]
 
-    return leg("ru", "up_bid", "up_ask", "up_token"), leg("rd", "dn_bid", "dn_ask", "dn_token")
+    return leg("ru", "up_ask", "up_prints"), leg("rd", "dn_ask", "dn_prints")
 
 
-def leg_fills(x: DataFrame, placed: DataFrame, detector: str = "both", skip_buys: bool = False) -> DataFrame:
+def leg_fills(qt: DataFrame, placed: DataFrame, configs: Sequence[Quote], detector: str = "both") -> DataFrame:
     """First fill of each leg; a first leg never fills inside the dead zone, a second leg may."""
-    j = x.drop("start_us").join(placed, KEYS)
-    up, dn = leg_conditions(detector, skip_buys)
+    j = attach(qt, placed, configs)
+    up, dn = leg_conditions(detector)
     live = (F.col("at") >= F.col("placed_at")) & F.col("mid_up").isNotNull()
     j = j.withColumns({"__up": live & up, "__dn": live & dn, "__dz": _dz()})
     up, dn, dz = F.col("__up"), F.col("__dn"), F.col("__dz")
@@ -234,9 +258,9 @@ def held_bid() -> Column:
     return F.when(F.col("held_up"), F.col("up_bid")).when(~F.col("held_up"), F.col("dn_bid"))
 
 
-def exits(x: DataFrame, fills: DataFrame) -> DataFrame:
+def exits(qt: DataFrame, fills: DataFrame, configs: Sequence[Quote]) -> DataFrame:
     """Dead-zone close and stop exit of the naked leg, as the first ticks at which each could happen."""
-    j = x.drop("start_us").join(fills, KEYS).withColumns({"exc": excursion(), "hb": held_bid()})
+    j = attach(qt, fills.drop("held"), configs).withColumns({"exc": excursion(), "hb": held_bid()})
     naked = (F.col("at") > F.col("first_at")) & F.col("mid_up").isNotNull() & F.coalesce(F.col("at") < F.col("pair_at"), F.lit(True)) & F.col("held_up").isNotNull()
     close = naked & _dz() & (F.col("p_policy") == "close") & B.exec_quote(F.col("hb")).isNotNull()
     step = j.groupBy(*KEYS).agg(
@@ -245,7 +269,7 @@ def exits(x: DataFrame, fills: DataFrame) -> DataFrame:
         F.min(F.when(close, F.col("at"))).alias("dz_at"),
         F.min_by("hb", F.when(close, F.col("at"))).alias("dz_bid"),
     )
-    k = x.drop("start_us").join(step, KEYS).withColumns({"exc": excursion(), "hb": held_bid()})
+    k = attach(qt, step, configs).withColumns({"exc": excursion(), "hb": held_bid()})
     after = (F.col("at") >= F.col("cross_at")) & F.col("mid_up").isNotNull() & F.coalesce(F.col("at") < F.col("pair_at"), F.lit(True))
     can = after & F.col("hb").isNotNull()
     names = [*FILL_STATE, "cross_at", "dz_at", "dz_bid"]
@@ -360,9 +384,13 @@ def settle(exited: DataFrame, closing: DataFrame, configs: Sequence[Quote]) -> D
     )
 
 
+def fills_of(qt: DataFrame, configs: Sequence[Quote], detector: str = "both", leg_range: bool = True) -> DataFrame:
+    """Anchor, placement and fills in one go."""
+    return leg_fills(qt, placements(qt, anchors(qt, configs, leg_range), configs), configs, detector)
+
+
 def outcomes(ticks: DataFrame, configs: Sequence[Quote] = (Quote(),), detector: str = "both") -> DataFrame:
     """One row per (config, window): entry, fills, terminal event, profit and fees."""
     qt = quote_ticks(ticks)
-    x = with_configs(qt, configs)
-    fills = leg_fills(x, placements(x, anchors(x)), detector)
-    return settle(exits(x, fills), closings(qt), configs)
+    fills = fills_of(qt, configs, detector)
+    return settle(exits(qt, fills, configs), closings(qt), configs)

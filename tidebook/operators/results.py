@@ -47,9 +47,6 @@ def with_levels(df: DataFrame, levels: Sequence[tuple[str, Column]]) -> DataFram
     return df.select("*", F.inline(pairs))
 
 
-REPLAY_LEVELS = (("series", F.col), ("duration", F.col))
-
-
 def replay_levels() -> list[tuple[str, Column]]:
     return [("series", F.col("series")), ("duration", F.col("duration")), ("overall", F.lit("all"))]
 

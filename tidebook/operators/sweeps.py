@@ -10,6 +10,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import results as R
 from .outcomes import Quote, outcomes
 from .windows import index_quantile
@@ -73,7 +74,8 @@ def config_hash(q: Quote) -> str:
 
 def run_sweep(ticks: DataFrame, grid: Sequence[Quote], size: int = R.MIN_SIZE, levels=None) -> DataFrame:
     """Every configuration over every window, reduced to one metrics row per config and level group."""
-    return R.sweep_metrics(outcomes(ticks, deduplicate(grid)), size, levels)
+    # two consumers (totals and drawdown): write the per-window outcomes once instead of replaying ticks twice
+    return R.sweep_metrics(cut(outcomes(ticks, deduplicate(grid)), "sweep"), size, levels)
 
 
 def split_boundary(windows: DataFrame, holdout: float) -> DataFrame:

@@ -29,8 +29,8 @@ BASE_SQL = outcomes_sql([BASE])
 _L = "SELECT config_id, cid, a_us/1e6 AS anchor_ts, a_mid AS anchor_mid FROM a"
 
 
-def _x(spark, sf, configs=(BASE,)):
-    return O.with_configs(O.quote_ticks(ticks(spark, sf)), configs)
+def _qt(spark, sf):
+    return O.quote_ticks(ticks(spark, sf))
 
 
 @query("window_outcomes", BASE_SQL + "SELECT * FROM outcomes")
@@ -46,20 +46,19 @@ def window_outcomes_variant(spark, sf):
 
 @query("entry_anchor", chain([BASE]) + _L)
 def entry_anchor(spark, sf):
-    a = O.anchors(_x(spark, sf))
+    a = O.anchors(_qt(spark, sf), [BASE])
     return a.select("config_id", "cid", O.seconds("anchor_at").alias("anchor_ts"), "anchor_mid")
 
 
 @query("placement_tick", chain([SWEEP_VARIANT]) + "SELECT config_id, cid, p_us/1e6 AS placed_ts, p_el AS placed_elapsed, ru, rd FROM p")
 def placement_tick(spark, sf):
-    x = _x(spark, sf, [SWEEP_VARIANT])
-    p = O.placements(x, O.anchors(x))
+    qt = _qt(spark, sf)
+    p = O.placements(qt, O.anchors(qt, [SWEEP_VARIANT]), [SWEEP_VARIANT])
     return p.select("config_id", "cid", O.seconds("placed_at").alias("placed_ts"), "placed_elapsed", "ru", "rd")
 
 
-def _fills(spark, sf, configs=(BASE,), **kw):
-    x = _x(spark, sf, configs)
-    return O.leg_fills(x, O.placements(x, O.anchors(x)), **kw)
+def _fills(spark, sf):
+    return O.fills_of(_qt(spark, sf), [BASE])
 
 
 @query("leg_fill", chain([BASE]) + "SELECT cid, u_us/1e6 AS fill_up_ts, d_us/1e6 AS fill_dn_ts FROM fl")
@@ -85,11 +84,11 @@ def pair_or_naked(spark, sf):
 )
 def detector_decomposition(spark, sf):
     """Fill counts under each detector; the three runs share the anchor and placement steps."""
-    x = _x(spark, sf)
-    placed = O.placements(x, O.anchors(x))
+    qt = _qt(spark, sf)
+    placed = O.placements(qt, O.anchors(qt, [BASE]), [BASE])
     parts = []
     for d in ("tape", "ask", "both"):
-        f = O.leg_fills(x, placed, detector=d)
+        f = O.leg_fills(qt, placed, [BASE], detector=d)
         parts.append(
             f.agg(
                 F.count_if(c("first_at").isNotNull()).alias("filled"),
@@ -102,11 +101,10 @@ def detector_decomposition(spark, sf):
 
 def lab_timeline(spark, sf):
     """The measurement variant: no leg-range test, sell prints only, valued at the first dead-zone tick."""
-    qt = O.quote_ticks(ticks(spark, sf))
-    x = O.with_configs(qt, [BASE])
-    f = O.leg_fills(x, O.placements(x, O.anchors(x, leg_range=False)), skip_buys=True)
+    qt = O.quote_ticks(ticks(spark, sf), skip_buys=True)
+    f = O.fills_of(qt, [BASE], leg_range=False)
     cl = O.closings(qt).select("cid", "series", "duration", "day", "last_tsm")
-    j = x.drop("start_us").join(f, O.KEYS).withColumn("hb", O.held_bid())
+    j = O.attach(qt, f, [BASE]).withColumn("hb", O.held_bid())
     hm = F.when(c("held") == "up", B.mid(c("up_bid"), c("up_ask"))).otherwise(B.mid(c("dn_bid"), c("dn_ask")))
     dz = B.in_dead_zone(c("rem"), c("length"), c("p_dead_zone"))
     naked_dz = c("held").isNotNull() & (c("at") >= c("first_at")) & F.coalesce(c("at") < c("pair_at"), F.lit(True)) & dz
@@ -165,11 +163,9 @@ def fill_timeline(spark, sf):
 
 def _naked_path(spark, sf):
     """Ticks of naked spells (after the first fill, before the pair) with the adverse excursion."""
-    x = _x(spark, sf)
-    f = O.leg_fills(x, O.placements(x, O.anchors(x)))
-    j = x.select("config_id", "cid", "at", "ts_us", "line_no", "mid_up", "start_ts", "p_thr", "p_reversal").join(
-        f.select("config_id", "cid", "first_at", "pair_at", "held", "held_up", "entry"), O.KEYS
-    )
+    qt = _qt(spark, sf)
+    f = O.fills_of(qt, [BASE])
+    j = O.attach(qt.select("cid", "at", "ts_us", "line_no", "mid_up", "start_ts"), f.select("config_id", "cid", "first_at", "pair_at", "held", "held_up", "entry"), [BASE])
     j = j.filter(c("held").isNotNull() & (c("at") > c("first_at")) & F.coalesce(c("at") < c("pair_at"), F.lit(True)) & c("mid_up").isNotNull())
     return j.withColumns({"exc": O.excursion(), "el_ms": F.floor(c("ts_us") / 1000 - c("start_ts") * 1000)})
 
@@ -222,15 +218,15 @@ def latched_quote(spark, sf):
 
 @query("stop_exit", BASE_SQL + "SELECT cid, held, entry, stop_us/1e6 AS stop_ts, stop_bid, CASE WHEN stop_us IS NOT NULL THEN (stop_bid-entry)*100.0e0 END AS stop_pnl FROM o0 WHERE held IS NOT NULL")
 def stop_exit(spark, sf):
-    x = _x(spark, sf)
-    e = O.exits(x, O.leg_fills(x, O.placements(x, O.anchors(x)))).filter(c("held").isNotNull())
+    qt = _qt(spark, sf)
+    e = O.exits(qt, O.fills_of(qt, [BASE]), [BASE]).filter(c("held").isNotNull())
     return e.select("cid", "held", "entry", O.seconds("stop_at").alias("stop_ts"), "stop_bid", F.when(c("stop_at").isNotNull(), (c("stop_bid") - c("entry")) * 100.0).alias("stop_pnl"))
 
 
 @query("dead_zone_close", BASE_SQL + "SELECT cid, dz_us/1e6 AS dz_ts, dz_bid FROM o0")
 def dead_zone_close(spark, sf):
-    x = _x(spark, sf)
-    e = O.exits(x, O.leg_fills(x, O.placements(x, O.anchors(x))))
+    qt = _qt(spark, sf)
+    e = O.exits(qt, O.fills_of(qt, [BASE]), [BASE])
     return e.select("cid", O.seconds("dz_at").alias("dz_ts"), "dz_bid")
 
 
@@ -281,10 +277,10 @@ def window_flags(spark, sf):
 
 def chase(spark, sf, max_pair: float = 0.99):
     """Second leg under the chase: its quote only ever rises towards the ask, below the ceiling."""
-    x = _x(spark, sf)
-    f = O.leg_fills(x, O.placements(x, O.anchors(x))).filter(c("held").isNotNull())
-    cols = ["config_id", "cid", "at", "ts_us", "line_no", "ts", "start_ts", "end_ts", "elapsed", "length", "mid_up", "up_ask", "dn_ask", "tape", "up_token", "dn_token", "p_dead_zone"]
-    j = x.select(*cols).join(f.select("config_id", "cid", "first_at", "held", "entry", "ru", "rd", O.seconds("first_at").alias("first_ts_")), O.KEYS)
+    qt = _qt(spark, sf)
+    f = O.fills_of(qt, [BASE]).filter(c("held").isNotNull())
+    cols = ["cid", "at", "ts_us", "line_no", "ts", "start_ts", "end_ts", "elapsed", "length", "mid_up", "up_ask", "dn_ask", "tape", "up_token", "dn_token"]
+    j = O.attach(qt.select(*cols), f.select("config_id", "cid", "first_at", "held", "entry", "ru", "rd", O.seconds("first_at").alias("first_ts_")), [BASE])
     j = j.filter((c("at") > c("first_at")) & c("mid_up").isNotNull())
     up_open = c("held") == "down"
     ask = F.when(up_open, c("up_ask")).otherwise(c("dn_ask"))
