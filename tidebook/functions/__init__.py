@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Column functions: book rules, quality predicates, text and time."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""DataFrame operators: scans, windows, outcomes, sweeps, statistics, reconciliation, ledgers."""

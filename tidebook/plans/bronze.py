@@ -100,8 +100,9 @@ def verbatim_copy_sink(spark, sf):
     lines = p.select("value", c("tick.cid").alias("cid"), X.day_key(c("tick.start_ts")).alias("start_day"))
     path = scratch_path(spark, "pristine")
     sinks.copy_verbatim(lines, loose_passed(spark, sf), path)
-    back = spark.read.schema("value string, start_day string").text(path)
-    return back.groupBy(c("start_day").cast("string").alias("start_day"), F.get_json_object("value", "$.cid").alias("cid")).agg(F.count(F.lit(1)).alias("lines"))
+    # the day is read off the path, so an empty result is an empty table rather than a missing column
+    back = spark.read.option("recursiveFileLookup", "true").text(path)
+    return back.groupBy(F.regexp_extract("_metadata.file_path", S.DAY_PATTERN, 1).alias("start_day"), F.get_json_object("value", "$.cid").alias("cid")).agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query("windows_sink", WINDOWS_SQL + "SELECT cid, series, snaps, start_mid, close_mid, class, touch_pair_median FROM windows")

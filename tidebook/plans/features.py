@@ -114,7 +114,7 @@ def start_delay_filter(spark, sf):
 
 
 @query(
-    "read_depth_top",
+    "depth_top_projection",
     T + f" SELECT event_id, up_bid, up_ask, dn_bid, dn_ask, {_MID_UP} AS mid, {R('up_ask+dn_ask', 4)} AS touch, {queue(_UP_BIDS, 'up_bid')} AS queue_up FROM ticks",
 )
 def depth_top_projection(spark, sf):

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Readers, parsers, sinks and the tick view derived from events."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Structured Streaming jobs and keyed state processors."""
