@@ -65,6 +65,9 @@ class Quote:
     gas_usd: float = 0.0
     shares: int = 50
     tick: float = 0.001
+    delay_pct: float = -1.0  # fraction of the window; wins over ``delay`` when not negative
+    dead_zone_unit: str = "pct"
+    thr_by_slug: tuple[tuple[str, float], ...] = ()  # ordered; wins over ``thr`` when not empty
 
     def __post_init__(self):
         if not 0 <= self.lo < self.hi <= 1:
@@ -73,15 +76,19 @@ class Quote:
             raise ValueError("policy is close or hold")
         if not 0 < self.offset < 0.5:
             raise ValueError("offset must lie in (0, 0.5)")
-        if not 0 <= self.dead_zone <= 1:
-            raise ValueError("dead zone is a fraction of the window")
+        if self.dead_zone_unit not in ("pct", "sec"):
+            raise ValueError("dead zone unit is pct or sec")
+        if self.dead_zone < 0 or (self.dead_zone_unit == "pct" and self.dead_zone > 1):
+            raise ValueError("dead zone out of range")
+        if not 0 <= self.delay <= 86400 or self.delay_pct > 1:
+            raise ValueError("entry delay out of range")
 
     def key(self) -> str:
         body = {k: v for k, v in asdict(self).items() if k != "config_id"}
         return json.dumps(body, sort_keys=True)
 
 
-PARAMS = [f.name for f in fields(Quote) if f.name != "config_id"]
+PARAMS = [f.name for f in fields(Quote) if f.name not in ("config_id", "thr_by_slug")]
 
 
 def config_struct(q: Quote) -> Column:
@@ -137,7 +144,7 @@ def _in_range(x: Column) -> Column:
 
 
 def _dz() -> Column:
-    return B.in_dead_zone(F.col("rem"), F.col("length"), F.col("p_dead_zone"))
+    return B.in_dead_zone(F.col("rem"), F.col("length"), F.col("p_dead_zone"), F.col("p_dead_zone_unit"))
 
 
 def _carry(df: DataFrame, names: Sequence[str]):
@@ -176,7 +183,7 @@ def placements(qt: DataFrame, anchor: DataFrame, configs: Sequence[Quote]) -> Da
     touch_ok = (F.col("p_touch_gate") <= 0) | F.coalesce(touch <= F.col("p_touch_gate"), F.lit(True))
     ok = (
         (F.col("at") >= F.col("anchor_at"))
-        & (F.col("elapsed") >= F.col("p_delay"))
+        & (F.col("elapsed") >= F.when(F.col("p_delay_pct") >= 0, F.col("p_delay_pct") * F.col("length")).otherwise(F.col("p_delay")))
         & _in_range(F.col("tsm"))
         & ~_dz()
         & F.coalesce(queue_ok, F.lit(False))
@@ -258,14 +265,25 @@ def held_bid() -> Column:
     return F.when(F.col("held_up"), F.col("up_bid")).when(~F.col("held_up"), F.col("dn_bid"))
 
 
+def stop_threshold(configs: Sequence[Quote]) -> Column:
+    """The configuration's threshold, looked up per series where it carries a table."""
+    out = F.col("p_thr")
+    for q in configs:
+        if q.thr_by_slug:
+            named = B.exit_threshold(F.col("series"), F.col("slug"), F.col("duration"), list(q.thr_by_slug))
+            out = F.when(F.col("config_id") == q.config_id, named).otherwise(out)
+    return out
+
+
 def exits(qt: DataFrame, fills: DataFrame, configs: Sequence[Quote]) -> DataFrame:
     """Dead-zone close and stop exit of the naked leg, as the first ticks at which each could happen."""
     j = attach(qt, fills.drop("held"), configs).withColumns({"exc": excursion(), "hb": held_bid()})
     naked = (F.col("at") > F.col("first_at")) & F.col("mid_up").isNotNull() & F.coalesce(F.col("at") < F.col("pair_at"), F.lit(True)) & F.col("held_up").isNotNull()
     close = naked & _dz() & (F.col("p_policy") == "close") & B.exec_quote(F.col("hb")).isNotNull()
+    j = j.withColumn("__cross", naked & (F.col("exc") >= stop_threshold(configs)))
     step = j.groupBy(*KEYS).agg(
         *_carry(j, FILL_STATE),
-        F.min(F.when(naked & (F.col("exc") >= F.col("p_thr")), F.col("at"))).alias("cross_at"),
+        F.min(F.when(F.col("__cross"), F.col("at"))).alias("cross_at"),
         F.min(F.when(close, F.col("at"))).alias("dz_at"),
         F.min_by("hb", F.when(close, F.col("at"))).alias("dz_bid"),
     )

@@ -44,6 +44,16 @@ def window_outcomes_variant(spark, sf):
     return O.outcomes(ticks(spark, sf), [SWEEP_VARIANT])
 
 
+BY_SERIES = O.Quote(config_id="by_series", delay_pct=0.2, dead_zone=7200.0, dead_zone_unit="sec", thr_by_slug=(("ur", 0.07), ("view", 0.04), ("default_15m", 0.09)))
+_THR = "CASE WHEN series='view' THEN 0.04e0 WHEN contains(series,'ur') OR contains(slug,'ur') THEN 0.07e0 ELSE 0.09e0 END"
+
+
+@query("window_outcomes_by_series", outcomes_sql([BY_SERIES], thr=_THR) + "SELECT * FROM outcomes")
+def window_outcomes_by_series(spark, sf):
+    """Per-series stop thresholds, a delay in percent and a dead zone in seconds."""
+    return O.outcomes(ticks(spark, sf), [BY_SERIES])
+
+
 @query("entry_anchor", chain([BASE]) + _L)
 def entry_anchor(spark, sf):
     a = O.anchors(_qt(spark, sf), [BASE])
@@ -106,7 +116,7 @@ def lab_timeline(spark, sf):
     cl = O.closings(qt).select("cid", "series", "duration", "day", "last_tsm")
     j = O.attach(qt, f, [BASE]).withColumn("hb", O.held_bid())
     hm = F.when(c("held") == "up", B.mid(c("up_bid"), c("up_ask"))).otherwise(B.mid(c("dn_bid"), c("dn_ask")))
-    dz = B.in_dead_zone(c("rem"), c("length"), c("p_dead_zone"))
+    dz = B.in_dead_zone(c("rem"), c("length"), c("p_dead_zone"), c("p_dead_zone_unit"))
     naked_dz = c("held").isNotNull() & (c("at") >= c("first_at")) & F.coalesce(c("at") < c("pair_at"), F.lit(True)) & dz
     at = F.when(naked_dz, c("at"))
     g = j.groupBy(*O.KEYS).agg(
@@ -285,7 +295,7 @@ def chase(spark, sf, max_pair: float = 0.99):
     up_open = c("held") == "down"
     ask = F.when(up_open, c("up_ask")).otherwise(c("dn_ask"))
     orig = F.when(up_open, c("ru")).otherwise(c("rd"))
-    dz_start = c("length") - B.dead_zone_cutoff(c("length"), c("p_dead_zone"))
+    dz_start = c("length") - B.dead_zone_cutoff(c("length"), c("p_dead_zone"), c("p_dead_zone_unit"))
     prog = B.chase_progress(c("elapsed"), c("first_ts_") - c("start_ts"), dz_start)
     ceiling = B.chase_ceiling(orig, B.chase_cap(max_pair, c("entry")), prog)
     j = j.withColumns({"ask": ask, "orig": orig, "target": F.when(ask.isNotNull(), round_dp(F.least(ask, ceiling), 3)), "el_ms": F.floor(c("elapsed") * 1000)})

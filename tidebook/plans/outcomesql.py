@@ -28,7 +28,8 @@ def cfg(configs: Sequence[Quote]) -> str:
 _P = ", ".join(f"p_{p}" for p in PARAMS)
 _AP = ", ".join(f"any_value(p_{p}) AS p_{p}" for p in PARAMS)
 EXQ = "CASE WHEN {0}>0 AND {0}<=1 THEN {0} END"
-_DZ = f"(CASE WHEN rem<=0 THEN true ELSE ({R('p_dead_zone*length', 6)} > 0 AND rem <= {R('p_dead_zone*length', 6)}+1e-6) END)"
+CUTOFF = f"(CASE p_dead_zone_unit WHEN 'sec' THEN least(p_dead_zone, length) ELSE {R('p_dead_zone*length', 6)} END)"
+_DZ = f"(CASE WHEN rem<=0 THEN true ELSE ({CUTOFF} > 0 AND rem <= {CUTOFF}+1e-6) END)"
 
 
 def rest(m: str, down: bool = False) -> str:
@@ -61,7 +62,7 @@ a AS (SELECT config_id, cid, min(ts_us) FILTER (WHERE ok) AS a_us, arg_min(tsm,
 p0 AS (SELECT x.*, a_us, a_mid, {rest('a_mid')} AS ru, {rest('a_mid', True)} AS rd FROM x JOIN a USING (config_id, cid)),
 p AS (SELECT config_id, cid, any_value(a_us) AS a_us, any_value(a_mid) AS a_mid, any_value(ru) AS ru, any_value(rd) AS rd,
   min(ts_us) FILTER (WHERE ok) AS p_us, min(elapsed) FILTER (WHERE ok) AS p_el
-  FROM (SELECT *, coalesce(ts_us>=a_us AND elapsed>=p_delay AND tsm BETWEEN p_lo AND p_hi AND NOT dz
+  FROM (SELECT *, coalesce(ts_us>=a_us AND elapsed>=CASE WHEN p_delay_pct>=0 THEN p_delay_pct*length ELSE p_delay END AND tsm BETWEEN p_lo AND p_hi AND NOT dz
     AND (p_queue_gate<=0 OR coalesce({queue('up_bids', 'ru')}<=p_queue_gate AND {queue('dn_bids', 'rd')}<=p_queue_gate, false))
     AND (p_touch_gate<=0 OR coalesce(up_ask+dn_ask<=p_touch_gate, true)), false) AS ok FROM p0) GROUP BY 1,2),
 f0 AS (SELECT x.*, a_us, a_mid, ru, rd, p_us, p_el FROM x JOIN p USING (config_id, cid)),
@@ -85,7 +86,7 @@ def closing() -> str:
   max(mid_up) AS mx, min(mid_up) AS mn, arg_max(tsm, ts_us) FILTER (WHERE tsm IS NOT NULL) AS last_tsm, {last}, {lat} FROM qt GROUP BY cid)"""
 
 
-def outcomes_sql(configs: Sequence[Quote] = (Quote(),), detector: str = "both") -> str:
+def outcomes_sql(configs: Sequence[Quote] = (Quote(),), detector: str = "both", thr: str = "p_thr") -> str:
     exc = f"CASE WHEN held='up' THEN {R('entry-mid_up', 6)} WHEN held='down' THEN {R('mid_up-(1.0e0-entry)', 6)} END"
     hb = "CASE WHEN held='up' THEN up_bid WHEN held='down' THEN dn_bid END"
 
@@ -106,7 +107,7 @@ def outcomes_sql(configs: Sequence[Quote] = (Quote(),), detector: str = "both")
         chain(configs, detector)
         + f""", {closing()},
 xe0 AS (SELECT *, {exc} AS exc, {hb} AS hb FROM (SELECT x.*, a_us, a_mid, ru, rd, p_us, p_el, u_us, d_us, pair_us, first_us, held, entry FROM x JOIN fl USING (config_id, cid))),
-xe1 AS (SELECT config_id, cid, min(ts_us) FILTER (WHERE nk AND exc>=p_thr) AS cross_us, min(ts_us) FILTER (WHERE cl) AS dz_us, arg_min(hb, ts_us) FILTER (WHERE cl) AS dz_bid
+xe1 AS (SELECT config_id, cid, min(ts_us) FILTER (WHERE nk AND exc>={thr}) AS cross_us, min(ts_us) FILTER (WHERE cl) AS dz_us, arg_min(hb, ts_us) FILTER (WHERE cl) AS dz_bid
   FROM (SELECT *, nk AND dz AND p_policy='close' AND coalesce(hb>0 AND hb<=1,false) AS cl FROM (SELECT *, coalesce(ts_us>first_us,false) AND mid_up IS NOT NULL AND coalesce(ts_us<pair_us,true) AND held IS NOT NULL AS nk FROM xe0)) GROUP BY 1,2),
 xe2 AS (SELECT config_id, cid, min(ts_us) FILTER (WHERE af AND hb IS NOT NULL) AS s_us, arg_min(hb, ts_us) FILTER (WHERE af AND hb IS NOT NULL) AS s_bid,
   min(ts_us) FILTER (WHERE af AND exc<p_reversal) AS l_us FROM (SELECT xe0.*, cross_us, coalesce(ts_us>=cross_us,false) AND mid_up IS NOT NULL AND coalesce(ts_us<pair_us,true) AS af FROM xe0 JOIN xe1 USING (config_id, cid)) GROUP BY 1,2),
