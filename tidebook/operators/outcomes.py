@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import book as B
-from ..functions.num import round_dp
+from ..functions.num import clamp, round_dp
+from ..session import cut
 from .agg import by_window
+from .scan import Running, running
 
 KEYS = ["config_id", "cid"]
 TIE_BITS = 26
@@ -67,6 +69,7 @@ class Quote:
     tick: float = 0.001
     delay_pct: float = -1.0  # fraction of the window; wins over ``delay`` when not negative
     dead_zone_unit: str = "pct"
+    max_pair: float = 0.0  # ceiling of a chased pair's cost; 0 leaves the second leg at its first price
     thr_by_slug: tuple[tuple[str, float], ...] = ()  # ordered; wins over ``thr`` when not empty
 
     def __post_init__(self):
@@ -80,6 +83,8 @@ class Quote:
             raise ValueError("dead zone unit is pct or sec")
         if self.dead_zone < 0 or (self.dead_zone_unit == "pct" and self.dead_zone > 1):
             raise ValueError("dead zone out of range")
+        if self.max_pair and not 0.5 <= self.max_pair <= 1.0:
+            raise ValueError("max pair cost is 0 (no chase) or within [0.5, 1]")
         if not 0 <= self.delay <= 86400 or self.delay_pct > 1:
             raise ValueError("entry delay out of range")
 
@@ -244,6 +249,53 @@ def leg_fills(qt: DataFrame, placed: DataFrame, configs: Sequence[Quote], detect
     ).withColumns({"entry": F.when(F.col("held_up"), F.col("ru")).when(~F.col("held_up"), F.col("rd")), "held": held_name()})
 
 
+def chase_path(qt: DataFrame, fills: DataFrame, configs: Sequence[Quote]) -> DataFrame:
+    """Every tick of a naked spell with the open leg's chased price and whether it fills there.
+
+    The quote is the running maximum of min(ask, ceiling) and never falls below its first price.
+    """
+    cols = ["cid", "at", "ts_us", "line_no", "elapsed", "length", "mid_up", "up_ask", "dn_ask", "up_prints", "dn_prints"]
+    state = fills.filter(F.col("held_up").isNotNull()).select(*KEYS, "first_at", "held_up", "entry", "ru", "rd", "start_us")
+    j = attach(qt.select(*cols), state, configs).filter((F.col("at") > F.col("first_at")) & F.col("mid_up").isNotNull())
+    up_open = ~F.col("held_up")
+    pick = lambda up, dn: F.when(up_open, F.col(up)).otherwise(F.col(dn))
+    dz_start = F.col("length") - B.dead_zone_cutoff(F.col("length"), F.col("p_dead_zone"), F.col("p_dead_zone_unit"))
+    naked_since = seconds("first_at") - F.col("start_us") / 1e6
+    ceiling = B.chase_ceiling(pick("ru", "rd"), B.chase_cap(F.col("p_max_pair"), F.col("entry")), B.chase_progress(F.col("elapsed"), naked_since, dz_start))
+    j = j.withColumns({"ask": pick("up_ask", "dn_ask"), "orig": pick("ru", "rd"), "prints": pick("up_prints", "dn_prints"), "el_ms": F.floor(F.col("elapsed") * 1000)})
+    j = j.withColumn("target", F.when(F.col("ask").isNotNull(), round_dp(clamp(F.least(F.col("ask"), ceiling), 0.01, 0.99), 3)))
+    j = running(j, KEYS, ["at"], F.floor(F.col("el_ms") / 600_000).cast("bigint"), [Running("hi", "max", F.col("target")), Running("hi_before", "max", F.col("target"), exclusive=True)])
+    level, before = F.greatest("orig", "hi"), F.greatest("orig", "hi_before")
+    j = j.withColumns({"level": level, "raised": level > before})
+    hit = B.ask_through(F.col("ask"), F.col("level"), 0.001, F.col("raised")) | B.printed_near(F.col("prints"), F.col("level"), 0.001)
+    return j.withColumn("hit", hit)
+
+
+def apply_chase(qt: DataFrame, fills: DataFrame, configs: Sequence[Quote]) -> DataFrame:
+    """Let configurations with a pair ceiling complete their pair at the chased price instead."""
+    chasing = [q for q in configs if q.max_pair > 0]
+    if not chasing:
+        return fills
+    fills = cut(fills, "fills")
+    mine = F.col("config_id").isin([q.config_id for q in chasing])
+    path = chase_path(qt, fills.filter(mine), chasing)
+    at = F.when(F.col("hit"), F.col("at"))
+    hits = path.groupBy(*KEYS).agg(F.min(at).alias("ch_at"), F.min_by("level", at).alias("ch_px"))
+    j = fills.join(hits, KEYS, "left")
+    naked = mine & F.col("held_up").isNotNull()
+    up_open, done = naked & ~F.col("held_up"), F.col("ch_at").isNotNull()
+    dn_open = naked & F.col("held_up")
+    return j.withColumns(
+        {
+            "fill_up_at": F.when(up_open, F.col("ch_at")).otherwise(F.col("fill_up_at")),
+            "fill_dn_at": F.when(dn_open, F.col("ch_at")).otherwise(F.col("fill_dn_at")),
+            "pair_at": F.when(naked, F.col("ch_at")).otherwise(F.col("pair_at")),
+            "ru": F.when(up_open & done, F.col("ch_px")).otherwise(F.col("ru")),
+            "rd": F.when(dn_open & done, F.col("ch_px")).otherwise(F.col("rd")),
+        }
+    ).drop("ch_at", "ch_px")
+
+
 FILL_STATE = [*STATE, "fill_up_at", "fill_dn_at", "pair_at", "first_at", "held_up", "entry"]
 
 
@@ -410,5 +462,5 @@ def fills_of(qt: DataFrame, configs: Sequence[Quote], detector: str = "both", le
 def outcomes(ticks: DataFrame, configs: Sequence[Quote] = (Quote(),), detector: str = "both") -> DataFrame:
     """One row per (config, window): entry, fills, terminal event, profit and fees."""
     qt = quote_ticks(ticks)
-    fills = fills_of(qt, configs, detector)
+    fills = apply_chase(qt, fills_of(qt, configs, detector), configs)
     return settle(exits(qt, fills, configs), closings(qt), configs)

@@ -9,9 +9,9 @@ from ..functions.num import round_dp
 from ..operators import outcomes as O
 from ..operators import windows as W
 from ..operators.scan import Running, running
-from ..session import shared_table
+from ..session import cut, shared_table
 from ..sources.derived import ticks
-from .outcomesql import chain, closing, outcomes_sql
+from .outcomesql import chain, chase_cte, closing, outcomes_sql
 from .registry import query
 from .sqltext import R, T, TSM, mid
 
@@ -285,44 +285,19 @@ def window_flags(spark, sf):
     return base_outcomes(spark, sf).select("cid", "start_delay", "partial", "n_snaps", "entered", "class", "max_up", "max_down")
 
 
-def chase(spark, sf, max_pair: float = 0.99):
-    """Second leg under the chase: its quote only ever rises towards the ask, below the ceiling."""
+CHASE = O.Quote(config_id="chase", max_pair=0.99)
+_CHASE_SQL = chain([CHASE]) + ", " + chase_cte()
+
+
+def chase(spark, sf):
     qt = _qt(spark, sf)
-    f = O.fills_of(qt, [BASE]).filter(c("held").isNotNull())
-    cols = ["cid", "at", "ts_us", "line_no", "ts", "start_ts", "end_ts", "elapsed", "length", "mid_up", "up_ask", "dn_ask", "tape", "up_token", "dn_token"]
-    j = O.attach(qt.select(*cols), f.select("config_id", "cid", "first_at", "held", "entry", "ru", "rd", O.seconds("first_at").alias("first_ts_")), [BASE])
-    j = j.filter((c("at") > c("first_at")) & c("mid_up").isNotNull())
-    up_open = c("held") == "down"
-    ask = F.when(up_open, c("up_ask")).otherwise(c("dn_ask"))
-    orig = F.when(up_open, c("ru")).otherwise(c("rd"))
-    dz_start = c("length") - B.dead_zone_cutoff(c("length"), c("p_dead_zone"), c("p_dead_zone_unit"))
-    prog = B.chase_progress(c("elapsed"), c("first_ts_") - c("start_ts"), dz_start)
-    ceiling = B.chase_ceiling(orig, B.chase_cap(max_pair, c("entry")), prog)
-    j = j.withColumns({"ask": ask, "orig": orig, "target": F.when(ask.isNotNull(), round_dp(F.least(ask, ceiling), 3)), "el_ms": F.floor(c("elapsed") * 1000)})
-    j = running(j, ["cid"], ["ts_us", "line_no"], W.tick_slice(), [Running("hi", "max", c("target")), Running("hi_before", "max", c("target"), exclusive=True)])
-    level = F.greatest(c("orig"), c("hi"))
-    raised = level > F.greatest(c("orig"), c("hi_before"))
-    token = F.when(c("held") == "down", c("up_token")).otherwise(c("dn_token"))
-    j = j.withColumns({"level": level, "raised": raised, "__tok": token})
-    hit = B.fill_predicate(c("level"), c("ask"), c("tape"), c("__tok"), 0.001, c("raised"))
-    return j.withColumn("hit", hit)
-
-
-_CP = "CASE WHEN dzs<=nk THEN 1.0e0 WHEN elapsed<=nk THEN 0.0e0 ELSE least(1.0e0,greatest(0.0e0,(elapsed-nk)/(dzs-nk))) END"
-_CHASE_SQL = (
-    chain([BASE])
-    + f""", c0 AS (SELECT x.cid, x.ts_us, x.line_no, x.elapsed, x.tape, held, first_us/1e6-x.start_ts AS nk, x.length-{R('p_dead_zone*length', 6)} AS dzs,
-   CASE WHEN held='down' THEN up_ask ELSE dn_ask END AS ask, CASE WHEN held='down' THEN ru ELSE rd END AS orig, CASE WHEN held='down' THEN up_token ELSE dn_token END AS tok,
-   floor((0.99e0-entry+1e-9)*100.0e0)/100.0e0 AS cap FROM x JOIN fl USING (config_id, cid) WHERE held IS NOT NULL AND ts_us>first_us AND mid_up IS NOT NULL),
-c1 AS (SELECT *, {_CP} AS prog FROM c0),
-c2 AS (SELECT *, CASE WHEN cap<=orig OR prog<=0 THEN {R('orig', 2)} WHEN prog>=1 THEN {R('cap', 2)} ELSE floor((orig+prog*(cap-orig)+1e-9)*100.0e0)/100.0e0 END AS ceil FROM c1),
-c3 AS (SELECT *, CASE WHEN ask IS NOT NULL THEN {R('least(ask,ceil)', 3)} END AS target FROM c2),
-c4 AS (SELECT *, greatest(orig, coalesce(max(target) OVER (PARTITION BY cid ORDER BY ts_us ROWS UNBOUNDED PRECEDING),orig)) AS level,
-  greatest(orig, coalesce(max(target) OVER (PARTITION BY cid ORDER BY ts_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),orig)) AS before FROM c3),
-c5 AS (SELECT *, level>before AS raised, (coalesce(len(list_filter(tape, lambda z: z.asset=tok AND abs(z.price-level)<=0.001e0+1e-6))>0,false)
-  OR coalesce(CASE WHEN level>before THEN ask<=level+1e-6 ELSE ask<=level-0.001e0+1e-6 END,false)) AS hit FROM c4)
-"""
-)
+    return O.chase_path(qt, cut(O.fills_of(qt, [CHASE]), "fills"), [CHASE])
+
+
+@query("window_outcomes_chased", outcomes_sql([CHASE]) + "SELECT * FROM outcomes")
+def window_outcomes_chased(spark, sf):
+    """Outcomes when the open leg is chased towards its ask under the pair ceiling."""
+    return O.outcomes(ticks(spark, sf), [CHASE])
 
 
 @query("leg_chase_path", _CHASE_SQL + "SELECT cid, ts_us, target, level, raised FROM c5")
