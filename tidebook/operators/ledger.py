@@ -27,12 +27,15 @@ def with_settle(fills: DataFrame, trades: DataFrame) -> DataFrame:
 
 
 def ratio_bucket(ratio: Column) -> Column:
-    r = finite(ratio)
-    out = F.lit(None).cast("string")
-    for name, lo, hi in reversed(BUCKETS):
-        cond = r >= lo if hi is None else (r >= lo) & (r < hi)
-        out = F.when(cond, name).otherwise(out)
-    return out
+    """Bucket name of a finite, non-negative ratio; bound once so the ratio is not re-derived per bucket."""
+    def name(r):
+        out = F.lit(None).cast("string")
+        for label, lo, hi in reversed(BUCKETS):
+            cond = r >= lo if hi is None else (r >= lo) & (r < hi)
+            out = F.when(cond, label).otherwise(out)
+        return F.when(~F.isnan(r) & (r < float("inf")), out)
+
+    return F.element_at(F.transform(F.array(ratio), name), 1)
 
 
 def fill_ratio_buckets(joined: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
