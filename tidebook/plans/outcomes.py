@@ -174,7 +174,8 @@ def fill_timeline(spark, sf):
 def _naked_path(spark, sf):
     """Ticks of naked spells (after the first fill, before the pair) with the adverse excursion."""
     qt = _qt(spark, sf)
-    f = O.fills_of(qt, [BASE])
+    # the path is scanned more than once downstream: write the small per-window fills first
+    f = cut(O.fills_of(qt, [BASE]), "fills")
     j = O.attach(qt.select("cid", "at", "ts_us", "line_no", "mid_up", "start_ts"), f.select("config_id", "cid", "first_at", "pair_at", "held", "held_up", "entry"), [BASE])
     j = j.filter(c("held").isNotNull() & (c("at") > c("first_at")) & F.coalesce(c("at") < c("pair_at"), F.lit(True)) & c("mid_up").isNotNull())
     return j.withColumns({"exc": O.excursion(), "el_ms": F.floor(c("ts_us") / 1000 - c("start_ts") * 1000)})
