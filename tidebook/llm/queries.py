@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidebook.llm import partenum
 from tidebook.llm import token_counts as tokens
 
 QUERIES: dict = {}
@@ -33,3 +34,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 @query("op1_token_counts")
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op5_ngram_jaccard_join")
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_join(table(spark, sf_dir, "documents"))
