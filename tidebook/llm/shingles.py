@@ -47,9 +47,9 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and the range of words of every text."""
-    inside = IS_WORD[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, members: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every run of member bytes, and the range of runs of every text."""
+    inside = members[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
@@ -59,18 +59,25 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial over lower-cased bytes; with them any span has its hash in a few steps."""
+    up, _ = _Powers.to(len(data))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_HASH[LOWER[data]] * up[: len(data)], dtype=np.uint64)])
+
+
+def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    _, down = _Powers.to(len(sums) - 1)
+    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word, from prefix sums of a polynomial over windows of bounded length."""
+    """A 64-bit hash of every word, over windows of bounded length."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         low = starts[at]
         to = max(at + 1, int(np.searchsorted(ends, low + WINDOW, "right")))
-        part = LOWER[data[low : ends[to - 1]]]
-        up, down = _Powers.to(len(part))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_HASH[part] * up[: len(part)], dtype=np.uint64)])
-        s, e = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        out[at:to] = span_hash(prefix_sums(data[low : ends[to - 1]]), starts[at:to] - low, ends[at:to] - low)
         at = to
     return out
 
