@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.session import cut
@@ -83,3 +83,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
         if moved.filter("label <> old").isEmpty():
             return moved.select("node", F.col("label").alias("component"))
         labels = moved.select("node", "label")
+
+
+def ranked(df: DataFrame, keys: list, rank: str, name: str = "ranked") -> DataFrame:
+    """``df`` with its 0-based position in the order of ``keys``, over all rows and without gaps.
+
+    Rows are dealt by range of all keys (so equal leading keys spread over tasks), sorted inside each part and
+    written; a part's rows are counted and the few counts summed up. ``keys`` should end in something nearly
+    unique; rows equal in all keys take neighbouring ranks in either order. Ranks come from the written rows,
+    so a lost task cannot change them.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), name)
+    low = F.lit((1 << 33) - 1)
+    dealt = dealt.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(low))
+    counts = dealt.groupBy("_part").count()
+    before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
+    return dealt.join(F.broadcast(before), "_part").withColumn(rank, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import partenum, quality, toxicity
+from tidebook.llm import hilbert, partenum, quality, toxicity
 from tidebook.llm import token_counts as tokens
 from tidebook.llm.common import crc_bucket
 
@@ -51,6 +51,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+@query("op8_hilbert_sharding")
+def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.shard(table(spark, sf_dir, "documents"))
+
+
 @query("op10_quality_classifier")
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
