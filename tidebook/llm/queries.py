@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import hilbert, mixing, partenum, pivots, quality, templates, toxicity
+from tidebook.llm import chat, hilbert, mixing, partenum, pivots, quality, templates, toxicity
 from tidebook.llm import token_counts as tokens
 from tidebook.llm.common import crc_bucket
 
@@ -46,6 +46,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
 
 
+@query("op3_chat_role_repair")
+def op3_chat_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 @query("op4_pfair_mixing")
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
