@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from tidebook.session import cut
 
 STRIDE, OVERLAP = 32_768, 1_024
-CACHE, CACHED_CHARS = 200_000, 48
-TOUCHING = re.compile(r"\s(?= )| (?=\s)")
+CACHE, JOINED = 400_000, 20_000
+TOUCHING = re.compile(r"[\s\x00-\x1f](?=[ \n])|[ \n](?=[\s\x00-\x1f])|\n\Z")
+PLAIN_END = re.compile(r"[0-9A-Za-zÀ-ÖØ-öø-ʯ]")
 BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -43,16 +45,40 @@ def load(path: str):
 class WordCounts:
     """Token counts of whole texts, remembering those of single words.
 
-    A single space between two other characters always starts a new pre-token and occurs in no added token, so
-    the text may be encoded in pieces cut before such spaces; equal pieces are encoded once.
+    A single space or line end between two other characters always starts a new pre-token and occurs in no
+    added token, so a text may be encoded in pieces cut before them; a full stop or comma that ends such
+    a piece behind a letter or digit is a pre-token of its own. Equal pieces are encoded once.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.known = load(path), {}
+        self.marks = dict(zip(".,", self.encode([".", ","]), strict=True))
 
     def encode(self, pieces: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def learn(self, words: list[str]) -> None:
+        """Counts of new words: many are encoded as one text and told apart by the tokens' offsets."""
+        known, marked, plain = self.known, [], []
+        for w in words:
+            if w[-1:] in self.marks and PLAIN_END.match(w, max(0, len(w) - 2)):
+                marked.append(w)
+                plain.append(w[:-1])
+            else:
+                plain.append(w)
+        plain = list(set(plain) - known.keys())
+        if "" in plain:
+            known[""] = self.encode([" "])[0]
+            plain.remove("")
+        for at in range(0, len(plain), JOINED):
+            part = plain[at : at + JOINED]
+            text = [w if w[0] == "\n" else f" {w}" for w in part]
+            starts = np.cumsum([0, *map(len, text)])
+            e = self.tokenizer.encode("".join(text), add_special_tokens=False)
+            tokens = np.fromiter((x for x, _ in e.offsets), np.int64, len(e))
+            known.update(zip(part, np.diff(np.searchsorted(tokens, starts)).tolist(), strict=True))
+        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in marked)
+
     def counts(self, texts: list[str]) -> list[int]:
         first, rest, odd = [], [], {}
         for i, text in enumerate(texts):
@@ -61,31 +87,19 @@ class WordCounts:
                 first.append("")
                 rest.append([])
             else:
-                head, *words = text.split(" ")
+                head, *words = text.replace("\n", " \n").split(" ")
                 first.append(head)
                 rest.append(words)
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        new = list(set().union(*rest) - known.keys())
-        fresh = dict(zip(new, self.encode([f" {w}" for w in new]), strict=True))
-        known.update((w, n) for w, n in fresh.items() if len(w) <= CACHED_CHARS)
-        known = _Chained(known, fresh) if any(len(w) > CACHED_CHARS for w in new) else known
+        self.learn(list(set().union(*rest) - known.keys()))
         total = [n + sum(map(known.__getitem__, words)) for n, words in zip(self.encode(first), rest, strict=True)]
         for i, pieces in odd.items():
             total[i] = sum(self.encode(pieces))
         return total
 
 
-class _Chained(dict):
-    def __init__(self, known: dict, fresh: dict):
-        super().__init__(fresh)
-        self.known = known
-
-    def __missing__(self, word: str) -> int:
-        return self.known[word]
-
-
 def _slabs(texts: list[str], limit: int = 4_000_000):
     """Index ranges of a batch with a bounded number of characters each."""
     start = held = 0
@@ -130,22 +144,39 @@ def cut_chunks(texts: DataFrame, stride: int, overlap: int) -> DataFrame:
     return texts.mapInPandas(run, "text_key string, chunk long, start long, stop long, last boolean, piece string")
 
 
+def bounded(words: WordCounts, piece: str, left: int, right: int) -> tuple[int, list[tuple[int, int]]]:
+    """Tokens of a chunk, and its boundaries (position, tokens before) in the first ``left`` and last ``right`` characters.
+
+    Only these edges are encoded with offsets; between them, cut before spaces, words are counted.
+    """
+    a = BETWEEN.search(piece, left)
+    near = max(0, len(piece) - right - 1024)
+    b = [m.start() for m in BETWEEN.finditer(piece, near, len(piece) - right)] if right else [len(piece)]
+    spans = [(0, a.start()), (b[-1], len(piece))] if a and b and a.start() < b[-1] else [(0, len(piece))]
+    bounds, before = [], 0
+    for i, (start, stop) in enumerate(spans):
+        if i:
+            before += words.counts([piece[spans[0][1] : start]])[0]
+        e = words.tokenizer.encode(piece[start:stop], add_special_tokens=False)
+        word, at = e.word_ids, e.offsets
+        bounds += [(start + at[j][0], before + j) for j in range(len(word)) if j == 0 or word[j] != word[j - 1]]
+        before += len(word)
+    return before, bounds
+
+
 def encode_chunks(chunks: DataFrame, overlap: int, path: str) -> DataFrame:
     """Token totals of chunks and the boundaries in both overlaps, as positions in the text with the tokens before each."""
     schema = "text_key string, chunk long, last boolean, n long, left_at array<long>, left_n array<long>, right_at array<long>, right_n array<long>"
 
     def run(batches):
-        tokenizer = load(path)
-        guard = max([2, *(len(t.content) for t in tokenizer.get_added_tokens_decoder().values())])
+        words = WordCounts(path)
+        guard = max([2, *(len(t.content) for t in words.tokenizer.get_added_tokens_decoder().values())])
         for batch in batches:
             for row in batch.itertuples():
-                e = tokenizer.encode(row.piece, add_special_tokens=False)
-                words, at = e.word_ids, e.offsets
-                starts = [j for j in range(len(words)) if j == 0 or words[j] != words[j - 1]]
-                bounds = [(row.start + at[j][0], j) for j in starts]
-                left = [b for b in bounds if b[0] < row.start + overlap] if row.chunk else []
-                right = [] if row.last else [b for b in bounds if row.stop - overlap <= b[0] <= row.stop - guard]
-                yield pd.DataFrame([(row.text_key, row.chunk, row.last, len(words), [p for p, _ in left], [k for _, k in left], [p for p, _ in right], [k for _, k in right])], columns=["text_key", "chunk", "last", "n", "left_at", "left_n", "right_at", "right_n"])
+                n, bounds = bounded(words, row.piece, overlap if row.chunk else 0, 0 if row.last else overlap)
+                left = [(row.start + p, k) for p, k in bounds if p < overlap] if row.chunk else []
+                right = [] if row.last else [(row.start + p, k) for p, k in bounds if row.stop - overlap <= row.start + p <= row.stop - guard]
+                yield pd.DataFrame([(row.text_key, row.chunk, row.last, n, *(list(x) for x in (zip(*left, strict=True) if left else ([], []))), *(list(x) for x in (zip(*right, strict=True) if right else ([], []))))], columns=["text_key", "chunk", "last", "n", "left_at", "left_n", "right_at", "right_n"])
 
     return chunks.mapInPandas(run, schema)
 
@@ -170,7 +201,7 @@ def count_long(texts: DataFrame, path: str, stride: int = STRIDE, overlap: int =
     while True:
         parts = texts.sparkSession.conf.get("spark.sql.shuffle.partitions")
         chunks = cut_chunks(texts, max(stride, overlap), overlap).repartition(int(parts), "text_key", "chunk")
-        spliced = cut(splice(encode_chunks(chunks, overlap, path)), "token-splices")
+        spliced = cut(splice(cut(encode_chunks(chunks, overlap, path), "token-chunks")), "token-splices")
         done = spliced if done is None else done.filter("n_tokens is not null").unionByName(spliced)
         open_keys = spliced.filter("n_tokens is null").select("text_key")
         if open_keys.isEmpty():
