@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import chat, hilbert, mixing, partenum, pivots, quality, templates, toxicity
+from tidebook.llm import chat, hilbert, mixing, partenum, pivots, quality, secrets, templates, toxicity
 from tidebook.llm import token_counts as tokens
 from tidebook.llm.common import crc_bucket
 
@@ -61,6 +61,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+@query("op6_secret_scan")
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op7_benchmark_decontamination")
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
