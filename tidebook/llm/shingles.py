@@ -94,7 +94,7 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
         words = word_hashes(part, starts, ends)
         runs = np.zeros(max(0, len(words) - width + 1), np.uint64)
         for j in range(width):
-            runs += words[j : len(words) - width + 1 + j] * np.uint64((BASE * (2 * j + 3)) % (1 << 64))
+            runs += words[j : j + len(runs)] * np.uint64((BASE * (2 * j + 3)) % (1 << 64))
         runs = mix64(runs)
         for a, b in zip(ranges[:-1], ranges[1:], strict=True):
             if b - a >= width:
