@@ -70,3 +70,12 @@ def test_grids():
         Quote(policy="wait")
     with pytest.raises(ValueError):
         Quote(lo=0.9, hi=0.1)
+
+
+def test_bootstrap_of_few_rows_and_clusters(spark):
+    few = spark.createDataFrame([(f"r{i}", float(v), f"c{i % 2}") for i, v in enumerate((1, 2, 6))], "id string, v double, k string")
+    r = ST.bootstrap_ci(few, "v", "id", 400).first()
+    assert r.n == 3 and r.lo is not None and r.hi is not None and r.lo <= r["mean"] <= r.hi
+    k = ST.cluster_bootstrap_ci(few, "v", "k", 400).first()
+    assert k.clusters == 2 and k.lo is not None and k.hi is not None and k.lo <= k.hi
+    assert ST.bootstrap_ci(few.limit(0), "v", "id", 50).first().n == 0

@@ -20,12 +20,13 @@ def safe_slug(slug: Column) -> Column:
     return F.regexp_replace(slug, r"[^A-Za-z0-9_\-]", "_")
 
 
-def epoch_seconds(ts: Column) -> Column:
-    return ts.cast("timestamp").cast("double")
+def sane_epoch(epoch: Column) -> Column:
+    """Epoch seconds that fit a timestamp; anything else is unknown, so one absurd stamp can't fail a job."""
+    return F.when(F.abs(epoch) < 1e11, epoch)
 
 
 def day_key(epoch: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd")
+    return F.date_format(F.timestamp_seconds(sane_epoch(epoch)), "yyyy-MM-dd")
 
 
 def iso_epoch(text: Column) -> Column:

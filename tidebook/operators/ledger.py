@@ -108,8 +108,11 @@ def cash_flow(activity: DataFrame, marker: Column, balance: float) -> DataFrame:
     return x.agg(F.count(F.lit(1)).alias("rows"), round_dp(F.sum(signed) / 1000.0, 3).alias("net_cash")).withColumn("opening_balance", round_dp(F.lit(balance) - c("net_cash"), 2))
 
 
-def timeline(trades: DataFrame, series: Sequence[str], opening: float) -> DataFrame:
-    """Portfolio value after every trade, with each market's running profit as a map."""
+def timeline(trades: DataFrame, opening: float, max_series: int = 1000) -> DataFrame:
+    """Portfolio value after every trade, with the running profit of each market found in the data as a map."""
+    series = [r.series for r in trades.select("series").distinct().orderBy("series").limit(max_series + 1).collect()]
+    if len(series) > max_series:
+        raise ValueError(f"more than {max_series} series")
     x = trades.withColumn("__all", F.lit(1))
     outs = [Running("total_pnl", "sum", c("pnl_usd")), Running("pairs", "count", F.when(c("action") == "PAIR_MERGE", 1)), Running("stops", "count", F.when(c("action").contains("STOP"), 1))]
     outs += [Running(f"m_{i}", "sum", F.when(c("series") == s, c("pnl_usd"))) for i, s in enumerate(series)]

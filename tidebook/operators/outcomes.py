@@ -11,36 +11,39 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, fields
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import book as B
 from ..functions.num import clamp, round_dp
+from ..functions.text import sane_epoch
 from ..session import cut
 from .agg import by_window
 from .scan import Running, running
 
 KEYS = ["config_id", "cid"]
-TIE_BITS = 26
+LINE_SPAN = Decimal(10**19)  # more than any line number
 
 
 def start_us() -> Column:
-    return F.floor(F.col("start_ts") * 1e6).cast("bigint")
+    return F.floor(sane_epoch(F.col("start_ts")) * 1e6).cast("bigint")
 
 
 def position() -> Column:
-    """Place of a tick in its window as one BIGINT: microseconds since the start, then arrival.
+    """Place of a tick in its window as one number: microseconds since the start, then its line number.
 
-    A fixed-width ordering key keeps ``min``/``min_by`` on hash aggregation. Samples of one window that share
-    a microsecond are ordered by the low bits of their line number.
+    A fixed-width decimal holds both whole, so no distance and no line number is too large, and it keeps
+    ``min``/``min_by`` on hash aggregation (a struct would force a sort of every tick).
     """
-    return (F.col("ts_us") - start_us()) * (1 << TIE_BITS) + F.col("line_no") % (1 << TIE_BITS)
+    offset = (F.col("ts_us") - start_us()).cast("decimal(18,0)")
+    return (offset * F.lit(LINE_SPAN) + F.col("line_no").cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def seconds(at: str) -> Column:
     """Epoch seconds of a position."""
-    return (F.col("start_us") + F.shiftright(F.col(at), TIE_BITS)) / 1e6
+    return (F.col("start_us") + F.floor(F.col(at) / F.lit(LINE_SPAN)).cast("bigint")) / 1e6
 
 
 def held_name(up: Column | None = None) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import e, factorial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.num import round_dp
 from .scan import Running, running
 
-# Cumulative Poisson(1) probabilities.
-POISSON_CDF = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+# cumulative Poisson(1) probabilities, as far as a double tells them from 1
+POISSON_CDF = tuple(round(sum(1 / factorial(j) for j in range(k + 1)) / e, 15) for k in range(17))
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -38,13 +39,14 @@ def bootstrap_means(df: DataFrame, value: str, row_id: str, n_boot: int, seed: i
 
 
 def bootstrap_ci(df: DataFrame, value: str, row_id: str, n_boot: int = 3000, seed: int = 7, weight: str | None = None) -> DataFrame:
-    """One row: n, mean and the percentile interval at indexes int(.025B) and int(.975B)-1."""
+    """One row: n, mean and the percentile interval at indexes int(.025B) and int(.975B)-1 of the B replicates that drew anything."""
     means = bootstrap_means(df, value, row_id, n_boot, seed, weight)
-    r = means.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("mean")) - 1)
-    lo_i, hi_i = int(0.025 * n_boot), min(n_boot - 1, int(0.975 * n_boot) - 1)
+    one_group = Window.partitionBy(F.lit(1))  # at most n_boot rows
+    r = means.withColumns({"r": F.row_number().over(one_group.orderBy("mean")) - 1, "kept": F.count(F.lit(1)).over(one_group)})
+    lo_i, hi_i = F.floor(F.col("kept") * 0.025), F.greatest(F.floor(F.col("kept") * 0.975) - 1, F.lit(0))
     q = r.agg(F.max(F.when(F.col("r") == lo_i, F.col("mean"))).alias("lo"), F.max(F.when(F.col("r") == hi_i, F.col("mean"))).alias("hi"))
     m = F.col(weight) if weight else F.lit(1)
-    base = df.agg(F.sum(m).alias("n"), (F.sum(F.col(value) * m) / F.sum(m)).alias("mean"))
+    base = df.agg(F.coalesce(F.sum(m), F.lit(0)).cast("bigint").alias("n"), F.try_divide(F.sum(F.col(value) * m), F.sum(m)).alias("mean"))
     one = base.withColumn("k", F.lit(1)).join(q.withColumn("k", F.lit(1)), "k")
     point = F.col("n") == 1
     return one.select(

@@ -45,7 +45,7 @@ def parsed_lines(spark, sf):
 
 
 def valid_ticks(parsed):
-    wire = parsed.filter(c("state") == "valid").select("file_day", c("line_at").alias("line_no"), "tick.*")
+    wire = parsed.filter(c("state") == "valid").select("file_day", "line_no", "tick.*")
     return wire.select("file_day", "line_no", *S.silver_columns())
 
 

@@ -123,7 +123,7 @@ _RUN = "OVER (ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING)"
     + ", ".join(R(f"sum(pnl_usd) FILTER (WHERE series='{s}') {_RUN}", 2) + f" AS pnl_{s}" for s in SERIES) + " FROM trades",
 )
 def ledger_timeline(spark, sf):
-    t = L.timeline(FD.trades(ticks(spark, sf)), SERIES, 5000.0)
+    t = L.timeline(FD.trades(ticks(spark, sf)), 5000.0)
     return t.select("event_id", "series", "total_pnl", "portfolio_value", "pairs", "stops", *[c("market_pnl")[s].alias(f"pnl_{s}") for s in SERIES])
 
 
@@ -178,11 +178,11 @@ def open_position_marks(spark, sf):
     return legs.select("cid", "leg", F.lit(size).alias("size"), "entry", "mark", round_dp(size * c("entry"), 4).alias("initial_value"), round_dp(size * c("mark"), 4).alias("current_value"), round_dp(size * c("mark") - size * c("entry"), 4).alias("unrealised"))
 
 
-@query("order_rows_rank", FT + """ SELECT event_id, market_slug FROM (SELECT *, CASE action WHEN 'EXPIRED' THEN 3 WHEN 'TAKE_PROFIT' THEN 2 WHEN 'STOP_EXIT' THEN 1 ELSE 0 END AS r FROM trades) ORDER BY r, series, event_id LIMIT 50""")
+@query("order_rows_rank", FT + """ SELECT event_id, market_slug FROM (SELECT *, CASE action WHEN 'EXPIRED' THEN 3 WHEN 'TAKE_PROFIT' THEN 2 WHEN 'STOP_EXIT' THEN 1 ELSE 0 END AS r FROM trades)""")
 def order_rows_rank(spark, sf):
-    """Display order: status rank, series, id; a distributed top-n rather than a full sort."""
+    """Display order of all rows: status rank, series, id."""
     rank = F.when(c("action") == "EXPIRED", 3).when(c("action") == "TAKE_PROFIT", 2).when(c("action") == "STOP_EXIT", 1).otherwise(0)
-    return FD.trades(ticks(spark, sf)).orderBy(rank, "series", "event_id").limit(50).select("event_id", "market_slug")
+    return FD.trades(ticks(spark, sf)).orderBy(rank, "series", "event_id").select("event_id", "market_slug")
 
 
 @query("preferred_dataset", T + """, fs AS (SELECT day, count(DISTINCT cid) AS windows, count(*) AS n, count(*) FILTER (WHERE err IS NOT NULL) AS errs FROM ticks GROUP BY 1)

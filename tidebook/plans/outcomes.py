@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import book as B
@@ -38,6 +40,18 @@ def window_outcomes(spark, sf):
     return O.outcomes(ticks(spark, sf), [BASE])
 
 
+# the same rules over the ticks that the day files hold as valid lines
+_FILED = T.rstrip() + ", filed AS (SELECT * FROM ticks WHERE event_id%173<>0 AND event_id%179<>0)\n" + re.sub(r"\bticks\b", "filed", BASE_SQL.removeprefix(T))
+
+
+@query("outcomes_from_files", _FILED + "SELECT * EXCLUDE (first_seq) FROM outcomes")
+def outcomes_from_files(spark, sf):
+    """Recorded JSON lines to outcomes: read, flatten, replay."""
+    from .bronze import silver
+
+    return O.outcomes(silver(spark, sf), [BASE]).drop("first_seq")
+
+
 @query("window_outcomes_variant", outcomes_sql([SWEEP_VARIANT]) + "SELECT * FROM outcomes")
 def window_outcomes_variant(spark, sf):
     """Hold policy, entry delay, queue gate and touch gate switched on."""

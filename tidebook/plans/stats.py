@@ -18,7 +18,7 @@ from .results import GRID_SQL, sweep_outcomes
 from .sqltext import R, T, day_of
 
 c = F.col
-N_BOOT, PERMS = 400, 100
+N_BOOT, PERMS = 3000, 2000
 
 
 def _u(*parts):
@@ -29,7 +29,8 @@ _PW = "(" + "+".join(f"CASE WHEN u>={p!r}e0 THEN 1 ELSE 0 END" for p in ST.POISS
 
 
 def _boot(src: str, value: str, ident: str, seed: int, weight: str = "1") -> str:
-    lo, hi = int(0.025 * N_BOOT), min(N_BOOT - 1, int(0.975 * N_BOOT) - 1)
+    kept = "(SELECT count(*) FROM br)"
+    lo, hi = f"floor({kept}*0.025e0)", f"greatest(floor({kept}*0.975e0)-1, 0)"
     return f""", bx AS (SELECT b, {value} AS v, {weight} AS m, {_u(f"'{seed}'", 'CAST(b AS VARCHAR)', ident)} AS u FROM {src}, range(0,{N_BOOT}) r(b)),
 bm AS (SELECT b, sum(v*w)/sum(w) AS mean FROM (SELECT b, v, {_PW}*m AS w FROM bx) GROUP BY 1 HAVING sum(w)>0),
 br AS (SELECT mean, row_number() OVER (ORDER BY mean)-1 AS r FROM bm),
@@ -54,13 +55,18 @@ def cluster_bootstrap(spark, sf):
     return ST.cluster_bootstrap_ci(_net(spark, sf), "net", "day", N_BOOT, 8)
 
 
-@query("stable_seed")
+# crc32 byte by byte in integers: eight halvings of each byte's remainder
+_HALVE = "list_reduce([xor(acc & 255, b)] || [0,0,0,0,0,0,0,0], lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)"
+_CRC = f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(cid, ''), lambda ch: ascii(ch)::BIGINT), lambda acc, b: xor(acc >> 8, {_HALVE})), 4294967295)"
+
+
+@query("stable_seed", T + f" SELECT cid, {_CRC} & 65535 AS seed FROM (SELECT DISTINCT cid FROM ticks)")
 def stable_seed(spark, sf):
     """16-bit seeds of every window name (checked against zlib in the tests)."""
     return ticks(spark, sf).select("cid").distinct().select("cid", X.stable_seed(c("cid")).alias("seed"))
 
 
-_PERM = GRID_SQL + f""", ob AS (SELECT config_id, cid, pnl-fees AS net, held, winner, kind='settle' AND winner IS NOT NULL AS leg FROM outcomes WHERE config_id LIKE 'offset=%' OR config_id LIKE 'policy=%'),
+_PERM = GRID_SQL + f""", ob AS (SELECT config_id, cid, pnl-fees AS net, held, winner, kind='settle' AND winner IS NOT NULL AS leg FROM outcomes),
 lb AS (SELECT cid, any_value(winner) AS winner FROM ob WHERE leg GROUP BY 1),
 fx AS (SELECT cid, row_number() OVER (ORDER BY md5(cid), cid) AS pos FROM lb),
 pm AS (SELECT p AS perm, winner, row_number() OVER (PARTITION BY p ORDER BY md5('11|'||CAST(p AS VARCHAR)||'|'||cid), cid) AS pos FROM lb, range(0,{PERMS}) r(p)),
@@ -78,7 +84,7 @@ SELECT b.k AS best_config, b.o AS best_observed, (SELECT count(*) FROM fx) AS se
 @query("permutation_null", _PERM)
 def permutation_null(spark, sf):
     """Best-of-grid under shuffled settlements: a wrong-way flip moves a leg by exactly 100 cents."""
-    o = sweep_outcomes(spark, sf).filter(c("config_id").startswith("offset=") | c("config_id").startswith("policy="))
+    o = sweep_outcomes(spark, sf)
     o = o.select("config_id", "cid", (c("pnl") - c("fees")).alias("net"), "held", "winner", ((c("kind") == "settle") & c("winner").isNotNull()).alias("leg"))
     legs = o.filter("leg")
     labels = legs.groupBy("cid").agg(F.first("winner").alias("w"))

@@ -32,7 +32,7 @@ def tick_stream_counts(spark, sf):
     "SELECT cid, series, snaps, start_mid, close_mid, class FROM cw, wm WHERE e*1000000 <= w AND class<>'no_data'",
 )
 def window_close(spark, sf):
-    return drain(J.window_close(tick_stream(spark, sf)), "closed").drop("end_at")
+    return drain(J.window_close(tick_stream(spark, sf)), "closed").drop("end_at", "reopened")
 
 
 @query("trade_buffer", WM + f""", tb AS (SELECT p.asset AS token, ts_us//3600000000 AS h, count(*) AS n, {R('sum(p.size)', 4)} AS size FROM (SELECT ts_us, unnest(tape) AS p FROM ticks) GROUP BY 1,2)

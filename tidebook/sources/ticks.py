@@ -14,7 +14,6 @@ from ..schema import CORRUPT, wire_tick
 
 DAY_FILES = "ticks_*.jsonl*"
 DAY_PATTERN = r"(\d{4}-\d{2}-\d{2})"
-SUFFIXES = (".jsonl", ".jsonl.gz", ".json", ".json.gz", ".txt", ".txt.gz")
 
 
 def _check(paths) -> list[str]:
@@ -30,18 +29,26 @@ def read_ticks(spark: SparkSession, paths: str | Sequence[str], glob: str | None
     if glob:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
     df = reader.json(_check(paths))
-    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return numbered(df).filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Rows of line files with ``file`` and ``line_no``, a BIGINT that grows with the file's place in path order, then line by line.
+
+    A line's number is its split's byte offset plus its row in the task (a task holds one full split, or the ends of
+    several files), so it grows along a file however the file is split; the file's place fills the bits above 2**40.
+    """
+    spark = df.sparkSession
+    places = spark.createDataFrame([(f, i << 40) for i, f in enumerate(sorted(df.inputFiles()))], "file string, __place long")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    df = df.select("*", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + row).alias("__row"))
+    return df.join(places, "file", "left").withColumn("line_no", F.coalesce("__place", F.lit(0)) + F.col("__row")).drop("__place", "__row")
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Every physical line with its file, day and an order key; nothing is dropped."""
     df = spark.read.option("recursiveFileLookup", "true").text(_check(paths))
-    return df.select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i")).alias("line_at"),
-        F.regexp_extract(F.col("_metadata.file_path"), DAY_PATTERN, 1).alias("file_day"),
-    )
+    return numbered(df).select("value", "file", "line_no", F.regexp_extract("file", DAY_PATTERN, 1).alias("file_day"))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -74,9 +81,10 @@ def silver_columns() -> list[Column]:
     """Flat quote columns, sorted ladders, token fallbacks; NaN and infinities become NULL."""
     c = F.col
     books = {"up": "up_book", "dn": "down_book"}
+    ts, start = X.sane_epoch(c("ts")), X.sane_epoch(c("start_ts"))
     out = {
-        "ts_us": F.floor(c("ts") * 1e6 + 0.5).cast("bigint"),
-        "el_ms": F.floor((F.floor(c("ts") * 1e6 + 0.5) - c("start_ts") * 1e6) / 1000).cast("bigint"),
+        "ts_us": F.floor(ts * 1e6 + 0.5).cast("bigint"),
+        "el_ms": F.floor((F.floor(ts * 1e6 + 0.5) - start * 1e6) / 1000).cast("bigint"),
         "day": X.day_key(c("start_ts")),
         "up_token": F.coalesce(c("up_token"), c("up_book.token_id")),
         "dn_token": F.coalesce(c("down_token"), c("down_book.token_id")),
@@ -94,7 +102,8 @@ def silver_columns() -> list[Column]:
 
 
 def to_silver(wire: DataFrame) -> DataFrame:
-    return wire.select(*silver_columns())
+    """Flat ticks; ``file`` and ``line_no`` stay where the reader gave them."""
+    return wire.select(*[x for x in ("file", "line_no") if x in wire.columns], *silver_columns())
 
 
 def _as_map(levels: Column) -> Column:

@@ -15,19 +15,11 @@ DELAY = "10 minutes"
 
 
 def window_close(ticks: DataFrame, source: str = "recorded") -> DataFrame:
-    """One record per window once the watermark passes its end; windows without a mid are not recorded."""
-    parts = []
-    for duration, width in ((43200, "12 hours"), (86400, "24 hours")):
-        t = ticks.filter(c("duration") == duration).withColumn("m", W.mid_column(source)).withWatermark("at", DELAY)
-        seen = F.when(c("m").isNotNull(), c("line_no"))
-        parts.append(
-            t.groupBy("cid", "series", F.window("at", width)).agg(
-                F.count(F.lit(1)).alias("snaps"), F.min_by("m", seen).alias("f"), F.max_by("m", seen).alias("l"), F.min("m").alias("mn"), F.max("m").alias("mx")
-            )
-        )
-    w = parts[0].unionByName(parts[1])
+    """One record per window once the watermark passes its own end; windows without a mid are not recorded."""
+    t = ticks.withColumn("m", W.mid_column(source)).withWatermark("at", DELAY).select("cid", "series", "end_ts", "line_no", "m", "at")
+    w = t.groupBy("cid", "series").transformWithStateInPandas(P.WindowProcessor(), outputStructType=P.WindowProcessor.OUT, outputMode="Append", timeMode="EventTime")
     return w.select(
-        "cid", "series", c("window.end").alias("end_at"), "snaps", round_dp(c("f"), 4).alias("start_mid"), round_dp(c("l"), 4).alias("close_mid"), B.classify_path(c("mx"), c("mn")).alias("class")
+        "cid", "series", F.timestamp_seconds("end_ts").alias("end_at"), "snaps", round_dp(c("f"), 4).alias("start_mid"), round_dp(c("l"), 4).alias("close_mid"), B.classify_path(c("mx"), c("mn")).alias("class"), "reopened"
     ).filter(c("class") != "no_data")
 
 

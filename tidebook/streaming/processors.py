@@ -88,6 +88,51 @@ class BookProcessor(StatefulProcessor):
         pass
 
 
+class WindowProcessor(StatefulProcessor):
+    """One record per window once event time passes the window's own end, whatever its length.
+
+    Ticks that come after that open the window anew and are filed as ``reopened``.
+    """
+
+    OUT = "cid string, series string, end_ts double, snaps bigint, f double, l double, mn double, mx double, reopened boolean"
+    NAMES = [c.split()[0] for c in OUT.split(", ")]
+
+    def init(self, handle):
+        self.handle = handle
+        self.state = handle.getValueState("window", "end_ts double, snaps bigint, first_no bigint, f double, last_no bigint, l double, mn double, mx double, reopened boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        end, snaps, first_no, f, last_no, l, mn, mx, again = self.state.get() if self.state.exists() else (None, 0, None, None, None, None, None, None, None)  # noqa: E741
+        for part in rows:
+            snaps += len(part)
+            top = float(part["end_ts"].max())
+            end = top if end is None else max(end, top)
+            seen = part[part["m"].notna()]
+            if len(seen):
+                a, b = seen.loc[seen["line_no"].idxmin()], seen.loc[seen["line_no"].idxmax()]
+                if first_no is None or a["line_no"] < first_no:
+                    first_no, f = int(a["line_no"]), float(a["m"])
+                if last_no is None or b["line_no"] > last_no:
+                    last_no, l = int(b["line_no"]), float(b["m"])  # noqa: E741
+                low, high = float(seen["m"].min()), float(seen["m"].max())
+                mn, mx = (low, high) if mn is None else (min(mn, low), max(mx, high))
+        if again is None:
+            again = timerValues.getCurrentWatermarkInMs() > end * 1000
+        self.state.update((end, snaps, first_no, f, last_no, l, mn, mx, bool(again)))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(-(-end * 1000 // 1)))
+        yield pd.DataFrame([], columns=self.NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        end, snaps, _, f, _, l, mn, mx, again = self.state.get()  # noqa: E741
+        self.state.clear()
+        yield pd.DataFrame([(key[0], key[1], end, snaps, f, l, mn, mx, again)], columns=self.NAMES)
+
+    def close(self) -> None:
+        pass
+
+
 class AuthorityProcessor(StatefulProcessor):
     """A feed leg is trusted once warmed up and while it keeps printing; a reconnect starts over."""
 
