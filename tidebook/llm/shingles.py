@@ -11,7 +11,7 @@ import pyarrow as pa
 
 from tidebook.llm.common import WHITESPACE, mix64
 
-WINDOW = 4_000_000
+WINDOW = 1_000_000
 BASE = 0x9E3779B97F4A7C15
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -20,22 +20,29 @@ IS_WORD[list(WHITESPACE)] = False
 BYTE_HASH = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(BASE))
 
 
-class _Powers:
-    """Powers of an odd number modulo 2**64 and of its inverse, as long as the longest window needs."""
+class Powers:
+    """Powers of an odd number modulo 2**64 and of its inverse, as long as the longest window needs.
 
-    size = 0
-    up = down = np.ones(1, np.uint64)
+    They are kept for the process; a pickled task function carries an empty one.
+    """
 
-    @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > cls.size:
-            cls.size = max(n, 1 << 16)
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __reduce__(self):
+        return Powers, ()
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
             base, inverse = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
-            steps = np.full(cls.size, base, np.uint64), np.full(cls.size, inverse, np.uint64)
+            steps = [np.full(max(n, 1 << 16), x, np.uint64) for x in (base, inverse)]
             for s in steps:
                 s[0] = 1
-            cls.up, cls.down = (np.cumprod(s, dtype=np.uint64) for s in steps)
-        return cls.up, cls.down
+            self.up, self.down = (np.cumprod(s, dtype=np.uint64) for s in steps)
+        return self.up, self.down
+
+
+POWERS = Powers()
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,12 +68,12 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, members: np.ndarray = IS_W
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial over lower-cased bytes; with them any span has its hash in a few steps."""
-    up, _ = _Powers.to(len(data))
+    up, _ = POWERS.to(len(data))
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_HASH[LOWER[data]] * up[: len(data)], dtype=np.uint64)])
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    _, down = _Powers.to(len(sums) - 1)
+    _, down = POWERS.to(len(sums) - 1)
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
