@@ -218,10 +218,6 @@ def settlement_proxy(m: Column) -> Column:
     return F.when(d > 5000 + band, F.lit("up")).when(d < 5000 - band, F.lit("down"))
 
 
-def winner_by_mid(m: Column) -> Column:
-    return F.when(m > 0.5, F.lit("up")).when(m < 0.5, F.lit("down"))
-
-
 def redemption_winner(held_side: Column, held_mid: Column, other_mid: Column) -> Column:
     """Winning side from the held leg's own mid, else one minus the other leg's; exactly even abstains."""
     p = F.coalesce(held_mid, 1.0 - other_mid)
@@ -255,10 +251,6 @@ def spot_diff_pct(a: Column, r: Column) -> Column:
     return F.when(r != 0, round_dp((a - r) / r * 100.0, 4))
 
 
-def age_between(later: Column, earlier: Column) -> Column:
-    return finite(later) - finite(earlier)
-
-
 def fill_ratio(printed: Column, queue: Column) -> Column:
     return F.when(queue.isNotNull(), printed / F.greatest(queue, F.lit(1.0)))
 

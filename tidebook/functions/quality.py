@@ -24,43 +24,43 @@ def _per_level(levels: Column, side: str, label: str) -> Column:
     """One issue per bad level: price outside [0,1] or unparseable, size not positive."""
     price = F.transform(
         levels,
-        lambda x: F.when(x["price"].isNull(), F.lit(f"{label}: unparseable {side} price"))
-        .when((x["price"] < 0) | (x["price"] > 1), F.lit(f"{label}: {side} price out of bounds")),
+        lambda x: F.when(x["price"].isNull(), F.lit(f"{label}.{side}.price_text"))
+        .when((x["price"] < 0) | (x["price"] > 1), F.lit(f"{label}.{side}.price_range")),
     )
     size = F.transform(
         levels,
-        lambda x: F.when(x["price"].isNotNull() & F.coalesce(x["size"] <= 0, F.lit(True)), F.lit(f"{label}: {side} size not positive")),
+        lambda x: F.when(x["price"].isNotNull() & F.coalesce(x["size"] <= 0, F.lit(True)), F.lit(f"{label}.{side}.size")),
     )
-    return F.coalesce(F.concat(price, size), F.array(F.lit(f"{label}: {side}s is not a dict")))
+    return F.coalesce(F.concat(price, size), F.array(F.lit(f"{label}.{side}.ladder")))
 
 
 def book_issues(label: str, bid: Column, ask: Column, bids: Column, asks: Column) -> Column:
     scalars = F.array(
-        _flag((bid < 0) | (bid > 1), f"{label}: best_bid out of bounds"),
-        _flag((ask < 0) | (ask > 1), f"{label}: best_ask out of bounds"),
-        _flag(bid >= ask, f"{label}: crossed book"),
+        _flag((bid < 0) | (bid > 1), f"{label}.best_bid.range"),
+        _flag((ask < 0) | (ask > 1), f"{label}.best_ask.range"),
+        _flag(bid >= ask, f"{label}.crossed"),
     )
     return F.concat(_per_level(bids, "bid", label), _per_level(asks, "ask", label), scalars)
 
 
 def tick_issues(required: dict[str, Column]) -> Column:
-    """Issue strings of one silver tick; an empty array is a clean tick."""
+    """Issue codes of one silver tick; an empty array is a clean tick."""
     c = F.col
-    missing = [_flag(v.isNull(), f"missing or null required field: '{k}'") for k, v in required.items()]
+    missing = [_flag(v.isNull(), f"absent.{k}") for k, v in required.items()]
     scalars = F.array(
         *missing,
-        _flag(F.coalesce(c("ts") <= 0, F.lit(True)), "invalid timestamp"),
-        _flag(c("start_ts") > c("end_ts"), "start_ts > end_ts"),
-        _flag((c("mid") < MID_LO) | (c("mid") > MID_HI), "mid price out of bounds"),
-        _flag((c("touch_pair") < TOUCH_LO) | (c("touch_pair") > TOUCH_HI), "touch_pair out of sane bounds"),
+        _flag(F.coalesce(c("ts") <= 0, F.lit(True)), "ts.value"),
+        _flag(c("start_ts") > c("end_ts"), "window.order"),
+        _flag((c("mid") < MID_LO) | (c("mid") > MID_HI), "mid.range"),
+        _flag((c("touch_pair") < TOUCH_LO) | (c("touch_pair") > TOUCH_HI), "touch_pair.range"),
     )
     tape = F.coalesce(
         F.flatten(
             F.transform(
                 c("tape"),
                 lambda x: F.array(
-                    _flag((x["price"] < 0) | (x["price"] > 1), "tape_delta: price out of bounds"),
-                    _flag(x["size"] <= 0, "tape_delta: size not positive"),
+                    _flag((x["price"] < 0) | (x["price"] > 1), "tape.price"),
+                    _flag(x["size"] <= 0, "tape.size"),
                 ),
             )
         ),
@@ -68,8 +68,8 @@ def tick_issues(required: dict[str, Column]) -> Column:
     )
     every = F.concat(
         scalars,
-        book_issues("up_book", c("up_bid"), c("up_ask"), c("up_bids"), c("up_asks")),
-        book_issues("down_book", c("dn_bid"), c("dn_ask"), c("dn_bids"), c("dn_asks")),
+        book_issues("up", c("up_bid"), c("up_ask"), c("up_bids"), c("up_asks")),
+        book_issues("down", c("dn_bid"), c("dn_ask"), c("dn_bids"), c("dn_asks")),
         tape,
     )
     return F.filter(every, lambda x: x.isNotNull())

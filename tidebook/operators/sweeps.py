@@ -96,31 +96,34 @@ def chrono_split(windows: DataFrame, holdout: float) -> DataFrame:
     return windows.withColumn("__k", F.lit(1)).join(F.broadcast(b), "__k").withColumn("part", label).drop("__k", "boundary")
 
 
-def coordinate_descent(ticks: DataFrame, base: Quote, axes: Mapping[str, Sequence], max_passes: int = 5, min_filled: int = R.MIN_FILLED, size: int = R.MIN_SIZE) -> tuple[Quote, list[dict]]:
-    """Best-improvement descent. Only config-level metric rows (at most the grid size) reach the driver."""
-
-    def score(grid):
-        rows = run_sweep(ticks, grid, size).select("config_id", "total_pnl", "filled_windows").collect()
-        return {r.config_id: r for r in rows}
-
-    first = score([replace(base, config_id="Baseline")])["Baseline"]
-    best, best_score = base, first.total_pnl if first.filled_windows >= min_filled else float("-inf")
-    seen, history = {base.key()}, [{"pass_no": 0, "accepted": "Baseline", "total_pnl": first.total_pnl, "filled_windows": first.filled_windows, "gate_rejected": 0}]
-    for pass_no in range(1, max_passes + 1):
-        fresh = [q for q in deduplicate(ofat(best, axes)) if q.key() not in seen]
-        seen.update(q.key() for q in fresh)
-        if not fresh:
+def named(q: Quote, base: Quote, axes: Iterable[str]) -> str:
+    """A configuration by where it departs from the base."""
+    parts = [f"{a}={getattr(q, a)}" for a in axes if getattr(q, a) != getattr(base, a)]
+    return ",".join(parts) or "base"
+
+
+def descend(ticks: DataFrame, base: Quote, axes: Mapping[str, Sequence], rounds: int = 5, min_filled: int = R.MIN_FILLED, size: int = R.MIN_SIZE) -> DataFrame:
+    """Search from ``base`` by single-axis moves; a row per configuration tried: round, config, metrics, admitted.
+
+    The trials are one growing table. Each round sweeps the untried neighbours of the leader in one job and appends
+    their metrics; the leader is the table's best admitted row (the base until one is admitted), picked by a top-1
+    query. The search ends when a round brings no new leader or no new neighbour.
+    """
+    trials, known = None, {}
+    leader, fresh = "base", {"base": base}
+    for turn in range(rounds + 1):
+        known |= fresh
+        grid = [replace(q, config_id=name) for name, q in fresh.items()]
+        admitted = F.col("filled_windows") >= min_filled
+        swept = run_sweep(ticks, grid, size).select(F.lit(turn).alias("round"), F.col("config_id").alias("config"), "total_pnl", "filled_windows", admitted.alias("admitted"))
+        trials = cut(swept if trials is None else trials.unionByName(swept), "trials")
+        best = trials.filter("admitted").orderBy(F.desc("total_pnl"), "config").select("config").first()
+        ahead = best.config if best else "base"
+        if turn and ahead == leader:
             break
-        got = score(fresh)
-        passing = [q for q in fresh if q.config_id in got and got[q.config_id].filled_windows >= min_filled]
-        top = max(passing, key=lambda q: (got[q.config_id].total_pnl, q.config_id), default=None)
-        improved = top is not None and got[top.config_id].total_pnl > best_score
-        if improved:
-            best, best_score = top, got[top.config_id].total_pnl
-        history.append(
-            {"pass_no": pass_no, "accepted": top.config_id if improved else None, "total_pnl": best_score,
-             "filled_windows": got[top.config_id].filled_windows if improved else history[-1]["filled_windows"], "gate_rejected": len(fresh) - len(passing)}
-        )
-        if not improved:
+        leader = ahead
+        moves = [replace(known[leader], **{axis: v}) for axis, values in axes.items() for v in values]
+        fresh = {name: q for q in moves if (name := named(q, base, axes)) not in known}
+        if not fresh:
             break
-    return best, history
+    return trials

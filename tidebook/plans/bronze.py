@@ -120,7 +120,7 @@ def _report(spark, sf):
     return Q.file_status(Q.file_report(p, valid_ticks(p), GATES))
 
 
-_REP = CONT_SQL.replace("ts_us-lag(ts_us)", "ts_us-lag(ts_us)").replace("FROM ticks)\n", f"FROM ticks WHERE {_OK})\n", 1) + f""",
+_REP = CONT_SQL.replace("FROM ticks)\n", f"FROM ticks WHERE {_OK})\n", 1) + f""",
 ln AS (SELECT {day_of('ts')} AS file_day, count(*) AS raw_lines, count(*) FILTER (WHERE event_id%173=0) AS empty_lines, count(*) FILTER (WHERE event_id%179=0 AND event_id%173<>0) AS corrupt_lines FROM ticks GROUP BY 1),
 tc AS (SELECT {day_of('ts')} AS file_day, count(*) AS valid_ticks, CAST(sum((CASE WHEN mid<-0.01 OR mid>1.01 THEN 1 ELSE 0 END)+(CASE WHEN touch_pair<0.5 OR touch_pair>1.5 THEN 1 ELSE 0 END)+(CASE WHEN up_bid>=up_ask THEN 1 ELSE 0 END)
   +(CASE WHEN dn_bid>=dn_ask THEN 1 ELSE 0 END)+len(list_filter(tape, lambda z: z.size<=0))) AS BIGINT) AS schema_errors, CAST(sum((CASE WHEN up_bid>=up_ask THEN 1 ELSE 0 END)+(CASE WHEN dn_bid>=dn_ask THEN 1 ELSE 0 END)) AS BIGINT) AS crossed_books,
@@ -137,17 +137,17 @@ def file_verify(spark, sf):
     return _report(spark, sf).select(*[x.strip() for x in _COLS.split(",")])
 
 
-_REASON = "CASE WHEN {0}>0 THEN CAST({0} AS VARCHAR)||' {1}' END"
+_REASON = "CASE WHEN {0}>0 THEN '{1}='||CAST({0} AS VARCHAR) END"
 
 
 def _reasons(pairs):
     return "array_to_string(list_filter([" + ", ".join(_REASON.format(a, b) for a, b in pairs) + "], lambda z: z IS NOT NULL), '; ')"
 
 
-_STATUS_SQL = _REP + """, st AS (SELECT *, CASE status WHEN 'PASS' THEN 'COMPLETE CAPTURE' WHEN 'WARN' THEN 'PARTIAL CAPTURE' ELSE 'CORRUPTED DATA' END AS label, CASE status WHEN 'PASS' THEN '' WHEN 'WARN' THEN W ELSE F END AS reasons FROM rep)
+_STATUS_SQL = _REP + """, st AS (SELECT *, CASE status WHEN 'PASS' THEN 'complete' WHEN 'WARN' THEN 'partial' ELSE 'broken' END AS label, CASE status WHEN 'PASS' THEN '' WHEN 'WARN' THEN W ELSE F END AS reasons FROM rep)
 """.replace(
-    " W ", " " + _reasons([("schema_errors", "schema issues"), ("sampling_gaps", "timestamp gaps"), ("collector_errors", "collector errors"), ("late_starts", "late starts"), ("early_cutoffs", "early cutoffs"), ("time_reversals", "time reversals")]) + " "
-).replace(" F END", " " + _reasons([("corrupt_lines", "corrupt rows"), ("schema_errors", "schema issues")]) + " END")
+    " W ", " " + _reasons([("schema_errors", "schema"), ("sampling_gaps", "gaps"), ("collector_errors", "collector"), ("late_starts", "late"), ("early_cutoffs", "early"), ("time_reversals", "reversals")]) + " "
+).replace(" F END", " " + _reasons([("corrupt_lines", "corrupt"), ("schema_errors", "schema")]) + " END")
 
 
 @query("file_status", _STATUS_SQL + "SELECT file_day, status, label, reasons FROM st")
@@ -163,7 +163,7 @@ def dir_rollup(spark, sf):
     return Q.dir_rollup(_report(spark, sf), _SUMS)
 
 
-@query("day_gates", _STATUS_SQL + "SELECT file_day, status='PASS' AS accepted, CASE WHEN status<>'PASS' THEN 'integrity status '||status END AS reason FROM st")
+@query("day_gates", _STATUS_SQL + "SELECT file_day, status='PASS' AS accepted, CASE WHEN status<>'PASS' THEN 'status='||status END AS reason FROM st")
 def day_gates(spark, sf):
     return Q.day_gates(_report(spark, sf)).select("file_day", "accepted", "reason")
 

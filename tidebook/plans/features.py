@@ -145,7 +145,7 @@ def tick_quality(spark, sf):
     t = ticks(spark, sf).withColumn("issues", tick_issues(silver_required()))
     return t.groupBy("cid").agg(
         F.sum(F.size("issues")).alias("issues"),
-        F.sum(F.size(F.filter("issues", lambda x: x.contains("crossed book")))).alias("crossed"),
+        F.sum(F.size(F.filter("issues", lambda x: x.endswith(".crossed")))).alias("crossed"),
         F.count_if(bounds_violation(c("mid"), c("touch_pair"))).alias("bounds_violations"),
         F.count_if(F.size("issues") > 0).alias("bad_ticks"),
     )
@@ -156,11 +156,11 @@ def tick_quality(spark, sf):
     T
     + f""", q AS (SELECT *, {_ISSUES} FROM ticks)
     SELECT * FROM (
-      SELECT 'mid price out of bounds' AS issue, CAST(sum(mid_bad) AS BIGINT) AS n FROM q UNION ALL
-      SELECT 'touch_pair out of sane bounds', CAST(sum(touch_bad) AS BIGINT) FROM q UNION ALL
-      SELECT 'up_book: crossed book', CAST(sum(CASE WHEN up_bid>=up_ask THEN 1 ELSE 0 END) AS BIGINT) FROM q UNION ALL
-      SELECT 'down_book: crossed book', CAST(sum(CASE WHEN dn_bid>=dn_ask THEN 1 ELSE 0 END) AS BIGINT) FROM q UNION ALL
-      SELECT 'tape_delta: size not positive', CAST(sum(tape_bad) AS BIGINT) FROM q) WHERE n > 0""",
+      SELECT 'mid.range' AS issue, CAST(sum(mid_bad) AS BIGINT) AS n FROM q UNION ALL
+      SELECT 'touch_pair.range', CAST(sum(touch_bad) AS BIGINT) FROM q UNION ALL
+      SELECT 'up.crossed', CAST(sum(CASE WHEN up_bid>=up_ask THEN 1 ELSE 0 END) AS BIGINT) FROM q UNION ALL
+      SELECT 'down.crossed', CAST(sum(CASE WHEN dn_bid>=dn_ask THEN 1 ELSE 0 END) AS BIGINT) FROM q UNION ALL
+      SELECT 'tape.size', CAST(sum(tape_bad) AS BIGINT) FROM q) WHERE n > 0""",
 )
 def issue_counts(spark, sf):
     t = ticks(spark, sf).select(F.explode(tick_issues(silver_required())).alias("issue"))
@@ -194,7 +194,7 @@ def window_finalize(spark, sf):
 
 @query(
     "classify_path",
-    windows_sql(TSM).replace("WITH e0", "WITH e0", 1)
+    windows_sql(TSM)
     + f", w2 AS (SELECT cid, {classify('max(mid)', 'min(mid)')} AS recorded_class FROM ticks GROUP BY 1), "
     + f"w3 AS (SELECT cid, {classify(f'max({_MID_UP})', f'min({_MID_UP})')} AS up_class FROM ticks GROUP BY 1) "
     + "SELECT cid, class AS two_sided_class, recorded_class, up_class FROM windows JOIN w2 USING (cid) JOIN w3 USING (cid)",
@@ -226,13 +226,12 @@ _SUMMARY = """, s AS (SELECT series, count(*) AS windows, count(*) FILTER (WHERE
     "series_summary",
     WINDOWS_SQL + _SUMMARY + """ SELECT d.series, d.duration, coalesce(windows,0) AS windows, coalesce(any_2c,0) AS any_2c, coalesce(any_3c,0) AS any_3c,
   coalesce(oscillating,0) AS oscillating, coalesce(monotonic,0) AS monotonic, coalesce(flat,0) AS flat, p[len(p)//2+1] AS pair_cost_median
-  FROM (SELECT DISTINCT series, duration FROM ticks) d LEFT JOIN (SELECT * FROM s WHERE series <> 'view') s USING (series)""",
+  FROM (SELECT DISTINCT series, duration FROM ticks UNION ALL SELECT 'refund', 300) d LEFT JOIN s USING (series)""",
 )
 def series_summary(spark, sf):
-    """One series is left out of the windows to show the zero-filled row."""
+    """The dimension names a series that was never recorded: it shows as a row of zeros."""
     t = ticks(spark, sf)
-    windows = W.finalize(t.filter(c("series") != "view"))
-    return W.series_summary(windows, W.series_dim(t))
+    return W.series_summary(W.finalize(t), W.series_dim(t).unionByName(spark.createDataFrame([("refund", 300)], W.series_dim(t).schema)))
 
 
 @query(

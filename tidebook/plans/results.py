@@ -254,7 +254,7 @@ _CONF = GRID_SQL + f""", cb AS (SELECT list_sort(list(start_ts))[CAST(floor(coun
  hs AS (SELECT config_id, sum((pnl-fees)*5.0e0) FILTER (WHERE end_ts<=b) AS ins, sum((pnl-fees)*5.0e0) FILTER (WHERE start_ts>=b) AS outs, count(*) FILTER (WHERE start_ts>=b AND (filled_up OR filled_dn)) AS filled FROM outcomes, cb GROUP BY 1),
  wn AS (SELECT arg_max(config_id, struct_pack(p:={R('ins', 2)}, k:=config_id)) AS w FROM hs),
  SELECTED AS (SELECT w, (SELECT {R('outs', 2)} FROM hs WHERE config_id='Baseline') AS base_pnl, (SELECT {R('outs', 2)} FROM hs, wn WHERE config_id=w) AS winner_pnl, (SELECT filled FROM hs, wn WHERE config_id=w) AS filled FROM wn)
- SELECT w AS winner, base_pnl, winner_pnl, CASE WHEN w='Baseline' THEN 'descent retained the baseline' WHEN filled<30 THEN 'winner below sample gate on holdout' WHEN winner_pnl<=base_pnl THEN 'winner does not beat baseline on holdout' ELSE 'winner beats baseline on gated holdout' END AS reason,
+ SELECT w AS winner, base_pnl, winner_pnl, CASE WHEN w='Baseline' THEN 'base_kept' WHEN filled<30 THEN 'too_few_fills' WHEN winner_pnl<=base_pnl THEN 'no_gain' ELSE 'gain' END AS reason,
    w<>'Baseline' AND filled>=30 AND winner_pnl>base_pnl AS confirmed FROM SELECTED"""
 
 
@@ -269,14 +269,33 @@ def holdout_confirm(spark, sf):
     )
     v = m.agg(F.max(F.struct("ins", "config_id", "outs", "filled")).alias("w"), F.max(F.when(c("config_id") == "Baseline", c("outs"))).alias("base_pnl"))
     same, thin, worse = c("w.config_id") == "Baseline", c("w.filled") < RS.MIN_FILLED, c("w.outs") <= c("base_pnl")
-    reason = F.when(same, "descent retained the baseline").when(thin, "winner below sample gate on holdout").when(worse, "winner does not beat baseline on holdout").otherwise("winner beats baseline on gated holdout")
+    reason = F.when(same, "base_kept").when(thin, "too_few_fills").when(worse, "no_gain").otherwise("gain")
     return v.select(c("w.config_id").alias("winner"), "base_pnl", c("w.outs").alias("winner_pnl"), reason.alias("reason"), (~same & ~thin & ~worse).alias("confirmed"))
 
 
-@query("coordinate_descent")
+DESCENT_AXES = {"offset": (0.01, 0.02, 0.03), "thr": (0.05, 0.10)}
+DESCENT_ROUNDS = 3
+
+
+def _descent_sql() -> str:
+    """The search unrolled over the metrics of the whole product, which the job never evaluates."""
+    label = "CASE WHEN o=0.02e0 AND t=0.05e0 THEN 'base' WHEN o=0.02e0 THEN 'thr='||t::VARCHAR WHEN t=0.05e0 THEN 'offset='||o::VARCHAR ELSE 'offset='||o::VARCHAR||',thr='||t::VARCHAR END"
+    grid = SW.joint(BASE, DESCENT_AXES)
+    at = ", ".join(f"('{q.config_id}', {q.offset}e0, {q.thr}e0)" for q in grid)
+    sql = outcomes_sql(grid) + f""", dx(config_id, o, t) AS (VALUES {at}),
+ dm AS (SELECT {label} AS config, o, t, {R('sum((pnl-fees)*5.0e0)', 2)} AS total_pnl, count(*) FILTER (WHERE filled_up OR filled_dn) AS filled_windows FROM outcomes JOIN dx USING (config_id) GROUP BY o, t),
+ g0 AS (SELECT 0 AS round, *, filled_windows>={RS.MIN_FILLED} AS admitted FROM dm WHERE config='base'), a0 AS (SELECT * FROM g0), l0 AS (SELECT o, t FROM g0)"""
+    for k in range(1, DESCENT_ROUNDS + 1):
+        stop = f"(SELECT count(*) FROM l{k - 1} x, l{k - 2} y WHERE x.o=y.o AND x.t=y.t)=0 AND " if k > 1 else ""
+        sql += f""", g{k} AS (SELECT {k} AS round, dm.*, filled_windows>={RS.MIN_FILLED} AS admitted FROM dm, l{k - 1} l WHERE {stop}(dm.o=l.o) <> (dm.t=l.t) AND config NOT IN (SELECT config FROM a{k - 1})),
+ a{k} AS (SELECT * FROM a{k - 1} UNION ALL SELECT * FROM g{k}), l{k} AS (SELECT o, t FROM (SELECT o, t, row_number() OVER (ORDER BY (config='base' AND NOT admitted), total_pnl DESC, config) AS r FROM a{k} WHERE admitted OR config='base') WHERE r=1)"""
+    return sql + f" SELECT round, config, total_pnl, filled_windows, admitted FROM a{DESCENT_ROUNDS}"
+
+
+@query("coordinate_descent", _descent_sql())
 def coordinate_descent(spark, sf):
-    _, history = SW.coordinate_descent(ticks(spark, sf), BASE, {"offset": (0.01, 0.02, 0.03), "thr": (0.05, 0.10)}, max_passes=3)
-    return spark.createDataFrame(history, "pass_no int, accepted string, total_pnl double, filled_windows bigint, gate_rejected int")
+    """Every configuration the search evaluated, with the round it was tried in."""
+    return SW.descend(ticks(spark, sf), BASE, DESCENT_AXES, DESCENT_ROUNDS).select("round", "config", "total_pnl", "filled_windows", "admitted")
 
 
 @query("config_cross", GRID_SQL + "SELECT config_id, count(*) AS windows, count(DISTINCT series) AS series, count(*) FILTER (WHERE entered) AS entered FROM outcomes GROUP BY 1")

@@ -27,30 +27,12 @@ def wire_tick(with_corrupt: bool = False) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
-REQUIRED_FIELDS = ("ts", "cid", "series", "duration", "start_ts", "end_ts", "up_book", "down_book")
-
 SESSION_DDL = (
     "type string, rx double, mono double, series string, token string, "
     "book struct<best_bid:double,best_ask:double,err:string>, "
     "ev struct<event_type:string,asset_id:string,best_bid:double,best_ask:double,price:double,size:double>"
 )
 
-FILL_DDL = (
-    "ts double, market_slug string, condition_id string, leg string, chased boolean, resting_price double, "
-    "fill_price double, queue_ahead_at_rest double, printed_size_at_price_since_rest double, "
-    "tape_source string, filled_size double, fill_ratio double"
-)
-
-TRADE_DDL = (
-    "id bigint, timestamp double, slug string, label string, action string, shares double, "
-    "entry_price_up double, entry_price_down double, exit_price double, pnl_usd double, market_slug string"
-)
-
-ACTIVITY_DDL = (
-    "type string, side string, outcome string, size double, usdcSize double, price double, "
-    "timestamp double, conditionId string, slug string, title string"
-)
-
 LISTING_DDL = (
     "events array<struct<markets:array<struct<conditionId:string,slug:string,eventStartTime:string,"
     "endDate:string,clobTokenIds:string,orderPriceMinTickSize:double,negRisk:boolean>>>>"

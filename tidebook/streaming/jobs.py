@@ -82,8 +82,8 @@ def top_of_book_log(frame_stream: DataFrame) -> DataFrame:
 
 
 def source_authority(ticks: DataFrame, warmup_us: int, horizon_us: int) -> DataFrame:
-    t = ticks.select(c("up_token").alias("token"), "event_id", "line_no", "ts_us", (c("event_id") % 401 == 0).alias("reconnect"), (F.size("tape") > 0).alias("printed"))
-    return t.groupBy("token").transformWithStateInPandas(P.AuthorityProcessor(warmup_us, horizon_us), outputStructType=P.AuthorityProcessor.OUT, outputMode="Append", timeMode="None")
+    t = ticks.withWatermark("at", DELAY).select(c("up_token").alias("token"), "event_id", "line_no", "ts_us", (c("event_id") % 401 == 0).alias("reconnect"), (F.size("tape") > 0).alias("printed"), "at")
+    return t.groupBy("token").transformWithStateInPandas(P.AuthorityProcessor(warmup_us, horizon_us), outputStructType=P.AuthorityProcessor.OUT, outputMode="Append", timeMode="EventTime")
 
 
 def _spot(ticks: DataFrame) -> DataFrame:
@@ -105,8 +105,8 @@ def order_state(ticks: DataFrame) -> DataFrame:
     """Order events keyed by id; every thirteenth row of an order is part of the boot snapshot."""
     e = c("event_id")
     status = F.element_at(F.array(*[F.lit(s) for s in ("live", "matched", "delayed", "noise", "canceled")]), (e % 5 + 1).cast("int"))
-    o = ticks.select(F.concat_ws("-", "cid", (c("user_id") % 3).cast("string")).alias("order_id"), "event_id", "ts_us", status.alias("status"), F.when(e % 13 == 0, 0).otherwise(1).alias("seed"))
-    return o.groupBy("order_id").transformWithStateInPandas(P.OrderProcessor(), outputStructType=P.OrderProcessor.OUT, outputMode="Append", timeMode="None")
+    o = ticks.withWatermark("at", DELAY).select(F.concat_ws("-", "cid", (c("user_id") % 3).cast("string")).alias("order_id"), "event_id", "ts_us", status.alias("status"), F.when(e % 13 == 0, 0).otherwise(1).alias("seed"), "at")
+    return o.groupBy("order_id").transformWithStateInPandas(P.OrderProcessor(), outputStructType=P.OrderProcessor.OUT, outputMode="Append", timeMode="EventTime")
 
 
 def late_rows(ticks: DataFrame) -> DataFrame:

@@ -19,6 +19,13 @@ def ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return (pd.concat(parts) if len(parts) > 1 else parts[0]).sort_values(by, kind="stable")
 
 
+def expire_at(handle: StatefulProcessorHandle, at_ms: int) -> None:
+    """One timer per key, moved on with every batch that touches the key."""
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer)
+    handle.registerTimer(at_ms)
+
+
 def _num(x):
     return None if x is None or pd.isna(x) else float(x)
 
@@ -74,9 +81,7 @@ class BookProcessor(StatefulProcessor):
             if before.get(at) != size:
                 self.levels.updateValue(at, (size,))
         self.meta.update((kind, bb, ba, top_bb, top_ba, seen))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(out[-1][2]) // 1000 + self.ttl_ms)
+        expire_at(self.handle, int(out[-1][2]) // 1000 + self.ttl_ms)
         yield pd.DataFrame(out, columns=self.NAMES)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -119,9 +124,7 @@ class WindowProcessor(StatefulProcessor):
         if again is None:
             again = timerValues.getCurrentWatermarkInMs() > end * 1000
         self.state.update((end, snaps, first_no, f, last_no, l, mn, mx, bool(again)))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(-(-end * 1000 // 1)))
+        expire_at(self.handle, int(-(-end * 1000 // 1)))
         yield pd.DataFrame([], columns=self.NAMES)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -138,10 +141,11 @@ class AuthorityProcessor(StatefulProcessor):
 
     OUT = "token string, event_id bigint, authoritative boolean"
 
-    def __init__(self, warmup_us: int, horizon_us: int):
-        self.warmup_us, self.horizon_us = warmup_us, horizon_us
+    def __init__(self, warmup_us: int, horizon_us: int, ttl_ms: int = 2 * DAY_MS):
+        self.warmup_us, self.horizon_us, self.ttl_ms = warmup_us, horizon_us, ttl_ms
 
     def init(self, handle):
+        self.handle = handle
         self.state = handle.getValueState("authority", "ready_at bigint, last_print bigint")
 
     def handleInputRows(self, key, rows, timerValues):
@@ -155,8 +159,13 @@ class AuthorityProcessor(StatefulProcessor):
             ok = r.ts_us - ready >= self.warmup_us and printed is not None and r.ts_us - printed <= self.horizon_us
             out.append((key[0], r.event_id, bool(ok)))
         self.state.update((ready, printed))
+        expire_at(self.handle, int(r.ts_us) // 1000 + self.ttl_ms)
         yield pd.DataFrame(out, columns=["token", "event_id", "authoritative"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        yield pd.DataFrame([], columns=["token", "event_id", "authoritative"])
+
     def close(self):
         pass
 
@@ -260,17 +269,25 @@ OPEN = ("LIVE", "DELAYED", "UNMATCHED")
 
 
 class OrderProcessor(StatefulProcessor):
-    """Order status by id: the snapshot seeds, buffered events replay in time order, unknown statuses change nothing."""
+    """Order status by id: the snapshot seeds, buffered events replay in time order, unknown statuses change nothing.
+
+    An order is forgotten once event time passes its last event by ``ttl_ms``.
+    """
 
     OUT = "order_id string, event_id bigint, status string, is_open boolean"
 
+    def __init__(self, ttl_ms: int = 2 * DAY_MS):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle):
+        self.handle = handle
         self.state = handle.getValueState("order", "status string, is_open boolean")
 
     def handleInputRows(self, key, rows, timerValues):
         status, is_open = self.state.get() if self.state.exists() else (None, None)
-        out = []
+        out, latest = [], 0
         for r in ordered(rows, ["seed", "ts_us", "event_id"]).itertuples(index=False):
+            latest = max(latest, int(r.ts_us))
             s = (r.status or "").upper()
             if s in TERMINAL:
                 status, is_open = s, False
@@ -278,7 +295,12 @@ class OrderProcessor(StatefulProcessor):
                 status, is_open = s, True
             out.append((key[0], r.event_id, status, is_open))
         self.state.update((status, is_open))
+        expire_at(self.handle, latest // 1000 + self.ttl_ms)
         yield pd.DataFrame(out, columns=["order_id", "event_id", "status", "is_open"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        yield pd.DataFrame([], columns=["order_id", "event_id", "status", "is_open"])
+
     def close(self):
         pass
