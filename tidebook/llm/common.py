@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ def crc_bucket(column: str, modulus: int) -> Column:
 
 
 class Bitmap:
-    """A hashed bitmap of fixed size over 64-bit keys, small enough to ship to every task whatever the key count.
+    """A bitmap of fixed size over 64-bit hashes, small enough to ship to every task whatever the key count.
 
     It only spares work: a set bit may be a chance hit, so what passes is joined exactly afterwards; a clear
     bit proves absence. When very many keys fill it, everything passes and results stay the same.
@@ -27,29 +28,36 @@ class Bitmap:
         self.words, self.bits = words, bits
 
     def might_hold(self, keys: np.ndarray) -> np.ndarray:
-        slot = mix64(keys.astype(np.uint64)) & np.uint64((1 << self.bits) - 1)
+        slot = keys.astype(np.int64, copy=False).view(np.uint64) & np.uint64((1 << self.bits) - 1)
         word = self.words[(slot >> np.uint64(6)).astype(np.int64)]
         return ((word >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
 def bitmap(keys: DataFrame, column: str, bits: int = 22) -> Bitmap:
-    """Bitmap of 2**bits bits: at most 2**(bits - 6) words reach the driver (half a megabyte by default)."""
+    """Bitmap of 2**bits bits over well-mixed hashes: at most 2**(bits - 6) words reach the driver, packed, 16 bytes each."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    one = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    words = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(one).alias("held"))
 
-    def slots(batches):
-        words = np.zeros(1 << (bits - 6), np.uint64)
+    def pack(batches):
         for batch in batches:
-            slot = mix64(batch[column].to_numpy().astype(np.uint64)) & np.uint64((1 << bits) - 1)
-            np.bitwise_or.at(words, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
-        used = np.flatnonzero(words)
-        import pandas as pd
-
-        yield pd.DataFrame({"word": used.astype(np.int64), "held": words[used].view(np.int64)})
-
-    found = keys.select(column).mapInPandas(slots, "word long, held long").groupBy("word").agg(F.bit_or("held").alias("held"))
-    words = np.zeros(1 << (bits - 6), np.uint64)
-    for row in found.toLocalIterator():
-        words[row.word] = np.uint64(row.held & 0xFFFFFFFFFFFFFFFF)
-    return Bitmap(words, bits)
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()) for c in batch.columns], ["word", "held"])
+
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    for row in words.mapInArrow(pack, "word binary, held binary").collect():
+        out[np.frombuffer(row.word, np.int64)] = np.frombuffer(row.held, np.uint64)
+    return Bitmap(out, bits)
+
+
+#: rows of ids up to which a table of ids is sent to every task
+SENT_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, condition, name: str) -> DataFrame:
+    """``docs`` without the rows that meet ``condition`` with a row of ``ids``: texts stay where they are while ids are few
+    (counted, at most SENT_IDS), and are shuffled beyond that."""
+    ids = cut(ids, name)
+    return docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, condition, "left_anti")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import ranked
+from tidebook.llm.common import ranked, without
 
 MAX_SOURCES = 100_000
 
@@ -109,8 +109,11 @@ def mix(docs: DataFrame, weights: dict | None = None, temper: float = 0.7, block
     return order.select(*own, *[F.col("kept").getField(c).alias(c) for c in carry if c not in taken])
 
 
-def keep_mix(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """The rows of ``docs`` inside the mix, in its order, with their columns as they are."""
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(params.pop("source_col", "source")).alias("source"))
-    mixed = mix(whole, carry=["row"], id_col="id", **params).filter("in_mix")
-    return mixed.sort("seq").select("row.*")
+def keep_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **params) -> DataFrame:
+    """The rows of ``docs`` inside the mix, with their columns as they are; texts are not moved to decide.
+
+    An id is taken to name one document: it goes only if all its rows are surplus. Rows without an id stay.
+    """
+    placed = mix(docs.select(id_col, source_col), id_col=id_col, source_col=source_col, **params)
+    surplus = placed.groupBy(F.col(id_col).alias("_surplus")).agg(F.max("in_mix").alias("kept")).filter("not kept").select("_surplus")
+    return without(docs, surplus, F.col(id_col) == F.col("_surplus"), "mixing-surplus")

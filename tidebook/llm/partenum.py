@@ -9,6 +9,8 @@ Two texts link when ``den * |A & B| >= num * |A | B|``. Method:
    holds at most k2 = k // n1 differences, which touch at most k2 of its small ranges, so for some subset of
    n2 - k2 small ranges both sets hold the same elements. A set's signatures are the digests of all
    those subsets: **every linked pair shares a signature**, without exception.
+   Signatures that occur once tie nothing: counting them first, and filtering through a bitmap of the repeated ones,
+   keeps most of them out of the later shuffles.
 3. *Candidate clusters.* Equal sets are one node. A signature of several nodes ties each to its smallest node:
    one edge per member, never all pairs; clusters are the connected components.
 4. *Verification.* Sets of clustered nodes (found again through a bitmap of fixed size) are compared exactly.
@@ -22,7 +24,6 @@ other columns are ignored. Nodes are named by a 64-bit digest of their set.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -31,17 +32,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import bitmap, components, mix64
+from tidebook.llm.common import bitmap, components, mix64, without
 from tidebook.llm.shingles import BASE, shingle_sets
 from tidebook.session import cut
 
 
+#: bits of the map of repeated signatures (8 MB a task)
+SIGN_BITS = 26
+
+
 class Scheme:
     """Bands and signature shapes for a threshold num/den."""
 
     def __init__(self, num: int, den: int, growth: float = 1.25):
         self.num, self.den, self.growth = num, den, growth
         self.upper = [1]
+        self.shapes: dict[int, tuple] = {}
 
     def band(self, n: int) -> int:
         while self.upper[-1] < n:
@@ -56,16 +62,18 @@ class Scheme:
             self.band(self.upper[own] + 1)
         return [own, own + 1] if beyond else [own]
 
-    @lru_cache(maxsize=None)  # noqa: B019  a scheme lives as long as its task
     def shape(self, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Lower bounds of the small ranges as (n1, n2), the subsets, and a salt for every (range, subset)."""
+        if band in self.shapes:
+            return self.shapes[band]
         k = 2 * self.upper[band] * (self.den - self.num) // (self.den + self.num)
         n1, n2, k2 = {0: (1, 1, 0), 1: (1, 4, 1), 2: (1, 5, 2)}.get(k, (-(-(k + 1) // 2), 3, 1))
         subsets = np.array(list(combinations(range(n2), n2 - k2)), np.int64)
         parts = n1 * n2
         bounds = np.array([(i << 64) // parts for i in range(parts)], np.uint64)
         names = (np.uint64(band) << np.uint64(48)) + (np.arange(n1, dtype=np.uint64)[:, None] << np.uint64(8)) + np.arange(len(subsets), dtype=np.uint64)
-        return bounds, subsets, mix64(names + np.uint64(1))
+        self.shapes[band] = bounds, subsets, mix64(names + np.uint64(1))
+        return self.shapes[band]
 
     def signatures(self, elements: np.ndarray) -> np.ndarray:
         """All signatures of one sorted set of hashes."""
@@ -124,6 +132,20 @@ def sets_of(docs: DataFrame, held, sign_width: int, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, elements binary")
 
 
+def repeated(signs: DataFrame, held) -> DataFrame:
+    """(node, sig) for the signatures that the bitmap of repeated ones may hold."""
+
+    def run(batches):
+        for batch in batches:
+            sigs, nodes = batch.column("sigs"), batch.column("node").to_numpy()
+            flat = sigs.flatten().to_numpy()
+            keep = held.might_hold(flat)
+            owner = np.repeat(nodes, sigs.value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(owner[keep]), pa.array(flat[keep])], ["node", "sig"])
+
+    return signs.mapInArrow(run, "node long, sig long")
+
+
 def overlaps(sets: list[np.ndarray], slab: int = 8192) -> np.ndarray:
     """Intersection sizes of all pairs of a bounded list of sets, by blocks of features."""
     _, feature, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -190,7 +212,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sign_width, sign_num, sign_den = sign or (width, num, den)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = cut(signed(texts, sign_width, sign_num, sign_den), "partenum-signed")
-    signs = rows.filter("sigs is not null").select("node", F.explode("sigs").alias("sig"))
+    signs = rows.filter("sigs is not null").select("node", "sigs")
+    twice = signs.select(F.explode("sigs").alias("sig")).groupBy("sig").count().filter("count > 1")
+    signs = repeated(signs, bitmap(twice, "sig", SIGN_BITS))
     shared = signs.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("sig", "low")
     ties = signs.join(cut(shared, "partenum-shared"), "sig").filter("node <> low").select("node", "low").distinct()
     clusters = cut(components(cut(ties, "partenum-ties"), "node", "low", "partenum-cluster"), "partenum-clusters")
@@ -222,8 +246,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", width: int = 5, num: int
     certain; pairs that differ in one long passage (down to 0.8 of the latter) share some signature all but always.
     """
     labels = cut(jaccard_join(docs, id_col, width=width, num=num, den=den, sign=sign, **params), "partenum-labels")
-    later = labels.filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    out = docs.join(later, id_col, "left_anti")
+    later = labels.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_later")).distinct()
+    out = without(docs, later, F.col(id_col) == F.col("_later"), "partenum-later")
     again = cut(labels.groupBy(id_col).count().filter("count > 1").select(id_col), "partenum-again")
     if again.isEmpty():
         return out

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import bitmap, mix64
+from tidebook.llm.common import bitmap, mix64, without
 from tidebook.llm.shingles import BASE, WINDOW, prefix_sums, span_hash, text_buffers
 from tidebook.session import cut
 
@@ -196,5 +196,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals:
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     texts = docs.select(key.alias("key"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item"), F.col("text").cast("string").alias("text"))
-    found = cut(placements(texts, items, width, literals, share).select(F.col("key").alias("_leaked")).distinct(), "template-leaks")
-    return docs.join(found, key == F.col("_leaked"), "left_anti")
+    found = placements(texts, items, width, literals, share).select(F.col("key").alias("_leaked")).distinct()
+    return without(docs, found, key == F.col("_leaked"), "template-leaks")
