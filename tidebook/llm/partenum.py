@@ -93,13 +93,20 @@ def node_of(elements: np.ndarray) -> int:
     return int(mix64(np.array([total + np.uint64(len(elements))], np.uint64)).view(np.int64)[0])
 
 
+def pieces(batches, rows: int = 1000):
+    """Arrow batches in slices, so that a task holds the sets of few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(id, n_shingles, node, sigs) per row of (id, text); a node's signatures stand once per Arrow batch."""
+    """(id, n_shingles, node, sigs) per row of (id, text); a node's signatures stand once per slice of a batch."""
     fields = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         scheme = Scheme(num, den)
-        for batch in batches:
+        for batch in pieces(batches):
             sets = shingle_sets(batch.column("text"), width)
             nodes = [node_of(s) if len(s) else None for s in sets]
             seen: set = set()
@@ -116,18 +123,19 @@ def signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, held, sign_width: int, width: int) -> DataFrame:
-    """(node, elements) of rows whose node the bitmap may hold, once per Arrow batch."""
+    """(node, elements) of rows whose node the bitmap may hold, once per slice of a batch."""
 
     def run(batches):
-        for batch in batches:
-            found = {}
-            signed_sets = shingle_sets(batch.column("text"), sign_width)
-            for s, own in zip(signed_sets, signed_sets if width == sign_width else shingle_sets(batch.column("text"), width), strict=True):
+        for batch in pieces(batches):
+            sets, first = shingle_sets(batch.column("text"), sign_width), {}
+            for i, s in enumerate(sets):
                 if len(s):
-                    found.setdefault(node_of(s), own)
-            names = np.array(list(found), np.int64)
+                    first.setdefault(node_of(s), i)
+            names = np.array(list(first), np.int64)
             keep = names[held.might_hold(names)] if len(names) else names
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array([found[x].tobytes() for x in keep.tolist()], pa.binary())], ["node", "elements"])
+            rows = [first[x] for x in keep.tolist()]
+            own = [sets[i] for i in rows] if width == sign_width else shingle_sets(batch.column("text").take(pa.array(rows, pa.int64())), width)
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["node", "elements"])
 
     return docs.select("text").mapInArrow(run, "node long, elements binary")
 
