@@ -121,6 +121,21 @@ def test_keep_first(spark):
     assert kept.count() == 5 and kept.columns == ["doc_id", "text", "source"]
 
 
+def test_keep_first_finds_one_sided_passages(spark):
+    """Texts and the same with as many words more as the threshold allows: at the end, at the start or inside, over all bands."""
+    rows, want = [], set()
+    for n in [*range(9, 90), 120, 150, 237, 300, 450, 568, 570, 700, 1100, 2000]:
+        more = (n - 4) // 4
+        for cutting in (0, n // 2, n):
+            key, words, own = len(rows), [f"t{len(rows)}w{i}" for i in range(n)], [f"t{len(rows)}p{i}" for i in range(more)]
+            longer = words[:cutting] + own + words[cutting:]
+            rows += [(key, " ".join(words)), (key + 1, " ".join(longer))]
+            a, b = (brute_sets(x, 5) for _, x in rows[-2:])
+            want |= {key} if 10 * len(a & b) >= 8 * len(a | b) else {key, key + 1}
+    kept = pe.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == want and len(want) < 1.4 * len(rows) / 2
+
+
 def test_empty(spark):
     assert pe.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -13,7 +13,7 @@ Two texts link when ``den * |A & B| >= num * |A | B|``. Method:
    keeps most of them out of the later shuffles.
 3. *Candidate clusters.* Equal sets are one node. A signature of several nodes ties each to its smallest node:
    one edge per member, never all pairs; clusters are the connected components.
-4. *Verification.* Sets of clustered nodes (found again through a bitmap of fixed size) are compared exactly.
+4. *Verification.* Sets of clustered nodes, one row's a node (found again through a bitmap of fixed size), are compared exactly.
    A cluster above ``block`` nodes is dealt into blocks, and every pair of blocks is one task, so no task
    holds more than two blocks. Tasks return a spanning forest and link counts, not pairs.
 
@@ -122,22 +122,26 @@ def signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {fields}, n_shingles long, node long, sigs array<long>")
 
 
-def sets_of(docs: DataFrame, held, sign_width: int, width: int) -> DataFrame:
-    """(node, elements) of rows whose node the bitmap may hold, once per slice of a batch."""
+def representative(node, key):
+    """Names a row among those of its node; ``key`` is a hash of its id."""
+    return F.col(node).bitwiseXOR(key)
+
+
+def sets_of(docs: DataFrame, held, width: int) -> DataFrame:
+    """(node, elements) of rows of (id, text) that the bitmap of representatives may hold, once per slice of a batch."""
 
     def run(batches):
         for batch in pieces(batches):
-            sets, first = shingle_sets(batch.column("text"), sign_width), {}
-            for i, s in enumerate(sets):
-                if len(s):
-                    first.setdefault(node_of(s), i)
-            names = np.array(list(first), np.int64)
-            keep = names[held.might_hold(names)] if len(names) else names
-            rows = [first[x] for x in keep.tolist()]
-            own = [sets[i] for i in rows] if width == sign_width else shingle_sets(batch.column("text").take(pa.array(rows, pa.int64())), width)
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["node", "elements"])
+            sets, keys, first = shingle_sets(batch.column("text"), width), batch.column("key").to_numpy(), {}
+            rows = [i for i, s in enumerate(sets) if len(s)]
+            nodes = np.array([node_of(sets[i]) for i in rows], np.int64)
+            keep = held.might_hold(nodes ^ keys[rows]) if len(rows) else np.zeros(0, bool)
+            for i, node, kept in zip(rows, nodes.tolist(), keep, strict=True):
+                if kept:
+                    first.setdefault(node, i)
+            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.int64()), pa.array([sets[i].tobytes() for i in first.values()], pa.binary())], ["node", "elements"])
 
-    return docs.select("text").mapInArrow(run, "node long, elements binary")
+    return docs.select(F.xxhash64("id").alias("key"), "text").mapInArrow(run, "node long, elements binary")
 
 
 def repeated(signs: DataFrame, held) -> DataFrame:
@@ -195,10 +199,12 @@ def link_block(nodes: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, si
     return nodes[[find(x) for x in range(len(nodes))]], linked @ copies
 
 
-def verify(members: DataFrame, block: int, num: int, den: int) -> DataFrame:
-    """(node, root, links) per task from (cluster, node, copies, elements), every pair of a cluster in exactly one task."""
+def verify(members: DataFrame, sets: DataFrame, block: int, num: int, den: int) -> DataFrame:
+    """(node, root, links) per task from (cluster, node, copies) and (node, elements), every pair of a cluster in exactly one task.
+
+    Blocks are dealt before the sets join, so sets move to their node and then to their tasks, no further."""
     blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
-    dealt = members.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = members.join(blocks, "cluster").join(sets, "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "copies", "elements", (F.col("own") > F.col("other")).alias("side"))
 
@@ -211,15 +217,10 @@ def verify(members: DataFrame, block: int, num: int, den: int) -> DataFrame:
     return dealt.groupBy("cluster", "x", "y").applyInPandas(run, "node long, root long, links long")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100, block: int = 256, sign: tuple[int, int, int] | None = None) -> DataFrame:
-    """One row per row of ``docs``: its id, ``n_shingles``, ``component_id`` and ``n_links`` (rows linked directly).
-
-    ``sign`` names another (width, num, den) to sign by, ``n_shingles`` then counts its shingles: pairs that meet it
-    are compared for certain, others by chance. Texts with equal sign sets are one node.
-    """
-    sign_width, sign_num, sign_den = sign or (width, num, den)
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100, block: int = 256) -> DataFrame:
+    """One row per row of ``docs``: its id, ``n_shingles``, ``component_id`` and ``n_links`` (rows linked directly)."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(signed(texts, sign_width, sign_num, sign_den), "partenum-signed")
+    rows = cut(signed(texts, width, num, den), "partenum-signed")
     signs = rows.filter("sigs is not null").select("node", "sigs")
     twice = signs.select(F.explode("sigs").alias("sig")).groupBy("sig").count().filter("count > 1")
     signs = repeated(signs, bitmap(twice, "sig", SIGN_BITS))
@@ -229,9 +230,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     copies = rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
     copies = cut(copies, "partenum-nodes")
-    sets = sets_of(texts, bitmap(clusters, "node"), sign_width, width).dropDuplicates(["node"])
-    members = clusters.select("node", F.col("component").alias("cluster")).join(copies.select("node", "copies"), "node").join(sets, "node")
-    found = cut(verify(members, block, num, den), "partenum-links")
+    members = cut(clusters.select("node", F.col("component").alias("cluster")).join(copies, "node"), "partenum-members")
+    sets = sets_of(texts, bitmap(members.select(representative("node", F.xxhash64("first")).alias("row")), "row"), width).dropDuplicates(["node"])
+    found = cut(verify(members.select("cluster", "node", "copies"), sets, block, num, den), "partenum-links")
 
     groups = components(found.filter("node <> root"), "node", "root", "partenum-group")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -243,17 +244,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", width: int = 5, num: int = 80, den: int = 100, sign: tuple[int, int, int] = (3, 86, 100), **params) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", width: int = 5, num: int = 80, den: int = 100, **params) -> DataFrame:
     """The rows of ``docs`` without those that link to an earlier one: of every component its smallest id stays.
 
     Rows without words all stay, and so do rows without an id, which cannot be named. Rows that repeat an id
     and a text are one document and stay once; an id is taken to name one text.
 
-    Links take five words and a similarity of 0.8. A changed word costs five of these shingles and three of three
-    words, so pairs that differ in scattered words have 0.86 or more of the latter, and the signatures find them for
-    certain; pairs that differ in one long passage (down to 0.8 of the latter) share some signature all but always.
+    Links take five words and a similarity of 0.8, and signatures are taken of the same sets by the same threshold, so
+    every linked pair is compared, also one that differs in a single passage.
     """
-    labels = cut(jaccard_join(docs, id_col, width=width, num=num, den=den, sign=sign, **params), "partenum-labels")
+    labels = cut(jaccard_join(docs, id_col, width=width, num=num, den=den, **params), "partenum-labels")
     later = labels.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_later")).distinct()
     out = without(docs, later, F.col(id_col) == F.col("_later"), "partenum-later")
     again = cut(labels.groupBy(id_col).count().filter("count > 1").select(id_col), "partenum-again")
