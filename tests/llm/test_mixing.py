@@ -68,6 +68,20 @@ def test_edges(spark):
     assert mx.keep_mix(docs.filter("source = 's'")).count() == 2
 
 
+def test_no_document_goes_and_the_order_is_the_mix(spark):
+    """One source with a third of the rows, 20 equal others: everything stays, and the stream holds the weights while sources last."""
+    rows = [(i, "hot" if i % 3 == 0 else f"s{i % 20}", f"t{i}") for i in range(3000)]
+    docs = spark.createDataFrame([*rows, (None, "hot", "n"), (3, "hot", "t3")], "doc_id long, source string, text string").repartition(5)
+    kept = mx.keep_mix(docs).collect()
+    assert Counter(kept) == Counter(docs.collect())
+    order = [r.doc_id for r in kept]
+    want = {r.doc_id: r.mix_seq for r in mx.with_place(docs).filter("doc_id is not null").collect()}
+    assert order[-1] is None and order[:-1] == sorted(order[:-1], key=want.get)
+    counts = Counter(r.source for r in docs.collect())
+    share = counts["hot"] ** 0.7 / sum(n**0.7 for n in counts.values())
+    assert all(abs(sum(r.source == "hot" for r in kept[:n]) - share * n) < 2 * 16 for n in (400, 800, 1600))
+
+
 def test_query(spark, sf):
     out = op4_pfair_mixing(spark, sf).collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").collect()

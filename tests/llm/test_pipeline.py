@@ -81,6 +81,12 @@ def test_mix_and_shards(steps):
     assert max(r["count"] for r in rows) - min(r["count"] for r in rows) <= 1
 
 
+def test_mixing_keeps_all_and_shards_keep_the_mix(steps):
+    assert steps[3][1].count() == steps[2][1].count()
+    seqs = sorted(r.mix_seq for r in steps[4][1].select("mix_seq").collect())
+    assert seqs == list(range(len(seqs)))
+
+
 def test_odd_rows_and_registration(spark):
     shape = "doc_id long, text string, lang string, source string, n_chars long, score string"
     docs = spark.createDataFrame([(None, None, None, None, None, "x"), (1, "", "", "", 0, None), (1, "", "", "", 0, None), (2, "a b c", "en", "s", 5, "y")], shape)

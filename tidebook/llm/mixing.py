@@ -11,7 +11,8 @@ the slot of block i mod w, i div w periods later: a join on (source, i mod w). A
 slots empty; closing the gaps keeps the rest at their weights.
 
 ``in_mix`` tells whether a row comes before the end of the mix: the last slot at which two sources still
-had blocks. What follows is the surplus of one source, whose share could not be held; all rows are returned.
+had blocks. What follows is the surplus of one source, whose share could not be held; all rows are returned. In the pipeline
+too no row goes: the schedule is the order of the stream, and a source that has run out leaves its share to the others.
 
 Target weights: given, or rows of a source to the power ``temper``, which lifts small sources.
 
@@ -28,7 +29,8 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import ranked, without
+from tidebook.llm.common import SENT_IDS, ranked
+from tidebook.session import cut
 
 MAX_SOURCES = 100_000
 
@@ -109,11 +111,22 @@ def mix(docs: DataFrame, weights: dict | None = None, temper: float = 0.7, block
     return order.select(*own, *[F.col("kept").getField(c).alias(c) for c in carry if c not in taken])
 
 
-def keep_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **params) -> DataFrame:
-    """The rows of ``docs`` inside the mix, with their columns as they are; texts are not moved to decide.
+def with_place(docs: DataFrame, place: str = "mix_seq", id_col: str = "doc_id", source_col: str = "source", **params) -> DataFrame:
+    """``docs`` with the place of every row in the mixed stream, from 0; texts are not moved while ids are few.
 
-    An id is taken to name one document: it goes only if all its rows are surplus. Rows without an id stay.
+    An id is taken to name one document: rows that repeat it take the first of its places. Rows without an id have none.
     """
-    placed = mix(docs.select(id_col, source_col), id_col=id_col, source_col=source_col, **params)
-    surplus = placed.groupBy(F.col(id_col).alias("_surplus")).agg(F.max("in_mix").alias("kept")).filter("not kept").select("_surplus")
-    return without(docs, surplus, F.col(id_col) == F.col("_surplus"), "mixing-surplus")
+    placed = mix(docs.select(id_col, source_col), id_col=id_col, source_col=source_col, **params).filter(F.col(id_col).isNotNull())
+    places = cut(placed.groupBy(F.col(id_col).alias("_placed")).agg(F.min("seq").alias(place)), "mixing-places")
+    places = F.broadcast(places) if places.count() <= SENT_IDS else places
+    return docs.drop(place).join(places, F.col(id_col) == F.col("_placed"), "left").drop("_placed")
+
+
+def keep_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **params) -> DataFrame:
+    """All rows of ``docs`` with their columns as they are, in the order of the mixed stream: partition by partition, and
+    inside each. Rows without an id come last, in hashed order."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    placed = with_place(docs, "_place", id_col, source_col, **params)
+    keys = [F.col("_place").asc_nulls_last(), F.when(F.col("_place").isNull(), whole)]
+    return placed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_place")
