@@ -68,6 +68,30 @@ def test_query_equals_plain_matching(spark):
     assert whole and whole <= found and len(found - whole) <= 0.01 * len(docs)
 
 
+def judged(spark, items, texts, **params):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = tp.report(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), **params).collect()
+    return [r.item_id for r in sorted(out, key=lambda r: r.doc_id)]
+
+
+def test_names_that_open_sentences_or_have_more_words(spark):
+    sold = "Natalia sold 48 clips in April. Natalia then sold half as many in May. How many clips did Natalia sell?"
+    trip = "Last summer the family of Ben drove from Boston to the coast with Ben and stayed in Boston for a week before Ben left the town of Boston again."
+    texts = [
+        sold.replace("Natalia", "Maria"), f"{FILL} Now {sold.replace('Natalia', 'Mary Ann')}", f"How To Win. {sold}",
+        trip.replace("Ben", "Mary Ann").replace("Boston", "New York"), f"{FILL} {trip.replace('Boston', 'Salt Lake City')}", FILL,
+    ]
+    assert judged(spark, [sold, trip], texts) == [0, 0, 0, 1, 1, None]
+
+
+def test_names_in_a_row_are_one_token():
+    text = b"He met Mary Ann Smith, Ben and Jean-Luc. New York is big"
+    c = tp.Canonical(np.frombuffer(text, np.uint8), np.array([0, len(text)]), tp.NAMES)
+    words = [text[a:b].decode() for a, b in zip(c.starts, c.ends, strict=True)]
+    assert words == ["He", "met", "Mary Ann Smith", "Ben", "and", "Jean-Luc", "New York", "is", "big"]
+    assert c.word.tolist() == [0, 1, 2, 5, 6, 7, 9, 11, 12]
+
+
 def test_many_copies_of_one_item(spark):
     rng = random.Random(1)
     texts = [f"{rng.random()} {ITEMS[2][1]}" for _ in range(50)] + [ITEMS[2][1]] * 50
