@@ -92,6 +92,12 @@ def test_names_in_a_row_are_one_token():
     assert c.word.tolist() == [0, 1, 2, 5, 6, 7, 9, 11, 12]
 
 
+def test_items_of_values_or_names_are_found_as_they_are(spark):
+    items = ["What is 12 + 35 * 4?", "7 13 19 25 31 37 43 49 55 61", "Der Hund Bello und die Katze Minka", "42"]
+    texts = [f"{FILL} What is 12 + 35 * 4? {FILL}", f"a 7, 13, 19, 25, 31, 37, 43, 49, 55, 61 {FILL}", f"So: der Hund Bello und die Katze Minka. {FILL}", "42!", f"page 42 {FILL}", "What is 12 + 35 * 5?", FILL]
+    assert judged(spark, items, texts) == [0, 1, 2, 3, None, None, None]
+
+
 def test_many_copies_of_one_item(spark):
     rng = random.Random(1)
     texts = [f"{rng.random()} {ITEMS[2][1]}" for _ in range(50)] + [ITEMS[2][1]] * 50

@@ -18,7 +18,9 @@ each value replaced by one other value. A placement counts if at least ``share``
 in either reading; windows that hold clashing values are taken away first.
 
 A text is contaminated if any item reaches ``share``. An item shorter than ``width`` tokens is one window of its
-own length, if it has ``literals`` plain words. Otherwise it can't be matched.
+own length, if it has ``literals`` plain words. An item without any window in this sense (values mostly, or names) is matched by
+its words and values as they are, a third reading without placeholders, in windows of ``width`` words or all its words if fewer; if
+it has fewer than ``WHOLE`` words, only a text of just these words is a copy.
 
 Defined results: null or empty texts are clean; rows with null or repeated ids are each judged on their own text in
 ``report`` and share a verdict by text in ``keep_clean``; null items are ignored, equal items all count; an
@@ -150,7 +152,8 @@ def windows_of(texts: DataFrame, widths: dict[int, list[int]], own_width: int |
     """(key, wins): a text's windows of every width of every reading, those the bitmap may hold; ``at`` counts words, ``n`` is
     its number of tokens.
 
-    With ``own_width`` (benchmark items) a text gives windows of that width only, or one of its own length if shorter.
+    With ``own_width`` (benchmark items) a text gives windows of that width only, or one of its own length if shorter, and
+    windows without placeholders if it has no others.
     """
     kind = texts.schema["key"].dataType.simpleString()
 
@@ -163,7 +166,7 @@ def windows_of(texts: DataFrame, widths: dict[int, list[int]], own_width: int |
                 last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + WINDOW, "right")) - 1)
                 part = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
                 owns: list = [[] for _ in range(last - first)]
-                for reading in (WORDS, NAMES) if own_width else sorted(widths):
+                for reading in (WORDS, NAMES, VALUES) if own_width else sorted(widths):
                     c = Canonical(*part, reading)
                     for own, a, b in zip(owns, c.ranges[:-1].tolist(), c.ranges[1:].tolist(), strict=True):
                         if own_width and reading == VALUES and own:
