@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import chat, hilbert, mixing, partenum, pivots, quality, secrets, templates, toxicity
+from tidebook.llm import chat, crosstok, hilbert, mixing, partenum, pivots, quality, secrets, templates, toxicity
 from tidebook.llm import token_counts as tokens
 from tidebook.llm.common import crc_bucket
+from tidebook.session import cut
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +88,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = quality.fit(docs, table(spark, sf_dir, "labels"), crc_bucket("doc_id", 5) != 0)
     scored = quality.with_score(docs, net)
     return scored.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op11_cross_tokenizer_alignment")
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    aligned = cut(crosstok.align(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model")), "aligned")
+    out = crosstok.scored(aligned, crosstok.link_counts(aligned))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
