@@ -105,13 +105,13 @@ FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NU
     "op12_exact_top_k",
     f"""
     WITH v AS (
-        SELECT row_number() OVER () AS at, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+        SELECT row_number() OVER () AS nr, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
         FROM embeddings WHERE {FINITE}
     ), scored AS (
-        SELECT q.at, q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.e, d.e) AS BIGINT) AS score
-        FROM v q JOIN v d ON q.at <> d.at WHERE q.vec_id % 100 = 0
+        SELECT q.nr, q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.e, d.e) AS BIGINT) AS score
+        FROM v q JOIN v d ON q.nr <> d.nr WHERE q.vec_id % 100 = 0
     ), placed AS (
-        SELECT *, row_number() OVER (PARTITION BY at ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored
+        SELECT *, row_number() OVER (PARTITION BY nr ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored
     )
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM placed WHERE rank <= 10
     """,
@@ -124,23 +124,23 @@ def clustering_sql(clusters: int = 16, rounds: int = 3) -> str:
     """Every round as all distances, the least by (distance, number), and floors of the means."""
     near = """
     d{r} AS MATERIALIZED (
-        SELECT v.at, c.cluster, CAST(sum((v.x - c.x) * (v.x - c.x)) AS BIGINT) AS distance FROM v JOIN c{r} c USING (pos) GROUP BY v.at, c.cluster
+        SELECT v.nr, c.cluster, CAST(sum((v.x - c.x) * (v.x - c.x)) AS BIGINT) AS distance FROM v JOIN c{r} c USING (pos) GROUP BY v.nr, c.cluster
     ), a{r} AS MATERIALIZED (
-        SELECT at, cluster, distance FROM (SELECT *, row_number() OVER (PARTITION BY at ORDER BY distance, cluster) AS n FROM d{r}) WHERE n = 1
+        SELECT nr, cluster, distance FROM (SELECT *, row_number() OVER (PARTITION BY nr ORDER BY distance, cluster) AS n FROM d{r}) WHERE n = 1
     )"""
     move = """
     m{r} AS MATERIALIZED (
-        SELECT cluster, pos, sum(x) AS s, count(*) AS n FROM a{r} JOIN v USING (at) GROUP BY cluster, pos
+        SELECT cluster, pos, sum(x) AS s, count(*) AS n FROM a{r} JOIN v USING (nr) GROUP BY cluster, pos
     ), c{t} AS MATERIALIZED (
         SELECT c.cluster, c.pos, coalesce(CAST((m.s - ((m.s % m.n) + m.n) % m.n) / m.n AS BIGINT), c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (cluster, pos)
     )"""
     steps = [near.format(r=r) + ("," + move.format(r=r, t=r + 1) if r < rounds else "") for r in range(rounds + 1)]
     return f"""
     WITH kept AS MATERIALIZED (
-        SELECT row_number() OVER () AS at, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        SELECT row_number() OVER () AS nr, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
         FROM embeddings WHERE len(embedding) = 64 AND {FINITE}
     ), v AS MATERIALIZED (
-        SELECT at, unnest(range(1, 65)) AS pos, unnest(e) AS x FROM kept
+        SELECT nr, unnest(range(1, 65)) AS pos, unnest(e) AS x FROM kept
     ), first AS MATERIALIZED (
         SELECT e, row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), 'null')), e) - 1 AS cluster FROM kept
     ), c0 AS MATERIALIZED (
@@ -152,7 +152,7 @@ def clustering_sql(clusters: int = 16, rounds: int = 3) -> str:
     SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance,
            CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
            CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
-    FROM a{rounds} JOIN kept USING (at) JOIN names USING (cluster)
+    FROM a{rounds} JOIN kept USING (nr) JOIN names USING (cluster)
     """
 
 
