@@ -37,20 +37,26 @@ WORD = re.compile(r"(?<=\S)(?= \S)")
 #: bits of an id in a pair's name
 ID_BITS = 20
 #: words and their characters that a task remembers, characters aligned at once, entries of a product's slab
-WORDS, WORD_CHARS, SLAB_CHARS, SLAB = 120_000, 4_000_000, 2_000_000, 2_000_000
+WORDS, WORD_CHARS, SLAB_CHARS, SLAB = 300_000, 6_000_000, 1_000_000, 1_000_000
 
 Csr = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def csr(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, height: int) -> Csr:
     """The matrix of entries (row, column, value); equal places are summed."""
-    order = np.lexsort((columns, rows))
-    rows, columns, values = rows[order], columns[order], values[order]
-    first = np.ones(len(rows), bool)
-    first[1:] = (rows[1:] != rows[:-1]) | (columns[1:] != columns[:-1])
+    bits = int(columns.max(initial=1)).bit_length()
+    if bits + height.bit_length() > 63:
+        raise OverflowError("places above 63 bits")
+    key = rows << bits | columns
+    if (key[1:] < key[:-1]).any():
+        order = np.argsort(key)
+        key, values = key[order], values[order]
+    first = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=first[1:])
     at = np.nonzero(first)[0]
-    sums = np.add.reduceat(values, at) if len(at) else values[:0]
-    return np.searchsorted(rows[at], np.arange(height + 1)), columns[at], sums
+    if len(at) < len(key):
+        key, values = key[at], np.add.reduceat(values, at)
+    return np.searchsorted(key, np.arange(height + 1) << bits), key & ((1 << bits) - 1), values
 
 
 def product(left: Csr, right: Csr) -> Csr:
@@ -108,63 +114,96 @@ class Pair:
         """Ids of texts that begin with the added space; B adds its own."""
         return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)
 
+    def flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words one after another, if the bytes come back and both have a token's end at each word's end."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        text = "".join(words)
+        a, b = (x[0] for x in self.encode([text]))
+        if b"".join(map(self.bytes_a.__getitem__, a)) != text.encode() or b"".join(map(self.bytes_b.__getitem__, b)) != text.encode():
+            return None
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def joinable(word: str) -> bool:
+    """Whether the word ends and begins so that it may stand between others: a space and a character, and a character."""
+    return len(word) > 1 and not word[1].isspace() and not word[-1].isspace()
+
 
 class Words:
     """What a task knows of words: counts (tokens of A and B, overlaps, groups, links), groups as text, and linked id pairs."""
 
     def __init__(self, pair: Pair):
         self.pair = pair
+        self.long_a, self.long_b = (np.array([len(x) for x in held], np.int64) for held in (pair.bytes_a, pair.bytes_b))
+        size = max(len(self.long_a), len(self.long_b))
+        self.told = np.array([f"{i}{end}" for end in ",|;" for i in range(size)], object)
+        self.told_long = np.array([len(x) for x in self.told], np.int64)
         self.clear()
 
     def clear(self) -> None:
-        self.at, self.counts, self.groups, self.links, self.chars = {}, [], [], [], 0
+        none = np.zeros(0, np.int64)
+        self.at, self.groups, self.chars = {}, [], 0
+        self.counts, self.links = np.zeros((0, 5), np.int64), (np.zeros(1, np.int64), none, none)
 
     def learn(self, words: list[str]) -> None:
-        """Align new words, many at once: they are the blocks of block-diagonal matrices."""
-        start = held = 0
-        for i, word in enumerate(words):
+        """Align new words: those that can stand side by side are encoded as one text and told apart by their bytes."""
+        plain, single, start, held = [w for w in words if joinable(w)], [w for w in words if not joinable(w)], 0, 0
+        for i, word in enumerate(plain):
             held += len(word)
-            if held >= SLAB_CHARS or i == len(words) - 1:
-                self.add(words[start : i + 1])
+            if held >= SLAB_CHARS or i == len(plain) - 1:
+                part = plain[start : i + 1]
+                found = self.pair.flat(part)
+                if found is None:
+                    single += part
+                else:
+                    self.add(part, *found)
                 start, held = i + 1, 0
-
-    def add(self, words: list[str]) -> None:
-        pair, base = self.pair, len(self.counts)
-        ids_a, ids_b = pair.encode(words)
-        whole = [b"".join(map(pair.bytes_a.__getitem__, x)) == w.encode() == b"".join(map(pair.bytes_b.__getitem__, y)) for w, x, y in zip(words, ids_a, ids_b, strict=True)]
-        self.at.update((w, base + i if ok else -1) for i, (w, ok) in enumerate(zip(words, whole, strict=True)))
+        good, parts = [], []
+        for word in single:
+            found = self.pair.flat([word])
+            if found is None:
+                self.at[word] = -1
+            else:
+                good.append(word)
+                parts.append(found)
+        if good:
+            self.add(good, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    def add(self, words: list[str], a: np.ndarray, b: np.ndarray) -> None:
+        """Align words as the blocks of block-diagonal matrices, and keep what comes out."""
+        self.at.update(zip(words, range(len(self.groups), len(self.groups) + len(words)), strict=True))
         self.chars += sum(map(len, words))
-        n_a = np.array([len(x) if ok else 0 for x, ok in zip(ids_a, whole, strict=True)], np.int64)
-        n_b = np.array([len(x) if ok else 0 for x, ok in zip(ids_b, whole, strict=True)], np.int64)
-        a = np.array([i for x, ok in zip(ids_a, whole, strict=True) if ok for i in x], np.int64)
-        b = np.array([i for x, ok in zip(ids_b, whole, strict=True) if ok for i in x], np.int64)
-        long_a = np.fromiter((len(pair.bytes_a[i]) for i in a), np.int64, len(a))
-        long_b = np.fromiter((len(pair.bytes_b[i]) for i in b), np.int64, len(b))
-        end_a, end_b, word_a = np.cumsum(long_a), np.cumsum(long_b), np.repeat(np.arange(len(words)), n_a)
-        size = int(end_a[-1]) if len(end_a) else 0
+        word_ends = np.cumsum([len(w.encode()) for w in words])
+        long_a, long_b = self.long_a[a], self.long_b[b]
+        end_a, end_b, size = np.cumsum(long_a), np.cumsum(long_b), int(word_ends[-1])
         one = np.ones(size, np.int64)
         token_bytes = (np.concatenate(([0], end_a)), np.arange(size), one)
         byte_tokens = (np.arange(size + 1), np.repeat(np.arange(len(b)), long_b), one)
         overlaps = np.diff(product(token_bytes, byte_tokens)[0])
-        ends = np.intersect1d(end_a, end_b)
+        ends = np.intersect1d(end_a, end_b, assume_unique=True)
         group_a, group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
-        word_of = np.zeros(len(ends), np.int64)
-        word_of[group_a] = word_a
+        word_of, word_a, word_b = (np.searchsorted(word_ends, x) for x in (ends, end_a, end_b))
         ids_in_a, ids_in_b = csr(group_a, a, np.ones_like(a), len(ends)), csr(group_b, b, np.ones_like(b), len(ends))
         row_group = np.repeat(np.arange(len(ends)), np.diff(ids_in_a[0]))
         links = product((np.arange(len(row_group) + 1), row_group, ids_in_a[2]), ids_in_b)
         row = np.repeat(np.arange(len(row_group)), np.diff(links[0]))
         by_word = csr(word_of[row_group[row]], ids_in_a[1][row] << ID_BITS | links[1], links[2], len(words))
-        total = lambda rows, values: np.bincount(rows, values, len(words)).astype(np.int64)
+        total = lambda rows, values=None: np.bincount(rows, values, len(words)).astype(np.int64)
         n_links = np.diff(np.concatenate(([0], np.cumsum(by_word[2])))[by_word[0]])
-        n_groups = np.bincount(word_of, minlength=len(words))
-        self.counts.extend(np.stack([n_a, n_b, total(word_a, overlaps), n_groups, n_links], axis=1))
-        self.links.extend((by_word[1][x:y], by_word[2][x:y]) for x, y in zip(by_word[0], by_word[0][1:], strict=False))
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        stop_a, stop_b = np.searchsorted(group_a, np.arange(len(ends)), "right").tolist(), np.searchsorted(group_b, np.arange(len(ends)), "right").tolist()
-        told = [f"{','.join(text_a[w:x])}|{','.join(text_b[y:z])}" for w, x, y, z in zip([0, *stop_a], stop_a, [0, *stop_b], stop_b, strict=False)]
-        stops = np.cumsum(n_groups).tolist()
-        self.groups.extend(";".join(told[x:y]) for x, y in zip([0, *stops], stops, strict=False))
+        counts = np.stack([total(word_a), total(word_b), total(word_a, overlaps), total(word_of), n_links], axis=1)
+        self.counts = np.concatenate([self.counts, counts])
+        starts, pairs, values = self.links
+        self.links = np.concatenate([starts, starts[-1] + by_word[0][1:]]), np.concatenate([pairs, by_word[1]]), np.concatenate([values, by_word[2]])
+        # a group reads a1,a2|b1,b2; - its tokens in order, each with what follows it
+        group, side = np.concatenate([group_a, group_b]), np.concatenate([np.zeros(len(a), bool), np.ones(len(b), bool)])
+        order = np.argsort(group * 2 + side, kind="stable")
+        group, side = group[order], side[order]
+        last = np.append((group[1:] != group[:-1]) | (side[1:] != side[:-1]), True)
+        token = np.concatenate([a, b])[order] + np.where(last, 1 + side, 0) * (len(self.told) // 3)
+        text, stops = "".join(self.told[token].tolist()), np.cumsum(self.told_long[token])
+        stops = stops[np.append(word_of[group[1:]] != word_of[group[:-1]], True)].tolist()
+        self.groups.extend(text[x : y - 1] for x, y in zip([0, *stops], stops, strict=False))
 
     def place(self, texts: list[str | None]) -> list[list[int]]:
         """The words of each text, by their places in this table; of texts without tokens, none."""
@@ -182,24 +221,20 @@ class Words:
         return placed
 
 
-def aligned_batch(words: Words, texts: list[str | None], with_groups: bool) -> dict[str, list]:
-    """The columns of ``align`` for some texts."""
+def aligned_batch(words: Words, texts: list[str | None], with_groups: bool) -> list[pa.Array]:
+    """The columns of ``align`` for some texts: documents x words times words x pairs."""
     placed = words.place(texts)
     document = np.repeat(np.arange(len(texts)), [len(p) for p in placed])
-    known, local = np.unique(np.array([k for p in placed for k in p], np.int64), return_inverse=True)
-    texts_words = csr(document, local, np.ones_like(local), len(texts))
-    counts = np.array([words.counts[k] for k in known], np.int64).reshape(-1, 5)
-    held = [words.links[k] for k in known]
-    every = np.concatenate([x for x, _ in held]) if held else np.zeros(0, np.int64)
-    pairs, column = np.unique(every, return_inverse=True)
-    starts = np.concatenate(([0], np.cumsum([len(x) for x, _ in held], dtype=np.int64)))
-    links = product(texts_words, (starts, column, np.concatenate([x for _, x in held]) if held else every))
-    sums = np.stack([np.diff(np.concatenate(([0], np.cumsum(texts_words[2] * counts[texts_words[1], j])))[texts_words[0]]) for j in range(5)], axis=1)
+    word = np.fromiter((k for p in placed for k in p), np.int64, len(document))
+    texts_words = csr(document, word, np.ones_like(word), len(texts))
+    links = product(texts_words, words.links)
+    counts = words.counts[texts_words[1]] * texts_words[2][:, None]
+    sums = np.diff(np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(counts, axis=0)])[texts_words[0]], axis=0)
     groups = [";".join(map(words.groups.__getitem__, p)) for p in placed]
     ragged = lambda values: pa.ListArray.from_arrays(pa.array(links[0], pa.int32()), pa.array(values, pa.int64()))
     out = [pa.array(sums[:, j], pa.int64()) for j in range(5)]
     out += [pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], pa.string())]
-    return [*out, ragged(pairs[links[1]]), ragged(links[2]), *([pa.array(groups, pa.string())] if with_groups else [])]
+    return [*out, ragged(links[1]), ragged(links[2]), *([pa.array(groups, pa.string())] if with_groups else [])]
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = False) -> DataFrame:
