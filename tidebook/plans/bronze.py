@@ -8,11 +8,11 @@ from ..functions import text as X
 from ..functions.num import round_dp
 from ..operators import quality as Q
 from ..operators import windows as W
-from ..session import scratch_path
+from ..session import scratch_path, shared_table
 from ..sources import sinks
 from ..sources import ticks as S
 from ..sources.derived import ticks
-from .quality import CONT_SQL, GATES, LOOSE_OK, LOOSE_SQL, loose_passed
+from .quality import GATES, LOOSE_OK, LOOSE_SQL, loose_passed
 from .features import WINDOWS_SQL
 from .registry import query
 from .sqltext import R, T, day_of
@@ -44,11 +44,6 @@ def parsed_lines(spark, sf):
     return S.parse_lines(S.read_lines(spark, bronze_path(spark, sf)))
 
 
-def valid_ticks(parsed):
-    wire = parsed.filter(c("state") == "valid").select("file_day", "line_no", "tick.*")
-    return wire.select("file_day", "line_no", *S.silver_columns())
-
-
 @query(
     "read_ticks",
     VT + "SELECT cid, ts, series, duration, slug, start_ts, end_ts, up_bid, up_ask, dn_bid, dn_ask, mid, touch_pair, err, len(tape) AS prints, up_token, dn_token, ts_us, el_ms, day FROM v",
@@ -115,26 +110,72 @@ def windows_sink(spark, sf):
     return spark.read.schema(schema).json(f"{path}/windows")
 
 
+def checked(spark, sf):
+    """Every line classified and checked in one parse; written once per application and read by all reports."""
+    def build():
+        return Q.checked_lines(parsed_lines(spark, sf), S.silver_columns(), ["file", "file_day"])
+
+    return shared_table(spark, sf, "checked", build)
+
+
 def _report(spark, sf):
-    p = parsed_lines(spark, sf)
-    return Q.file_status(Q.file_report(p, valid_ticks(p), GATES))
+    """Reports by day, over all files of it."""
+    return Q.verify_report(checked(spark, sf), GATES, ["file_day"])
+
+
+_PIECE = "lpad(CAST(line_no//50000 AS VARCHAR),12,'0')"
 
 
-_REP = CONT_SQL.replace("FROM ticks)\n", f"FROM ticks WHERE {_OK})\n", 1) + f""",
-ln AS (SELECT {day_of('ts')} AS file_day, count(*) AS raw_lines, count(*) FILTER (WHERE event_id%173=0) AS empty_lines, count(*) FILTER (WHERE event_id%179=0 AND event_id%173<>0) AS corrupt_lines FROM ticks GROUP BY 1),
-tc AS (SELECT {day_of('ts')} AS file_day, count(*) AS valid_ticks, CAST(sum((CASE WHEN mid<-0.01 OR mid>1.01 THEN 1 ELSE 0 END)+(CASE WHEN touch_pair<0.5 OR touch_pair>1.5 THEN 1 ELSE 0 END)+(CASE WHEN up_bid>=up_ask THEN 1 ELSE 0 END)
+def _rep_sql(key, by):
+    """The report by ``key``; ``by`` gives its columns in a row of ticks."""
+    gap = f"lag(ts_us) OVER (PARTITION BY {key}, cid ORDER BY line_no)"
+    return VT.rstrip() + f""",
+al AS (SELECT *, {by} FROM ticks), va AS (SELECT * FROM al WHERE {_OK}),
+ln AS (SELECT {key}, count(*) AS raw_lines, count(*) FILTER (WHERE event_id%173=0) AS empty_lines, count(*) FILTER (WHERE event_id%179=0 AND event_id%173<>0) AS corrupt_lines FROM al GROUP BY ALL),
+tc AS (SELECT {key}, count(*) AS valid_ticks, CAST(sum((CASE WHEN mid<-0.01 OR mid>1.01 THEN 1 ELSE 0 END)+(CASE WHEN touch_pair<0.5 OR touch_pair>1.5 THEN 1 ELSE 0 END)+(CASE WHEN up_bid>=up_ask THEN 1 ELSE 0 END)
   +(CASE WHEN dn_bid>=dn_ask THEN 1 ELSE 0 END)+len(list_filter(tape, lambda z: z.size<=0))) AS BIGINT) AS schema_errors, CAST(sum((CASE WHEN up_bid>=up_ask THEN 1 ELSE 0 END)+(CASE WHEN dn_bid>=dn_ask THEN 1 ELSE 0 END)) AS BIGINT) AS crossed_books,
-  CAST(0 AS BIGINT) AS book_anomalies, count(*) FILTER (WHERE err IS NOT NULL) AS collector_errors, CAST(sum(len(tape)) AS BIGINT) AS tape_entries FROM ticks WHERE {_OK} GROUP BY 1),
-wc AS (SELECT start_day AS file_day, count(*) AS windows_count, CAST(sum(gaps_count) AS BIGINT) AS sampling_gaps, count(*) FILTER (WHERE late_start) AS late_starts, count(*) FILTER (WHERE early_cutoff) AS early_cutoffs, CAST(sum(time_reversals) AS BIGINT) AS time_reversals FROM cont GROUP BY 1),
-rep0 AS (SELECT * FROM ln LEFT JOIN tc USING (file_day) LEFT JOIN wc USING (file_day)),
+  CAST(0 AS BIGINT) AS book_anomalies, count(*) FILTER (WHERE err IS NOT NULL) AS collector_errors, CAST(sum(len(tape)) AS BIGINT) AS tape_entries FROM va GROUP BY ALL),
+gp AS (SELECT *, (ts_us-{gap})/1e6 AS gap FROM va),
+wi AS (SELECT {key}, cid, any_value(start_ts) AS s, any_value(end_ts) AS e, arg_min(ts, line_no) AS f, arg_max(ts, line_no) AS l, count(*) FILTER (WHERE gap>5400) AS g, count(*) FILTER (WHERE gap<0) AS r FROM gp GROUP BY ALL),
+wc AS (SELECT {key}, count(*) AS windows_count, CAST(sum(g) AS BIGINT) AS sampling_gaps, count(*) FILTER (WHERE greatest(0.0e0,f-s)>1500) AS late_starts, count(*) FILTER (WHERE greatest(0.0e0,e-l)>1500) AS early_cutoffs,
+  CAST(sum(r) AS BIGINT) AS time_reversals, array_to_string(list_sort(list(DISTINCT {day_of('f')})),',') AS time_blocks FROM wi GROUP BY ALL),
+rep0 AS (SELECT * FROM ln LEFT JOIN tc USING ({key}) LEFT JOIN wc USING ({key})),
 rep AS (SELECT *, CASE WHEN corrupt_lines>0 OR schema_errors>valid_ticks*0.05e0 THEN 'FAIL' WHEN crossed_books+sampling_gaps+late_starts+early_cutoffs+collector_errors+time_reversals>0 THEN 'WARN' ELSE 'PASS' END AS status FROM rep0)
 """
-_COLS = "file_day, raw_lines, empty_lines, corrupt_lines, valid_ticks, schema_errors, crossed_books, book_anomalies, collector_errors, tape_entries, windows_count, sampling_gaps, late_starts, early_cutoffs, time_reversals, status"
 
 
-@query("file_verify", _REP + f"SELECT {_COLS} FROM rep")
+_REP = _rep_sql("file_day", f"{day_of('ts')} AS file_day")
+_BY_FILE = "file_day, piece"
+_COUNTS = "raw_lines, empty_lines, corrupt_lines, valid_ticks, schema_errors, crossed_books, book_anomalies, collector_errors, tape_entries, windows_count, sampling_gaps, late_starts, early_cutoffs, time_reversals, status"
+_FILES_SQL = _rep_sql(_BY_FILE, f"{day_of('ts')} AS file_day, {_PIECE} AS piece") + f""",
+pl AS (SELECT *, row_number() OVER (PARTITION BY {_BY_FILE} ORDER BY line_no) AS line FROM al),
+ev AS (SELECT {_BY_FILE}, line, unnest(CASE WHEN event_id%173=0 THEN [] WHEN event_id%179=0 THEN ['corrupt {{bad'] ELSE list_concat(list_filter(['issue '||CASE WHEN mid<-0.01 OR mid>1.01 THEN 'mid.range' END,
+  'issue '||CASE WHEN touch_pair<0.5 OR touch_pair>1.5 THEN 'touch_pair.range' END, 'issue '||CASE WHEN up_bid>=up_ask THEN 'up.crossed' END, 'issue '||CASE WHEN dn_bid>=dn_ask THEN 'down.crossed' END], lambda z: z IS NOT NULL),
+  list_transform(list_filter(tape, lambda z: z.size<=0), lambda z: 'issue tape.size')) END) AS what, generate_subscripts(CASE WHEN event_id%173=0 THEN [] WHEN event_id%179=0 THEN [1] ELSE list_concat(list_filter([CASE WHEN mid<-0.01 OR mid>1.01 THEN 1 END,
+  CASE WHEN touch_pair<0.5 OR touch_pair>1.5 THEN 1 END, CASE WHEN up_bid>=up_ask THEN 1 END, CASE WHEN dn_bid>=dn_ask THEN 1 END], lambda z: z IS NOT NULL), list_transform(list_filter(tape, lambda z: z.size<=0), lambda z: 1)) END, 1) AS nth FROM pl),
+er AS (SELECT *, row_number() OVER (PARTITION BY {_BY_FILE} ORDER BY line, nth) AS r FROM ev),
+es AS (SELECT {_BY_FILE}, string_agg(CAST(line AS VARCHAR)||' '||what, '; ' ORDER BY r) AS issues FROM er WHERE r<=20 GROUP BY ALL),
+se AS (SELECT {_BY_FILE}, string_agg(series||'='||CAST(n AS VARCHAR), ',' ORDER BY series) AS series_counts FROM (SELECT {_BY_FILE}, series, count(*) AS n FROM va GROUP BY ALL) GROUP BY ALL),
+mk AS (SELECT {_BY_FILE}, series, duration, count(DISTINCT cid) AS w, CAST(sum(len(tape)) AS BIGINT) AS t FROM va GROUP BY ALL),
+ms AS (SELECT {_BY_FILE}, count(*) AS markets, min(w) AS least, string_agg(series||'/'||CAST(duration AS VARCHAR)||'='||CAST(w AS VARCHAR)||'/'||CAST(t AS VARCHAR), ',' ORDER BY series, duration) AS market_breakdown FROM mk GROUP BY ALL)
+SELECT {_BY_FILE}, {_COUNTS}, time_blocks, series_counts, market_breakdown, coalesce(issues,'') AS issues,
+  CASE WHEN corrupt_lines=0 AND collector_errors=0 AND valid_ticks>=10000 AND windows_count>=100 AND tape_entries>=100 AND markets>=10 AND least>=10 AND len(string_split(time_blocks,','))>=3 AND schema_errors<=valid_ticks*0.05e0 AND sampling_gaps<=windows_count*0.1e0 THEN 'RESEARCH_READY'
+   WHEN corrupt_lines=0 AND collector_errors<=valid_ticks*0.01e0 AND valid_ticks>=1000 AND windows_count>=30 AND tape_entries>=30 AND schema_errors<=valid_ticks*0.05e0 AND sampling_gaps<=windows_count*0.5e0 THEN 'EXPLORATORY' ELSE 'INSUFFICIENT' END AS readiness_level
+FROM rep LEFT JOIN es USING ({_BY_FILE}) LEFT JOIN se USING ({_BY_FILE}) LEFT JOIN ms USING ({_BY_FILE})"""
+
+
+@query("file_verify", _FILES_SQL)
 def file_verify(spark, sf):
-    return _report(spark, sf).select(*[x.strip() for x in _COLS.split(",")])
+    """The whole report of every file; nested parts are told as text here."""
+    rep = Q.verify_report(checked(spark, sf), GATES, ["file"], S.list_files(spark, bronze_path(spark, sf), "part-*").select("file", "size_bytes"))
+    text = lambda a, f, sep=",": F.array_join(F.transform(a, f), sep)
+    told = {
+        "file_day": F.regexp_extract("file", S.DAY_PATTERN, 1), "piece": F.regexp_extract("file", "piece=([0-9]+)", 1), "time_blocks": F.array_join("time_blocks", ","),
+        "series_counts": text(F.map_entries("series_counts"), lambda x: F.concat_ws("=", x["key"], x["value"])),
+        "market_breakdown": text("market_breakdown", lambda x: F.concat(x["series"], F.lit("/"), x["duration"], F.lit("="), x["windows"], F.lit("/"), x["trades"])),
+        "issues": F.coalesce(text("sample_issues", lambda x: F.concat_ws(" ", x["line"], x["type"], x["detail"]), "; "), F.lit("")),
+    }
+    return rep.withColumns(told).select("file_day", "piece", *_COUNTS.split(", "), "time_blocks", "series_counts", "market_breakdown", "issues", "readiness_level")
 
 
 _REASON = "CASE WHEN {0}>0 THEN '{1}='||CAST({0} AS VARCHAR) END"

@@ -14,10 +14,11 @@ def append_day(df: DataFrame, path: str, day: str = "day", fmt: str = "parquet",
     w.save(path)
 
 
-def write_lines(df: DataFrame, path: str, day: str, order: str, value: str = "value") -> None:
-    """Text day files. Rows are range-partitioned on (day, order), so a huge day becomes many ordered parts."""
-    ranged = df.select(day, order, value).repartitionByRange(F.col(day), F.col(order)).sortWithinPartitions(day, order)
-    ranged.select(day, F.col(value).alias("value")).write.mode("overwrite").partitionBy(day).text(path)
+def write_lines(df: DataFrame, path: str, day: str, order: str, value: str = "value", span: int = 50_000) -> None:
+    """Text files of a day, in order: one for each ``span`` of ``order``, so a huge day is many files of bounded size."""
+    piece = F.lpad(F.floor(F.col(order) / span).cast("string"), 12, "0")
+    ranged = df.select(day, order, value, piece.alias("piece")).repartitionByRange(F.col(day), F.col("piece")).sortWithinPartitions(day, "piece", order)
+    ranged.select(day, "piece", F.col(value).alias("value")).write.mode("overwrite").partitionBy(day, "piece").text(path)
 
 
 def copy_verbatim(lines: DataFrame, passed: DataFrame, path: str, key: str = "cid", day: str = "start_day") -> None:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import book as B
 from ..functions import text as X
 from ..functions.num import as_price, finite
 from ..schema import CORRUPT, wire_tick
+from ..session import cut
 
 DAY_FILES = "ticks_*.jsonl*"
 DAY_PATTERN = r"(\d{4}-\d{2}-\d{2})"
@@ -24,31 +25,55 @@ def _check(paths) -> list[str]:
 
 
 def read_ticks(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
-    """Valid tick objects only; blank, malformed and non-object lines are skipped."""
-    reader = spark.read.schema(wire_tick(with_corrupt=True)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-    df = reader.json(_check(paths))
-    return numbered(df).filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    """Valid tick objects only, with ``file``, ``line`` and ``line_no``; blank, malformed and non-object lines are skipped."""
+    parsed = parse_lines(read_lines(spark, paths, glob))
+    return parsed.filter(F.col("state") == "valid").select("file", "line", "line_no", "tick.*")
+
+
+#: rows of the table of splits up to which it is sent to every task; beyond it the lines are shuffled by split
+SENT_SPLITS = 1_000_000
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Rows of line files with ``file`` and ``line_no``, a BIGINT that grows with the file's place in path order, then line by line.
+    """Rows of line files with ``file``, ``line`` (1-based in the file) and ``line_no`` (0-based over all files in path order).
 
-    A line's number is its split's byte offset plus its row in the task (a task holds one full split, or the ends of
-    several files), so it grows along a file however the file is split; the file's place fills the bits above 2**40.
+    One pass counts the lines of every split. Counts summed up along files and over all splits, a row for each, say how
+    many lines lie before a split; a line's place in its split is its row in the task less the split's first row there. The size
+    of splits follows from the number of cores, which may change between the two passes, so it is pinned for the session, and
+    a line whose split was not counted raises an error.
     """
     spark = df.sparkSession
-    places = spark.createDataFrame([(f, i << 40) for i, f in enumerate(sorted(df.inputFiles()))], "file string, __place long")
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    df = df.select("*", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + row).alias("__row"))
-    return df.join(places, "file", "left").withColumn("line_no", F.coalesce("__place", F.lit(0)) + F.col("__row")).drop("__place", "__row")
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__start")]
+    splits = df.select(*where, row.alias("r")).groupBy("file", "__start").agg(F.min("r").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    splits = cut(splits, "splits")
+    along, over = Window.partitionBy("file").orderBy("__start"), Window.orderBy("file", "__start")
+    places = splits.withColumns({"__in_file": F.sum("__n").over(along) - F.col("__n"), "__in_all": F.sum("__n").over(over) - F.col("__n")})
+    if splits.count() <= SENT_SPLITS:
+        places = F.broadcast(places)
+    at = F.col("__row") - F.col("__first")
+    at = F.when((at >= 0) & (at < F.col("__n")), at).otherwise(F.raise_error(F.concat(F.lit("lines of a split that was not counted: "), "file")))
+    out = df.select("*", *where, row.alias("__row")).join(places, ["file", "__start"], "left").withColumn("__at", at)
+    return out.withColumns({"line": F.col("__in_file") + F.col("__at") + 1, "line_no": F.col("__in_all") + F.col("__at")}).drop(*(x for x in out.columns if x.startswith("__")))
+
+
+def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
+    """Every physical line with its file, day and place; nothing is dropped."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return numbered(reader.text(_check(paths))).select("value", "file", "line", "line_no", F.regexp_extract("file", DAY_PATTERN, 1).alias("file_day"))
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Every physical line with its file, day and an order key; nothing is dropped."""
-    df = spark.read.option("recursiveFileLookup", "true").text(_check(paths))
-    return numbered(df).select("value", "file", "line_no", F.regexp_extract("file", DAY_PATTERN, 1).alias("file_day"))
+def list_files(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
+    """(file, size_bytes, file_day) of every file; contents are not read. Files of no bytes are left out, as by all readers."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    files = reader.load(_check(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("size_bytes"))
+    return files.withColumn("file_day", F.regexp_extract("file", DAY_PATTERN, 1))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -103,7 +128,7 @@ def silver_columns() -> list[Column]:
 
 def to_silver(wire: DataFrame) -> DataFrame:
     """Flat ticks; ``file`` and ``line_no`` stay where the reader gave them."""
-    return wire.select(*[x for x in ("file", "line_no") if x in wire.columns], *silver_columns())
+    return wire.select(*[x for x in ("file", "line", "line_no") if x in wire.columns], *silver_columns())
 
 
 def _as_map(levels: Column) -> Column:
