@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidebook.plans.feeds import RANGE_US, REACT_US
 from tidebook.sources.derived import load, ticks
+from tidebook.streaming import batches as BA
 from tidebook.streaming import jobs as J
 from tidebook.streaming.run import drain, tick_stream
 
@@ -79,5 +80,5 @@ def test_silence_and_sessions_across_batches(spark, sf, split):
 def test_authority_and_spot_across_batches(spark, sf, split):
     a = lambda s: drain(J.source_authority(s, 600_000_000, 1_200_000_000), "t")
     assert rows(a(tick_stream(spark, sf)), "event_id", "authoritative") == rows(a(stream(spark, split)), "event_id", "authoritative")
-    m = lambda s: drain(J.spot_merge(s, 1_800_000_000), "t")
+    m = lambda s: BA.spot_merge(J.spot(s), 1_800_000_000)
     assert rows(m(tick_stream(spark, sf)), "event_id", "used", "baseline") == rows(m(stream(spark, split)), "event_id", "used", "baseline")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import cut, scratch_path
+from ..streaming import batches as BA
 from ..streaming import jobs as J
-from ..streaming.run import drain, tick_stream
+from ..streaming.run import EVENTS_DDL, drain, tick_stream
 from .feeds import REACT_US, RANGE_US
 from ..sources import feeds as FD
 from .registry import query
 from .sqltext import R, T, classify
 from .outcomesql import UPB
-from ..sources.derived import ladder_sql
+from ..sources.derived import ladder_sql, load
 
 c = F.col
 _UPA = ladder_sql("up_ask_m", 5, 3, 40)
@@ -29,10 +31,10 @@ def tick_stream_counts(spark, sf):
 @query(
     "window_close",
     WM + f", cw AS (SELECT cid, series, max(end_ts) AS e, count(*) AS snaps, {R('arg_min(mid, line_no) FILTER (WHERE mid IS NOT NULL)', 4)} AS start_mid, {R('arg_max(mid, line_no) FILTER (WHERE mid IS NOT NULL)', 4)} AS close_mid, {classify('max(mid)', 'min(mid)')} AS class FROM ticks GROUP BY 1,2) "
-    "SELECT cid, series, snaps, start_mid, close_mid, class FROM cw, wm WHERE e*1000000 <= w AND class<>'no_data'",
+    "SELECT cid, series, snaps, start_mid, close_mid, class, false AS reopened FROM cw, wm WHERE e*1000000 <= w AND class<>'no_data'",
 )
 def window_close(spark, sf):
-    return drain(J.window_close(tick_stream(spark, sf)), "closed").drop("end_at", "reopened")
+    return drain(J.window_close(tick_stream(spark, sf)), "closed").drop("end_at")
 
 
 @query("trade_buffer", WM + f""", tb AS (SELECT p.asset AS token, ts_us//3600000000 AS h, count(*) AS n, {R('sum(p.size)', 4)} AS size FROM (SELECT ts_us, unnest(tape) AS p FROM ticks) GROUP BY 1,2)
@@ -74,49 +76,92 @@ def session_segments(spark, sf):
     return s.select("series", F.unix_micros("start_at").alias("start_us"), F.unix_micros("end_at").alias("end_us"), "n")
 
 
-@query("late_data", WM + """, ld AS (SELECT cid, ts_us//86400000000 AS d, count(*) AS ticks, min(ts)-min(start_ts)>5 AS open_at_start FROM ticks GROUP BY 1,2) SELECT cid, ticks, open_at_start FROM ld, wm WHERE (d+1)*86400000000 <= w""")
+_HELD = "CASE WHEN event_id%97=0 THEN least(part+2,5) ELSE part END"
+_DELIVERED = T + f""", dp AS (SELECT *, event_id*4//(SELECT max(event_id)+1 FROM ticks) AS part FROM ticks), dl AS (SELECT *, {_HELD} AS batch FROM dp),
+ wb AS (SELECT batch, max(max(ts_us)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)-600000000 AS mark FROM dl GROUP BY 1)
+"""
+
+
+def delivered(spark, sf, name="delivered"):
+    """The events as a stream of six batches in which every 97th row comes two batches late."""
+    events = load(spark, sf, "events").select([x.split()[0] for x in EVENTS_DDL.split(", ")])
+    top = events.agg(F.max("event_id").alias("top"))
+    part = F.expr("event_id * 4 div (top + 1)")
+    batch = F.when(c("event_id") % 97 == 0, F.least(part + 2, F.lit(5))).otherwise(part)
+    rows = cut(events.join(F.broadcast(top)).withColumn("batch", batch).drop("top"), name)
+    path = scratch_path(spark, name)
+    for i in range(6):  # one after another: the stream takes files in the order of their times
+        rows.filter(c("batch") == i).drop("batch").coalesce(1).write.parquet(f"{path}/events_{i}.parquet")
+    return tick_stream(spark, path + "/*", glob="*.parquet", max_files=1)
+
+
+@query("late_data", _DELIVERED + " SELECT event_id, cid, CAST(batch AS INTEGER) AS batch, ts_us<mark AS late, end_ts*1e6<=mark AS reappeared, (mark-ts_us)/1e6 AS behind_sec FROM dl JOIN wb USING (batch) WHERE ts_us<mark OR end_ts*1e6<=mark")
 def late_data(spark, sf):
-    return drain(J.late_rows(tick_stream(spark, sf)), "late").drop("end_at")
+    """Rows behind the watermark and rows of windows it had closed, where some rows are delivered late."""
+    return BA.late_rows(delivered(spark, sf)).select("event_id", "cid", "batch", "late", "reappeared", "behind_sec")
 
 
 # Level-by-level reconstruction: a level is alive after frame f if its last setting since the last snapshot
-# has size and no later declared top excludes it.
-_BOOK = (
-    T
-    + f""", fr AS (SELECT up_token AS token, event_id, line_no, ts_us, CASE event_id%4 WHEN 0 THEN 'book' WHEN 1 THEN 'price_change' WHEN 2 THEN 'best_bid_ask' ELSE 'last_trade_price' END AS kind, up_bid, up_ask, {UPB} AS bids, {_UPA} AS asks,
-  CASE WHEN event_id%8=1 THEN up_bid ELSE up_ask END AS price, CASE WHEN event_id%3=0 THEN 0.0e0 ELSE 1.0e0+event_id%50 END AS size, CASE WHEN event_id%8=1 THEN 'b' ELSE 'a' END AS side FROM ticks),
-mu AS (SELECT *, kind='price_change' AND price IS NOT NULL AS chg, max(CASE WHEN kind='book' THEN line_no END) OVER (PARTITION BY token ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS snap FROM fr),
+# has size and no later declared top excludes it. Frames of a token that are more than ``ttl_us`` apart share no state.
+_DNB, _DNA = ladder_sql("dn_bid_m", -5, 2, 45), ladder_sql("dn_ask_m", 5, 4, 35)
+
+
+def _book_sql(ttl_us: int = 2 * 86_400_000_000) -> str:
+    def leg(token, bid, ask, bids, asks, price, size, side, keep):
+        return f"""SELECT {token} AS token, event_id, line_no, ts_us, kind, {bids} AS bids, {asks} AS asks, {price} AS price, {size} AS size, {side} AS side,
+  CASE WHEN kind='price_change' AND event_id%5<>0 THEN {bid} WHEN kind='best_bid_ask' THEN dn_bid END AS bb, CASE WHEN kind='price_change' AND event_id%5<>0 THEN {ask} END AS ba FROM kt WHERE {keep}"""
+
+    up_price, dn_price = "CASE WHEN event_id%8=1 THEN up_bid ELSE up_ask END", "CASE WHEN event_id%8=1 THEN dn_ask ELSE dn_bid END"
+    gone = "CASE WHEN event_id%3=0 THEN 0.0e0 ELSE 1.0e0+event_id%{} END"
+    up = leg("up_token", "up_bid", "up_ask", UPB, _UPA, up_price, gone.format(50), "CASE WHEN event_id%8=1 THEN 'b' ELSE 'a' END", f"kind='book' OR (kind='price_change' AND {up_price} IS NOT NULL) OR event_id%8 IN (2,3)")
+    dn = leg("dn_token", "dn_bid", "dn_ask", _DNB, _DNA, dn_price, gone.format(40), "CASE WHEN event_id%8=1 THEN 'a' ELSE 'b' END", f"kind='book' OR (kind='price_change' AND event_id%7<>0 AND {dn_price} IS NOT NULL) OR event_id%8 IN (6,7)")
+    return T + f""", kt AS (SELECT *, CASE event_id%4 WHEN 0 THEN 'book' WHEN 1 THEN 'price_change' WHEN 2 THEN 'best_bid_ask' ELSE 'last_trade_price' END AS kind FROM ticks),
+f0 AS ({up} UNION ALL {dn}),
+f1 AS (SELECT *, coalesce(ts_us - max(ts_us) OVER (PARTITION BY token ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {ttl_us}, false) AS anew FROM f0),
+fr AS (SELECT * REPLACE (token||'#'||CAST(sum(CASE WHEN anew THEN 1 ELSE 0 END) OVER (PARTITION BY token ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS VARCHAR) AS token), token AS name FROM f1),
+mu AS (SELECT *, kind='price_change' AS chg, max(CASE WHEN kind='book' THEN line_no END) OVER (PARTITION BY token ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS snap FROM fr),
 lv AS (SELECT token, line_no, 'b' AS side, q.price AS price, q.size AS size FROM (SELECT token, line_no, unnest(bids) AS q FROM fr WHERE kind='book') UNION ALL SELECT token, line_no, 'a', q.price, q.size FROM (SELECT token, line_no, unnest(asks) AS q FROM fr WHERE kind='book')
   UNION ALL SELECT token, line_no, side, price, size FROM mu WHERE chg),
 st AS (SELECT f.token, f.line_no, l.side, l.price, max(struct_pack(n:=l.line_no, s:=l.size)) AS last FROM mu f JOIN lv l ON l.token=f.token AND l.line_no<=f.line_no AND l.line_no>=coalesce(f.snap, -1) GROUP BY 1,2,3,4),
-pr AS (SELECT token, line_no, CASE WHEN event_id%5<>0 THEN up_bid END AS bb, CASE WHEN event_id%5<>0 THEN up_ask END AS ba FROM mu WHERE chg),
+pr AS (SELECT token, line_no, bb, ba FROM mu WHERE chg),
 al AS (SELECT st.* FROM st WHERE last.s>0 AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.token=st.token AND pr.line_no>=last.n AND pr.line_no<=st.line_no AND ((st.side='b' AND st.price>pr.bb) OR (st.side='a' AND st.price<pr.ba)))),
-bs AS (SELECT f.token, f.event_id, f.kind, max(price_b) AS best_bid, min(price_a) AS best_ask, count(price_b) AS n_bids, count(price_a) AS n_asks FROM (SELECT m.token, m.event_id, m.kind, m.line_no, CASE WHEN al.side='b' THEN al.price END AS price_b, CASE WHEN al.side='a' THEN al.price END AS price_a
-  FROM mu m LEFT JOIN al ON al.token=m.token AND al.line_no=m.line_no) f GROUP BY 1,2,3)
+bs AS (SELECT f.token, f.name, f.event_id, f.line_no, f.kind, max(price_b) AS best_bid, min(price_a) AS best_ask, count(price_b) AS n_bids, count(price_a) AS n_asks FROM (SELECT m.token, m.name, m.event_id, m.kind, m.line_no, CASE WHEN al.side='b' THEN al.price END AS price_b, CASE WHEN al.side='a' THEN al.price END AS price_a
+  FROM mu m LEFT JOIN al ON al.token=m.token AND al.line_no=m.line_no) f GROUP BY ALL)
 """
-)
 
 
-@query("book_state", _BOOK + "SELECT token, event_id, best_bid, best_ask, n_bids, n_asks FROM bs")
+_BOOK = _book_sql()
+_IDLE_US = 6 * 3_600_000_000
+_STATE = "SELECT name AS token, event_id, best_bid, best_ask, n_bids, n_asks FROM bs"
+
+
+@query("book_state", _BOOK + _STATE)
 def book_state(spark, sf):
-    """Stateful ladder per token: snapshots, level changes and ghost pruning."""
+    """Stateful ladder of both tokens from recorded messages: snapshots, level changes and ghost pruning."""
     out = drain(J.book_state(J.frames(tick_stream(spark, sf))), "book")
     return out.select("token", "event_id", "best_bid", "best_ask", "n_bids", "n_asks")
 
 
+@query("state_expiry", _book_sql(_IDLE_US) + _STATE)
+def state_expiry(spark, sf):
+    """The same ladders where a token's state ends after six idle hours: its next frame starts afresh."""
+    out = drain(J.book_state(J.frames(tick_stream(spark, sf)), _IDLE_US // 1000), "expiry")
+    return out.select("token", "event_id", "best_bid", "best_ask", "n_bids", "n_asks")
+
+
 @query(
     "book_provenance",
     _BOOK
-    + """, pv AS (SELECT event_id, last_value(CASE WHEN kind='book' OR chg THEN kind END IGNORE NULLS) OVER w AS last_kind,
-  last_value(CASE WHEN kind='book' THEN struct_pack(b:=CAST(NULL AS DOUBLE)) WHEN chg THEN struct_pack(b:=CASE WHEN event_id%5<>0 THEN up_bid END) END IGNORE NULLS) OVER w AS d FROM mu WINDOW w AS (PARTITION BY token ORDER BY line_no ROWS UNBOUNDED PRECEDING))
- SELECT event_id, last_kind, d.b AS decl_bb FROM pv""",
+    + """, pv AS (SELECT name, event_id, last_value(CASE WHEN kind<>'last_trade_price' THEN kind END IGNORE NULLS) OVER w AS last_kind,
+  last_value(CASE WHEN kind<>'last_trade_price' THEN struct_pack(b:=bb, a:=ba) END IGNORE NULLS) OVER w AS d FROM mu WINDOW w AS (PARTITION BY token ORDER BY line_no ROWS UNBOUNDED PRECEDING))
+ SELECT name AS token, event_id, last_kind, d.b AS decl_bb, d.a AS decl_ba FROM pv""",
 )
 def book_provenance(spark, sf):
     out = drain(J.book_state(J.frames(tick_stream(spark, sf))), "prov")
-    return out.select("event_id", "last_kind", "decl_bb")
+    return out.select("token", "event_id", "last_kind", "decl_bb", "decl_ba")
 
 
-@query("top_of_book_log", _BOOK + ", tl AS (SELECT bs.*, m.line_no, row_number() OVER w AS rn, lag(best_bid) OVER w AS pb, lag(best_ask) OVER w AS pa FROM bs JOIN mu m USING (event_id) WINDOW w AS (PARTITION BY bs.token ORDER BY m.line_no)) SELECT token, event_id, best_bid, best_ask FROM tl WHERE rn=1 OR best_bid IS DISTINCT FROM pb OR best_ask IS DISTINCT FROM pa")
+@query("top_of_book_log", _BOOK + ", tl AS (SELECT *, row_number() OVER w AS rn, lag(best_bid) OVER w AS pb, lag(best_ask) OVER w AS pa FROM bs WINDOW w AS (PARTITION BY token ORDER BY line_no)) SELECT name AS token, event_id, best_bid, best_ask FROM tl WHERE rn=1 OR best_bid IS DISTINCT FROM pb OR best_ask IS DISTINCT FROM pa")
 def top_of_book_log(spark, sf):
     return drain(J.top_of_book_log(J.frames(tick_stream(spark, sf))), "toplog", partition="day").drop("day")
 
@@ -132,12 +177,12 @@ def source_authority(spark, sf):
  m2 AS (SELECT *, last_value(CASE WHEN feed='A' THEN price END IGNORE NULLS) OVER w AS a, max(CASE WHEN feed='A' THEN ts_us END) OVER w AS a_us, last_value(CASE WHEN feed='B' THEN price END IGNORE NULLS) OVER w AS b FROM m1 WINDOW w AS (PARTITION BY series ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING))
  SELECT event_id, a AS primary_price, b AS secondary_price, CASE WHEN ts_us-a_us<=1800000000 THEN 'primary' WHEN b IS NOT NULL THEN 'secondary' END AS used FROM m2""")
 def spot_merge(spark, sf):
-    return drain(J.spot_merge(tick_stream(spark, sf), 1_800_000_000), "spot").select("event_id", "primary_price", "secondary_price", "used")
+    return BA.spot_merge(J.spot(tick_stream(spark, sf)), 1_800_000_000).select("event_id", "primary_price", "secondary_price", "used")
 
 
 @query("window_baseline", T + " SELECT event_id, first_value(100+(event_id*31)%97*0.5e0) OVER (PARTITION BY series, ts_us//86400000000 ORDER BY ts_us, event_id) AS baseline FROM ticks")
 def window_baseline(spark, sf):
-    return drain(J.spot_merge(tick_stream(spark, sf), 1_800_000_000), "baseline").select("event_id", "baseline")
+    return BA.spot_merge(J.spot(tick_stream(spark, sf)), 1_800_000_000).select("event_id", "baseline")
 
 
 @query("shock_detector")

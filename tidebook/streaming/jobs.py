@@ -9,6 +9,7 @@ from ..functions import book as B
 from ..functions.num import round_dp
 from ..operators import windows as W
 from . import processors as P
+from .frames import parse_frames, recorded_messages
 
 c = F.col
 DELAY = "10 minutes"
@@ -56,23 +57,12 @@ def session_segments(ticks: DataFrame, gap: str = "1 hour") -> DataFrame:
 
 
 def frames(ticks: DataFrame) -> DataFrame:
-    """Socket frames of the up token: snapshots, level changes, quote-only and trade frames."""
-    e = c("event_id")
-    kind = F.element_at(F.array(*[F.lit(k) for k in ("book", "price_change", "best_bid_ask", "last_trade_price")]), (e % 4 + 1).cast("int"))
-    side = F.when(e % 8 == 1, "BUY").otherwise("SELL")
-    price = F.when(e % 8 == 1, c("up_bid")).otherwise(c("up_ask"))
-    change = kind == "price_change"
-    px = lambda col: F.transform(col, lambda x: x["price"])
-    sz = lambda col: F.transform(col, lambda x: x["size"])
-    return ticks.select(
-        c("up_token").alias("token"), "event_id", "line_no", "ts_us", kind.alias("kind"), px(c("up_bids")).alias("bid_px"), sz(c("up_bids")).alias("bid_sz"), px(c("up_asks")).alias("ask_px"), sz(c("up_asks")).alias("ask_sz"),
-        F.when(change, price).alias("price"), F.when(change, F.when(e % 3 == 0, 0.0).otherwise(1.0 + e % 50)).alias("size"), side.alias("side"),
-        F.when(change & (e % 5 != 0), c("up_bid")).alias("decl_bb"), F.when(change & (e % 5 != 0), c("up_ask")).alias("decl_ba"), "day", "at",
-    )
+    """Token entries of the recorded messages, both legs."""
+    return parse_frames(recorded_messages(ticks))
 
 
 def book_state(frame_stream: DataFrame, ttl_ms: int = 2 * P.DAY_MS) -> DataFrame:
-    keep = frame_stream.withWatermark("at", DELAY).drop("day")
+    keep = frame_stream.withWatermark("at", DELAY)
     return keep.groupBy("token").transformWithStateInPandas(P.BookProcessor(ttl_ms), outputStructType=P.BookProcessor.OUT, outputMode="Append", timeMode="EventTime")
 
 
@@ -86,14 +76,10 @@ def source_authority(ticks: DataFrame, warmup_us: int, horizon_us: int) -> DataF
     return t.groupBy("token").transformWithStateInPandas(P.AuthorityProcessor(warmup_us, horizon_us), outputStructType=P.AuthorityProcessor.OUT, outputMode="Append", timeMode="EventTime")
 
 
-def _spot(ticks: DataFrame) -> DataFrame:
+def spot(ticks: DataFrame) -> DataFrame:
     return ticks.select("series", "event_id", "ts_us", F.when(c("event_id") % 3 == 0, "B").otherwise("A").alias("feed"), (100 + (c("event_id") * 31) % 97 * 0.5).alias("price"))
 
 
-def spot_merge(ticks: DataFrame, stale_us: int) -> DataFrame:
-    return _spot(ticks).groupBy("series").transformWithStateInPandas(P.SpotMergeProcessor(stale_us), outputStructType=P.SpotMergeProcessor.OUT, outputMode="Append", timeMode="None")
-
-
 def shock_detector(ticks: DataFrame, threshold: float, range_us: int, react_us: int) -> DataFrame:
     t = ticks.withWatermark("at", DELAY).select(
         "series", "event_id", "ts_us", (100 + (c("event_id") * 31) % 97 * 0.5).alias("price"), "up_bid", "up_ask", "dn_bid", "dn_ask", ((c("up_bid") + c("up_ask")) / 2.0).alias("mid"), "at"
@@ -107,10 +93,3 @@ def order_state(ticks: DataFrame) -> DataFrame:
     status = F.element_at(F.array(*[F.lit(s) for s in ("live", "matched", "delayed", "noise", "canceled")]), (e % 5 + 1).cast("int"))
     o = ticks.withWatermark("at", DELAY).select(F.concat_ws("-", "cid", (c("user_id") % 3).cast("string")).alias("order_id"), "event_id", "ts_us", status.alias("status"), F.when(e % 13 == 0, 0).otherwise(1).alias("seed"), "at")
     return o.groupBy("order_id").transformWithStateInPandas(P.OrderProcessor(), outputStructType=P.OrderProcessor.OUT, outputMode="Append", timeMode="EventTime")
-
-
-def late_rows(ticks: DataFrame) -> DataFrame:
-    """Per window and round: ticks and windows already open when the capture began are told apart."""
-    t = ticks.withWatermark("at", DELAY)
-    g = t.groupBy(F.window("at", "24 hours"), "cid").agg(F.count(F.lit(1)).alias("ticks"), F.min("ts").alias("first_ts"), F.min("start_ts").alias("start_ts"))
-    return g.select("cid", "ticks", (c("first_ts") - c("start_ts") > 5.0).alias("open_at_start"), c("window.end").alias("end_at"))

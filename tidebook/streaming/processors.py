@@ -6,6 +6,7 @@ bounded by the source's trigger limits, so a group is bounded too, however large
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,11 +31,36 @@ def _num(x):
     return None if x is None or pd.isna(x) else float(x)
 
 
+class Side:
+    """One side of a ladder: sizes by price, and the prices in order, kept so level by level."""
+
+    def __init__(self, levels: dict[float, float]):
+        self.size = levels
+        self.prices = sorted(levels)
+
+    def set(self, price: float, size: float) -> None:
+        if size > 0:
+            if price not in self.size:
+                insort(self.prices, price)
+            self.size[price] = size
+        elif self.size.pop(price, None) is not None:
+            del self.prices[bisect_left(self.prices, price)]
+
+    def keep(self, low: float | None = None, high: float | None = None) -> None:
+        """Drop levels below ``low`` and above ``high``."""
+        a = 0 if low is None else bisect_left(self.prices, low)
+        b = len(self.prices) if high is None else bisect_right(self.prices, high)
+        for p in self.prices[:a] + self.prices[b:]:
+            del self.size[p]
+        self.prices = self.prices[a:b]
+
+
 class BookProcessor(StatefulProcessor):
     """Ladder per token: snapshots replace, changes set or delete one level, declared tops prune ghosts.
 
-    Emits the top of book after every frame with the last mutating frame kind and its declared quotes.
-    A token rotated out of the feed is dropped once event time passes its last frame by ``ttl_ms``.
+    Emits the top of book after every frame with the last frame kind that says something about the book and its declared
+    quotes. A token whose next frame is more than ``ttl_ms`` of event time away starts afresh, and its state goes once
+    event time has passed that; one timer is set at a time and moved on only when it fires.
     """
 
     OUT = "token string, event_id bigint, ts_us bigint, kind string, best_bid double, best_ask double, n_bids int, n_asks int, last_kind string, decl_bb double, decl_ba double, changed boolean"
@@ -46,47 +72,53 @@ class BookProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.levels = handle.getMapState("levels", "side string, price double", "size double")
-        self.meta = handle.getValueState("meta", "kind string, bb double, ba double, top_bb double, top_ba double, seen boolean")
+        self.meta = handle.getValueState("meta", "kind string, bb double, ba double, top_bb double, top_ba double, seen boolean, last_us bigint, armed boolean")
 
     def handleInputRows(self, key, rows, timerValues):
         before = {(k[0], k[1]): v[0] for k, v in self.levels.iterator()}
-        book = dict(before)
-        kind, bb, ba, top_bb, top_ba, seen = self.meta.get() if self.meta.exists() else (None, None, None, None, None, False)
+        book = {s: Side({p: z for (t, p), z in before.items() if t == s}) for s in "ba"}
+        fresh = (None, None, None, None, None, False, None, False)
+        kind, bb, ba, top_bb, top_ba, seen, last, armed = self.meta.get() if self.meta.exists() else fresh
         out = []
-        for f in ordered(rows, ["line_no"]).itertuples(index=False):
+        for f in ordered(rows, ["line_no", "seq"]).itertuples(index=False):
+            if last is not None and f.ts_us - last > self.ttl_ms * 1000:
+                book = {"b": Side({}), "a": Side({})}
+                kind, bb, ba, top_bb, top_ba, seen = fresh[:6]
+            last = int(f.ts_us) if last is None else max(last, int(f.ts_us))
             if f.kind == "book":
-                book = {("b", p): s for p, s in zip(f.bid_px, f.bid_sz) if s > 0}
-                book.update({("a", p): s for p, s in zip(f.ask_px, f.ask_sz) if s > 0})
+                book = {"b": Side(dict(zip(f.bid_px, f.bid_sz, strict=True))), "a": Side(dict(zip(f.ask_px, f.ask_sz, strict=True)))}
                 kind, bb, ba = "book", None, None
-            elif f.kind == "price_change" and _num(f.price) is not None:
-                at = ("b" if f.side == "BUY" else "a", float(f.price))
-                if f.size > 0:
-                    book[at] = float(f.size)
-                else:
-                    book.pop(at, None)
-                kind, bb, ba = "price_change", _num(f.decl_bb), _num(f.decl_ba)
-                book = {
-                    (s, p): z for (s, p), z in book.items()
-                    if not (s == "b" and bb is not None and p > bb) and not (s == "a" and ba is not None and p < ba)
-                }
-            bids = [p for s, p in book if s == "b"]
-            asks = [p for s, p in book if s == "a"]
-            now = (max(bids, default=None), min(asks, default=None))
+            elif f.kind == "price_change":
+                book[f.side].set(float(f.price), float(f.size))
+                kind, bb, ba = f.kind, _num(f.decl_bb), _num(f.decl_ba)
+                book["b"].keep(high=bb)
+                book["a"].keep(low=ba)
+            elif f.kind == "best_bid_ask":
+                kind, bb, ba = f.kind, _num(f.decl_bb), _num(f.decl_ba)
+            bids, asks = book["b"].prices, book["a"].prices
+            now = (bids[-1] if bids else None, asks[0] if asks else None)
             changed = not seen or now != (top_bb, top_ba)
             (top_bb, top_ba), seen = now, True
             out.append((key[0], f.event_id, f.ts_us, f.kind, now[0], now[1], len(bids), len(asks), kind, bb, ba, changed))
-        for at in before.keys() - book.keys():
+        after = {(s, p): z for s in "ba" for p, z in book[s].size.items()}
+        for at in before.keys() - after.keys():
             self.levels.removeKey(at)
-        for at, size in book.items():
+        for at, size in after.items():
             if before.get(at) != size:
                 self.levels.updateValue(at, (size,))
-        self.meta.update((kind, bb, ba, top_bb, top_ba, seen))
-        expire_at(self.handle, int(out[-1][2]) // 1000 + self.ttl_ms)
+        if not armed:
+            self.handle.registerTimer(last // 1000 + self.ttl_ms)
+        self.meta.update((kind, bb, ba, top_bb, top_ba, seen, last, True))
         yield pd.DataFrame(out, columns=self.NAMES)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.levels.clear()
-        self.meta.clear()
+        if self.meta.exists():
+            due = self.meta.get()[6] // 1000 + self.ttl_ms
+            if due > expiredTimerInfo.getExpiryTimeInMs():
+                self.handle.registerTimer(due)
+            else:
+                self.levels.clear()
+                self.meta.clear()
         yield pd.DataFrame([], columns=self.NAMES)
 
     def close(self) -> None:
@@ -170,37 +202,6 @@ class AuthorityProcessor(StatefulProcessor):
         pass
 
 
-class SpotMergeProcessor(StatefulProcessor):
-    """Latest price of two feeds per symbol; the secondary stands in while the primary is silent."""
-
-    OUT = "series string, event_id bigint, primary_price double, secondary_price double, used string, baseline double"
-
-    def __init__(self, stale_us: int):
-        self.stale_us = stale_us
-
-    def init(self, handle):
-        self.state = handle.getValueState("spot", "a double, a_us bigint, b double, b_us bigint, day bigint, base double")
-
-    def handleInputRows(self, key, rows, timerValues):
-        a, a_us, b, b_us, day, base = self.state.get() if self.state.exists() else (None,) * 6
-        out = []
-        for r in ordered(rows, ["ts_us", "event_id"]).itertuples(index=False):
-            if r.feed == "A":
-                a, a_us = float(r.price), int(r.ts_us)
-            else:
-                b, b_us = float(r.price), int(r.ts_us)
-            today = int(r.ts_us) // (DAY_MS * 1000)
-            if day != today:
-                day, base = today, float(r.price)
-            fresh = a_us is not None and r.ts_us - a_us <= self.stale_us
-            out.append((key[0], r.event_id, a, b, "primary" if fresh else ("secondary" if b is not None else None), base))
-        self.state.update((a, a_us, b, b_us, day, base))
-        yield pd.DataFrame(out, columns=["series", "event_id", "primary_price", "secondary_price", "used", "baseline"])
-
-    def close(self):
-        pass
-
-
 class ShockProcessor(StatefulProcessor):
     """Shock detector with one pending shock: resolved by a reaction, a late row, or an event-time timer."""
 
