@@ -15,7 +15,6 @@ FRESHNESS_S = 0.5
 GATED_TYPES = ("price_change", "best_bid_ask")
 
 c = F.col
-ORDER = ["rx_us", "rank", "event_id"]
 
 
 def gap_bucket(gap: Column) -> Column:
@@ -36,19 +35,24 @@ def checkability(ev_type: Column, decl_bb: Column, decl_ba: Column) -> Column:
     return F.when(ev_type.isin(*GATED_TYPES) & (decl_bb.isNotNull() | decl_ba.isNotNull()), "gated").otherwise("blind")
 
 
-def nearest_reference(lines: DataFrame, tolerance_s: float = FRESHNESS_S, slice_us: int = 600_000_000) -> DataFrame:
-    """Each socket frame with the nearest earlier reference of its token, or the reason it has none.
+def nearest_reference(lines: DataFrame, tolerance_s: float = FRESHNESS_S, slice_lines: int = 1_000_000) -> DataFrame:
+    """Each socket frame with the reference read nearest to it in time, or the reason it has none.
 
-    A capture is written in receive order, so of the reference rows above a frame the nearest is the one
-    with the largest receive time (first of equals). That is a running maximum, carried across slices:
-    one shuffle, no pair expansion, however dense or skewed a token is.
+    Only reads above the frame in the file (``line``) are known to it, while their receive times may lie on either side of the
+    frame's. Reads are put into time buckets of the tolerance, and a frame looks into its own and both neighbours, so what meets
+    is bounded by the reads of two tolerances; the nearest is an aggregate (of equals the earliest line). A frame without a receive
+    time takes the last read above it, which is carried along the lines, as is whether there is any.
     """
-    ref = F.when(
-        c("type") == "rest",
-        F.struct(c("rx_us").alias("rx"), (-c("event_id")).alias("tie"), c("bb").alias("bb"), c("ba").alias("ba")),
-    )
-    out = running(lines, ["token"], ORDER, F.floor(c("rx_us") / slice_us), [Running("ref", "max", ref)]).filter(c("type") == "ws")
-    stale = (c("rx_us") > 0) & (F.abs(c("ref.rx") - c("rx_us")) > int(tolerance_s * 1e6))
+    width = int(tolerance_s * 1e6)
+    book = F.struct(c("rx_us").alias("rx"), c("bb").alias("bb"), c("ba").alias("ba"))
+    above = Running("above", "last", F.when(c("type") == "rest", book))
+    frames = running(lines, ["token"], ["line"], F.floor(c("line") / slice_lines), [above]).filter(c("type") == "ws")
+    bucket = F.floor(c("rx_us") / width)
+    reads = lines.filter(c("type") == "rest").select("token", c("line").alias("r_line"), book.alias("r"), bucket.alias("k"))
+    asks = frames.filter(c("rx_us") > 0).select("token", "line", "rx_us", F.explode(F.sequence(bucket - 1, bucket + 1)).alias("k"))
+    met = asks.join(reads, ["token", "k"]).filter((c("r_line") < c("line")) & (F.abs(c("r.rx") - c("rx_us")) <= width))
+    near = met.groupBy("token", "line").agg(F.min_by("r", F.struct(F.abs(c("r.rx") - c("rx_us")).alias("d"), "r_line")).alias("near"))
+    out = frames.join(near, ["token", "line"], "left").withColumn("ref", F.when(c("rx_us") > 0, c("near")).otherwise(c("above")))
 
     def off(a, b):
         return F.coalesce(F.abs(a - b) > EDGE, F.lit(False))
@@ -56,9 +60,9 @@ def nearest_reference(lines: DataFrame, tolerance_s: float = FRESHNESS_S, slice_
     guard = off(c("decl_bb"), c("ref.bb")) | off(c("decl_ba"), c("ref.ba"))
     blank = (c("ref.bb").isNull() & c("ref.ba").isNull()) | (c("bb").isNull() & c("ba").isNull())
     reason = (
-        F.when(c("ref").isNull(), "no_snapshot").when(stale, "outside_freshness_window").when(guard, "guard_reject").when(blank, "no_comparable_quotes")
+        F.when(c("above").isNull(), "no_snapshot").when(c("ref").isNull(), "outside_freshness_window").when(guard, "guard_reject").when(blank, "no_comparable_quotes")
     )
-    return out.withColumn("reason", reason)
+    return out.withColumn("reason", reason).drop("above", "near")
 
 
 def comparisons(nearest: DataFrame) -> DataFrame:
@@ -69,7 +73,7 @@ def comparisons(nearest: DataFrame) -> DataFrame:
     in_gap = F.greatest(F.abs(c("bb") - c("decl_bb")), F.abs(c("ba") - c("decl_ba")))
     age = F.when(kept & (c("rx_us") > 0), (c("rx_us") - c("ref.rx")) / 1e6)
     return nearest.select(
-        "token", "series", "rx_us", "event_id", "ev_type", "reason", kept.alias("compared"), gap.alias("gap"), in_gap.alias("in_gap"),
+        "token", "series", "rx_us", "line", "event_id", "ev_type", "reason", kept.alias("compared"), gap.alias("gap"), in_gap.alias("in_gap"),
         F.coalesce(gap > EDGE, F.lit(False)).alias("divergent"), F.coalesce(in_gap > EDGE, F.lit(False)).alias("in_divergent"), age.alias("age"),
         F.when(kept, checkability(c("ev_type"), c("decl_bb"), c("decl_ba"))).alias("check"), F.when(kept, skew_bucket(c("ref.rx"), c("rx_us"))).alias("skew"),
         F.when(kept, age_bucket(age)).alias("age_bucket"), gap_bucket(gap).alias("magnitude"),
@@ -118,7 +122,7 @@ def by_series(cmp: DataFrame) -> DataFrame:
 
 def first_divergence(cmp: DataFrame) -> DataFrame:
     hit = c("divergent") | c("in_divergent")
-    at = F.when(hit, F.struct("rx_us", "event_id"))
+    at = F.when(hit, c("line"))
     return cmp.agg(F.min_by(F.struct("token", "ev_type", "rx_us", F.when(c("in_divergent"), "in_frame").otherwise("rest").alias("source")), at).alias("f")).select("f.*")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import book as B
 from ..functions import text as X
 from ..functions.num import milli, round_dp
+from ..operators import prints as PR
 from ..operators import recon as RC
 from ..operators import windows as W
 from ..operators.scan import Running, running, with_halo
@@ -23,16 +24,17 @@ E1 = "1.001e-3"
 
 RECON_SQL = (
     T + "," + FD.SESSION_SQL + f""", ws AS (SELECT * FROM sess WHERE type='ws'), rs AS (SELECT * FROM sess WHERE type='rest'),
-cand AS (SELECT w.event_id, max(struct_pack(rx:=r.rx_us, tie:=-r.event_id, bb:=r.bb, ba:=r.ba)) AS ref FROM ws w JOIN rs r ON r.token=w.token AND r.rx_us<=w.rx_us GROUP BY 1),
-nr AS (SELECT w.*, ref, CASE WHEN ref IS NULL THEN 'no_snapshot' WHEN abs(ref.rx-w.rx_us)>150000000 THEN 'outside_freshness_window'
-  WHEN coalesce(abs(decl_bb-ref.bb)>0.001e0+1e-9,false) OR coalesce(abs(decl_ba-ref.ba)>0.001e0+1e-9,false) THEN 'guard_reject' WHEN (ref.bb IS NULL AND ref.ba IS NULL) OR (bb IS NULL AND ba IS NULL) THEN 'no_comparable_quotes' END AS reason FROM ws w LEFT JOIN cand USING (event_id)),
+cand AS (SELECT w.line, min(struct_pack(d:=abs(r.rx_us-w.rx_us), l:=r.line, rx:=r.rx_us, bb:=r.bb, ba:=r.ba)) AS near, max(struct_pack(l:=r.line, rx:=r.rx_us, bb:=r.bb, ba:=r.ba)) AS above FROM ws w JOIN rs r ON r.token=w.token AND r.line<w.line GROUP BY 1),
+nf AS (SELECT w.*, above IS NULL AS none, CASE WHEN rx_us<=0 AND above IS NOT NULL THEN struct_pack(rx:=above.rx, bb:=above.bb, ba:=above.ba) WHEN near.d<=150000000 THEN struct_pack(rx:=near.rx, bb:=near.bb, ba:=near.ba) END AS ref FROM ws w LEFT JOIN cand USING (line)),
+nr AS (SELECT *, CASE WHEN none THEN 'no_snapshot' WHEN ref IS NULL THEN 'outside_freshness_window'
+  WHEN coalesce(abs(decl_bb-ref.bb)>0.001e0+1e-9,false) OR coalesce(abs(decl_ba-ref.ba)>0.001e0+1e-9,false) THEN 'guard_reject' WHEN (ref.bb IS NULL AND ref.ba IS NULL) OR (bb IS NULL AND ba IS NULL) THEN 'no_comparable_quotes' END AS reason FROM nf),
 cm0 AS (SELECT *, CASE WHEN reason IS NULL THEN greatest(abs(bb-ref.bb),abs(ba-ref.ba)) END AS gap, greatest(abs(bb-decl_bb),abs(ba-decl_ba)) AS in_gap FROM nr),
-cm AS (SELECT *, reason IS NULL AS compared, coalesce(gap>0.001e0+1e-9,false) AS divergent, coalesce(in_gap>0.001e0+1e-9,false) AS in_divergent, CASE WHEN reason IS NULL THEN (rx_us-ref.rx)/1e6 END AS age,
+cm AS (SELECT *, reason IS NULL AS compared, coalesce(gap>0.001e0+1e-9,false) AS divergent, coalesce(in_gap>0.001e0+1e-9,false) AS in_divergent, CASE WHEN reason IS NULL AND rx_us>0 THEN (rx_us-ref.rx)/1e6 END AS age,
   CASE WHEN reason IS NULL THEN CASE WHEN ev_type IN ('price_change','best_bid_ask') AND (decl_bb IS NOT NULL OR decl_ba IS NOT NULL) THEN 'gated' ELSE 'blind' END END AS chk FROM cm0)
 """
 )
 _MAG = "CASE WHEN {0}<=0 THEN 'exact' WHEN {0}<=0.001e0+1e-9 THEN 'sub_tick' WHEN {0}<=0.003e0+1e-9 THEN '1_3_ticks' WHEN {0} IS NOT NULL THEN '>3_ticks' END"
-_AGE = "CASE WHEN NOT compared THEN NULL WHEN age<=0.05 THEN 'le_50ms' WHEN age<=0.1 THEN 'le_100ms' WHEN age<=0.25 THEN 'le_250ms' ELSE 'le_500ms' END"
+_AGE = "CASE WHEN NOT compared THEN NULL WHEN age IS NULL THEN 'unknown' WHEN age<=0.05 THEN 'le_50ms' WHEN age<=0.1 THEN 'le_100ms' WHEN age<=0.25 THEN 'le_250ms' ELSE 'le_500ms' END"
 
 
 def nearest(spark, sf):
@@ -66,7 +68,7 @@ def recon_populations(spark, sf):
 @query(
     "recon_histograms",
     RECON_SQL + f""", h AS (SELECT 'magnitude' AS histogram, {_MAG.format('gap')} AS bucket FROM cm UNION ALL SELECT 'magnitude', {_MAG.format('in_gap')} FROM cm UNION ALL SELECT 'age', {_AGE} FROM cm
- UNION ALL SELECT 'age_divergent', CASE WHEN divergent THEN {_AGE} END FROM cm UNION ALL SELECT 'skew', CASE WHEN gap IS NOT NULL THEN 'rest_before_ws' END FROM cm UNION ALL SELECT 'excluded', reason FROM cm)
+ UNION ALL SELECT 'age_divergent', CASE WHEN divergent THEN {_AGE} END FROM cm UNION ALL SELECT 'skew', CASE WHEN gap IS NULL THEN NULL WHEN rx_us<=0 THEN 'unknown' WHEN ref.rx>rx_us THEN 'rest_after_ws' ELSE 'rest_before_ws' END FROM cm UNION ALL SELECT 'excluded', reason FROM cm)
  SELECT histogram, bucket, count(*) AS n FROM h WHERE bucket IS NOT NULL GROUP BY 1,2""",
 )
 def recon_histograms(spark, sf):
@@ -82,7 +84,7 @@ def recon_series(spark, sf):
     return RC.by_series(cmp(spark, sf))
 
 
-@query("first_divergence", RECON_SQL + "SELECT token, ev_type, rx_us, CASE WHEN in_divergent THEN 'in_frame' ELSE 'rest' END AS source FROM cm WHERE divergent OR in_divergent ORDER BY rx_us, event_id LIMIT 1")
+@query("first_divergence", RECON_SQL + "SELECT token, ev_type, rx_us, CASE WHEN in_divergent THEN 'in_frame' ELSE 'rest' END AS source FROM cm WHERE divergent OR in_divergent ORDER BY line LIMIT 1")
 def first_divergence(spark, sf):
     return RC.first_divergence(cmp(spark, sf))
 
@@ -157,21 +159,20 @@ def asof_backward(spark, sf):
     return out.select("event_id", "price", "other_price", B.spot_diff(c("price"), c("other_price")).alias("diff"), B.spot_diff_pct(c("price"), c("other_price")).alias("diff_pct"))
 
 
-_ORD = BASE_SQL + "," + FD.PRINTS_SQL.replace("p.asset", "p.asset") + """, od AS (SELECT cid, cid||':U' AS token, ru AS price, placed_ts FROM outcomes WHERE entered UNION ALL SELECT cid, cid||':D', rd, placed_ts FROM outcomes WHERE entered)
+_ORD = BASE_SQL + "," + FD.PRINTS_SQL + """, od AS (SELECT cid||leg||CAST(n AS VARCHAR) AS order_id, cid||leg AS token, price, CAST(floor(placed_ts*1e6+0.5e0) AS BIGINT)+n*3600000000 AS placed_us
+  FROM (SELECT cid, ':U' AS leg, ru AS price, placed_ts FROM outcomes WHERE entered UNION ALL SELECT cid, ':D', rd, placed_ts FROM outcomes WHERE entered), (VALUES (0),(1)) v(n))
 """
 
 
-@query("prints_at_price_since", _ORD.replace(" p AS (SELECT config_id", " p AS (SELECT config_id") + "SELECT od.token, od.price, round(coalesce(sum(prints.size),0),4) AS printed FROM od LEFT JOIN prints ON prints.token=od.token AND abs(prints.price-od.price)<=0.001e0+1e-9 AND prints.ts>=od.placed_ts GROUP BY 1,2")
+@query("prints_at_price_since", _ORD + "SELECT od.order_id, od.price, round(coalesce(sum(prints.size),0),4) AS printed FROM od LEFT JOIN prints ON prints.token=od.token AND abs(prints.price-od.price)<=0.001e0+1e-9 AND prints.ts_us>=od.placed_us GROUP BY 1,2")
 def prints_at_price_since(spark, sf):
-    """Printed size at a resting price since it was placed: equi-join on (token, milli-price ± 1)."""
+    """Printed size at a resting price since each order was placed; every leg is placed again an hour later."""
     o = base_outcomes(spark, sf).filter("entered")
-    legs = F.array(F.struct(F.concat("cid", F.lit(":U")).alias("token"), c("ru").alias("price")), F.struct(F.concat("cid", F.lit(":D")).alias("token"), c("rd").alias("price")))
-    orders = o.select("placed_ts", F.inline(legs))
-    keyed = orders.withColumn("m", F.explode(F.array(*[milli(c("price")) + d for d in (-1, 0, 1)])))
-    p = FD.prints(ticks(spark, sf)).select("token", milli(c("price")).alias("m"), "ts", c("price").alias("pp"), "size")
-    j = keyed.join(p, ["token", "m"]).filter((F.abs(c("pp") - c("price")) <= 0.001 + 1e-9) & (c("ts") >= c("placed_ts")))
-    sums = j.groupBy("token", "price").agg(F.sum("size").alias("s"))
-    return orders.select("token", "price").join(sums, ["token", "price"], "left").select("token", "price", F.round(F.coalesce("s", F.lit(0.0)), 4).alias("printed"))
+    legs = F.array(F.struct(F.lit(":U").alias("leg"), c("ru").alias("price")), F.struct(F.lit(":D").alias("leg"), c("rd").alias("price")))
+    orders = o.select("cid", F.floor(c("placed_ts") * 1e6 + 0.5).cast("bigint").alias("us"), F.inline(legs)).withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
+    orders = orders.select(F.concat("cid", "leg", c("n").cast("string")).alias("order_id"), F.concat("cid", "leg").alias("token"), "price", (c("us") + c("n") * 3_600_000_000).alias("placed_us"))
+    done = PR.printed_since(orders, FD.prints(ticks(spark, sf)))
+    return done.select("order_id", "price", F.round("printed", 4).alias("printed"))
 
 
 _ECHO = T + "," + FD.PRINTS_SQL + """, ek AS (SELECT *, CAST(floor(price*1000+0.5) AS INT) AS m, max(CASE WHEN source='ws' THEN ts_us END) OVER (PARTITION BY token, CAST(floor(price*1000+0.5) AS INT) ORDER BY ts_us, event_id, pos ROWS UNBOUNDED PRECEDING) AS ws_us FROM prints),

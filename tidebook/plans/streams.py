@@ -185,9 +185,26 @@ def window_baseline(spark, sf):
     return BA.spot_merge(J.spot(tick_stream(spark, sf)), 1_800_000_000).select("event_id", "baseline")
 
 
-@query("shock_detector")
+# A shock's resolution (the first row that reacts, or lies beyond the reaction time) and the next shock's start (the first hot row
+# with a mid after the resolution and after a row that was not hot) follow from its own row, so shocks are a chain.
+_QUOTES = ("up_bid", "up_ask", "dn_bid", "dn_ask", "mid")
+_MOVED = " OR ".join(f"coalesce(abs(b.{q}-a.{q})>=0.01e0-1e-9,false)" for q in _QUOTES)
+_SHOCKS = WM.replace("WITH ", "WITH RECURSIVE ", 1) + f""", s0 AS (SELECT event_id, series, ts_us, 100+(event_id*31)%97*0.5e0 AS price, up_bid, up_ask, dn_bid, dn_ask, two AS mid, row_number() OVER (PARTITION BY series ORDER BY ts_us, event_id) AS n FROM (SELECT *, (up_bid+up_ask)/2.0e0 AS two FROM ticks)),
+s1 AS (SELECT *, first_value(price) OVER (PARTITION BY series ORDER BY ts_us RANGE BETWEEN {RANGE_US} PRECEDING AND CURRENT ROW) AS base FROM s0),
+s2 AS MATERIALIZED (SELECT *, (price-base)/base AS drift, abs((price-base)/base)>=0.2e0 AS hot FROM s1),
+ca AS MATERIALIZED (SELECT * FROM s2 WHERE hot AND mid IS NOT NULL),
+re AS MATERIALIZED (SELECT a.series, a.n, min(b.n) AS rn FROM ca a JOIN s2 b ON b.series=a.series AND b.n>a.n AND (b.ts_us-a.ts_us>{REACT_US} OR {_MOVED}) GROUP BY 1,2),
+rr AS MATERIALIZED (SELECT a.series, a.n, a.event_id, a.ts_us, a.drift, re.rn, b.ts_us AS r_us FROM ca a LEFT JOIN re USING (series, n) LEFT JOIN s2 b ON b.series=a.series AND b.n=re.rn),
+nh AS MATERIALIZED (SELECT a.series, a.n, min(b.n) AS cool FROM rr a JOIN s2 b ON b.series=a.series AND b.n>a.n AND NOT b.hot AND b.n IS DISTINCT FROM a.rn GROUP BY 1,2),
+nx AS MATERIALIZED (SELECT a.series, a.n, min(k.n) AS nxt FROM rr a JOIN nh USING (series, n) JOIN ca k ON k.series=a.series AND k.n>a.rn AND k.n>nh.cool GROUP BY 1,2),
+ch AS (SELECT series, min(n) AS n FROM ca GROUP BY 1 UNION ALL SELECT ch.series, nx.nxt FROM ch JOIN nx ON nx.series=ch.series AND nx.n=ch.n)
+SELECT rr.series, rr.event_id AS shock_id, rr.ts_us AS shock_us, rr.drift, coalesce(rr.r_us-rr.ts_us<={REACT_US}, false) AS reacted, CASE WHEN rr.r_us-rr.ts_us<={REACT_US} THEN (rr.r_us-rr.ts_us)/1000.0e0 END AS reaction_ms
+ FROM ch JOIN rr USING (series, n), wm WHERE rr.rn IS NOT NULL OR (rr.ts_us+{REACT_US})//1000+1 <= w//1000"""
+
+
+@query("shock_detector", _SHOCKS)
 def shock_detector(spark, sf):
-    """Path-dependent (one pending shock at a time); checked against a plain-Python model in the tests."""
+    """One pending shock at a time per series; also checked against a plain-Python model in the tests."""
     return drain(J.shock_detector(tick_stream(spark, sf), 0.2, RANGE_US, REACT_US), "shocks")
 
 

@@ -71,29 +71,43 @@ def parse_print(raw: Column) -> Column:
 
 # ---- derived feeds -----------------------------------------------------------
 
+def legs(ticks: DataFrame, *carry: str) -> DataFrame:
+    """Both tokens of every tick: (token, leg, bb, ba) with the tick's own columns."""
+    def leg(n, token, bb, ba):
+        return F.struct(F.lit(n).alias("leg"), c(token).alias("token"), c(bb).alias("bb"), c(ba).alias("ba"))
+
+    return ticks.select(*carry, F.inline(F.array(leg(0, "up_token", "up_bid", "up_ask"), leg(1, "dn_token", "dn_bid", "dn_ask"))))
+
+
 def session(ticks: DataFrame) -> DataFrame:
-    """Recorded session lines in receive order: one socket frame per tick, a reference read for every third."""
+    """Recorded session lines of both tokens: a socket frame and a reference read for every tick.
+
+    Half of the reads stand above their tick's frame in the file; receive times run up to two minutes before and after the
+    frame's whatever the line; every 17th frame is a raw one without a receive time.
+    """
     e = c("event_id")
+    t = legs(ticks, "event_id", "series", "ts_us")
     kinds = F.element_at(F.array(*[F.lit(k) for k in ("book", "price_change", "best_bid_ask", "last_trade_price")]), (e % 4 + 1).cast("int"))
     declared = (e % 4).isin(1, 2)
     nudge = F.when(e % 13 == 0, 0.002).otherwise(0.0)
     none = F.lit(None).cast("double")
-    ws = ticks.select(
-        F.lit("ws").alias("type"), c("up_token").alias("token"), "series", c("ts_us").alias("rx_us"), F.lit(1).alias("rank"), "event_id", kinds.alias("ev_type"),
-        c("up_bid").alias("bb"), c("up_ask").alias("ba"), F.when(declared, c("up_bid") + nudge).alias("decl_bb"), F.when(declared, c("up_ask")).alias("decl_ba"),
+    ws = t.select(
+        F.lit("ws").alias("type"), "token", "series", F.when(e % 17 == 0, 0).otherwise(c("ts_us")).cast("bigint").alias("rx_us"), (e * 100 + 50 + c("leg")).alias("line"), "event_id", kinds.alias("ev_type"),
+        "bb", "ba", F.when(declared, c("bb") + nudge).alias("decl_bb"), F.when(declared, c("ba")).alias("decl_ba"),
     )
     shift = F.when(e % 7 == 0, 0.004).when(e % 5 == 0, 0.001).otherwise(0.0)
-    rest = ticks.filter(e % 3 == 0).select(
-        F.lit("rest").alias("type"), c("up_token").alias("token"), "series", (c("ts_us") - (e % 5) * 60_000_000).alias("rx_us"), F.lit(0).alias("rank"), "event_id", F.lit(None).cast("string").alias("ev_type"),
-        (c("up_bid") - shift).alias("bb"), c("up_ask").alias("ba"), none.alias("decl_bb"), none.alias("decl_ba"),
+    rest = t.select(
+        F.lit("rest").alias("type"), "token", "series", (c("ts_us") + (e % 5 - 2) * 60_000_000).alias("rx_us"), (e * 100 + F.when(e % 4 < 3, 10).otherwise(90) + c("leg")).alias("line"), "event_id", F.lit(None).cast("string").alias("ev_type"),
+        (c("bb") - shift).alias("bb"), "ba", none.alias("decl_bb"), none.alias("decl_ba"),
     )
     return ws.unionByName(rest)
 
 
 SESSION_SQL = """
-sess AS (SELECT 'ws' AS type, up_token AS token, series, ts_us AS rx_us, 1 AS rank, event_id, CASE event_id%4 WHEN 0 THEN 'book' WHEN 1 THEN 'price_change' WHEN 2 THEN 'best_bid_ask' ELSE 'last_trade_price' END AS ev_type,
-   up_bid AS bb, up_ask AS ba, CASE WHEN event_id%4 IN (1,2) THEN up_bid+CASE WHEN event_id%13=0 THEN 0.002e0 ELSE 0.0e0 END END AS decl_bb, CASE WHEN event_id%4 IN (1,2) THEN up_ask END AS decl_ba FROM ticks
- UNION ALL SELECT 'rest', up_token, series, ts_us-(event_id%5)*60000000, 0, event_id, NULL, up_bid-CASE WHEN event_id%7=0 THEN 0.004e0 WHEN event_id%5=0 THEN 0.001e0 ELSE 0.0e0 END, up_ask, NULL, NULL FROM ticks WHERE event_id%3=0)
+lg AS (SELECT event_id, series, ts_us, 0 AS leg, up_token AS token, up_bid AS bb, up_ask AS ba FROM ticks UNION ALL SELECT event_id, series, ts_us, 1, dn_token, dn_bid, dn_ask FROM ticks),
+sess AS (SELECT 'ws' AS type, token, series, CASE WHEN event_id%17=0 THEN 0 ELSE ts_us END AS rx_us, event_id*100+50+leg AS line, event_id, CASE event_id%4 WHEN 0 THEN 'book' WHEN 1 THEN 'price_change' WHEN 2 THEN 'best_bid_ask' ELSE 'last_trade_price' END AS ev_type,
+   bb, ba, CASE WHEN event_id%4 IN (1,2) THEN bb+CASE WHEN event_id%13=0 THEN 0.002e0 ELSE 0.0e0 END END AS decl_bb, CASE WHEN event_id%4 IN (1,2) THEN ba END AS decl_ba FROM lg
+ UNION ALL SELECT 'rest', token, series, ts_us+(event_id%5-2)*60000000, event_id*100+CASE WHEN event_id%4<3 THEN 10 ELSE 90 END+leg, event_id, NULL, bb-CASE WHEN event_id%7=0 THEN 0.004e0 WHEN event_id%5=0 THEN 0.001e0 ELSE 0.0e0 END, ba, NULL, NULL FROM lg)
 """
 
 
