@@ -58,8 +58,10 @@ def test_files_to_outcomes_and_sweep(spark, folder):
 
 
 def test_large_line_numbers_keep_their_order(spark):
-    rows = [("c", 5, n) for n in (67108863, 67108864, 2**62, 1)] + [("c", 2**58, 3)]
-    df = spark.createDataFrame(rows, "cid string, ts_us long, line_no long").withColumn("start_ts", F.lit(0.0)).withColumn("at", O.position())
+    rows = [("c", 5, n) for n in (67108863, 67108864, 2**62, 1)]
+    rows += [("c", sign * t, n) for sign in (1, -1) for t in (2**58, 2**46 - 1, 2**46, 2**46 + 1, 6) for n in (3, 9)]
+    df = spark.createDataFrame(rows, "cid string, ts_us long, line_no long").withColumn("start_ts", F.lit(0.0))
+    df = O.with_position(df)
     assert [(r.ts_us, r.line_no) for r in df.orderBy("at").collect()] == sorted((t, n) for _, t, n in rows)
     back = df.withColumn("start_us", O.start_us()).select("ts_us", O.seconds("at").alias("s")).collect()
     assert all(r.s == pytest.approx(r.ts_us / 1e6) for r in back)

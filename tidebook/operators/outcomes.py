@@ -11,9 +11,8 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, fields
-from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import book as B
@@ -24,26 +23,33 @@ from .agg import by_window
 from .scan import Running, running
 
 KEYS = ["config_id", "cid"]
-LINE_SPAN = Decimal(10**19)  # more than any line number
+NEAR, FAR = 1 << 46, 1 << 62
 
 
 def start_us() -> Column:
     return F.floor(sane_epoch(F.col("start_ts")) * 1e6).cast("bigint")
 
 
-def position() -> Column:
-    """Place of a tick in its window as one number: microseconds since the start, then its line number.
+def with_position(ticks: DataFrame) -> DataFrame:
+    """``at``, the place of a tick in its window as one BIGINT: microseconds since the start, then its rank by line among equals.
 
-    A fixed-width decimal holds both whole, so no distance and no line number is too large, and it keeps
-    ``min``/``min_by`` on hash aggregation (a struct would force a sort of every tick).
+    Ranks are taken among the ticks of one microsecond, so no window is ever one task. The rank has 16 bits up to two years from
+    the start and 2 bits beyond; ticks of one microsecond that exceed them share the last place.
     """
-    offset = (F.col("ts_us") - start_us()).cast("decimal(18,0)")
-    return (offset * F.lit(LINE_SPAN) + F.col("line_no").cast("decimal(19,0)")).cast("decimal(38,0)")
+    c = F.col
+    same = Window.partitionBy("cid", F.coalesce("ts_us", -c("line_no"))).orderBy("line_no")
+    n, o = F.row_number().over(same).cast("bigint") - 1, c("ts_us") - start_us()
+    near = o * 65536 + F.least(n, F.lit(65535))
+    far = F.signum(o).cast("bigint") * (F.lit(FAR) + (F.abs(o) - NEAR) * 4) + F.least(n, F.lit(3))
+    return ticks.withColumn("at", F.when(F.abs(o) < NEAR, near).otherwise(far))
 
 
 def seconds(at: str) -> Column:
     """Epoch seconds of a position."""
-    return (F.col("start_us") + F.floor(F.col(at) / F.lit(LINE_SPAN)).cast("bigint")) / 1e6
+    x = F.col(at)
+    after, before = F.lit(NEAR) + F.shiftright(x - FAR, 2), -F.lit(NEAR) - F.shiftright(F.lit(3 - FAR) - x, 2)
+    offset = F.when(x >= FAR, after).when(x <= 3 - FAR, before).otherwise(F.shiftright(x, 16))
+    return (F.col("start_us") + offset) / 1e6
 
 
 def held_name(up: Column | None = None) -> Column:
@@ -130,7 +136,7 @@ def attach(qt: DataFrame, state: DataFrame, configs: Sequence[Quote]) -> DataFra
 
 def quote_ticks(ticks: DataFrame, skip_buys: bool = False) -> DataFrame:
     """Narrow ticks with the config-independent columns every step needs, computed before configs multiply rows."""
-    t = ticks.filter(F.col("end_ts") > F.col("start_ts"))
+    t = with_position(ticks.filter(F.col("end_ts") > F.col("start_ts")))
     length = F.col("end_ts") - F.col("start_ts")
     return t.select(
         "cid", "series", "slug", "duration", "day", "ts", "ts_us", "line_no", "start_ts", "end_ts",
@@ -142,7 +148,7 @@ def quote_ticks(ticks: DataFrame, skip_buys: bool = False) -> DataFrame:
         length.alias("length"),
         B.token_prints(F.col("tape"), F.col("up_token"), F.col("up_ask") if skip_buys else None).alias("up_prints"),
         B.token_prints(F.col("tape"), F.col("dn_token"), F.col("dn_ask") if skip_buys else None).alias("dn_prints"),
-        position().alias("at"),
+        "at",
         start_us().alias("start_us"),
     )
 
@@ -159,6 +165,30 @@ def _carry(df: DataFrame, names: Sequence[str]):
     return [F.first(n).alias(n) for n in names]
 
 
+# what a step depends on; later steps add to it
+ANCHOR = ("offset", "lo", "hi", "dead_zone", "dead_zone_unit")
+PLACE = (*ANCHOR, "delay", "delay_pct", "queue_gate", "touch_gate")
+
+
+def distinct(configs: Sequence[Quote], names: Sequence[str]) -> tuple[list[Quote], dict[str, list[str]]]:
+    """One configuration for each combination of ``names``, and the ids of those it stands for."""
+    first: dict[tuple, Quote] = {}
+    of: dict[str, list[str]] = {}
+    for q in configs:
+        mine = first.setdefault(tuple(getattr(q, n) for n in names), q)
+        of.setdefault(mine.config_id, []).append(q.config_id)
+    return list(first.values()), of
+
+
+def fan_out(state: DataFrame, of: dict[str, list[str]]) -> DataFrame:
+    """Per-window state of some configurations, given to all configurations they stand for."""
+    if all(ids == [k] for k, ids in of.items()):
+        return state
+    table = F.create_map(*[x for k, ids in of.items() for x in (F.lit(k), F.array(*map(F.lit, ids)))])
+    rest = [c for c in state.columns if c != "config_id"]
+    return state.select(F.explode(F.element_at(table, F.col("config_id"))).alias("config_id"), *rest)
+
+
 def anchors(qt: DataFrame, configs: Sequence[Quote], leg_range: bool = True) -> DataFrame:
     """First in-range two-sided mid outside the dead zone; its value is held afterwards."""
     x = with_configs(qt, configs)
@@ -458,12 +488,21 @@ def settle(exited: DataFrame, closing: DataFrame, configs: Sequence[Quote]) -> D
 
 
 def fills_of(qt: DataFrame, configs: Sequence[Quote], detector: str = "both", leg_range: bool = True) -> DataFrame:
-    """Anchor, placement and fills in one go."""
-    return leg_fills(qt, placements(qt, anchors(qt, configs, leg_range), configs), configs, detector)
+    """Anchor, placement and fills in one go, each over the configurations that differ in what the step reads."""
+    anchoring, anchored = distinct(configs, ANCHOR)
+    placing, placed = distinct(configs, PLACE)
+    known = {k: [q.config_id for q in placing if q.config_id in ids] for k, ids in anchored.items()}
+    a = fan_out(anchors(qt, anchoring, leg_range), known)
+    return fan_out(leg_fills(qt, placements(qt, a, placing), placing, detector), placed)
+
+
+def written_quotes(ticks: DataFrame, skip_buys: bool = False) -> DataFrame:
+    """Quote ticks with their positions, derived once and written; every step then reads the columns it needs."""
+    return cut(quote_ticks(ticks, skip_buys), "quotes")
 
 
-def outcomes(ticks: DataFrame, configs: Sequence[Quote] = (Quote(),), detector: str = "both") -> DataFrame:
-    """One row per (config, window): entry, fills, terminal event, profit and fees."""
-    qt = quote_ticks(ticks)
+def outcomes(ticks: DataFrame, configs: Sequence[Quote] = (Quote(),), detector: str = "both", quotes: DataFrame | None = None) -> DataFrame:
+    """One row per (config, window): entry, fills, terminal event, profit and fees. ``quotes`` are written quote ticks, if there are."""
+    qt = written_quotes(ticks) if quotes is None else quotes
     fills = apply_chase(qt, fills_of(qt, configs, detector), configs)
     return settle(exits(qt, fills, configs), closings(qt), configs)

@@ -24,7 +24,7 @@ SWEEP_VARIANT = O.Quote(config_id="hold_wide", offset=0.03, policy="hold", thr=0
 
 def base_outcomes(spark, sf):
     """The base configuration's outcome table, written once per application and reused."""
-    return shared_table(spark, sf, "outcomes_base", lambda: O.outcomes(ticks(spark, sf), [BASE]))
+    return shared_table(spark, sf, "outcomes_base", lambda: O.outcomes(ticks(spark, sf), [BASE], quotes=_qt(spark, sf)))
 
 
 BASE_SQL = outcomes_sql([BASE])
@@ -32,12 +32,13 @@ _L = "SELECT config_id, cid, a_us/1e6 AS anchor_ts, a_mid AS anchor_mid FROM a"
 
 
 def _qt(spark, sf):
-    return O.quote_ticks(ticks(spark, sf))
+    """Written once per application and read by every step of every query."""
+    return shared_table(spark, sf, "quotes", lambda: O.quote_ticks(ticks(spark, sf)))
 
 
 @query("window_outcomes", BASE_SQL + "SELECT * FROM outcomes")
 def window_outcomes(spark, sf):
-    return O.outcomes(ticks(spark, sf), [BASE])
+    return O.outcomes(ticks(spark, sf), [BASE], quotes=_qt(spark, sf))
 
 
 # the same rules over the ticks that the day files hold as valid lines
@@ -55,7 +56,7 @@ def outcomes_from_files(spark, sf):
 @query("window_outcomes_variant", outcomes_sql([SWEEP_VARIANT]) + "SELECT * FROM outcomes")
 def window_outcomes_variant(spark, sf):
     """Hold policy, entry delay, queue gate and touch gate switched on."""
-    return O.outcomes(ticks(spark, sf), [SWEEP_VARIANT])
+    return O.outcomes(ticks(spark, sf), [SWEEP_VARIANT], quotes=_qt(spark, sf))
 
 
 BY_SERIES = O.Quote(config_id="by_series", delay_pct=0.2, dead_zone=7200.0, dead_zone_unit="sec", thr_by_slug=(("ur", 0.07), ("view", 0.04), ("default_15m", 0.09)))
@@ -65,7 +66,7 @@ _THR = "CASE WHEN series='view' THEN 0.04e0 WHEN contains(series,'ur') OR contai
 @query("window_outcomes_by_series", outcomes_sql([BY_SERIES], thr=_THR) + "SELECT * FROM outcomes")
 def window_outcomes_by_series(spark, sf):
     """Per-series stop thresholds, a delay in percent and a dead zone in seconds."""
-    return O.outcomes(ticks(spark, sf), [BY_SERIES])
+    return O.outcomes(ticks(spark, sf), [BY_SERIES], quotes=_qt(spark, sf))
 
 
 @query("entry_anchor", chain([BASE]) + _L)
@@ -125,7 +126,7 @@ def detector_decomposition(spark, sf):
 
 def lab_timeline(spark, sf):
     """The measurement variant: no leg-range test, sell prints only, valued at the first dead-zone tick."""
-    qt = O.quote_ticks(ticks(spark, sf), skip_buys=True)
+    qt = O.written_quotes(ticks(spark, sf), skip_buys=True)
     f = O.fills_of(qt, [BASE], leg_range=False)
     cl = O.closings(qt).select("cid", "series", "duration", "day", "last_tsm")
     j = O.attach(qt, f, [BASE]).withColumn("hb", O.held_bid())
@@ -265,7 +266,7 @@ HOLD = O.Quote(config_id="hold", policy="hold", thr=0.9)
 
 def hold_outcomes(spark, sf):
     """Outcomes when every naked leg is carried to the close."""
-    return shared_table(spark, sf, "outcomes_hold", lambda: O.outcomes(ticks(spark, sf), [HOLD]))
+    return shared_table(spark, sf, "outcomes_hold", lambda: O.outcomes(ticks(spark, sf), [HOLD], quotes=_qt(spark, sf)))
 
 
 @query("settlement_ladder", outcomes_sql([HOLD]) + "SELECT cid, held, entry, settle_source, exit_price FROM outcomes WHERE kind='settle'")
@@ -282,7 +283,7 @@ def settlement_ladder(spark, sf):
     + ") AS p FROM cl, (VALUES ('up'),('down')) s(side))",
 )
 def redemption(spark, sf):
-    cl = O.closings(O.quote_ticks(ticks(spark, sf))).withColumn("side", F.explode(F.array(F.lit("up"), F.lit("down"))))
+    cl = O.closings(_qt(spark, sf)).withColumn("side", F.explode(F.array(F.lit("up"), F.lit("down"))))
     up = c("side") == "up"
     pick = lambda a, b: F.when(up, c(a)).otherwise(c(b))
     held = B.mid(pick("last_up_bid", "last_dn_bid"), pick("last_up_ask", "last_dn_ask"))
@@ -312,7 +313,7 @@ def chase(spark, sf):
 @query("window_outcomes_chased", outcomes_sql([CHASE]) + "SELECT * FROM outcomes")
 def window_outcomes_chased(spark, sf):
     """Outcomes when the open leg is chased towards its ask under the pair ceiling."""
-    return O.outcomes(ticks(spark, sf), [CHASE])
+    return O.outcomes(ticks(spark, sf), [CHASE], quotes=_qt(spark, sf))
 
 
 @query("leg_chase_path", _CHASE_SQL + "SELECT cid, ts_us, target, level, raised FROM c5")
