@@ -59,13 +59,25 @@ def test_allocation(spark):
 
 def test_grids():
     base = Quote()
-    grid = SW.ofat(base)
+    grid = SW.deduplicate(SW.ofat(base))
     assert grid[0].config_id == "Baseline" and len({q.key() for q in grid}) == len(grid)
     assert all(q.config_id == "Baseline" or q.config_id.startswith("offset=") for q in SW.only(grid, ["offset"]))
     assert len(SW.deduplicate([*grid, *grid])) == len(grid)
     axes = {"offset": (0.01, 0.02, 0.03), "thr": (0.05, 0.1, 0.15)}
+    full = SW.ofat(base, structural=True)
+    assert {q.config_id.split("=")[0] for q in full} == {"Baseline", *SW.AXES, *SW.STRUCTURAL}
+    units = {(q.dead_zone_unit, q.dead_zone) for q in SW.only(full, ["dead_zone"])}
+    assert units == {("pct", v) for v in (0.0, 0.05, 0.10, 0.15, 0.20, 0.30)} | {("sec", v) for v in (0.0, 15.0, 30.0, 60.0, 90.0, 120.0)}
+    assert len(SW.deduplicate(SW.ofat(base, {k: SW.AXES[k] for k in ("entry_delay", "late_entry")}))) == 1 + 5 + 4  # 10% and 20% are on both
+    assert dict(SW.thresholds(0.10, base, True)) == {"btc-up-or-down-5m": 0.07, "sol-up-or-down-5m": 0.09, "btc-up-or-down-15m": 0.11, "sol-up-or-down-15m": 0.11, "default_15m": 0.11, "default_5m": 0.10}
+    assert dict(SW.thresholds(0.06, base, False))["btc-up-or-down-5m"] == 0.05 and dict(SW.thresholds(0.06, base, False))["default_15m"] == base.thr
     short, long = SW.sampled(base, axes, 3), SW.sampled(base, axes, 6)
     assert long[: len(short)] == short and len({q.key() for q in long}) == 7
+    assert all(sorted(SW.drawn(i, n, 7) for i in range(n)) == list(range(n)) for n in (1, 2, 3, 64, 97))
+    wide = {k: tuple(round(0.01 + i * 1e-5, 5) for i in range(1000)) for k in ("offset", "reversal", "thr")}  # 10**9 points
+    many = SW.sampled(base, wide, 1000)
+    assert len({q.key() for q in many}) == 1001 and SW.sampled(base, wide, 10) == many[:11]
+    assert len(SW.sampled(base, {"offset": (0.02, 0.03)}, 10)) == 2  # all there is besides the base
     with pytest.raises(ValueError):
         Quote(policy="wait")
     with pytest.raises(ValueError):

@@ -78,14 +78,14 @@ fl AS (SELECT *, CASE WHEN u_us IS NOT NULL AND d_us IS NOT NULL THEN greatest(u
     )
 
 
-def chase_cte(src: str = "fl") -> str:
-    """The open leg's chased quote after the first fill, per (config, window)."""
+def chase_cte(src: str = "fl", mine: str = "true") -> str:
+    """The open leg's chased quote after the first fill, per (config, window); ``mine`` says which configurations chase."""
     prog = "CASE WHEN dzs<=nk THEN 1.0e0 WHEN elapsed<=nk THEN 0.0e0 ELSE least(1.0e0,greatest(0.0e0,(elapsed-nk)/(dzs-nk))) END"
     target = R(clamp("least(ask,ceil)", "0.01e0", "0.99e0"), 3)
     w = "OVER (PARTITION BY config_id, cid ORDER BY ts_us ROWS"
     return f"""c0 AS (SELECT x.config_id, x.cid, x.ts_us, x.line_no, x.elapsed, x.tape, held, first_us/1e6-x.start_ts AS nk, x.length-{CUTOFF} AS dzs,
    CASE WHEN held='down' THEN up_ask ELSE dn_ask END AS ask, CASE WHEN held='down' THEN ru ELSE rd END AS orig, CASE WHEN held='down' THEN up_token ELSE dn_token END AS tok,
-   floor((p_max_pair-entry+1e-9)*100.0e0)/100.0e0 AS cap FROM x JOIN {src} USING (config_id, cid) WHERE held IS NOT NULL AND ts_us>first_us AND mid_up IS NOT NULL),
+   floor((p_max_pair-entry+1e-9)*100.0e0)/100.0e0 AS cap FROM x JOIN {src} USING (config_id, cid) WHERE {mine} AND held IS NOT NULL AND ts_us>first_us AND mid_up IS NOT NULL),
 c1 AS (SELECT *, {prog} AS prog FROM c0),
 c2 AS (SELECT *, CASE WHEN cap<=orig OR prog<=0 THEN {R('orig', 2)} WHEN prog>=1 THEN {R('cap', 2)} ELSE floor((orig+prog*(cap-orig)+1e-9)*100.0e0)/100.0e0 END AS ceil FROM c1),
 c3 AS (SELECT *, CASE WHEN ask IS NOT NULL THEN {target} END AS target FROM c2),
@@ -95,14 +95,21 @@ c5 AS (SELECT *, level>before AS raised, (coalesce(len(list_filter(tape, lambda
 """
 
 
-def chased_fills() -> str:
+def chased_fills(ids: Sequence[str]) -> str:
     """``fl`` with the second leg of every chasing configuration taken from the chase."""
-    return f"""{chase_cte('fl0')}, ch AS (SELECT config_id, cid, min(ts_us) FILTER (WHERE hit) AS ch_us, arg_min(level, ts_us) FILTER (WHERE hit) AS ch_px FROM c5 GROUP BY 1,2),
-fl AS (SELECT * EXCLUDE (ch_us, ch_px) REPLACE (CASE WHEN held='down' THEN ch_us ELSE u_us END AS u_us, CASE WHEN held='up' THEN ch_us ELSE d_us END AS d_us, CASE WHEN held IS NOT NULL THEN ch_us ELSE pair_us END AS pair_us,
+    mine = f"config_id IN ({', '.join(map(_lit, ids))})"
+    return f"""{chase_cte('fl0', mine)}, ch AS (SELECT config_id, cid, min(ts_us) FILTER (WHERE hit) AS ch_us, arg_min(level, ts_us) FILTER (WHERE hit) AS ch_px FROM c5 GROUP BY 1,2),
+fl AS (SELECT * EXCLUDE (ch_us, ch_px) REPLACE (CASE WHEN {mine} AND held='down' THEN ch_us ELSE u_us END AS u_us, CASE WHEN {mine} AND held='up' THEN ch_us ELSE d_us END AS d_us, CASE WHEN {mine} AND held IS NOT NULL THEN ch_us ELSE pair_us END AS pair_us,
   CASE WHEN held='down' AND ch_us IS NOT NULL THEN ch_px ELSE ru END AS ru, CASE WHEN held='up' AND ch_us IS NOT NULL THEN ch_px ELSE rd END AS rd) FROM fl0 LEFT JOIN ch USING (config_id, cid))
 """
 
 
+def level_sql(configs: Sequence[Quote]) -> str:
+    """The stop threshold of each configuration for series that no table names (windows longer than five minutes)."""
+    own = "".join(f" WHEN config_id={_lit(q.config_id)} THEN {_lit(dict(q.thr_by_slug)['default_15m'])}" for q in configs if q.thr_by_slug)
+    return f"(CASE{own} ELSE p_thr END)" if own else "p_thr"
+
+
 def closing() -> str:
     lat = ", ".join(f"arg_max({q}, ts_us) FILTER (WHERE {q}>0 AND {q}<=1) AS lat_{q}" for q in ("up_bid", "up_ask", "dn_bid", "dn_ask"))
     last = ", ".join(f"max(struct_pack(t:=ts_us, v:={q})).v AS last_{q}" for q in ("up_bid", "up_ask", "dn_bid", "dn_ask"))
@@ -111,7 +118,8 @@ def closing() -> str:
   max(mid_up) AS mx, min(mid_up) AS mn, arg_max(tsm, ts_us) FILTER (WHERE tsm IS NOT NULL) AS last_tsm, {last}, {lat} FROM qt GROUP BY cid)"""
 
 
-def outcomes_sql(configs: Sequence[Quote] = (Quote(),), detector: str = "both", thr: str = "p_thr") -> str:
+def outcomes_sql(configs: Sequence[Quote] = (Quote(),), detector: str = "both", thr: str | None = None) -> str:
+    thr = level_sql(configs) if thr is None else thr
     exc = f"CASE WHEN held='up' THEN {R('entry-mid_up', 6)} WHEN held='down' THEN {R('mid_up-(1.0e0-entry)', 6)} END"
     hb = "CASE WHEN held='up' THEN up_bid WHEN held='down' THEN dn_bid END"
 
@@ -129,10 +137,8 @@ def outcomes_sql(configs: Sequence[Quote] = (Quote(),), detector: str = "both",
     fee = lambda p: f"(CASE WHEN {p}>0 AND {p}<1 THEN p_fee_rate*{p}*(1.0e0-{p}) ELSE 0.0e0 END*100.0e0)"
     edge = R("(1.0e0-(ru+rd))*100.0e0 - p_gas_usd*100.0e0/greatest(1,p_shares)", 4)
     fills = chain(configs, detector)
-    if any(q.max_pair for q in configs):
-        if not all(q.max_pair for q in configs):
-            raise ValueError("oracle text covers either all or no chasing configurations")
-        fills = fills.replace("\nfl AS (", "\nfl0 AS (") + ", " + chased_fills()
+    if chasing := [q.config_id for q in configs if q.max_pair]:
+        fills = fills.replace("\nfl AS (", "\nfl0 AS (") + ", " + chased_fills(chasing)
     return (
         fills
         + f""", {closing()},

@@ -18,7 +18,7 @@ from ..operators.scan import Running, global_rank, running
 from ..session import scratch_path, shared_table
 from ..sources import sinks
 from ..sources.derived import ticks
-from .outcomes import BASE, BASE_SQL, HOLD, LAB_SQL, base_outcomes, hold_outcomes, lab_timeline
+from .outcomes import _qt, BASE, BASE_SQL, HOLD, LAB_SQL, base_outcomes, hold_outcomes, lab_timeline
 from .outcomesql import outcomes_sql
 from .registry import query
 from .sqltext import R, T
@@ -68,13 +68,13 @@ def running_equity(spark, sf):
     return out.select(F.lit("series").alias("level"), c("series").alias("grp"), "cid", round_dp(c("cum"), 2).alias("equity"))
 
 
-GRID = SW.ofat(BASE)
+GRID = SW.deduplicate(SW.ofat(BASE))
 GRID_SQL = outcomes_sql(GRID)
 
 
 def sweep_outcomes(spark, sf):
     """Outcomes of the whole one-factor grid, written once per application."""
-    return shared_table(spark, sf, "outcomes_sweep", lambda: O.outcomes(ticks(spark, sf), SW.deduplicate(GRID)))
+    return shared_table(spark, sf, "outcomes_sweep", lambda: O.outcomes(ticks(spark, sf), GRID, quotes=_qt(spark, sf)))
 
 
 def metrics_sql(src: str = "outcomes", levels: str = "SELECT *, 'overall' AS level, 'all' AS grp FROM {0}") -> str:
@@ -163,14 +163,14 @@ def universe_sweep(spark, sf):
     return o.groupBy("universe").agg(F.count(F.lit(1)).alias("windows"), round_dp(F.sum(RS.net()), 2).alias("total_pnl"))
 
 
-JOINT = SW.joint(BASE, {"offset": (0.015, 0.025), "thr": (0.08, 0.12), "reversal": (0.015, 0.020)})
-SAMPLE = SW.sampled(BASE, {"offset": SW.AXES["offset"], "thr": SW.AXES["thr"], "dead_zone": SW.AXES["dead_zone"], "policy": SW.AXES["policy"]}, 6)
-DZ = SW.only(SW.ofat(BASE), ["dead_zone", "policy"])
+JOINT = SW.joint(BASE, {**SW.JOINT_AXES, "queue_gate": (0.0, 50.0), "thresholds": (0.08, 0.12)})
+SAMPLE = SW.sampled(BASE, count=20)
+DZ = SW.only(SW.ofat(BASE, structural=True), ["dead_zone", "naked_leg"])
 _SHORT = "SELECT config_id, n_windows, filled_windows, total_pnl, max_drawdown FROM metrics"
 
 
 def _short(spark, sf, grid):
-    return SW.run_sweep(ticks(spark, sf), grid).select("config_id", "n_windows", "filled_windows", "total_pnl", "max_drawdown")
+    return SW.run_sweep(None, grid, quotes=_qt(spark, sf)).select("config_id", "n_windows", "filled_windows", "total_pnl", "max_drawdown")
 
 
 @query("joint_grid", outcomes_sql(JOINT) + metrics_sql() + _SHORT)
@@ -188,12 +188,12 @@ def axis_filter(spark, sf):
     return _short(spark, sf, DZ)
 
 
-_STRUCT = [q for q in SW.ofat(BASE, {"offset": (0.03,)}, structural=True)]
+_STRUCT = SW.ofat(BASE, {"offset": SW.AXES["offset"]}, structural=True)
 
 
 @query("ofat_grid", outcomes_sql(_STRUCT) + metrics_sql() + _SHORT)
 def ofat_grid(spark, sf):
-    """One-factor grid with the opt-in structural axis."""
+    """One-factor grid with the opt-in structural axes."""
     return _short(spark, sf, _STRUCT)
 
 
@@ -206,10 +206,15 @@ def dedup_configs(spark, sf):
     return _short(spark, sf, _DUP)
 
 
-@query("config_hash", GRID_SQL + "SELECT config_id, substr(sha1(config_id || '|' || CAST(count(*) AS VARCHAR)), 1, 12) AS hash FROM outcomes GROUP BY 1")
+_KEYS = ", ".join("('" + q.config_id + "', '" + q.key().replace("'", "''") + "')" for q in GRID)
+
+
+@query("config_hash", GRID_SQL + f"SELECT config_id, substr(sha1(body), 1, 12) AS hash, count(*) AS n FROM outcomes JOIN (VALUES {_KEYS}) k(config_id, body) USING (config_id) GROUP BY ALL")
 def config_hash(spark, sf):
+    """Every evaluated configuration by the hash of its parameters."""
+    hashes = F.create_map(*[x for q in GRID for x in (F.lit(q.config_id), F.lit(SW.config_hash(q)))])
     n = sweep_outcomes(spark, sf).groupBy("config_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("config_id", F.substring(F.sha1(F.concat_ws("|", "config_id", c("n").cast("string")).cast("binary")), 1, 12).alias("hash"))
+    return n.select("config_id", F.element_at(hashes, c("config_id")).alias("hash"), "n")
 
 
 @query("csv_results", _MET + "SELECT config_id, n_windows, total_pnl, profit_factor, sharpe_proxy FROM metrics")
@@ -250,52 +255,52 @@ def split_rank(spark, sf):
     return SW.split_boundary(base_outcomes(spark, sf), 0.25)
 
 
-_CONF = GRID_SQL + f""", cb AS (SELECT list_sort(list(start_ts))[CAST(floor(count(*)*0.75e0) AS INT)+1] AS b FROM outcomes WHERE config_id='Baseline'),
- hs AS (SELECT config_id, sum((pnl-fees)*5.0e0) FILTER (WHERE end_ts<=b) AS ins, sum((pnl-fees)*5.0e0) FILTER (WHERE start_ts>=b) AS outs, count(*) FILTER (WHERE start_ts>=b AND (filled_up OR filled_dn)) AS filled FROM outcomes, cb GROUP BY 1),
- wn AS (SELECT arg_max(config_id, struct_pack(p:={R('ins', 2)}, k:=config_id)) AS w FROM hs),
- SELECTED AS (SELECT w, (SELECT {R('outs', 2)} FROM hs WHERE config_id='Baseline') AS base_pnl, (SELECT {R('outs', 2)} FROM hs, wn WHERE config_id=w) AS winner_pnl, (SELECT filled FROM hs, wn WHERE config_id=w) AS filled FROM wn)
- SELECT w AS winner, base_pnl, winner_pnl, CASE WHEN w='Baseline' THEN 'base_kept' WHEN filled<30 THEN 'too_few_fills' WHEN winner_pnl<=base_pnl THEN 'no_gain' ELSE 'gain' END AS reason,
-   w<>'Baseline' AND filled>=30 AND winner_pnl>base_pnl AS confirmed FROM SELECTED"""
+DESCENT_AXES = {"offset": (0.01, 0.02, 0.03, 0.04), "thr": (0.05, 0.10, 0.14), "reversal": (0.01, 0.02)}
+DESCENT_ROUNDS = 4
+HOLDOUT = 0.25
 
 
-@query("holdout_confirm", _CONF)
-def holdout_confirm(spark, sf):
-    """In-sample winner against the baseline on the later, untouched windows."""
-    s = SW.chrono_split(sweep_outcomes(spark, sf), 0.25)
-    inside, outside = c("part") == "in_sample", c("part") == "holdout"
-    m = s.groupBy("config_id").agg(
-        round_dp(F.sum(F.when(inside, RS.net())), 2).alias("ins"), round_dp(F.sum(F.when(outside, RS.net())), 2).alias("outs"),
-        F.count_if(outside & (c("filled_up") | c("filled_dn"))).alias("filled"),
-    )
-    v = m.agg(F.max(F.struct("ins", "config_id", "outs", "filled")).alias("w"), F.max(F.when(c("config_id") == "Baseline", c("outs"))).alias("base_pnl"))
-    same, thin, worse = c("w.config_id") == "Baseline", c("w.filled") < RS.MIN_FILLED, c("w.outs") <= c("base_pnl")
-    reason = F.when(same, "base_kept").when(thin, "too_few_fills").when(worse, "no_gain").otherwise("gain")
-    return v.select(c("w.config_id").alias("winner"), "base_pnl", c("w.outs").alias("winner_pnl"), reason.alias("reason"), (~same & ~thin & ~worse).alias("confirmed"))
+def _descent_sql(last: str) -> str:
+    """The search unrolled over the metrics of the whole product on in-sample windows, which the job never evaluates."""
+    axes = list(DESCENT_AXES)
+    parts = ", ".join(f"CASE WHEN x_{a}<>{getattr(BASE, a)!r}e0 THEN '{a}='||x_{a}::VARCHAR END" for a in axes)
+    label = f"coalesce(nullif(array_to_string(list_filter([{parts}], lambda z: z IS NOT NULL), ','), ''), 'base')"
+    grid = SW.joint(BASE, DESCENT_AXES)
+    at = ", ".join(f"('{q.config_id}', " + ", ".join(f"{getattr(q, a)!r}e0" for a in axes) + ")" for q in grid)
+    cols, apart = ", ".join(f"x_{a}" for a in axes), "+".join(f"CAST(dm.x_{a}<>l.x_{a} AS INT)" for a in axes)
+    sql = outcomes_sql(grid) + f""", dx(config_id, {cols}) AS (VALUES {at}),
+ wb AS (SELECT list_sort(list(s))[CAST(floor(count(*)*{1 - HOLDOUT}e0) AS INT)+1] AS b FROM (SELECT cid, any_value(start_ts) AS s FROM outcomes GROUP BY 1)),
+ dm AS MATERIALIZED (SELECT {label} AS config, {cols}, {R('sum((pnl-fees)*5.0e0) FILTER (WHERE end_ts<=b)', 2)} AS total_pnl, count(*) FILTER (WHERE end_ts<=b AND (filled_up OR filled_dn)) AS filled_windows,
+   {R('sum((pnl-fees)*5.0e0) FILTER (WHERE start_ts>=b)', 2)} AS out_pnl, count(*) FILTER (WHERE start_ts>=b AND (filled_up OR filled_dn)) AS out_filled FROM outcomes JOIN dx USING (config_id), wb GROUP BY {cols}),
+ g0 AS (SELECT 0 AS round, *, filled_windows>={RS.MIN_FILLED} AS admitted FROM dm WHERE config='base'), a0 AS (SELECT * FROM g0), l0 AS (SELECT {cols}, config FROM g0)"""
+    for k in range(1, DESCENT_ROUNDS + 1):
+        stop = f"(SELECT count(*) FROM l{k - 1} x JOIN l{k - 2} y USING (config))=0 AND " if k > 1 else ""
+        sql += f""", g{k} AS (SELECT {k} AS round, dm.*, filled_windows>={RS.MIN_FILLED} AS admitted FROM dm, l{k - 1} l WHERE {stop}{apart}=1 AND dm.config NOT IN (SELECT config FROM a{k - 1})),
+ a{k} AS (SELECT * FROM a{k - 1} UNION ALL SELECT * FROM g{k}), l{k} AS (SELECT {cols}, config FROM (SELECT *, row_number() OVER (ORDER BY (config='base' AND NOT admitted), total_pnl DESC, config) AS r FROM a{k} WHERE admitted OR config='base') WHERE r=1)"""
+    return sql + last.format(k=DESCENT_ROUNDS)
 
 
-DESCENT_AXES = {"offset": (0.01, 0.02, 0.03), "thr": (0.05, 0.10)}
-DESCENT_ROUNDS = 3
+def _descent(spark, sf):
+    inside, outside = SW.split_quotes(_qt(spark, sf), HOLDOUT)
+    return *SW.descend(inside, BASE, DESCENT_AXES, DESCENT_ROUNDS), outside
 
 
-def _descent_sql() -> str:
-    """The search unrolled over the metrics of the whole product, which the job never evaluates."""
-    label = "CASE WHEN o=0.02e0 AND t=0.05e0 THEN 'base' WHEN o=0.02e0 THEN 'thr='||t::VARCHAR WHEN t=0.05e0 THEN 'offset='||o::VARCHAR ELSE 'offset='||o::VARCHAR||',thr='||t::VARCHAR END"
-    grid = SW.joint(BASE, DESCENT_AXES)
-    at = ", ".join(f"('{q.config_id}', {q.offset}e0, {q.thr}e0)" for q in grid)
-    sql = outcomes_sql(grid) + f""", dx(config_id, o, t) AS (VALUES {at}),
- dm AS (SELECT {label} AS config, o, t, {R('sum((pnl-fees)*5.0e0)', 2)} AS total_pnl, count(*) FILTER (WHERE filled_up OR filled_dn) AS filled_windows FROM outcomes JOIN dx USING (config_id) GROUP BY o, t),
- g0 AS (SELECT 0 AS round, *, filled_windows>={RS.MIN_FILLED} AS admitted FROM dm WHERE config='base'), a0 AS (SELECT * FROM g0), l0 AS (SELECT o, t FROM g0)"""
-    for k in range(1, DESCENT_ROUNDS + 1):
-        stop = f"(SELECT count(*) FROM l{k - 1} x, l{k - 2} y WHERE x.o=y.o AND x.t=y.t)=0 AND " if k > 1 else ""
-        sql += f""", g{k} AS (SELECT {k} AS round, dm.*, filled_windows>={RS.MIN_FILLED} AS admitted FROM dm, l{k - 1} l WHERE {stop}(dm.o=l.o) <> (dm.t=l.t) AND config NOT IN (SELECT config FROM a{k - 1})),
- a{k} AS (SELECT * FROM a{k - 1} UNION ALL SELECT * FROM g{k}), l{k} AS (SELECT o, t FROM (SELECT o, t, row_number() OVER (ORDER BY (config='base' AND NOT admitted), total_pnl DESC, config) AS r FROM a{k} WHERE admitted OR config='base') WHERE r=1)"""
-    return sql + f" SELECT round, config, total_pnl, filled_windows, admitted FROM a{DESCENT_ROUNDS}"
+@query("coordinate_descent", _descent_sql(" SELECT round, config, total_pnl, filled_windows, admitted FROM a{k}"))
+def coordinate_descent(spark, sf):
+    """Every configuration the search evaluated on in-sample windows, with the round it was tried in."""
+    return _descent(spark, sf)[0].select("round", "config", "total_pnl", "filled_windows", "admitted")
 
 
-@query("coordinate_descent", _descent_sql())
-def coordinate_descent(spark, sf):
-    """Every configuration the search evaluated, with the round it was tried in."""
-    return SW.descend(ticks(spark, sf), BASE, DESCENT_AXES, DESCENT_ROUNDS).select("round", "config", "total_pnl", "filled_windows", "admitted")
+@query(
+    "holdout_confirm",
+    _descent_sql(f""", hw AS (SELECT w.config AS winner, (SELECT out_pnl FROM dm WHERE config='base') AS base_pnl, out_pnl AS winner_pnl, out_filled FROM l{{k}} w JOIN dm USING (config))
+ SELECT winner, base_pnl, winner_pnl, CASE WHEN winner='base' THEN 'base_kept' WHEN out_filled<{RS.MIN_FILLED} THEN 'too_few_fills' WHEN winner_pnl<=base_pnl THEN 'no_gain' ELSE 'gain' END AS reason,
+   winner<>'base' AND out_filled>={RS.MIN_FILLED} AND winner_pnl>base_pnl AS confirmed FROM hw"""),
+)
+def holdout_confirm(spark, sf):
+    """The search's winner against the base on the later, untouched windows."""
+    _, winner, outside = _descent(spark, sf)
+    return SW.confirm(outside, BASE, winner)
 
 
 @query("config_cross", GRID_SQL + "SELECT config_id, count(*) AS windows, count(DISTINCT series) AS series, count(*) FILTER (WHERE entered) AS entered FROM outcomes GROUP BY 1")
@@ -453,7 +458,7 @@ _PAR = outcomes_sql([BASE, ALT])
 
 
 def _two(spark, sf):
-    o = shared_table(spark, sf, "outcomes_pair", lambda: O.outcomes(ticks(spark, sf), [BASE, ALT]))
+    o = shared_table(spark, sf, "outcomes_pair", lambda: O.outcomes(ticks(spark, sf), [BASE, ALT], quotes=_qt(spark, sf)))
     return o.filter(c("config_id") == "base"), o.filter(c("config_id") == "alt")
 
 
