@@ -344,13 +344,15 @@ def exit_threshold(spark, sf):
 @query(
     "print_side",
     T
-    + """, p AS (SELECT up_bid, up_ask, up_token, unnest(tape) AS pr FROM ticks)
-    SELECT CASE WHEN pr.price >= up_ask-1e-9 THEN 'buy' ELSE 'sell' END AS side, count(*) AS prints, round(sum(pr.size),4) AS size FROM p WHERE pr.asset = up_token GROUP BY 1""",
+    + """, p AS (SELECT up_ask, dn_ask, up_token, unnest(tape) AS pr FROM ticks)
+    SELECT CASE WHEN pr.asset=up_token THEN 'up' ELSE 'down' END AS leg, CASE WHEN pr.price >= CASE WHEN pr.asset=up_token THEN up_ask ELSE dn_ask END-1e-9 THEN 'buy' ELSE 'sell' END AS side, count(*) AS prints, round(sum(pr.size),4) AS size FROM p GROUP BY 1,2""",
 )
 def print_side(spark, sf):
-    p = ticks(spark, sf).select("up_bid", "up_ask", "up_token", F.inline("tape")).filter(c("asset") == c("up_token"))
-    side = B.print_side(c("price"), c("up_bid"), c("up_ask"))
-    return p.groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("prints"), F.round(F.sum("size"), 4).alias("size"))
+    p = ticks(spark, sf).select("up_bid", "up_ask", "dn_bid", "dn_ask", "up_token", F.inline("tape"))
+    up = c("asset") == c("up_token")
+    own = lambda q: F.when(up, c(f"up_{q}")).otherwise(c(f"dn_{q}"))
+    side = B.print_side(c("price"), own("bid"), own("ask"))
+    return p.groupBy(F.when(up, "up").otherwise("down").alias("leg"), side.alias("side")).agg(F.count(F.lit(1)).alias("prints"), F.round(F.sum("size"), 4).alias("size"))
 
 
 @query(

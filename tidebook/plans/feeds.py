@@ -8,6 +8,7 @@ from ..functions import book as B
 from ..functions import text as X
 from ..functions.num import milli, round_dp
 from ..operators import prints as PR
+from ..operators import ranks as RK
 from ..operators import recon as RC
 from ..operators import windows as W
 from ..operators.scan import Running, running, with_halo
@@ -262,11 +263,13 @@ def shock_reaction(spark, sf):
 def latency_summary(spark, sf):
     """Shocks, reactions and index-style percentiles on whole milliseconds, per series and overall."""
     x = shock_reactions(spark, sf).select("series", F.floor(c("reaction_ms") + 0.5).cast("double").alias("ms"), round_dp(F.abs("drift"), 6).alias("d"))
+    x = RK.levels(x, "series")
     n, k = F.count(F.lit(1)), F.count("ms")
-    return x.groupingSets([["series"], []], "series").agg(
-        n.alias("shocks"), k.alias("reactions"), round_dp(k / n * 100.0, 2).alias("rate_pct"), F.min("ms").alias("min_ms"), round_dp(F.percentile("ms", 0.5), 1).alias("median_ms"),
-        round_dp(F.avg("ms"), 1).alias("mean_ms"), W.index_quantile("ms", 0.95).alias("p95_ms"), round_dp(F.percentile("d", 0.5), 6).alias("median_drift"), W.index_quantile("d", 0.95).alias("p95_drift"),
-    )
+    m = x.groupBy("series").agg(n.alias("shocks"), k.alias("reactions"), round_dp(k / n * 100.0, 2).alias("rate_pct"), F.min("ms").alias("min_ms"), round_dp(F.avg("ms"), 1).alias("mean_ms"))
+    ms = RK.quantiles(x, ["series"], "ms", {"median_ms": ("linear", 0.5), "p95_ms": ("index", 0.95)}).drop("n")
+    d = RK.quantiles(x, ["series"], "d", {"median_drift": ("linear", 0.5), "p95_drift": ("index", 0.95)}).drop("n")
+    out = m.join(ms, "series", "left").join(d, "series", "left")
+    return out.select(F.nullif("series", F.lit("overall")).alias("series"), "shocks", "reactions", "rate_pct", "min_ms", round_dp(c("median_ms"), 1).alias("median_ms"), "mean_ms", "p95_ms", round_dp(c("median_drift"), 6).alias("median_drift"), "p95_drift")
 
 
 @query("spot_stop_signal", T + _SPOT + f""", b0 AS (SELECT s.*, first_value(price) OVER (PARTITION BY series, ts_us//86400000000 ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS base FROM sp s)

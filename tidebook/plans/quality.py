@@ -10,8 +10,10 @@ from ..functions import text as X
 from ..functions.num import round_dp
 from ..functions.quality import silver_required, tick_issues
 from ..operators import quality as Q
+from ..operators import ranks as RK
 from ..operators import windows as W
 from ..operators.scan import Running, running, with_halo
+from ..sources import feeds as FD
 from ..sources.derived import ticks
 from .features import WINDOWS_SQL
 from .registry import query
@@ -254,14 +256,15 @@ def rising_edge(spark, sf):
 
 @query(
     "change_only",
-    T + """, t1 AS (SELECT *, lag(up_bid) OVER w AS pb, lag(up_ask) OVER w AS pa, row_number() OVER w AS rn FROM ticks WINDOW w AS (PARTITION BY up_token ORDER BY line_no))
-    SELECT event_id, up_token AS token, up_bid, up_ask FROM t1 WHERE rn=1 OR up_bid IS DISTINCT FROM pb OR up_ask IS DISTINCT FROM pa""",
+    T + """, t0 AS (SELECT event_id, line_no, up_token AS token, up_bid AS bid, up_ask AS ask FROM ticks UNION ALL SELECT event_id, line_no, dn_token, dn_bid, dn_ask FROM ticks),
+    t1 AS (SELECT *, lag(bid) OVER w AS pb, lag(ask) OVER w AS pa, row_number() OVER w AS rn FROM t0 WINDOW w AS (PARTITION BY token ORDER BY line_no))
+    SELECT event_id, token, bid, ask FROM t1 WHERE rn=1 OR bid IS DISTINCT FROM pb OR ask IS DISTINCT FROM pa""",
 )
 def change_only(spark, sf):
-    """Keep a row only if the token's top of book changed since its previous row."""
-    t = ticks(spark, sf).select("event_id", c("up_token").alias("token"), "line_no", "up_bid", "up_ask", F.struct("up_bid", "up_ask").alias("top"))
+    """Keep a row of either leg only if the token's top of book changed since its previous row."""
+    t = FD.legs(ticks(spark, sf), "event_id", "line_no").select("event_id", "token", "line_no", c("bb").alias("bid"), c("ba").alias("ask"), F.struct("bb", "ba").alias("top"))
     t = running(t, ["token"], ["line_no"], W.arrival_slice(), [Running("before", "prev", c("top"))])
-    return t.filter(~c("top").eqNullSafe(c("before"))).select("event_id", "token", "up_bid", "up_ask")
+    return t.filter(~c("top").eqNullSafe(c("before"))).select("event_id", "token", "bid", "ask")
 
 
 @query(
@@ -351,11 +354,8 @@ def sample_limit(spark, sf):
 def interval_percentiles(spark, sf):
     """Inter-tick gaps per market and overall; exact interpolated percentiles on whole milliseconds."""
     g = W.gaps_and_reversals(ticks(spark, sf).select("series", "cid", "ts_us", "line_no"), ["cid"]).filter(c("gap_sec").isNotNull())
-    g = g.withColumn("ms", F.floor(c("gap_sec") * 1000 + 0.5))
-
-    def p(q):
-        return round_dp(F.percentile("ms", q) / 1000, 4)
-
-    return g.groupingSets([["series"], []], "series").agg(
-        F.count(F.lit(1)).alias("n"), round_dp(F.min("gap_sec"), 3).alias("min_gap"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), round_dp(F.max("gap_sec"), 3).alias("max_gap"), round_dp(F.avg("gap_sec"), 4).alias("mean_gap")
-    )
+    g = RK.levels(g.select("series", "gap_sec"), "series").withColumn("ms", F.floor(c("gap_sec") * 1000 + 0.5))
+    q = RK.quantiles(g, ["series"], "ms", {f"p{k}": ("linear", k / 100) for k in (50, 95, 99)})
+    m = g.groupBy("series").agg(round_dp(F.min("gap_sec"), 3).alias("min_gap"), round_dp(F.max("gap_sec"), 3).alias("max_gap"), round_dp(F.avg("gap_sec"), 4).alias("mean_gap"))
+    told = [round_dp(c(k) / 1000, 4).alias(k) for k in ("p50", "p95", "p99")]
+    return q.join(m, "series").select(F.nullif("series", F.lit("overall")).alias("series"), "n", "min_gap", *told, "max_gap", "mean_gap")

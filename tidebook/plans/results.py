@@ -388,15 +388,16 @@ def outcome_kind(spark, sf):
 
 @query(
     "settlement_audit",
-    outcomes_sql([HOLD]) + f"""SELECT settle_source, winner=held AS won, count(*) AS n, {R('avg(pnl)', 4)} AS ladder_mean, {R('sum(pnl)', 3)} AS ladder_total, {R('avg((CASE WHEN winner=held THEN 1 ELSE 0 END-entry)*100.0e0)', 4)} AS true_mean,
- {R('avg(pnl-(CASE WHEN winner=held THEN 1 ELSE 0 END-entry)*100.0e0)', 4)} AS bias FROM outcomes WHERE kind='settle' AND winner IS NOT NULL GROUP BY 1,2""",
+    outcomes_sql([HOLD]) + f"""SELECT day, settle_source, winner=held AS won, count(*) AS n, {R('avg(pnl)', 4)} AS ladder_mean, {R('sum(pnl)', 3)} AS ladder_total, {R('avg((CASE WHEN winner=held THEN 1 ELSE 0 END-entry)*100.0e0)', 4)} AS true_mean,
+ {R('avg(pnl-(CASE WHEN winner=held THEN 1 ELSE 0 END-entry)*100.0e0)', 4)} AS bias FROM outcomes WHERE kind='settle' AND winner IS NOT NULL GROUP BY GROUPING SETS ((settle_source, winner=held), (day, settle_source, winner=held))""",
 )
 def settlement_audit(spark, sf):
-    """Naked windows: ladder profit against true redemption, by source and result."""
+    """Naked windows: ladder profit against true redemption, by source and result, overall and by day."""
     o = hold_outcomes(spark, sf).filter((c("kind") == "settle") & c("winner").isNotNull())
     won = c("winner") == c("held")
     true = (won.cast("int") - c("entry")) * 100.0
-    return o.groupBy("settle_source", won.alias("won")).agg(
+    o = o.withColumn("won", won)
+    return o.groupingSets([["settle_source", "won"], ["day", "settle_source", "won"]], "day", "settle_source", "won").agg(
         F.count(F.lit(1)).alias("n"), round_dp(F.avg("pnl"), 4).alias("ladder_mean"), round_dp(F.sum("pnl"), 3).alias("ladder_total"), round_dp(F.avg(true), 4).alias("true_mean"), round_dp(F.avg(c("pnl") - true), 4).alias("bias")
     )
 
@@ -477,10 +478,10 @@ def paper_vs_replay(spark, sf):
     return j.select("series", "start_ts", "paper_kind", "replay_kind", round_dp(c("q") - c("p"), 4).alias("delta"))
 
 
-@query("common_windows", _PAR + "SELECT series, start_ts FROM outcomes WHERE config_id='base' AND kind='stop' INTERSECT SELECT series, start_ts FROM outcomes WHERE config_id='alt' AND kind='stop'")
+@query("common_windows", _PAR + "SELECT series, start_ts FROM outcomes WHERE config_id='base' AND entered INTERSECT SELECT series, start_ts FROM outcomes WHERE config_id='alt' AND entered")
 def common_windows(spark, sf):
     a, b = _two(spark, sf)
-    pick = lambda d: d.filter(c("kind") == "stop").select("series", "start_ts")
+    pick = lambda d: d.filter("entered").select("series", "start_ts")
     return pick(a).intersect(pick(b))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.num import round_dp
+from ..operators import ranks as RK
 from ..operators import results as RS
 from ..operators import stats as ST
 from ..operators import windows as W
@@ -164,12 +165,9 @@ def quantile_family(spark, sf):
     """Five definitions side by side on whole-millisecond gaps."""
     g = W.gaps_and_reversals(ticks(spark, sf).select("series", "cid", "ts_us", "line_no"), ["cid"]).filter(c("gap_sec").isNotNull())
     g = g.select("series", F.floor(c("gap_sec") * 1000 + 0.5).alias("ms"))
-    a = g.groupBy("series").agg(
-        F.count(F.lit(1)).alias("n"), round_dp(F.percentile("ms", 0.95), 4).alias("linear_p95"), W.index_quantile("ms", 0.95).cast("bigint").alias("index_p95"),
-        W.upper_middle("ms").cast("bigint").alias("upper_middle"), round_dp(F.percentile("ms", 0.5), 4).alias("median"),
-    )
-    e = ST.exclusive_quartiles(ST.value_counts(g, ["series"], "ms"), ["series"]).select("series", c("q1").alias("exclusive_q1"), c("q3").alias("exclusive_q3"))
-    return a.join(e, "series")
+    wants = {"linear_p95": ("linear", 0.95), "index_p95": ("index", 0.95), "upper_middle": ("upper", 0.5), "median": ("linear", 0.5), "exclusive_q1": ("exclusive", 0.25), "exclusive_q3": ("exclusive", 0.75)}
+    whole = [c(k).cast("bigint").alias(k) for k in ("index_p95", "upper_middle")]
+    return RK.quantiles(g, ["series"], "ms", wants).select("series", "n", round_dp(c("linear_p95"), 4).alias("linear_p95"), *whole, round_dp(c("median"), 4).alias("median"), "exclusive_q1", "exclusive_q3")
 
 
 _S = "list_sort(list(close_value) FILTER (WHERE close_value IS NOT NULL))"
