@@ -166,11 +166,12 @@ def top_of_book_log(spark, sf):
     return drain(J.top_of_book_log(J.frames(tick_stream(spark, sf))), "toplog", partition="day").drop("day")
 
 
-@query("source_authority", T + """, a1 AS (SELECT *, sum(CASE WHEN event_id%401=0 THEN 1 ELSE 0 END) OVER (PARTITION BY up_token ORDER BY ts_us ROWS UNBOUNDED PRECEDING) AS g FROM ticks),
- a2 AS (SELECT event_id, ts_us, min(ts_us) OVER w AS ready, max(CASE WHEN len(tape)>0 THEN ts_us END) OVER (PARTITION BY up_token, g ORDER BY ts_us ROWS UNBOUNDED PRECEDING) AS lp FROM a1 WINDOW w AS (PARTITION BY up_token, g))
- SELECT event_id, coalesce(ts_us-ready>=600000000 AND ts_us-lp<=1200000000, false) AS authoritative FROM a2""")
+@query("source_authority", T + """, a0 AS (SELECT event_id, ts_us, up_token AS token, len(list_filter(tape, lambda z: z.asset=up_token))>0 AS printed FROM ticks UNION ALL SELECT event_id, ts_us, dn_token, len(list_filter(tape, lambda z: z.asset=dn_token))>0 FROM ticks),
+ a1 AS (SELECT *, sum(CASE WHEN event_id%401=0 THEN 1 ELSE 0 END) OVER (PARTITION BY token ORDER BY ts_us ROWS UNBOUNDED PRECEDING) AS g FROM a0),
+ a2 AS (SELECT event_id, token, ts_us, min(ts_us) OVER w AS ready, max(CASE WHEN printed THEN ts_us END) OVER (PARTITION BY token, g ORDER BY ts_us ROWS UNBOUNDED PRECEDING) AS lp FROM a1 WINDOW w AS (PARTITION BY token, g))
+ SELECT event_id, token, coalesce(ts_us-ready>=600000000 AND ts_us-lp<=1200000000, false) AS authoritative FROM a2""")
 def source_authority(spark, sf):
-    return drain(J.source_authority(tick_stream(spark, sf), 600_000_000, 1_200_000_000), "authority").drop("token")
+    return drain(J.source_authority(tick_stream(spark, sf), 600_000_000, 1_200_000_000), "authority").select("event_id", "token", "authoritative")
 
 
 @query("spot_merge", T + """, m1 AS (SELECT event_id, series, ts_us, CASE WHEN event_id%3=0 THEN 'B' ELSE 'A' END AS feed, 100+(event_id*31)%97*0.5e0 AS price FROM ticks),

@@ -72,8 +72,10 @@ def top_of_book_log(frame_stream: DataFrame) -> DataFrame:
 
 
 def source_authority(ticks: DataFrame, warmup_us: int, horizon_us: int) -> DataFrame:
-    t = ticks.withWatermark("at", DELAY).select(c("up_token").alias("token"), "event_id", "line_no", "ts_us", (c("event_id") % 401 == 0).alias("reconnect"), (F.size("tape") > 0).alias("printed"), "at")
-    return t.groupBy("token").transformWithStateInPandas(P.AuthorityProcessor(warmup_us, horizon_us), outputStructType=P.AuthorityProcessor.OUT, outputMode="Append", timeMode="EventTime")
+    """Whether each leg of a window may be trusted at each of its rows."""
+    leg = lambda token: F.struct(c(token).alias("token"), F.exists("tape", lambda x: x["asset"] == c(token)).alias("printed"))
+    rows = ticks.withWatermark("at", DELAY).select("event_id", "line_no", "ts_us", (c("event_id") % 401 == 0).alias("reconnect"), "at", F.inline(F.array(leg("up_token"), leg("dn_token"))))
+    return rows.groupBy("token").transformWithStateInPandas(P.AuthorityProcessor(warmup_us, horizon_us), outputStructType=P.AuthorityProcessor.OUT, outputMode="Append", timeMode="EventTime")
 
 
 def spot(ticks: DataFrame) -> DataFrame:
