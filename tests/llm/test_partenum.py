@@ -143,3 +143,33 @@ def test_empty(spark):
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert got(op5_ngram_jaccard_join(spark, sf)) == brute(rows)
+
+
+def test_forest_is_that_of_plain_search():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 30, 400):
+        a, b = rng.integers(0, n, (2, n // 2 + 1))
+        root = list(range(n))
+        for _ in range(n):
+            for x, y in zip(a, b, strict=True):
+                root[x] = root[y] = min(root[x], root[y])
+        assert pe.forest(n, a, b).tolist() == root
+
+
+def test_sketches_let_every_link_pass():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 9, 40, 300, 3000):
+        for num in (80, 90):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            off = len(a) * (100 - num) // 100
+            for b in (a[off:], np.unique(np.concatenate([a, rng.integers(0, 1 << 63, len(a) * (100 - num) // num, dtype=np.uint64)]))):
+                if len(b):
+                    sketches = np.stack([pe.sketch(a), pe.sketch(b)]).view(np.uint64)
+                    assert pe.may_link(np.array([len(a), len(b)]), sketches, np.array([0]), np.array([1]), num, 100).all()
+
+
+def test_split_signatures_give_the_same_components(spark, monkeypatch):
+    rows = corpus(6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(pe, "SPLIT", 2)
+    assert got(pe.jaccard_join(docs)) == brute(rows)

@@ -11,10 +11,13 @@ Two texts link when ``den * |A & B| >= num * |A | B|``. Method:
    those subsets: **every linked pair shares a signature**, without exception.
    Signatures that occur once tie nothing: counting them first, and filtering through a bitmap of the repeated ones,
    keeps most of them out of the later shuffles.
-3. *Candidate clusters.* Equal sets are one node. A signature of several nodes ties each to its smallest node:
-   one edge per member, never all pairs; clusters are the connected components.
+3. *Candidate pairs.* Equal sets are one node. Only nodes that share a signature are candidates; signatures are dealt to
+   buckets of bounded size, and one of more than ``SPLIT`` nodes is dealt into parts, every pair of parts in one place. A pair stays
+   if its sizes and its sketches allow a link: a sketch holds the parities of a set's elements in 256 classes, so two sketches
+   differ in no more places than the sets in elements. Both bounds are exact: no linked pair goes. What stays is
+   returned as a spanning forest of the bucket, and the forests' components are the clusters.
 4. *Verification.* Sets of clustered nodes, one row's a node (found again through a bitmap of fixed size), are compared exactly.
-   A cluster above ``block`` nodes is dealt into blocks, and every pair of blocks is one task, so no task
+   A cluster above ``block`` nodes or ``BLOCK_ELEMENTS`` elements is dealt into blocks, and every pair of blocks is one task, so no task
    holds more than two blocks. Tasks return a spanning forest and link counts, not pairs.
 
 Defined results: a null, empty or white text has ``n_shingles`` 0 and links with nothing; equal rows
@@ -39,6 +42,10 @@ from tidebook.session import cut
 
 #: bits of the map of repeated signatures (8 MB a task)
 SIGN_BITS = 26
+#: 64-bit words of a sketch
+WORDS = 4
+#: nodes of a signature, rows of a bucket and elements of a block above which they are dealt into more
+SPLIT, BUCKET_ROWS, BLOCK_ELEMENTS = 1024, 100_000, 1_000_000
 
 
 class Scheme:
@@ -100,26 +107,54 @@ def pieces(batches, rows: int = 1000):
             yield batch.slice(at, rows)
 
 
-def signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(id, n_shingles, node, sigs) per row of (id, text); a node's signatures stand once per slice of a batch."""
+def named_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(id, n_shingles, node) per row of (id, text)."""
     fields = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        scheme = Scheme(num, den)
         for batch in pieces(batches):
             sets = shingle_sets(batch.column("text"), width)
             nodes = [node_of(s) if len(s) else None for s in sets]
-            seen: set = set()
-            sigs = []
-            for node, s in zip(nodes, sets, strict=True):
-                if node is None or node in seen:
-                    sigs.append(None)
-                else:
-                    seen.add(node)
-                    sigs.append(scheme.signatures(s).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["id", "n_shingles", "node", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], ["id", "n_shingles", "node"])
+
+    return docs.mapInArrow(run, f"id {fields}, n_shingles long, node long")
+
+
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Parities of the elements in 64 * WORDS classes."""
+    odd = np.bincount((mix64(elements) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+SKETCH = [f"s{i}" for i in range(WORDS)]
+
+
+def signed(docs: DataFrame, width: int, num: int, den: int, held=None) -> DataFrame:
+    """The signatures of all sets, a node's once per slice of a batch: (sig), or (sig, node, size, sketch) of those that the bitmap may hold."""
+    names = ["sig"] if held is None else ["sig", "node", "size", *SKETCH]
+
+    def run(batches):
+        scheme = Scheme(num, den)
+        for batch in pieces(batches):
+            first: dict = {}
+            for s in shingle_sets(batch.column("text"), width):
+                if len(s):
+                    first.setdefault(node_of(s), s)
+            out = []
+            for node, s in first.items():
+                sigs = np.unique(scheme.signatures(s)).view(np.int64)
+                if held is None:
+                    out.append((sigs,))
+                    continue
+                sigs = sigs[held.might_hold(sigs)]
+                out.append((sigs, *(np.full(len(sigs), v, np.int64) for v in (node, len(s), *(sketch(s) if len(sigs) else SKETCH_OF_NONE)))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+
+    return docs.select("text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
 
-    return docs.mapInArrow(run, f"id {fields}, n_shingles long, node long, sigs array<long>")
+SKETCH_OF_NONE = np.zeros(WORDS, np.int64)
 
 
 def representative(node, key):
@@ -144,18 +179,82 @@ def sets_of(docs: DataFrame, held, width: int) -> DataFrame:
     return docs.select(F.xxhash64("id").alias("key"), "text").mapInArrow(run, "node long, elements binary")
 
 
-def repeated(signs: DataFrame, held) -> DataFrame:
-    """(node, sig) for the signatures that the bitmap of repeated ones may hold."""
-
-    def run(batches):
-        for batch in batches:
-            sigs, nodes = batch.column("sigs"), batch.column("node").to_numpy()
-            flat = sigs.flatten().to_numpy()
-            keep = held.might_hold(flat)
-            owner = np.repeat(nodes, sigs.value_lengths().to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(owner[keep]), pa.array(flat[keep])], ["node", "sig"])
+def may_link(sizes: np.ndarray, sketches: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sizes and sketches of the rows a and b allow a link: A and B differ in at most (den-num)/(den+num) of |A| + |B| elements."""
+    x, y = sizes[a], sizes[b]
+    differ = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=-1, dtype=np.int64)
+    return (den * np.minimum(x, y) >= num * np.maximum(x, y)) & (differ * (den + num) <= (x + y) * (den - num))
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index reachable from each of n, over the edges (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        low = np.minimum(x, y)
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+def bucket_forest(group: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """(node, root) over the pairs of a bucket that share a signature and may link."""
+    group = group.drop_duplicates(["sig", "x", "y", "node"]).sort_values(["sig", "x", "y", "node"])
+    keys = group[["sig", "x", "y"]].to_numpy()
+    nodes, at = np.unique(group["node"].to_numpy(), return_inverse=True)
+    sizes, sketches, side = group["size"].to_numpy(), group[SKETCH].to_numpy().view(np.uint64), group["side"].to_numpy(bool)
+    starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+    held = np.diff(np.append(starts, len(keys)))
+    root = np.arange(len(nodes))
 
-    return signs.mapInArrow(run, "node long, sig long")
+    def tie(root, a, b):
+        kept = may_link(sizes, sketches, a, b, num, den)
+        a, b = root[at[a[kept]]], root[at[b[kept]]]
+        apart = a != b
+        return forest(len(root), a[apart], b[apart])[root] if apart.any() else root
+
+    for m in np.unique(held[held > 1]):
+        first = starts[held == m]
+        if m <= 16:
+            i, j = np.triu_indices(m, 1)
+            for low in range(0, len(first), 1 << 14):
+                a, b = ((first[low : low + (1 << 14), None] + k).ravel() for k in (i, j))
+                apart = (side[a] != side[b]) | (keys[a, 1] == keys[a, 2])
+                root = tie(root, a[apart], b[apart])
+            continue
+        for s in first:
+            for low in range(s, s + m, 128):
+                a, b = (v.ravel() for v in np.meshgrid(np.arange(low, min(low + 128, s + m)), np.arange(low, s + m), indexing="ij"))
+                apart = (a < b) & (root[at[a]] != root[at[b]]) & ((side[a] != side[b]) | (keys[s, 1] == keys[s, 2]))
+                root = tie(root, a[apart], b[apart])
+    moved = root != np.arange(len(nodes))
+    return pd.DataFrame({"node": nodes[moved], "root": nodes[root[moved]]})
+
+
+def starred(edges: DataFrame, name: str) -> DataFrame:
+    """Edges of the same components: a node keeps the smallest of its roots, and its other roots are tied to that one."""
+    near = cut(edges.groupBy("node").agg(F.min("root").alias("low"), F.collect_set("root").alias("roots")), name)
+    others = near.select(F.explode("roots").alias("node"), "low").filter("node <> low")
+    return near.select("node", "low").unionByName(others).distinct().withColumnRenamed("low", "root")
+
+
+def candidates(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, root): edges whose components hold every pair that shares a signature and may link."""
+    twice = cut(signed(texts, width, num, den).groupBy("sig").count().filter("count > 1"), "partenum-repeated")
+    hot = cut(twice.filter(F.col("count") > SPLIT).select("sig", F.ceil(F.col("count") / SPLIT).cast("long").alias("parts")), "partenum-split")
+    rows = twice.agg(F.sum(F.col("count") * F.ceil(F.col("count") / SPLIT))).first()[0] or 0
+    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // BUCKET_ROWS))
+    posted = signed(texts, width, num, den, bitmap(twice, "sig", SIGN_BITS)).join(hot, "sig", "left")
+    posted = posted.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
+    posted = posted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    posted = posted.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "size", *SKETCH, (F.col("own") > F.col("other")).alias("side"))
+    dealt = posted.withColumn("bucket", F.pmod(F.xxhash64("sig", "x", "y"), F.lit(buckets)))
+    found = dealt.groupBy("bucket").applyInPandas(lambda g: bucket_forest(g, num, den), "node long, root long")
+    return starred(cut(found, "partenum-found"), "partenum-ties")
 
 
 def overlaps(sets: list[np.ndarray], slab: int = 8192) -> np.ndarray:
@@ -200,10 +299,11 @@ def link_block(nodes: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, si
 
 
 def verify(members: DataFrame, sets: DataFrame, block: int, num: int, den: int) -> DataFrame:
-    """(node, root, links) per task from (cluster, node, copies) and (node, elements), every pair of a cluster in exactly one task.
+    """(node, root, links) per task from (cluster, node, copies, n_shingles) and (node, elements), every pair of a cluster in exactly one task.
 
     Blocks are dealt before the sets join, so sets move to their node and then to their tasks, no further."""
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    most = F.greatest(F.count("*") / block, F.sum("n_shingles") / BLOCK_ELEMENTS)
+    blocks = members.groupBy("cluster").agg(F.ceil(most).cast("long").alias("blocks"))
     dealt = members.join(blocks, "cluster").join(sets, "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "copies", "elements", (F.col("own") > F.col("other")).alias("side"))
@@ -220,21 +320,16 @@ def verify(members: DataFrame, sets: DataFrame, block: int, num: int, den: int)
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100, block: int = 256) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_shingles``, ``component_id`` and ``n_links`` (rows linked directly)."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(signed(texts, width, num, den), "partenum-signed")
-    signs = rows.filter("sigs is not null").select("node", "sigs")
-    twice = signs.select(F.explode("sigs").alias("sig")).groupBy("sig").count().filter("count > 1")
-    signs = repeated(signs, bitmap(twice, "sig", SIGN_BITS))
-    shared = signs.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("sig", "low")
-    ties = signs.join(cut(shared, "partenum-shared"), "sig").filter("node <> low").select("node", "low").distinct()
-    clusters = cut(components(cut(ties, "partenum-ties"), "node", "low", "partenum-cluster"), "partenum-clusters")
-
-    copies = rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
+    rows = cut(named_sets(texts, width), "partenum-rows")
+    clusters = cut(components(candidates(texts, width, num, den), "node", "root", "partenum-cluster"), "partenum-clusters")
+
+    copies = rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.min("n_shingles").alias("n_shingles"))
     copies = cut(copies, "partenum-nodes")
     members = cut(clusters.select("node", F.col("component").alias("cluster")).join(copies, "node"), "partenum-members")
     sets = sets_of(texts, bitmap(members.select(representative("node", F.xxhash64("first")).alias("row")), "row"), width).dropDuplicates(["node"])
-    found = cut(verify(members.select("cluster", "node", "copies"), sets, block, num, den), "partenum-links")
+    found = cut(verify(members.select("cluster", "node", "copies", "n_shingles"), sets, block, num, den), "partenum-links")
 
-    groups = components(found.filter("node <> root"), "node", "root", "partenum-group")
+    groups = components(starred(found.filter("node <> root").select("node", "root"), "partenum-forest"), "node", "root", "partenum-group")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = copies.join(groups, "node", "left").join(links, "node", "left").withColumn("group", F.coalesce("component", "node"))
     named = cut(named, "partenum-named")
