@@ -14,7 +14,9 @@ slots empty; closing the gaps keeps the rest at their weights.
 had blocks. What follows is the surplus of one source, whose share could not be held; all rows are returned. In the pipeline
 too no row goes: the schedule is the order of the stream, and a source that has run out leaves its share to the others.
 
-Target weights: given, or rows of a source to the power ``temper``, which lifts small sources.
+Target weights: given, or rows of a source to the power ``temper``, which lifts small sources. They are rounded to whole slots
+of a period as long as the stream has blocks (``fine_grain``), so that what holds against the rounded weights holds against the targets
+to within one more block, up to MAX_GRAIN slots.
 
 Defined results: a null source is a source of its own, before all names; weights of absent sources are ignored and
 sources without a weight get the smallest; null or repeated ids only decide ties, and equal rows are all
@@ -33,18 +35,34 @@ from tidebook.llm.common import SENT_IDS, ranked
 from tidebook.session import cut
 
 MAX_SOURCES = 100_000
+#: slots of the longest period the driver computes
+MAX_GRAIN = 1 << 17
 
 
 def whole_weights(shares: dict, grain: int) -> dict:
-    """Positive integers near the shares that sum to ``grain`` (or to two a source, if that is more)."""
-    grain, total = max(grain, 2 * len(shares)), sum(shares.values())
-    exact = {k: 1 + (grain - len(shares)) * v / total for k, v in shares.items()}
-    out = {k: int(v) for k, v in exact.items()}
-    for k in sorted(exact, key=lambda k: (out[k] - exact[k], k))[: grain - sum(out.values())]:
+    """Positive integers that sum to ``grain`` (or to two a source, if that is more), each less than one from its share of it;
+    a source whose share is below one gets one, and the others share the rest."""
+    left, rest, out = max(grain, 2 * len(shares)), sum(shares.values()), {}
+    exact = {}
+    for k in sorted(shares, key=lambda k: (shares[k], k)):
+        if shares[k] * left < rest:
+            out[k], left, rest = 1, left - 1, rest - shares[k]
+        else:
+            exact[k] = shares[k]
+    exact = {k: v * left / rest for k, v in exact.items()}
+    out |= {k: int(v) for k, v in exact.items()}
+    for k in sorted(exact, key=lambda k: (out[k] - exact[k], k))[: left - sum(out[k] for k in exact)]:
         out[k] += 1
     return out
 
 
+def fine_grain(shares: dict, blocks: int) -> int:
+    """Slots of a period: at least one a block of the stream, so that rounded weights drift by less than a block over all of it,
+    and eight for the smallest share; at most MAX_GRAIN, beyond which the drift is below one block in MAX_GRAIN slots."""
+    smallest = min(shares.values()) / sum(shares.values())
+    return min(MAX_GRAIN, max(1000, blocks, int(8 / smallest)))
+
+
 def period(weights: dict) -> list[tuple]:
     """(source, block, slot) of one period of the schedule: earliest due block first among those released."""
     total = sum(weights.values())
@@ -71,7 +89,7 @@ def end_of_mix(counts: dict, weights: dict, schedule: list[tuple], block: int) -
     return sorted(last)[-2] if len(last) > 1 else last[0]
 
 
-def mix(docs: DataFrame, weights: dict | None = None, temper: float = 0.7, block: int = 16, grain: int = 1000, carry: list[str] = (), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, temper: float = 0.7, block: int = 16, grain: int | None = None, carry: list[str] = (), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """(id, source, block, release, due, slot, seq, in_mix) per row, with the columns in ``carry`` as they are.
 
     ``seq`` is the row's place in the mixed stream, from 0; ``release`` and ``due`` bound ``slot``.
@@ -87,7 +105,8 @@ def mix(docs: DataFrame, weights: dict | None = None, temper: float = 0.7, block
     named = {("" if k is None else f"={k}"): v for k, v in (weights or {}).items() if v > 0}
     least = min([named[k] for k in counts if k in named], default=1)
     shares = {k: named.get(k, least) if weights else n**temper for k, n in counts.items()}
-    whole = whole_weights(shares, grain) if counts else {}
+    blocks = sum(-(-n // block) for n in counts.values())
+    whole = whole_weights(shares, grain or fine_grain(shares, blocks)) if counts else {}
     schedule, total = period(whole), sum(whole.values())
     end = end_of_mix(counts, whole, schedule, block) if counts else 0
 

@@ -1,8 +1,9 @@
 """Secret scan with false-positive removal by a random forest, in DataFrame and SQL functions only.
 
 *Candidates.* Every run of non-space characters that, without quotes and closing punctuation and without a ``name=`` or
-``name:`` before it, has at least ``MIN_LENGTH`` characters and a digit or an issuer's format. Each keeps the name, the two runs before
-it, the one after it, and the path of its document.
+``name:`` before it, has at least ``MIN_LENGTH`` characters and a digit or an issuer's format; and every non-empty value, however short,
+that is assigned to a credential's name in its run (``pwd=x``, ``"api_key":"x"``) or in the runs before it (``password = x``, ``token: x``).
+Members of compact JSON are taken apart. Each keeps the name, the two runs before it, the one after it, and the path of its document.
 
 *Features.* Length; shares of digits, capitals, small letters and other characters; entropy and share of distinct
 characters; transitions between character classes per character, and between vowels and consonants; share of the
@@ -54,17 +55,33 @@ FEATURES = (
 VOWELS, CONSONANTS = "aeiouyAEIOUY", "bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ"
 
 
+#: a name before its value, quoted or not
+NAMED = r"^([A-Za-z_][A-Za-z0-9_.\-]*)[\"'`]?(?::=|=>|[=:](?!//))"
+#: the comma between two members of compact JSON
+MEMBERS = r"(?<=[\"'\]}0-9el]),(?=[\"'])"
+LONG = f"[0-9]|{ISSUED.strip('^$')}"
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """(id, path, place, name, value, before2, before1, after): ``place`` is the run's number in the text, from 0."""
     runs = docs.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.split(F.col(text_col).cast("string"), r"\s+").alias("runs"))
-    each = runs.select("id", "path", "runs", F.posexplode("runs").alias("place", "run")).filter((F.length("run") >= MIN_LENGTH) & F.col("run").rlike(f"[0-9]|{ISSUED.strip('^$')}"))
+    each = runs.select("id", "path", "runs", F.posexplode("runs").alias("place", "run"))
     at = lambda step: F.coalesce(F.get("runs", F.col("place") + step), F.lit(""))
-    bare = F.regexp_replace(F.col("run"), r"""^["'`(\[{<]+|["'`)\]}>,;.!?]+$""", "")
-    parted = each.select("id", "path", "place", at(-2).alias("before2"), at(-1).alias("before1"), at(1).alias("after"), bare.alias("bare"))
-    name = F.regexp_extract("bare", r"^([A-Za-z_][A-Za-z0-9_.\-]{0,40})[=:](?!//)", 1)
-    value = F.regexp_replace(F.regexp_replace("bare", r"^[A-Za-z_][A-Za-z0-9_.\-]{0,40}[=:](?!//)", ""), r"""^["'`]+""", "")
+    long = (F.length("run") >= MIN_LENGTH) & F.col("run").rlike(LONG)
+    each = each.filter(long | F.col("run").rlike("[=:]") | at(-1).rlike("[=:]>?$"))
+    parted = each.select("id", "path", "place", at(-2).alias("before2"), at(-1).alias("before1"), at(1).alias("after"), F.explode(F.split("run", MEMBERS)).alias("piece"))
+    parted = parted.withColumn("bare", F.regexp_replace("piece", r"""^["'`(\[{<]+|["'`)\]}>,;.!?]+$""", ""))
+    name = F.regexp_extract("bare", NAMED, 1)
+    value = F.regexp_replace(F.regexp_replace("bare", NAMED, ""), r"""^["'`]+""", "")
     out = parted.select("id", "path", "place", name.alias("name"), value.alias("value"), "before2", "before1", "after")
-    return out.filter((F.length("value") >= MIN_LENGTH) & F.col("value").rlike(f"[0-9]|{ISSUED}"))
+    return out.filter(((F.length("value") >= MIN_LENGTH) & F.col("value").rlike(f"[0-9]|{ISSUED}")) | ((F.col("value") != "") & assigned()))
+
+
+def assigned() -> Column:
+    """Whether a value is assigned to a credential's name, in its own run or in those before it."""
+    sign = F.col("before1").isin("=", ":", ":=", "=>")
+    before = (sign & (speaks_of(CREDENTIAL, "before2") > 0)) | (F.col("before1").rlike("[=:]>?$") & (speaks_of(CREDENTIAL, "before1") > 0))
+    return (speaks_of(CREDENTIAL, "name") > 0) | ((F.col("name") == "") & before)
 
 
 def speaks_of(words: str, *columns: str) -> Column:
@@ -81,18 +98,17 @@ def share(pattern: str) -> Column:
 
 
 def with_features(found: DataFrame) -> DataFrame:
-    chars = F.split(F.substring("value", 1, 256), "")
-    size = F.length(F.substring("value", 1, 256)).cast("double")
-    found = found.withColumn("chars", chars)
-    portion = lambda c: F.size(F.filter("chars", lambda x: x == c)) / size
-    entropy = F.aggregate(F.array_distinct("chars"), F.lit(0.0), lambda a, c: a - portion(c) * F.log2(portion(c)))
+    size = F.length("value").cast("double")
+    found = found.withColumn("chars", F.array_distinct(F.split("value", "")))
+    portion = lambda c: 1 - F.length(F.replace(F.col("value"), c, F.lit(""))) / size
+    entropy = F.aggregate("chars", F.lit(0.0), lambda a, c: a - portion(c) * F.log2(portion(c)))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[A-Z]", "\u0001"), "[a-z]", "\u0002"), "[0-9]", "\u0003"), "[^\u0001\u0002\u0003]", "\u0004")
     sounds = F.translate(F.translate("value", VOWELS, "\u0001" * len(VOWELS)), CONSONANTS, "\u0002" * len(CONSONANTS))
     around = F.greatest(speaks_of(CREDENTIAL, "before1", "before2"), F.lit(0.0))
     features = {
         "f_length": F.length("value").cast("double"),
         "f_digits": share("[^0-9]"), "f_upper": share("[^A-Z]"), "f_lower": share("[^a-z]"), "f_other": share("[A-Za-z0-9]"),
-        "f_entropy": entropy, "f_distinct": F.size(F.array_distinct("chars")) / size,
+        "f_entropy": entropy, "f_distinct": F.size("chars") / size,
         "f_class_steps": runs_of(classes) / F.length("value"), "f_vowel_steps": runs_of(sounds) / F.length("value"),
         "f_dictionary": 1 - F.length(F.regexp_replace(F.lower("value"), "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")) / F.length("value"),
         "f_test_path": F.coalesce(F.lower("path").rlike("test|example|sample|fixture|docs?/"), F.lit(False)).cast("double"),
@@ -107,12 +123,11 @@ def with_features(found: DataFrame) -> DataFrame:
 
 def seed_labels() -> Column:
     """1, 0 or null for a candidate with features, by rules that need no judgement."""
-    assigned = (F.col("f_name_credential") > 0) | ((F.col("f_near_credential") > 0) & F.col("before1").isin("=", ":", ":=", "=>"))
     plain = F.lit(False)
     for pattern in PLAIN:
         plain = plain | F.col("value").rlike(pattern)
     plain = plain | (F.col("f_dictionary") >= 0.6) | (F.col("f_repeat") > 0)
-    return F.when(F.col("value").rlike(ISSUED), 1).when(plain, 0).when(assigned & (F.col("f_entropy") >= 2.5), 1)
+    return F.when(F.col("value").rlike(ISSUED), 1).when(plain, 0).when(assigned() & (F.col("f_entropy") >= 2.5), 1)
 
 
 def forest(labelled: DataFrame, sample: int = 4000, trees: int = 20, depth: int = 6, seed: int = 11):
