@@ -26,6 +26,14 @@ def test_whole_weights():
     assert mx.whole_weights({str(i): 1.0 for i in range(300)}, 100) == {str(i): 2 for i in range(300)}
 
 
+def test_weights_follow_their_targets():
+    for shares in ({"hot": 1 / 3} | {f"s{i}": 2 / 3 / 999 for i in range(999)}, {"a": 0.6, "b": 0.3995, "c": 0.0005}, {"a": 1.0}):
+        grain = mx.fine_grain(shares, 5000)
+        got = mx.whole_weights(shares, grain)
+        assert sum(got.values()) == grain >= 5000
+        assert all(abs(got[k] - v / sum(shares.values()) * grain) < 1 for k, v in shares.items())
+
+
 def plain(rows, weights, block):
     """Block by block: at each slot the released block due first; exhausted sources idle."""
     total, left, done, out, slot = sum(weights.values()), {k: -(-sum(s == k for _, s in rows) // block) for k in weights}, Counter(), [], 0

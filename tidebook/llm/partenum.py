@@ -15,7 +15,9 @@ Two texts link when ``den * |A & B| >= num * |A | B|``. Method:
    buckets of bounded size, and one of more than ``SPLIT`` nodes is dealt into parts, every pair of parts in one place. A pair stays
    if its sizes and its sketches allow a link: a sketch holds the parities of a set's elements in 256 classes, so two sketches
    differ in no more places than the sets in elements. Both bounds are exact: no linked pair goes. What stays is
-   returned as a spanning forest of the bucket, and the forests' components are the clusters.
+   returned as a spanning forest of the bucket, and the forests' components are the candidate clusters. As large sets fill 256
+   classes, clusters are compared again by sketches with at least as many classes as a set has elements: the components of
+   what those let pass are the clusters.
 4. *Verification.* Sets of clustered nodes, one row's a node (found again through a bitmap of fixed size), are compared exactly.
    A cluster above ``block`` nodes or ``BLOCK_ELEMENTS`` elements is dealt into blocks, and every pair of blocks is one task, so no task
    holds more than two blocks. Tasks return a spanning forest and link counts, not pairs.
@@ -129,18 +131,19 @@ def sketch(elements: np.ndarray) -> np.ndarray:
 SKETCH = [f"s{i}" for i in range(WORDS)]
 
 
-def signed(docs: DataFrame, width: int, num: int, den: int, held=None) -> DataFrame:
-    """The signatures of all sets, a node's once per slice of a batch: (sig), or (sig, node, size, sketch) of those that the bitmap may hold."""
+def signed(docs: DataFrame, width: int, num: int, den: int, copied, held=None) -> DataFrame:
+    """The signatures of all sets, a node's once (of copies, whose bitmaps are those of their nodes and of their representatives, one signs): (sig), or (sig, node, size, sketch) of those that the bitmap may hold."""
     names = ["sig"] if held is None else ["sig", "node", "size", *SKETCH]
 
     def run(batches):
         scheme = Scheme(num, den)
         for batch in pieces(batches):
-            first: dict = {}
-            for s in shingle_sets(batch.column("text"), width):
+            first, out = {}, []
+            for s, key in zip(shingle_sets(batch.column("text"), width), batch.column("key").to_pylist(), strict=True):
                 if len(s):
-                    first.setdefault(node_of(s), s)
-            out = []
+                    node = node_of(s)
+                    if not copied[0].might_hold(np.array([node])) or copied[1].might_hold(np.array([node ^ key])):
+                        first.setdefault(node, s)
             for node, s in first.items():
                 sigs = np.unique(scheme.signatures(s)).view(np.int64)
                 if held is None:
@@ -151,7 +154,7 @@ def signed(docs: DataFrame, width: int, num: int, den: int, held=None) -> DataFr
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
 
-    return docs.select("text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select(F.xxhash64("id").alias("key"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 SKETCH_OF_NONE = np.zeros(WORDS, np.int64)
@@ -162,8 +165,8 @@ def representative(node, key):
     return F.col(node).bitwiseXOR(key)
 
 
-def sets_of(docs: DataFrame, held, width: int) -> DataFrame:
-    """(node, elements) of rows of (id, text) that the bitmap of representatives may hold, once per slice of a batch."""
+def sets_of(docs: DataFrame, held, width: int, shape=np.ndarray.tobytes) -> DataFrame:
+    """(node, elements) of rows of (id, text) that the bitmap of representatives may hold, once per slice of a batch, in the given shape."""
 
     def run(batches):
         for batch in pieces(batches):
@@ -174,11 +177,45 @@ def sets_of(docs: DataFrame, held, width: int) -> DataFrame:
             for i, node, kept in zip(rows, nodes.tolist(), keep, strict=True):
                 if kept:
                     first.setdefault(node, i)
-            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.int64()), pa.array([sets[i].tobytes() for i in first.values()], pa.binary())], ["node", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.int64()), pa.array([shape(sets[i]) for i in first.values()], pa.binary())], ["node", "elements"])
 
     return docs.select(F.xxhash64("id").alias("key"), "text").mapInArrow(run, "node long, elements binary")
 
 
+def wide_sketch(elements: np.ndarray) -> bytes:
+    """Parities in a power of two of classes, 1024 or the first that is not below the number of elements."""
+    bits = max(1024, 1 << (len(elements) - 1).bit_length())
+    odd = np.bincount((mix64(elements) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def wide_forest(sizes: np.ndarray, sketches: list[bytes], side: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The smallest index reachable over the pairs that sizes and wide sketches allow to link; across two blocks where ``side`` differs.
+
+    The larger set of such a pair has the same number of classes or twice as many, which fold into one half."""
+    widths, two = np.array([len(s) for s in sketches]), side.any() and not side.all()
+    ends: list = [[], []]
+    for width in np.unique(widths):
+        own, above = (np.flatnonzero(widths == w) for w in (width, 2 * width))
+        own, above = own[np.argsort(sizes[own], kind="stable")], above[np.argsort(sizes[above], kind="stable")]
+        grid = np.array([np.frombuffer(sketches[i], np.uint64) for i in own])
+        if len(above):
+            halves = np.array([np.frombuffer(sketches[i], np.uint64).reshape(2, -1) for i in above])
+            grid = np.concatenate([grid, halves[:, 0] ^ halves[:, 1]])
+        rows = np.concatenate([own, above])
+        held = sizes[rows]
+        upto = np.searchsorted(held, held[: len(own)] * den // num, "right")
+        for i, to in enumerate(upto):
+            differ = np.bitwise_count(grid[i] ^ grid[i + 1 : to]).sum(axis=1, dtype=np.int64)
+            ok = differ * (den + num) <= (held[i] + held[i + 1 : to]) * (den - num)
+            if two:
+                ok &= side[rows[i + 1 : to]] != side[rows[i]]
+            partner = rows[i + 1 : to][ok]
+            ends[0].append(np.full(len(partner), rows[i]))
+            ends[1].append(partner)
+    return forest(len(sizes), *(np.concatenate(e) if e else np.zeros(0, np.int64) for e in ends))
+
+
 def may_link(sizes: np.ndarray, sketches: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether sizes and sketches of the rows a and b allow a link: A and B differ in at most (den-num)/(den+num) of |A| + |B| elements."""
     x, y = sizes[a], sizes[b]
@@ -242,13 +279,15 @@ def starred(edges: DataFrame, name: str) -> DataFrame:
     return near.select("node", "low").unionByName(others).distinct().withColumnRenamed("low", "root")
 
 
-def candidates(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def candidates(texts: DataFrame, copies: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(node, root): edges whose components hold every pair that shares a signature and may link."""
-    twice = cut(signed(texts, width, num, den).groupBy("sig").count().filter("count > 1"), "partenum-repeated")
+    several = copies.filter("copies > 1").select("node", representative("node", F.xxhash64("first")).alias("row"))
+    copied = bitmap(several, "node"), bitmap(several, "row")
+    twice = cut(signed(texts, width, num, den, copied).groupBy("sig").count().filter("count > 1"), "partenum-repeated")
     hot = cut(twice.filter(F.col("count") > SPLIT).select("sig", F.ceil(F.col("count") / SPLIT).cast("long").alias("parts")), "partenum-split")
     rows = twice.agg(F.sum(F.col("count") * F.ceil(F.col("count") / SPLIT))).first()[0] or 0
     buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // BUCKET_ROWS))
-    posted = signed(texts, width, num, den, bitmap(twice, "sig", SIGN_BITS)).join(hot, "sig", "left")
+    posted = signed(texts, width, num, den, copied, bitmap(twice, "sig", SIGN_BITS)).join(hot, "sig", "left")
     posted = posted.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
     posted = posted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     posted = posted.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "size", *SKETCH, (F.col("own") > F.col("other")).alias("side"))
@@ -298,15 +337,32 @@ def link_block(nodes: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, si
     return nodes[[find(x) for x in range(len(nodes))]], linked @ copies
 
 
-def verify(members: DataFrame, sets: DataFrame, block: int, num: int, den: int) -> DataFrame:
-    """(node, root, links) per task from (cluster, node, copies, n_shingles) and (node, elements), every pair of a cluster in exactly one task.
+def blocks_of(members: DataFrame, sets: DataFrame, block: int, elements: int) -> DataFrame:
+    """(cluster, node, copies, n_shingles) and (node, elements) joined, with every pair of a cluster in exactly one (cluster, x, y).
 
     Blocks are dealt before the sets join, so sets move to their node and then to their tasks, no further."""
-    most = F.greatest(F.count("*") / block, F.sum("n_shingles") / BLOCK_ELEMENTS)
+    most = F.greatest(F.count("*") / block, F.sum("n_shingles") / elements)
     blocks = members.groupBy("cluster").agg(F.ceil(most).cast("long").alias("blocks"))
     dealt = members.join(blocks, "cluster").join(sets, "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "copies", "elements", (F.col("own") > F.col("other")).alias("side"))
+    return dealt.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "copies", "n_shingles", "elements", (F.col("own") > F.col("other")).alias("side"))
+
+
+def refined(members: DataFrame, sketches: DataFrame, block: int, num: int, den: int) -> DataFrame:
+    """(node, root): edges whose components hold every pair of a cluster that wide sketches allow to link."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")
+        nodes = group["node"].to_numpy()
+        root = wide_forest(group["n_shingles"].to_numpy(), list(group["elements"]), group["side"].to_numpy(bool), num, den)
+        moved = root != np.arange(len(nodes))
+        return pd.DataFrame({"node": nodes[moved], "root": nodes[root[moved]]})
+
+    return blocks_of(members, sketches, 4 * block, 16 * BLOCK_ELEMENTS).groupBy("cluster", "x", "y").applyInPandas(run, "node long, root long")
+
+
+def verify(members: DataFrame, sets: DataFrame, block: int, num: int, den: int) -> DataFrame:
+    """(node, root, links) per task from (cluster, node, copies, n_shingles) and (node, elements)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(e, np.uint64) for e in group["elements"]]
@@ -314,19 +370,28 @@ def verify(members: DataFrame, sets: DataFrame, block: int, num: int, den: int)
         root, links = link_block(nodes, sets, group["copies"].to_numpy(), group["side"].to_numpy(bool), num, den)
         return pd.DataFrame({"node": nodes, "root": root, "links": links})
 
-    return dealt.groupBy("cluster", "x", "y").applyInPandas(run, "node long, root long, links long")
+    return blocks_of(members, sets, block, BLOCK_ELEMENTS).groupBy("cluster", "x", "y").applyInPandas(run, "node long, root long, links long")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100, block: int = 256) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_shingles``, ``component_id`` and ``n_links`` (rows linked directly)."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = cut(named_sets(texts, width), "partenum-rows")
-    clusters = cut(components(candidates(texts, width, num, den), "node", "root", "partenum-cluster"), "partenum-clusters")
-
     copies = rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.min("n_shingles").alias("n_shingles"))
     copies = cut(copies, "partenum-nodes")
-    members = cut(clusters.select("node", F.col("component").alias("cluster")).join(copies, "node"), "partenum-members")
-    sets = sets_of(texts, bitmap(members.select(representative("node", F.xxhash64("first")).alias("row")), "row"), width).dropDuplicates(["node"])
+
+    def members_of(edges, name):
+        clusters = components(edges, "node", "root", f"{name}-cluster")
+        return cut(clusters.select("node", F.col("component").alias("cluster")).join(copies, "node"), name)
+
+    def shaped(members, shape):
+        held = bitmap(members.select(representative("node", F.xxhash64("first")).alias("row")), "row")
+        return sets_of(texts, held, width, shape).dropDuplicates(["node"])
+
+    wide = members_of(candidates(texts, copies, width, num, den), "partenum-candidates")
+    edges = cut(refined(wide, shaped(wide, wide_sketch), block, num, den), "partenum-refined")
+    members = members_of(starred(edges, "partenum-stars"), "partenum-members")
+    sets = shaped(members, np.ndarray.tobytes)
     found = cut(verify(members.select("cluster", "node", "copies", "n_shingles"), sets, block, num, den), "partenum-links")
 
     groups = components(starred(found.filter("node <> root").select("node", "root"), "partenum-forest"), "node", "root", "partenum-group")
