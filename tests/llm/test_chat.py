@@ -56,6 +56,32 @@ def test_segments_agree_with_one_piece():
         assert way[0][0] == chat.START and all(x[1] == y[0] for x, y in zip(way, way[1:], strict=False))
 
 
+def test_one_repair_wherever_segments_are_cut():
+    rng = random.Random(5)
+    for _ in range(10_000):
+        roles = [rng.randrange(4) for _ in range(rng.randrange(2, 12))]
+        cuts = sorted(rng.sample(range(1, len(roles)), rng.randrange(1, min(4, len(roles)))))
+        parts = [roles[a:b] for a, b in zip([0, *cuts], [*cuts, len(roles)], strict=True)]
+        ends = chat.chain(*zip(*map(chat.ordered, parts), strict=True))
+        way = [w for p, (a, b) in zip(parts, ends, strict=True) for w in chat.solve(p, a, b)]
+        assert way == chat.solve(roles, chat.START, chat.best_end(chat.combined(roles)[chat.START]))
+
+
+def test_repairs_do_not_depend_on_segments_or_other_conversations(spark):
+    rng = random.Random(6)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "x", None]), f"{c}<|end|>{t}") for c in range(40) for t in range(rng.randrange(1, 9))]
+    rows.append((7, 99, "user", "long " * 200_000))
+    shape = "conv_id long, turn int, role string, text string"
+
+    def texts(kept, segment):
+        out = chat.repair(spark.createDataFrame(kept, shape), segment=segment).orderBy("conv_id", "position").collect()
+        return {c: [(r.turn, r.role, r.action, r.cost, r.piece) for r in out if r.conv_id == c] for c in {r.conv_id for r in out}}
+
+    whole = texts(rows, 2048)
+    assert texts(rows, 3) == whole
+    assert texts([r for r in rows if r[0] % 2], 5) == {c: w for c, w in whole.items() if c % 2}
+
+
 def check(rows, out):
     """Every turn comes out once, in order; the joined text is legal and holds every text."""
     by = {}

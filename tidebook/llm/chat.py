@@ -2,17 +2,21 @@
 
 Legal conversations: at most one system turn, first; then user and assistant in turn, user first. For every turn
 a dynamic programme over the states of that automaton chooses among: *keep* (free), *relabel*, *merge* into the turn
-before, and *insert* empty turns before it. Costs are in ``COSTS``. Ties go to the earlier state, and within a step to
-the action listed first, so results never depend on partitioning.
+before, and *insert* empty turns before it. Costs are in ``COSTS``. Of equally cheap ways the one wins whose states, read
+from the end, are earlier in ``NAMES`` where they first differ; within a step the action listed first.
 
 A step is a matrix of costs between states and steps combine associatively (minimum of sums). So turns are dealt
 by their rank over the whole table into segments of ``segment`` rows, whatever conversation they belong to:
 
-1. every segment gives the combined matrix of each conversation piece in it;
-2. pieces of conversations that cross segments are chained (16 numbers a piece), which fixes the states at borders;
-3. every segment is solved again between its border states, traced back and rendered.
+1. every segment gives the combined matrix of each conversation piece in it, and for each last state the order in which
+   the best ways from the four first states stand by the rule for ties;
+2. pieces of conversations that cross segments are chained (32 numbers a piece), which fixes the states at borders;
+3. every segment is solved again between its border states and traced back; texts join the result by rank.
 
-A conversation that holds a third of all turns is thus many tasks, and none sees more than a segment of texts.
+The order makes ties compose as costs do: ways that end in one state and start in two differ inside the piece, so their order is
+a matter of the piece alone. A repair is therefore the same wherever segments are cut, whatever other conversations there are.
+A conversation that holds a third of all turns is many tasks, and Python sees roles only, so very long texts need no more
+memory than one row of them.
 
 The rendered pieces of a conversation, joined in the order of ``position``, are its text; the markers in ``TAGS`` are
 broken up inside texts, so they cannot be forged.
@@ -20,7 +24,7 @@ broken up inside texts, so they cannot be forged.
 Defined results: role names are trimmed and lower-cased, ``ALIASES`` apply, null and others are unknown and cost
 less to relabel; null texts are empty; turns order by number (null first), then by text checksum, text and role; repeated
 turns are turns of their own; a null conversation id is a conversation of its own; an empty table gives no rows;
-other columns are ignored.
+other columns are ignored, whatever their names; very long texts are rows like others.
 """
 
 from __future__ import annotations
@@ -70,10 +74,18 @@ STEPS = [actions(role) for role in range(4)]
 
 def combined(roles) -> np.ndarray:
     """Least costs between states over a run of turns."""
-    total = np.where(np.eye(4, dtype=bool), 0, FAR)
+    return ordered(roles)[0]
+
+
+def ordered(roles) -> tuple[np.ndarray, np.ndarray]:
+    """Least costs between states over a run of turns, and for every last state the places of the first states by the rule for ties."""
+    total, order, states = np.where(np.eye(4, dtype=bool), 0, FAR), np.repeat(np.arange(4)[:, None], 4, axis=1), np.arange(4)
     for role in roles:
-        total = np.minimum((total[:, :, None] + STEPS[role][0][None]).min(axis=1), FAR)
-    return total
+        ways = total[:, :, None] + STEPS[role][0][None]
+        through = ways.argmin(axis=1)
+        total = np.minimum(ways.min(axis=1), FAR)
+        order = (through * 4 + order[states[:, None], through]).argsort(axis=0, kind="stable").argsort(axis=0)
+    return total, order
 
 
 def best_end(costs: np.ndarray) -> int:
@@ -93,14 +105,15 @@ def solve(roles, start: int, end: int) -> list[tuple[int, int]]:
     return way[::-1]
 
 
-def chain(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(first state, last state) of every piece of one conversation on its cheapest way."""
+def chain(matrices: list[np.ndarray], orders: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """(first state, last state) of every piece of one conversation on its cheapest way, ties by the orders of the pieces."""
     costs = [np.where(np.arange(4) == START, 0, FAR)]
     for m in matrices:
         costs.append(np.minimum((costs[-1][:, None] + m).min(axis=0), FAR))
     out, state = [], best_end(costs[-1])
     for i in range(len(matrices) - 1, -1, -1):
-        before = int(np.argmin(costs[i] + matrices[i][:, state]))
+        ties = np.arange(4) if orders is None else orders[i][:, state]
+        before = int(np.argmin((costs[i] + matrices[i][:, state]) * 4 + ties))
         out.append((before, state))
         state = before
     return out[::-1]
@@ -112,26 +125,24 @@ def runs(values: np.ndarray):
     return zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(values)]]), strict=True)
 
 
-def render_piece(group: pd.DataFrame, way: list[tuple[int, int]], last: bool) -> list[tuple]:
-    """Output rows of one piece: inserted turns and turns, with what each adds to the conversation's text."""
+def render_piece(roles: list[int], ranks: list[int], way: list[tuple[int, int]], last: bool) -> list[tuple]:
+    """(rank, position, role, action, cost, head, tail) of a piece's inserted turns and turns: what stands around each text."""
     out = []
-    for row, (before, after) in zip(group.itertuples(), way, strict=True):
-        action, inserted = STEPS[row.role_code][1][before, after]
-        text, opened = row.text or "", before != START
-        for tag in TAGS:
-            text = text.replace(tag, tag[0] + " " + tag[1:])
+    for code, rank, (before, after) in zip(roles, ranks, way, strict=True):
+        action, inserted = STEPS[code][1][before, after]
+        opened = before != START
         for j, role in enumerate(inserted):
             head = (f"{TAGS[1]}\n" if opened else "") + f"{TAGS[0]}{NAMES[role]}\n"
-            out.append((row.conv, None, int(row.rank) * 4 + j, NAMES[role], "insert", COSTS["insert"], head))
+            out.append((rank, rank * 4 + j, NAMES[role], "insert", COSTS["insert"], head, ""))
             opened = True
         if action == "merge":
             head = "\n\n"
         else:
             head = (f"{TAGS[1]}\n" if opened else "") + f"{TAGS[0]}{NAMES[after]}\n"
-        price = int(STEPS[row.role_code][0][before, after]) - len(inserted) * COSTS["insert"]
-        out.append((row.conv, row.turn, int(row.rank) * 4 + 3, NAMES[after], action, price, head + text))
+        price = int(STEPS[code][0][before, after]) - len(inserted) * COSTS["insert"]
+        out.append((rank, rank * 4 + 3, NAMES[after], action, price, head, ""))
     if last:
-        out[-1] = (*out[-1][:-1], out[-1][-1] + f"{TAGS[1]}\n")
+        out[-1] = (*out[-1][:-1], f"{TAGS[1]}\n")
     return out
 
 
@@ -145,21 +156,21 @@ def repair(turns: DataFrame, segment: int = 2048, conv_col: str = "conv_id", tur
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(text_col).cast("string").alias("text"), code.alias("role_code"))
     rows = rows.withColumn("crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     rows = ranked(rows, ["conv", "turn", "crc", "text", "role_code"], "rank", "chat-ranked").drop("crc").withColumn("segment", F.expr(f"rank div {segment}"))
-    conv, turn = (rows.schema[c].dataType.simpleString() for c in ("conv", "turn"))
+    conv = rows.schema["conv"].dataType.simpleString()
 
     def pieces(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank")
         key, roles = group["conv"].astype(object).where(group["conv"].notna(), None).map(repr).to_numpy(), group["role_code"].to_numpy()
-        found = [(group["conv"].iloc[a], group["segment"].iloc[0], combined(roles[a:b]).ravel()) for a, b in runs(key)]
-        return pd.DataFrame(found, columns=["conv", "segment", "matrix"])
+        found = [(group["conv"].iloc[a], group["segment"].iloc[0], *(m.ravel() for m in ordered(roles[a:b]))) for a, b in runs(key)]
+        return pd.DataFrame(found, columns=["conv", "segment", "matrix", "places"])
 
-    parts = cut(rows.select("conv", "segment", "rank", "role_code").groupBy("segment").applyInPandas(pieces, f"conv {conv}, segment long, matrix array<long>"), "chat-pieces")
+    parts = cut(rows.select("conv", "segment", "rank", "role_code").groupBy("segment").applyInPandas(pieces, f"conv {conv}, segment long, matrix array<long>, places array<long>"), "chat-pieces")
     count = parts.groupBy("conv").agg(F.count("*").alias("count"))
     parts = parts.join(count.withColumnRenamed("conv", "whole"), F.col("conv").eqNullSafe(F.col("whole"))).drop("whole")
 
     def borders(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("segment")
-        ends = chain([np.array(m).reshape(4, 4) for m in group["matrix"]])
+        ends = chain(*([np.array(m).reshape(4, 4) for m in group[c]] for c in ("matrix", "places")))
         return pd.DataFrame({"conv": group["conv"], "segment": group["segment"], "first": [a for a, _ in ends], "last": [b for _, b in ends], "closes": [i == len(ends) - 1 for i in range(len(ends))]})
 
     shape = f"conv {conv}, segment long, first long, last long, closes boolean"
@@ -169,15 +180,19 @@ def repair(turns: DataFrame, segment: int = 2048, conv_col: str = "conv_id", tur
 
     def solved(group: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
         group, out = group.sort_values("rank"), []
-        group["conv"] = group["conv"].astype(object).where(group["conv"].notna(), None)
-        group["turn"] = group["turn"].astype(object).where(group["turn"].notna(), None)
-        key = group["conv"].map(repr).to_numpy()
+        key = group["conv"].astype(object).where(group["conv"].notna(), None).map(repr).to_numpy()
+        roles, ranks = group["role_code"].tolist(), group["rank"].tolist()
         known = {repr(None if pd.isna(e.conv) else e.conv): e for e in ends.itertuples()}
         for a, b in runs(key):
-            piece, end = group.iloc[a:b], known[key[a]]
-            out += render_piece(piece, solve(piece["role_code"].tolist(), int(end.first), int(end.last)), bool(end.closes))
-        return pd.DataFrame(out, columns=["conv", "turn", "position", "role", "action", "cost", "piece"])
-
-    whole = rows.groupBy("segment").cogroup(crossing.unionByName(alone).groupBy("segment"))
-    out = whole.applyInPandas(solved, f"conv {conv}, turn {turn}, position long, role string, action string, cost long, piece string")
-    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), "position", "role", "action", "cost", "piece")
+            end = known[key[a]]
+            out += render_piece(roles[a:b], ranks[a:b], solve(roles[a:b], int(end.first), int(end.last)), bool(end.closes))
+        return pd.DataFrame(out, columns=["at", "position", "role", "action", "cost", "head", "tail"])
+
+    lean = rows.select("conv", "segment", "rank", "role_code").groupBy("segment")
+    ways = lean.cogroup(crossing.unionByName(alone).groupBy("segment")).applyInPandas(solved, "at long, position long, role string, action string, cost long, head string, tail string")
+    inserted, text = F.col("action") == "insert", F.coalesce("text", F.lit(""))
+    for tag in TAGS:
+        text = F.replace(text, F.lit(tag), F.lit(tag[0] + " " + tag[1:]))
+    out = rows.select("rank", "conv", F.col("turn").alias("source"), "text").join(ways, F.col("rank") == F.col("at"))
+    piece = F.concat("head", F.when(inserted, "").otherwise(text), "tail")
+    return out.select(F.col("conv").alias(conv_col), F.when(~inserted, F.col("source")).alias(turn_col), "position", "role", "action", "cost", piece.alias("piece"))
