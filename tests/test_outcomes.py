@@ -78,12 +78,15 @@ def test_gates(spark):
 
 def test_dead_zone_mid_is_the_first_known(spark, monkeypatch):
     from tidebook.plans import outcomes as P
+    from tidebook.plans import results as R
 
     quotes = [FLAT] * 27 + [(None, None, 0.49, 0.51), (0.41, 0.43, 0.57, 0.59), (0.31, 0.33, 0.67, 0.69)]
     df = spark.createDataFrame(window("w", quotes, {2: [("u", 0.48)]}), DDL)
     monkeypatch.setattr(P, "ticks", lambda *_: df)
     r = P.lab_timeline(spark, "").first()
     assert (r.outcome, r.held, r.dz_mid, r.dz_bid) == ("naked", "up", 0.42, None)
+    b = R.naked_leg_buckets(spark, "").first()
+    assert (b.bucket, b.n, b.mean_leg_price) == (0.4, 1, 0.42)
 
 
 QUOTES = ("up_bid", "up_ask", "dn_bid", "dn_ask")
