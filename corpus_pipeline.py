@@ -6,7 +6,7 @@
 3. *decontamination*: documents that hold a ``benchmark`` item, also with other numbers or names, go.
 4. *mixing*: all documents, in the order of the Pfair schedule for weights of rows**0.7 a source.
 5. *sharding*: every document gets its place in one of 8 shards along the Hilbert curve, and keeps its place in the mix
-   (``mix_seq``; the schedule follows from ids and sources alone, so it is that of stage 4).
+   (``mix_seq``: the order in which stage 4 wrote the rows; nothing is scheduled again).
 
 A stage takes (spark, docs, sf_dir); all but the last return the columns of their input. Null or empty texts score as empty
 and link with nothing; rows with null ids or repeated rows pass as the operators define; an empty table stays empty.
@@ -39,7 +39,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = mixing.with_place(docs)
+    placed = mixing.as_written(docs)
     return hilbert.shard(placed, carry=placed.columns)
 
 

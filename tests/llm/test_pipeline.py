@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as cp
@@ -87,6 +88,15 @@ def test_mixing_keeps_all_and_shards_keep_the_mix(steps):
     assert seqs == list(range(len(seqs)))
 
 
+def test_places_are_those_of_the_mixing_stage(spark, steps):
+    order = [r.doc_id for r in steps[3][1].select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
+    assert [r.doc_id for r in steps[4][1].orderBy("mix_seq").select("doc_id").collect()] == order
+    other = steps[3][1].orderBy(F.col("doc_id").desc())
+    for docs in (cp.cut(other, "other-mix"), spark.createDataFrame(other.take(5), other.schema)):
+        ids = [r.doc_id for r in cp.sharding_stage(spark, docs, SF).orderBy("mix_seq").select("doc_id").collect()]
+        assert ids == sorted(ids, reverse=True) and len(ids) == docs.count()
+
+
 def test_odd_rows_and_registration(spark):
     shape = "doc_id long, text string, lang string, source string, n_chars long, score string"
     docs = spark.createDataFrame([(None, None, None, None, None, "x"), (1, "", "", "", 0, None), (1, "", "", "", 0, None), (2, "a b c", "en", "s", 5, "y")], shape)

@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm.common import SENT_IDS, ranked
@@ -149,3 +149,16 @@ def keep_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     placed = with_place(docs, "_place", id_col, source_col, **params)
     keys = [F.col("_place").asc_nulls_last(), F.when(F.col("_place").isNull(), whole)]
     return placed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_place")
+
+
+def as_written(docs: DataFrame, place: str = "mix_seq") -> DataFrame:
+    """``docs`` with every row's place, from 0, in the order in which its files were written: of ``keep_mix``, that of the mixed stream.
+
+    ``docs`` is read from those files as a whole, neither filtered nor sorted since; a table of no files is written first.
+    """
+    docs = docs.drop(place)
+    docs = docs if docs.inputFiles() else cut(docs, "mixing-written")
+    rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = rows.groupBy("_file").count().withColumn("_part", F.regexp_extract("_file", r"part-(\d+)", 1).cast("long"))
+    before = counts.select("_file", (F.sum("count").over(Window.orderBy("_part", "_file")) - F.col("count")).alias("_before"))
+    return rows.join(F.broadcast(before), "_file").select(*docs.columns, (F.col("_before") + F.col("_row")).alias(place))
