@@ -44,3 +44,18 @@ def test_nearest_reference_on_either_side(spark, slice_lines):
         assert got[line] == ((ref[3], ref[7], reason) if ref else (None, None, reason))
         after += bool(ref and rx > 0 and ref[3] > rx)
     assert after > 20
+
+
+def test_dense_reads_are_passed_through_once(spark):
+    rng = random.Random(4)
+    rows = [("t", 0, rng.random() < 0.5, 1_000_000 + rng.randint(0, 300) * 1000, line) for line in range(3000)]
+    df = spark.createDataFrame([(*r, r[4] / 1e4, None) for r in rows], "token string, k long, is_read boolean, rx_us long, line long, bb double, ba double")
+    got = {r.line: (r.n_rx, r.n_bb) for r in RC.nearest_above(df, 2000).collect()}
+    want, reads = {}, []
+    for _, _, is_read, rx, line in rows:
+        if is_read:
+            reads.append((rx, line))
+            continue
+        d, n = min(((abs(x - rx), at) for x, at in reads), default=(9999, 0))
+        want[line] = (rows[n][3], n / 1e4) if d <= 2000 else (None, None)
+    assert got == want

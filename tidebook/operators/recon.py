@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.num import round_dp
 from .scan import Running, running
@@ -35,24 +39,76 @@ def checkability(ev_type: Column, decl_bb: Column, decl_ba: Column) -> Column:
     return F.when(ev_type.isin(*GATED_TYPES) & (decl_bb.isNotNull() | decl_ba.isNotNull()), "gated").otherwise("blind")
 
 
+class Reads:
+    """Reads of one token and time bucket that stand above a line, in the order of their times."""
+
+    def __init__(self):
+        self.at, self.books = [], []
+
+    def add(self, rx: int, line: int, book: tuple) -> None:
+        insort(self.at, (rx, line, len(self.books)))
+        self.books.append(book)
+
+    def nearest(self, rx: int, width: int):
+        """(rx, bb, ba) of the read nearest to ``rx`` and within ``width`` of it, of equals the earliest line; else nothing."""
+        at, i = self.at, bisect_left(self.at, (rx,))
+        ends = at[i : i + 1]
+        if i:
+            ends.append(at[bisect_left(at, (at[i - 1][0],))])
+        near = min(((abs(t - rx), line, n, t) for t, line, n in ends), default=None)
+        return None if near is None or near[0] > width else (near[3], *self.books[near[2]])
+
+
+def nearest_above(rows: DataFrame, width: int) -> DataFrame:
+    """Frames of (token, k, is_read, ...) with ``near``, the nearest read above each in its (token, k).
+
+    Spark deals the buckets and sorts them by line; a task passes through them once and holds the reads of one bucket, so a frame
+    costs the logarithm of its bucket, however dense the reads are.
+    """
+    kept = [f for f in rows.schema if f.name not in ("k", "is_read")]
+    out = StructType([*kept, *[StructField(n, t) for n, t in (("n_rx", LongType()), ("n_bb", DoubleType()), ("n_ba", DoubleType()))]])
+
+    def run(batches):
+        group, reads = None, Reads()
+        for batch in batches:
+            keys = zip(*(batch.column(n).to_pylist() for n in ("token", "k", "is_read", "line", "rx_us")), strict=True)
+            bb, ba = batch.column("bb"), batch.column("ba")
+            frames, found = [], []
+            for i, (token, k, is_read, line, rx) in enumerate(keys):
+                if group != (token, k):
+                    group, reads = (token, k), Reads()
+                if is_read:
+                    reads.add(rx, line, (bb[i].as_py(), ba[i].as_py()))
+                else:
+                    frames.append(i)
+                    found.append(reads.nearest(rx, width) if k >= 0 else None)
+            part = batch.select([f.name for f in kept]).take(pa.array(frames, pa.int64()))
+            near = [pa.array([None if x is None else x[j] for x in found], kind) for j, kind in enumerate((pa.int64(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *near], names=out.names)
+
+    return rows.repartition("token", "k").sortWithinPartitions("token", "k", "line", "is_read").mapInArrow(run, out)
+
+
 def nearest_reference(lines: DataFrame, tolerance_s: float = FRESHNESS_S, slice_lines: int = 1_000_000) -> DataFrame:
     """Each socket frame with the reference read nearest to it in time, or the reason it has none.
 
     Only reads above the frame in the file (``line``) are known to it, while their receive times may lie on either side of the
-    frame's. Reads are put into time buckets of the tolerance, and a frame looks into its own and both neighbours, so what meets
-    is bounded by the reads of two tolerances; the nearest is an aggregate (of equals the earliest line). A frame without a receive
-    time takes the last read above it, which is carried along the lines, as is whether there is any.
+    frame's. Frames lie in time buckets of four tolerances, and a read goes to every bucket that it may serve, two at most; each bucket
+    is passed through along its lines (``nearest_above``; of equals the earliest line). A frame without a receive time takes the last
+    read above it, which is carried along the lines, as is whether there is any.
     """
     width = int(tolerance_s * 1e6)
     book = F.struct(c("rx_us").alias("rx"), c("bb").alias("bb"), c("ba").alias("ba"))
     above = Running("above", "last", F.when(c("type") == "rest", book))
+    bucket = lambda us: F.floor(us / (4 * width)).cast("bigint")
     frames = running(lines, ["token"], ["line"], F.floor(c("line") / slice_lines), [above]).filter(c("type") == "ws")
-    bucket = F.floor(c("rx_us") / width)
-    reads = lines.filter(c("type") == "rest").select("token", c("line").alias("r_line"), book.alias("r"), bucket.alias("k"))
-    asks = frames.filter(c("rx_us") > 0).select("token", "line", "rx_us", F.explode(F.sequence(bucket - 1, bucket + 1)).alias("k"))
-    met = asks.join(reads, ["token", "k"]).filter((c("r_line") < c("line")) & (F.abs(c("r.rx") - c("rx_us")) <= width))
-    near = met.groupBy("token", "line").agg(F.min_by("r", F.struct(F.abs(c("r.rx") - c("rx_us")).alias("d"), "r_line")).alias("near"))
-    out = frames.join(near, ["token", "line"], "left").withColumn("ref", F.when(c("rx_us") > 0, c("near")).otherwise(c("above")))
+    untimed = -1 - F.pmod(F.xxhash64("line"), F.lit(1024))
+    frames = frames.withColumns({"k": F.when(c("rx_us") > 0, bucket(c("rx_us"))).otherwise(untimed), "is_read": F.lit(False)})
+    reads = lines.filter((c("type") == "rest") & c("rx_us").isNotNull() & c("line").isNotNull())
+    reads = reads.select("token", "line", "rx_us", "bb", "ba", F.explode(F.sequence(bucket(c("rx_us") - width), bucket(c("rx_us") + width))).alias("k"), F.lit(True).alias("is_read"))
+    met = nearest_above(frames.unionByName(reads.filter("k >= 0"), allowMissingColumns=True), width)
+    near = F.when(c("n_rx").isNotNull(), F.struct(c("n_rx").alias("rx"), c("n_bb").alias("bb"), c("n_ba").alias("ba")))
+    out = met.withColumn("ref", F.when(c("rx_us") > 0, near).otherwise(c("above"))).drop("n_rx", "n_bb", "n_ba")
 
     def off(a, b):
         return F.coalesce(F.abs(a - b) > EDGE, F.lit(False))
@@ -62,7 +118,7 @@ def nearest_reference(lines: DataFrame, tolerance_s: float = FRESHNESS_S, slice_
     reason = (
         F.when(c("above").isNull(), "no_snapshot").when(c("ref").isNull(), "outside_freshness_window").when(guard, "guard_reject").when(blank, "no_comparable_quotes")
     )
-    return out.withColumn("reason", reason).drop("above", "near")
+    return out.withColumn("reason", reason).drop("above")
 
 
 def comparisons(nearest: DataFrame) -> DataFrame:
