@@ -100,3 +100,14 @@ def test_shared_folder_is_demanded_on_a_cluster(spark, monkeypatch):
     assert session.shared_dir(one) == "s3a://x/y"
     one.conf = Conf(**{"spark.master": "local[4]"})
     assert session.shared_dir(one).startswith("/tmp/")
+
+
+def test_day_files_are_compressed_and_in_order(spark, sf):
+    from tidebook.plans.bronze import bronze_path
+
+    lines = T.read_lines(spark, bronze_path(spark, sf)).select("file", "line", F.get_json_object("value", "$.ts").cast("double").alias("ts")).collect()
+    assert lines and all(r.file.endswith(".txt.gz") for r in lines)
+    places = sorted((r.file.split("piece=")[0], r.file.split("piece=")[1][:12], r.line, r.ts) for r in lines if r.ts is not None)
+    assert len({x[:2] for x in places}) == len({r.file for r in lines})
+    # lines follow their numbers, which every 53rd event puts behind the next two
+    assert sum(a[3] > b[3] for a, b in zip(places, places[1:]) if a[0] == b[0]) <= 0.05 * len(places)

@@ -11,7 +11,7 @@ from ..operators import windows as W
 from ..session import scratch_path, shared_table
 from ..sources import sinks
 from ..sources import ticks as S
-from ..sources.derived import ticks
+from ..sources.derived import load, ticks, ticks_from_events
 from .quality import GATES, LOOSE_OK, LOOSE_SQL, loose_passed
 from .features import WINDOWS_SQL
 from .registry import query
@@ -25,13 +25,19 @@ VT = T.rstrip() + f", v AS (SELECT * FROM ticks WHERE {_OK})\n"
 
 
 def bronze_path(spark, sf) -> str:
-    """JSON-line day files written once per application; range-partitioned so a huge day is many files."""
+    """JSON-line day files written once per application; range-partitioned so a huge day is many files.
+
+    Events are dealt to their files, and only then projected to ticks and lines, which are many times as wide.
+    """
     key = (spark.sparkContext.applicationId, sf)
     if key not in _PATHS:
-        w = S.to_wire(ticks(spark, sf))
+        e = load(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value").withColumn("event", F.struct("*"))
+        placed = ticks_from_events(e, "event").select("event.*", X.day_key(c("ts")).alias("file_day"), "line_no")
+        dealt = ticks_from_events(sinks.in_files(placed, "file_day", "line_no"), "file_day", "piece")
+        w = S.to_wire(dealt.withColumnRenamed("file_day", "dealt_day"), "dealt_day", "piece")
         value = F.when(c("event_id") % 173 == 0, "").when(c("event_id") % 179 == 0, "{bad").otherwise(F.to_json("tick"))
         path = scratch_path(spark, "bronze")
-        sinks.write_lines(w.withColumn("value", value), path, "file_day", "line_no")
+        sinks.write_lines(w.drop("file_day").withColumnRenamed("dealt_day", "file_day").withColumn("value", value), path, "file_day")
         _PATHS[key] = path
     return _PATHS[key]
 

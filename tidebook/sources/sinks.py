@@ -14,11 +14,17 @@ def append_day(df: DataFrame, path: str, day: str = "day", fmt: str = "parquet",
     w.save(path)
 
 
-def write_lines(df: DataFrame, path: str, day: str, order: str, value: str = "value", span: int = 50_000) -> None:
-    """Text files of a day, in order: one for each ``span`` of ``order``, so a huge day is many files of bounded size."""
-    piece = F.lpad(F.floor(F.col(order) / span).cast("string"), 12, "0")
-    ranged = df.select(day, order, value, piece.alias("piece")).repartitionByRange(F.col(day), F.col("piece")).sortWithinPartitions(day, "piece", order)
-    ranged.select(day, "piece", F.col(value).alias("value")).write.mode("overwrite").partitionBy(day, "piece").text(path)
+def in_files(df: DataFrame, day: str, order: str, span: int = 50_000) -> DataFrame:
+    """``df`` dealt and sorted for ``write_lines``, with ``piece``: what rows become lines of is best dealt before it grows."""
+    rows = df.withColumn("piece", F.lpad(F.floor(F.col(order) / span).cast("string"), 12, "0"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as narrow rows would be put into few tasks
+    return rows.repartitionByRange(parts, F.col(day), F.col("piece")).sortWithinPartitions(day, "piece", order)
+
+
+def write_lines(dealt: DataFrame, path: str, day: str, value: str = "value") -> None:
+    """Compressed text files of a day, in order: one for each span of ``in_files``, so a huge day is many files of bounded size."""
+    out = dealt.select(day, "piece", F.col(value).alias("value"))
+    out.write.mode("overwrite").partitionBy(day, "piece").option("compression", "gzip").text(path)
 
 
 def copy_verbatim(lines: DataFrame, passed: DataFrame, path: str, key: str = "cid", day: str = "start_day") -> None:

@@ -136,8 +136,8 @@ def _as_map(levels: Column) -> Column:
     return F.map_from_entries(F.transform(levels, lambda x: F.struct(x["price"].cast("string"), x["size"])))
 
 
-def to_wire(silver: DataFrame) -> DataFrame:
-    """The recorded JSON shape of silver ticks, one struct column ``tick`` plus the order columns."""
+def to_wire(silver: DataFrame, *carry: str) -> DataFrame:
+    """The recorded JSON shape of silver ticks, one struct column ``tick`` plus the order columns and those in ``carry``."""
     c = F.col
 
     def book(side, token):
@@ -151,4 +151,4 @@ def to_wire(silver: DataFrame) -> DataFrame:
         "start_ts", "end_ts", (c("end_ts") - c("ts")).alias("t_rem"), book("up", "up_token").alias("up_book"), book("dn", "dn_token").alias("down_book"),
         c("tape").alias("tape_delta"), "mid", "touch_pair", "err",
     )
-    return silver.select("line_no", X.day_key(c("ts")).alias("file_day"), "event_id", tick.alias("tick"))
+    return silver.select(*carry, "line_no", X.day_key(c("ts")).alias("file_day"), "event_id", tick.alias("tick"))
