@@ -1,5 +1,8 @@
 """Multi-batch streams against single-batch runs and plain-Python models."""
 
+import time
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +10,7 @@ from tidebook.plans.feeds import RANGE_US, REACT_US
 from tidebook.sources.derived import load, ticks
 from tidebook.streaming import batches as BA
 from tidebook.streaming import jobs as J
+from tidebook.streaming.processors import ShockProcessor
 from tidebook.streaming.run import drain, tick_stream
 
 
@@ -72,6 +76,30 @@ def test_shock_detector_model(spark, sf, split):
     assert all(not final[k] for k in final.keys() - model.keys())
 
 
+def test_dense_shocks_cost_no_more_a_row():
+    class Held(list):
+        exists = lambda self: bool(self)
+        get = lambda self: list(self)
+
+        def put(self, rows):
+            self[:] = rows
+
+        update = put
+
+        def __getattr__(self, name):
+            return {"getListState": lambda *_: recent, "getValueState": lambda *_: Held(), "listTimers": list, "registerTimer": lambda *_: None}[name]
+
+    recent, p = Held(), ShockProcessor(0.2, RANGE_US, REACT_US)
+    p.init(Held())
+    n = 20_000
+    quotes = dict.fromkeys(ShockProcessor.QUOTES, 0.5)
+    rows = pd.DataFrame({"ts_us": [i * 1000 for i in range(n)] + [RANGE_US + 10_000_000], "event_id": range(n + 1), "price": [100.0] * n + [110.0], **quotes})
+    began = time.process_time()
+    out = pd.concat(p.handleInputRows(("s",), iter([rows]), None))
+    assert time.process_time() - began < 4 and out.empty
+    assert recent[0] == (10_000_000, 100.0) and len(recent) == n + 1 - 10_000
+
+
 def test_silence_and_sessions_across_batches(spark, sf, split):
     for job, cols in ((J.silence_alert, ("series", "end_at", "n", "empty_rate")), (J.session_segments, ("series", "start_at", "end_at", "n"))):
         assert rows(drain(job(tick_stream(spark, sf)), "t"), *cols) == rows(drain(job(stream(spark, split)), "t"), *cols)

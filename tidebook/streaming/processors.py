@@ -7,6 +7,7 @@ bounded by the source's trigger limits, so a group is bounded too, however large
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -219,12 +220,14 @@ class ShockProcessor(StatefulProcessor):
     QUOTES = ("up_bid", "up_ask", "dn_bid", "dn_ask", "mid")
 
     def handleInputRows(self, key, rows, timerValues):
-        recent = [(int(u), float(p)) for u, p in self.recent.get()]
+        recent = deque((int(u), float(p)) for u, p in self.recent.get())
         pend = self.pending.get() if self.pending.exists() else None
         in_shock = bool(self.flag.get()[0]) if self.flag.exists() else False
         out = []
         for r in ordered(rows, ["ts_us", "event_id"]).itertuples(index=False):
-            recent = [(u, p) for u, p in recent if r.ts_us - u <= self.range_us] + [(int(r.ts_us), float(r.price))]
+            while recent and r.ts_us - recent[0][0] > self.range_us:
+                recent.popleft()
+            recent.append((int(r.ts_us), float(r.price)))
             if pend is not None:
                 dt = r.ts_us - pend[1]
                 moved = dt <= self.react_us and any(
@@ -242,7 +245,7 @@ class ShockProcessor(StatefulProcessor):
             elif not in_shock and pend is None and _num(r.mid) is not None:
                 in_shock = True
                 pend = (int(r.event_id), int(r.ts_us), drift, *[_num(getattr(r, q)) for q in self.QUOTES])
-        self.recent.put(recent)
+        self.recent.put(list(recent))
         self.flag.update((in_shock,))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
