@@ -40,3 +40,9 @@ def test_many_distinct_values(spark):
     df = spark.range(n).select(F.lit("all").alias("g"), ((F.col("id") * 1_000_003) % n).cast("double").alias("v"))
     wants = spark.createDataFrame([("all", r) for r in (0, 1, n // 3, n - 1, n)], "g string, rank long")
     assert {(r.rank, r.value) for r in RK.select_ranks(df, ["g"], "v", wants).collect()} == {(r, float(r)) for r in (0, 1, n // 3, n - 1)}
+
+
+def test_latency_summary_scans_the_ticks_once(spark, sf):
+    from tidebook.plans import feeds as P
+
+    assert not [f for f in P.latency_summary(spark, sf).inputFiles() if "events.parquet" in f]
