@@ -110,3 +110,10 @@ def test_authority_and_spot_across_batches(spark, sf, split):
     assert rows(a(tick_stream(spark, sf)), "event_id", "authoritative") == rows(a(stream(spark, split)), "event_id", "authoritative")
     m = lambda s: BA.spot_merge(J.spot(s), 1_800_000_000)
     assert rows(m(tick_stream(spark, sf)), "event_id", "used", "baseline") == rows(m(stream(spark, split)), "event_id", "used", "baseline")
+
+
+def test_late_rows_derive_only_what_they_read(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(BA, "fold", lambda stream, *_: seen.extend(stream.columns))
+    BA.late_rows(ticks(spark, sf))
+    assert set(seen) == {"event_id", "cid", "series", "ts_us", "end_ts"}

@@ -91,7 +91,8 @@ def delivered(spark, sf, name="delivered"):
     rows = cut(events.join(F.broadcast(top)).withColumn("batch", batch).drop("top"), name)
     path = scratch_path(spark, name)
     for i in range(6):  # one after another: the stream takes files in the order of their times
-        rows.filter(c("batch") == i).drop("batch").coalesce(1).write.parquet(f"{path}/events_{i}.parquet")
+        # one file is one micro-batch; its small row groups let many tasks read it
+        rows.filter(c("batch") == i).drop("batch").coalesce(1).write.option("parquet.block.size", 4 << 20).parquet(f"{path}/events_{i}.parquet")
     return tick_stream(spark, path + "/*", glob="*.parquet", max_files=1)
 
 

@@ -92,4 +92,5 @@ def late_rows(ticks: DataFrame, delay_us: int = 600_000_000) -> DataFrame:
         top = state.select("top").unionByName(batch.agg(F.max("ts_us").alias("top"))).agg(F.max("top").alias("top"))
         return rows.filter("late or reappeared"), top
 
-    return fold(ticks, "late", "top bigint", step)
+    # a batch is handed over computed: columns that are not read are not derived
+    return fold(ticks.select("event_id", "cid", "series", "ts_us", "end_ts"), "late", "top bigint", step)
