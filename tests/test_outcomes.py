@@ -110,3 +110,20 @@ def test_settlement_ladder(spark, last, lat, source, value):
     df = spark.createDataFrame([(*last, *lat)], cols)
     r = df.select(O.settlement_ladder(F.lit("up"), F.lit(0.4)).alias("s")).first().s
     assert r.source == source and r.value == (None if value is None else pytest.approx(value))
+
+
+def test_ticks_meet_each_price_once_and_then_its_configurations(spark):
+    ticks = spark.createDataFrame([("w", None, 1, 0.5), ("w", "s", 2, 0.7), ("v", "s", 3, 0.9)], "cid string, series string, at bigint, x double")
+    state = spark.createDataFrame([("w", None, 0.4, "a"), ("w", None, 0.4, "b"), ("w", "s", 0.6, "a"), ("v", "s", 0.95, "a")], "cid string, series string, price double, config_id string")
+    j = O.meet(ticks, state, ["price"], {"over": F.round(F.col("x") - F.col("price"), 3)}, F.col("over") > 0, ["cid", "series"])
+    assert {(r.cid, r.series, r.at, r.config_id, r.over) for r in j.collect()} == {("w", None, 1, "a", 0.1), ("w", None, 1, "b", 0.1), ("w", "s", 2, "a", 0.1)}
+
+
+def test_thresholds_follow_the_description_of_each_tick(spark):
+    """A window whose series changes keeps the threshold of the series that the tick names, and ladders are judged before prices."""
+    quotes = [FLAT] * 3 + [(0.43, 0.45, 0.55, 0.57)] * 20
+    rows = window("w", quotes, {1: [("u", 0.48)]})
+    df = spark.createDataFrame(rows, DDL)
+    table = (("zzz", 0.5), ("default_5m", 0.03), ("default_15m", 0.03))
+    out = {r.config_id: r.kind for r in O.outcomes(df, [O.Quote(), O.Quote(config_id="table", thr_by_slug=table), O.Quote(config_id="far", thr=0.4)]).collect()}
+    assert out["table"] == "stop" and out["far"] != "stop"
