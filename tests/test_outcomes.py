@@ -127,3 +127,17 @@ def test_thresholds_follow_the_description_of_each_tick(spark):
     table = (("zzz", 0.5), ("default_5m", 0.03), ("default_15m", 0.03))
     out = {r.config_id: r.kind for r in O.outcomes(df, [O.Quote(), O.Quote(config_id="table", thr_by_slug=table), O.Quote(config_id="far", thr=0.4)]).collect()}
     assert out["table"] == "stop" and out["far"] != "stop"
+
+
+def test_a_leg_without_a_mid_is_filed_as_in_the_sql(spark, monkeypatch):
+    import duckdb
+
+    from tidebook.plans import outcomes as P
+    from tidebook.plans import results as R
+
+    df = spark.createDataFrame(window("w", [FLAT] * 27 + [(None, None, 0.49, 0.51)] * 3, {2: [("u", 0.48)]}), DDL)
+    monkeypatch.setattr(P, "ticks", lambda *_: df)
+    b = R.naked_leg_buckets(spark, "").first()
+    lab = "WITH lab AS (SELECT 'naked' AS outcome, NULL::DOUBLE AS dz_mid, NULL::DOUBLE AS dz_bid, NULL::DOUBLE AS close_value, NULL::DOUBLE AS hold_value, NULL::BOOLEAN AS won)"
+    sql = duckdb.connect().execute(lab + R._BK.removeprefix(P.LAB_SQL) + "SELECT bucket, n, mean_leg_price FROM bk").fetchone()
+    assert (b.bucket, b.n, b.mean_leg_price) == sql == (0.95, 1, None)
