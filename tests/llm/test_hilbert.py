@@ -53,3 +53,22 @@ def test_files_prune_in_every_dimension(spark, tmp_path):
 def test_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     lawful(op8_hilbert_sharding(spark, sf).collect(), [(r.doc_id, r.text) for r in docs])
+
+
+def test_texts_are_moved_by_the_sort_alone(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", f"s{i % 3}") for i in range(20)], "doc_id long, text string, lang string, source string")
+    plans, ranked = [], hb.ranked
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return ranked(df, *args)
+
+    monkeypatch.setattr(hb, "ranked", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = hb.shard(docs, carry=docs.columns).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lawful(rows, [(i, f"text {i}") for i in range(20)])
+    assert plans[0].count("BroadcastHashJoin") == 2 and "hashpartitioning" not in plans[0]

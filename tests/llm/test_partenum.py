@@ -173,3 +173,34 @@ def test_split_signatures_give_the_same_components(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     monkeypatch.setattr(pe, "SPLIT", 2)
     assert got(pe.jaccard_join(docs)) == brute(rows)
+
+
+def test_sets_that_only_share_signatures_are_not_dealt_together(spark, monkeypatch):
+    """Long texts along a chain, each with five sevenths of the words of the next: all tied by signatures, none linked."""
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 200, i * 200 + 700))) for i in range(24)]
+    dealt, blocks_of = [], pe.blocks_of
+
+    def counted(*args):
+        out = blocks_of(*args)
+        dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(pe, "blocks_of", counted)
+    monkeypatch.setattr(pe, "SPLIT", 4)
+    found = pe.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=5, num=80, block=1).collect()
+    assert len(found) == 24 and all(r.component_id == r.doc_id and r.n_links == 0 for r in found)
+    assert 20 < dealt[0] <= 3 * len(rows) and dealt[1:] == [0]
+
+
+def test_many_near_copies_under_one_anchor(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(700)]
+    rows = [(i, " ".join(w if rng.random() > 0.002 * (i % 12) else f"x{rng.randrange(9)}" for w in base)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for split in (7, 4096):
+        monkeypatch.setattr(pe, "SPLIT", split)
+        assert got(pe.jaccard_join(docs, block=16)) == brute(rows)
+
+
+def test_bitmaps_grow_with_their_keys():
+    assert [pe.bits_for(n, 22) for n in (0, 1, 1 << 17, 1 << 18, 1 << 20, 1 << 40)] == [22, 22, 22, 23, 25, pe.MAX_BITS]

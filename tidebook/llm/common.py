@@ -53,11 +53,16 @@ def bitmap(keys: DataFrame, column: str, bits: int = 22) -> Bitmap:
 SENT_IDS = 1_000_000
 
 
+def sent(ids: DataFrame, name: str) -> DataFrame:
+    """A narrow table for a join with texts: written, counted, and sent to every task up to SENT_IDS rows, so that texts stay where they are."""
+    ids = cut(ids, name)
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
 def without(docs: DataFrame, ids: DataFrame, condition, name: str) -> DataFrame:
     """``docs`` without the rows that meet ``condition`` with a row of ``ids``: texts stay where they are while ids are few
     (counted, at most SENT_IDS), and are shuffled beyond that."""
-    ids = cut(ids, name)
-    return docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, condition, "left_anti")
+    return docs.join(sent(ids, name), condition, "left_anti")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ curve, rows sorted by that number (then text checksum, then id), and the sequenc
 shard. Law ``rows``: shard sizes differ by at most one row. The curve keeps near cells in near shards, so a shard's
 minima and maxima of each dimension are narrow.
 
-The sort is a range exchange on all keys: a source or a text that holds a third of the rows spreads over many
+Texts are moved once, by the sort: the cells of languages and sources are sent to them. The sort is a range exchange on all keys: a source or a text that holds a third of the rows spreads over many
 tasks. Equal texts of one cell are neighbours and may lie on both sides of a cut, as the law demands.
 
 Defined results: a null text has size 1 and the checksum of an empty one; null languages and sources count as a
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import ranked
+from tidebook.llm.common import ranked, sent
 
 BITS = 5
 
@@ -89,7 +89,7 @@ def shard(docs: DataFrame, shards: int = 8, carry: list[str] = (), id_col: str =
     )
     for column in ("lang", "source"):
         cells = name_cells(docs.select(F.col(lang_col if column == "lang" else source_col).alias("value")), "value")
-        rows = rows.join(cells.select(F.col("name").alias(column), F.col("cell").alias(f"{column}_cell")), column)
+        rows = rows.join(sent(cells.select(F.col("name").alias(column), F.col("cell").alias(f"{column}_cell")), f"hilbert-{column}"), column)
     rows = curve_index(rows.withColumn("size_cell", size_cell(F.col("size"))), ["lang_cell", "source_cell", "size_cell"], "curve")
     placed = ranked(rows.select("id", "size", "crc", "curve", "kept"), ["curve", "crc", "id"], "rank", "hilbert")
     total = max(1, placed.count())

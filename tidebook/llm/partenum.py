@@ -11,13 +11,12 @@ Two texts link when ``den * |A & B| >= num * |A | B|``. Method:
    those subsets: **every linked pair shares a signature**, without exception.
    Signatures that occur once tie nothing: counting them first, and filtering through a bitmap of the repeated ones,
    keeps most of them out of the later shuffles.
-3. *Candidate pairs.* Equal sets are one node. Only nodes that share a signature are candidates; signatures are dealt to
-   buckets of bounded size, and one of more than ``SPLIT`` nodes is dealt into parts, every pair of parts in one place. A pair stays
-   if its sizes and its sketches allow a link: a sketch holds the parities of a set's elements in 256 classes, so two sketches
-   differ in no more places than the sets in elements. Both bounds are exact: no linked pair goes. What stays is
-   returned as a spanning forest of the bucket, and the forests' components are the candidate clusters. As large sets fill 256
-   classes, clusters are compared again by sketches with at least as many classes as a set has elements: the components of
-   what those let pass are the clusters.
+3. *Candidate pairs.* Equal sets are one node. The nodes of a signature meet under its smallest node, their anchor: a row for
+   (anchor, node), however many signatures the two share, so these rows grow with the signatures and never with the pairs. The sets of
+   an anchor are compared by size and by sketch: the parities of a set's elements in at least as many classes as it has elements,
+   1024 or more. Two sketches differ in no more places than the sets in elements, so both bounds are exact: no linked pair goes. An
+   anchor of more than ``SPLIT`` nodes is dealt into blocks, every pair of blocks in one task. The components of what passes, over
+   all anchors, are the clusters; sets that merely share a signature form none.
 4. *Verification.* Sets of clustered nodes, one row's a node (found again through a bitmap of fixed size), are compared exactly.
    A cluster above ``block`` nodes or ``BLOCK_ELEMENTS`` elements is dealt into blocks, and every pair of blocks is one task, so no task
    holds more than two blocks. Tasks return a spanning forest and link counts, not pairs.
@@ -42,12 +41,12 @@ from tidebook.llm.shingles import BASE, shingle_sets
 from tidebook.session import cut
 
 
-#: bits of the map of repeated signatures (8 MB a task)
-SIGN_BITS = 26
-#: 64-bit words of a sketch
-WORDS = 4
-#: nodes of a signature, rows of a bucket and elements of a block above which they are dealt into more
-SPLIT, BUCKET_ROWS, BLOCK_ELEMENTS = 1024, 100_000, 1_000_000
+#: bits of the map of repeated signatures (8 MB a task), and the most it grows to when these are many (64 MB)
+SIGN_BITS, MAX_BITS = 26, 29
+#: 64-bit words of the smallest sketch
+WORDS = 16
+#: nodes of an anchor and elements of a block above which they are dealt into more
+SPLIT, BLOCK_ELEMENTS = 4096, 1_000_000
 
 
 class Scheme:
@@ -109,6 +108,11 @@ def pieces(batches, rows: int = 1000):
             yield batch.slice(at, rows)
 
 
+def bits_for(keys: int, least: int) -> int:
+    """Bits of a bitmap in which at most one slot in 16 is taken, from ``least`` up to MAX_BITS."""
+    return min(MAX_BITS, max(least, (16 * keys).bit_length()))
+
+
 def named_sets(docs: DataFrame, width: int) -> DataFrame:
     """(id, n_shingles, node) per row of (id, text)."""
     fields = docs.schema["id"].dataType.simpleString()
@@ -122,18 +126,15 @@ def named_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {fields}, n_shingles long, node long")
 
 
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """Parities of the elements in 64 * WORDS classes."""
-    odd = np.bincount((mix64(elements) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+def sketch(elements: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Parities of the elements in 64 * words classes."""
+    odd = np.bincount((mix64(elements) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-SKETCH = [f"s{i}" for i in range(WORDS)]
-
-
 def signed(docs: DataFrame, width: int, num: int, den: int, copied, held=None) -> DataFrame:
-    """The signatures of all sets, a node's once (of copies, whose bitmaps are those of their nodes and of their representatives, one signs): (sig), or (sig, node, size, sketch) of those that the bitmap may hold."""
-    names = ["sig"] if held is None else ["sig", "node", "size", *SKETCH]
+    """The signatures of all sets, a node's once (of copies, whose bitmaps are those of their nodes and of their representatives, one signs): (sig), or (sig, node) of those that the bitmap may hold."""
+    names = ["sig"] if held is None else ["sig", "node"]
 
     def run(batches):
         scheme = Scheme(num, den)
@@ -150,16 +151,13 @@ def signed(docs: DataFrame, width: int, num: int, den: int, copied, held=None) -
                     out.append((sigs,))
                     continue
                 sigs = sigs[held.might_hold(sigs)]
-                out.append((sigs, *(np.full(len(sigs), v, np.int64) for v in (node, len(s), *(sketch(s) if len(sigs) else SKETCH_OF_NONE)))))
+                out.append((sigs, np.full(len(sigs), node, np.int64)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
 
     return docs.select(F.xxhash64("id").alias("key"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-SKETCH_OF_NONE = np.zeros(WORDS, np.int64)
-
-
 def representative(node, key):
     """Names a row among those of its node; ``key`` is a hash of its id."""
     return F.col(node).bitwiseXOR(key)
@@ -183,10 +181,8 @@ def sets_of(docs: DataFrame, held, width: int, shape=np.ndarray.tobytes) -> Data
 
 
 def wide_sketch(elements: np.ndarray) -> bytes:
-    """Parities in a power of two of classes, 1024 or the first that is not below the number of elements."""
-    bits = max(1024, 1 << (len(elements) - 1).bit_length())
-    odd = np.bincount((mix64(elements) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    """Parities in a power of two of classes, 64 * WORDS or the first that is not below the number of elements."""
+    return sketch(elements, max(WORDS, (1 << (len(elements) - 1).bit_length()) // 64)).tobytes()
 
 
 def wide_forest(sizes: np.ndarray, sketches: list[bytes], side: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -206,8 +202,7 @@ def wide_forest(sizes: np.ndarray, sketches: list[bytes], side: np.ndarray, num:
         held = sizes[rows]
         upto = np.searchsorted(held, held[: len(own)] * den // num, "right")
         for i, to in enumerate(upto):
-            differ = np.bitwise_count(grid[i] ^ grid[i + 1 : to]).sum(axis=1, dtype=np.int64)
-            ok = differ * (den + num) <= (held[i] + held[i + 1 : to]) * (den - num)
+            ok = may_link(held, grid, i, slice(i + 1, to), num, den)
             if two:
                 ok &= side[rows[i + 1 : to]] != side[rows[i]]
             partner = rows[i + 1 : to][ok]
@@ -216,7 +211,7 @@ def wide_forest(sizes: np.ndarray, sketches: list[bytes], side: np.ndarray, num:
     return forest(len(sizes), *(np.concatenate(e) if e else np.zeros(0, np.int64) for e in ends))
 
 
-def may_link(sizes: np.ndarray, sketches: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+def may_link(sizes: np.ndarray, sketches: np.ndarray, a, b, num: int, den: int) -> np.ndarray:
     """Whether sizes and sketches of the rows a and b allow a link: A and B differ in at most (den-num)/(den+num) of |A| + |B| elements."""
     x, y = sizes[a], sizes[b]
     differ = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=-1, dtype=np.int64)
@@ -238,40 +233,6 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def bucket_forest(group: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """(node, root) over the pairs of a bucket that share a signature and may link."""
-    group = group.drop_duplicates(["sig", "x", "y", "node"]).sort_values(["sig", "x", "y", "node"])
-    keys = group[["sig", "x", "y"]].to_numpy()
-    nodes, at = np.unique(group["node"].to_numpy(), return_inverse=True)
-    sizes, sketches, side = group["size"].to_numpy(), group[SKETCH].to_numpy().view(np.uint64), group["side"].to_numpy(bool)
-    starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
-    held = np.diff(np.append(starts, len(keys)))
-    root = np.arange(len(nodes))
-
-    def tie(root, a, b):
-        kept = may_link(sizes, sketches, a, b, num, den)
-        a, b = root[at[a[kept]]], root[at[b[kept]]]
-        apart = a != b
-        return forest(len(root), a[apart], b[apart])[root] if apart.any() else root
-
-    for m in np.unique(held[held > 1]):
-        first = starts[held == m]
-        if m <= 16:
-            i, j = np.triu_indices(m, 1)
-            for low in range(0, len(first), 1 << 14):
-                a, b = ((first[low : low + (1 << 14), None] + k).ravel() for k in (i, j))
-                apart = (side[a] != side[b]) | (keys[a, 1] == keys[a, 2])
-                root = tie(root, a[apart], b[apart])
-            continue
-        for s in first:
-            for low in range(s, s + m, 128):
-                a, b = (v.ravel() for v in np.meshgrid(np.arange(low, min(low + 128, s + m)), np.arange(low, s + m), indexing="ij"))
-                apart = (a < b) & (root[at[a]] != root[at[b]]) & ((side[a] != side[b]) | (keys[s, 1] == keys[s, 2]))
-                root = tie(root, a[apart], b[apart])
-    moved = root != np.arange(len(nodes))
-    return pd.DataFrame({"node": nodes[moved], "root": nodes[root[moved]]})
-
-
 def starred(edges: DataFrame, name: str) -> DataFrame:
     """Edges of the same components: a node keeps the smallest of its roots, and its other roots are tied to that one."""
     near = cut(edges.groupBy("node").agg(F.min("root").alias("low"), F.collect_set("root").alias("roots")), name)
@@ -280,20 +241,14 @@ def starred(edges: DataFrame, name: str) -> DataFrame:
 
 
 def candidates(texts: DataFrame, copies: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(node, root): edges whose components hold every pair that shares a signature and may link."""
+    """(cluster, node): all nodes of a repeated signature, with the smallest of them as their cluster; a node may be in several."""
     several = copies.filter("copies > 1").select("node", representative("node", F.xxhash64("first")).alias("row"))
     copied = bitmap(several, "node"), bitmap(several, "row")
-    twice = cut(signed(texts, width, num, den, copied).groupBy("sig").count().filter("count > 1"), "partenum-repeated")
-    hot = cut(twice.filter(F.col("count") > SPLIT).select("sig", F.ceil(F.col("count") / SPLIT).cast("long").alias("parts")), "partenum-split")
-    rows = twice.agg(F.sum(F.col("count") * F.ceil(F.col("count") / SPLIT))).first()[0] or 0
-    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // BUCKET_ROWS))
-    posted = signed(texts, width, num, den, copied, bitmap(twice, "sig", SIGN_BITS)).join(hot, "sig", "left")
-    posted = posted.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
-    posted = posted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    posted = posted.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "size", *SKETCH, (F.col("own") > F.col("other")).alias("side"))
-    dealt = posted.withColumn("bucket", F.pmod(F.xxhash64("sig", "x", "y"), F.lit(buckets)))
-    found = dealt.groupBy("bucket").applyInPandas(lambda g: bucket_forest(g, num, den), "node long, root long")
-    return starred(cut(found, "partenum-found"), "partenum-ties")
+    twice = cut(signed(texts, width, num, den, copied).groupBy("sig").count().filter("count > 1").select("sig"), "partenum-repeated")
+    held = bitmap(twice, "sig", bits_for(twice.count(), SIGN_BITS))
+    posted = cut(signed(texts, width, num, den, copied, held), "partenum-posted")
+    anchors = posted.groupBy("sig").agg(F.min("node").alias("cluster"), F.max("node").alias("last")).filter("cluster < last")
+    return posted.join(anchors.select("sig", "cluster"), "sig").select("cluster", "node").distinct()
 
 
 def overlaps(sets: list[np.ndarray], slab: int = 8192) -> np.ndarray:
@@ -348,7 +303,7 @@ def blocks_of(members: DataFrame, sets: DataFrame, block: int, elements: int) ->
     return dealt.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "copies", "n_shingles", "elements", (F.col("own") > F.col("other")).alias("side"))
 
 
-def refined(members: DataFrame, sketches: DataFrame, block: int, num: int, den: int) -> DataFrame:
+def refined(members: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """(node, root): edges whose components hold every pair of a cluster that wide sketches allow to link."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -358,7 +313,7 @@ def refined(members: DataFrame, sketches: DataFrame, block: int, num: int, den:
         moved = root != np.arange(len(nodes))
         return pd.DataFrame({"node": nodes[moved], "root": nodes[root[moved]]})
 
-    return blocks_of(members, sketches, 4 * block, 16 * BLOCK_ELEMENTS).groupBy("cluster", "x", "y").applyInPandas(run, "node long, root long")
+    return blocks_of(members, sketches, SPLIT, 16 * BLOCK_ELEMENTS).groupBy("cluster", "x", "y").applyInPandas(run, "node long, root long")
 
 
 def verify(members: DataFrame, sets: DataFrame, block: int, num: int, den: int) -> DataFrame:
@@ -380,17 +335,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.min("n_shingles").alias("n_shingles"))
     copies = cut(copies, "partenum-nodes")
 
-    def members_of(edges, name):
-        clusters = components(edges, "node", "root", f"{name}-cluster")
-        return cut(clusters.select("node", F.col("component").alias("cluster")).join(copies, "node"), name)
-
     def shaped(members, shape):
-        held = bitmap(members.select(representative("node", F.xxhash64("first")).alias("row")), "row")
+        held = bitmap(members.select(representative("node", F.xxhash64("first")).alias("row")), "row", bits_for(members.count(), 22))
         return sets_of(texts, held, width, shape).dropDuplicates(["node"])
 
-    wide = members_of(candidates(texts, copies, width, num, den), "partenum-candidates")
-    edges = cut(refined(wide, shaped(wide, wide_sketch), block, num, den), "partenum-refined")
-    members = members_of(starred(edges, "partenum-stars"), "partenum-members")
+    met = cut(candidates(texts, copies, width, num, den).join(copies, "node"), "partenum-candidates")
+    edges = cut(refined(met, shaped(met, wide_sketch), num, den), "partenum-refined")
+    clusters = components(starred(edges, "partenum-stars"), "node", "root", "partenum-cluster")
+    members = cut(clusters.select("node", F.col("component").alias("cluster")).join(copies, "node"), "partenum-members")
     sets = shaped(members, np.ndarray.tobytes)
     found = cut(verify(members.select("cluster", "node", "copies", "n_shingles"), sets, block, num, den), "partenum-links")
 
