@@ -1,12 +1,13 @@
 """Sliced scans against a plain-Python model, with one key holding most of the rows."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidebook.operators.results import max_drawdown
-from tidebook.operators.scan import Running, global_rank, running, with_halo
+from tidebook.operators.scan import Running, global_rank, running, trailing, with_halo
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +52,31 @@ def test_halo_gives_whole_trailing_ranges(spark, rows):
         assert got[i] == sum(1 for r in rows if r[0] == k and t - 60 <= r[1] <= t)
 
 
+@pytest.mark.parametrize("width", [40, 1000, 10**6])
+def test_trailing_sums_match_model(spark, rows, width):
+    data = [*rows, *[(k, t, 3, 1000 + i) for k, t, _, i in rows[::3]], *[(None, t, 1, 2000 + i) for _, t, _, i in rows[::9]], ("hot", None, 5, 3000), ("hot", None, 6, 3001)]
+    df = spark.createDataFrame([(k, t, v or 0, i) for k, t, v, i in data], "k string, t bigint, v bigint, id bigint")
+    got = {r.id: (r.n, r.s, r.old) for r in trailing(df, ["k"], "t", width, {"n": (F.lit(1), 60, 0), "s": (F.col("v"), 60, 0), "old": (F.lit(1), 60, 20)}).collect()}
+    assert len(got) == len(data)
+    for k, t, _, i in data:
+        mine = [(r[1], r[2] or 0) for r in data if r[0] == k]
+        near = [(a, v) for a, v in mine if a == t or None not in (a, t) and t - 60 <= a <= t]
+        assert got[i] == (len(near), sum(v for _, v in near), sum(t is not None and a <= t - 20 for a, _ in near))
+
+
+def test_dense_silence_costs_no_more_a_row(spark, monkeypatch):
+    """A range that holds every row: a frame that is read anew for each row adds up 8e10 values here."""
+    from tidebook.plans import quality as Q
+
+    n = 400_000
+    tape = F.when(F.col("id") % 4 > 0, F.array()).otherwise(F.array(F.lit("print")))
+    df = spark.range(n).select(F.col("id").alias("event_id"), F.lit("hot").alias("series"), (F.col("id") * 17_000).alias("ts_us"), tape.alias("tape"))
+    monkeypatch.setattr(Q, "ticks", lambda *_: df)
+    began = time.monotonic()
+    r = Q.rolling_silence(spark, "").agg(F.count("*").alias("n"), F.count_if("alert").alias("alerts"), F.max_by("empty_rate", "event_id").alias("rate")).first()
+    assert (r.n, r.alerts, r.rate) == (n, n - -(-6_000_000_000 // 17_000), 0.75) and time.monotonic() - began < 30
+
+
 def test_global_rank(spark, rows):
     df = spark.createDataFrame(rows, "k string, t bigint, v bigint, id bigint")
     got = {r.id: r.pos for r in global_rank(df, ["t", "id"], F.floor(F.col("t") / 90), "pos").collect()}

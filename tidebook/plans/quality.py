@@ -12,7 +12,7 @@ from ..functions.quality import silver_required, tick_issues
 from ..operators import quality as Q
 from ..operators import ranks as RK
 from ..operators import windows as W
-from ..operators.scan import Running, running, with_halo
+from ..operators.scan import Running, running, trailing, with_halo
 from ..sources import feeds as FD
 from ..sources.derived import ticks
 from .features import WINDOWS_SQL
@@ -290,14 +290,13 @@ def rolling_drift(spark, sf):
     SELECT event_id, {R('e/n', 4)} AS empty_rate, ts_us-f >= 6000000000 AND e/n > 0.5e0 AS alert FROM r""",
 )
 def rolling_silence(spark, sf):
-    """Share of empty-tape samples in a trailing range, with an alert once the range is long enough."""
-    reach = 7_200_000_000
+    """Share of empty-tape samples in a trailing range, with an alert once the range is long enough: once a sample lies far enough back."""
+    reach, long = 7_200_000_000, 6_000_000_000
     t = ticks(spark, sf).select("event_id", "series", "ts_us", (F.size("tape") == 0).cast("int").alias("e"))
-    h = with_halo(t, c("ts_us"), 2 * reach, reach)
-    w = Window.partitionBy("series", "__slice").orderBy("ts_us").rangeBetween(-reach, 0)
-    h = h.withColumns({"n": F.count(F.lit(1)).over(w), "k": F.sum("e").over(w), "f": F.min("ts_us").over(w)}).filter(~c("__halo"))
+    one = F.lit(1)
+    h = trailing(t, ["series"], "ts_us", 3_600_000_000, {"n": (one, reach, 0), "k": (c("e"), reach, 0), "old": (one, reach, long)})
     rate = c("k") / c("n")
-    return h.select("event_id", round_dp(rate, 4).alias("empty_rate"), ((c("ts_us") - c("f") >= 6_000_000_000) & (rate > 0.5)).alias("alert"))
+    return h.select("event_id", round_dp(rate, 4).alias("empty_rate"), (F.when(c("ts_us").isNotNull(), c("old") > 0) & (rate > 0.5)).alias("alert"))
 
 
 @query(
