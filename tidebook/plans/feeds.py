@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import book as B
@@ -10,8 +11,9 @@ from ..functions.num import milli, round_dp
 from ..operators import prints as PR
 from ..operators import ranks as RK
 from ..operators import recon as RC
+from ..operators import shocks as SH
 from ..operators import windows as W
-from ..operators.scan import Running, running, with_halo
+from ..operators.scan import Running, running
 from ..session import cut, scratch_path
 from ..sources import feeds as FD
 from ..sources.derived import ticks
@@ -226,27 +228,12 @@ RANGE_US, REACT_US = 3_000_000_000, 1_200_000_000
 
 
 def shock_reactions(spark, sf):
-    """Rising edges of a trailing-range drift, each with the first book move of at least a cent soon after.
-
-    The interval join is an equi-join on (series, time bucket): a shock looks into its own and the next bucket.
-    """
+    """Rising edges of a trailing-range drift, each with the first book move of at least a cent soon after."""
     b = ticks(spark, sf).select("event_id", "series", "ts_us", (100 + (c("event_id") * 31) % 97 * 0.5).alias("price"), "up_bid", "up_ask", "dn_bid", "dn_ask", ((c("up_bid") + c("up_ask")) / 2.0).alias("mid"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("series", "__slice").orderBy("ts_us").rangeBetween(-RANGE_US, 0)
-    h = with_halo(b, c("ts_us"), 2 * RANGE_US, RANGE_US).withColumn("base", F.first("price").over(w)).filter(~c("__halo")).drop("__halo", "__slice")
-    h = h.withColumn("drift", B.spot_drift(c("price"), c("base"))).withColumn("hot", F.abs("drift") >= 0.2)
-    h = running(h, ["series"], ["ts_us", "event_id"], F.floor(c("ts_us") / (2 * RANGE_US)), [Running("was", "prev", c("hot"))])
-    shocks = h.filter(c("hot") & ~F.coalesce(c("was"), F.lit(False)))
-    bucket = F.floor(c("ts_us") / REACT_US)
-    quotes = ["up_bid", "up_ask", "dn_bid", "dn_ask", "mid"]
-    s = shocks.select("event_id", "series", "drift", c("ts_us").alias("s_us"), *[c(q).alias(f"s_{q}") for q in quotes]).withColumn("k", F.explode(F.array(F.floor(c("s_us") / REACT_US), F.floor(c("s_us") / REACT_US) + 1)))
-    moved = F.lit(False)
-    for q in quotes:
-        moved = moved | F.coalesce(F.abs(c(q) - c(f"s_{q}")) >= 0.01 - 1e-9, F.lit(False))
-    j = s.join(b.select("series", "ts_us", *quotes).withColumn("k", bucket), ["series", "k"]).filter((c("ts_us") > c("s_us")) & (c("ts_us") <= c("s_us") + REACT_US) & moved)
-    first = j.groupBy("event_id").agg(F.min("ts_us").alias("r_us"))
-    return shocks.select("event_id", "series", "ts_us", "drift").join(first, "event_id", "left").withColumn("reaction_ms", (c("r_us") - c("ts_us")) / 1000.0)
+    x = SH.first_moves(SH.rising_edges(b.select("event_id", "series", "ts_us", "price"), RANGE_US, 0.2), b, REACT_US)
+    # the SQL gives an event its earliest reaction, also where its number comes back
+    x = x.withColumn("r_us", F.min("r_us").over(Window.partitionBy("event_id")))
+    return x.withColumn("reaction_ms", (c("r_us") - c("ts_us")) / 1000.0)
 
 
 @query("shock_reaction", _SHOCK + f"SELECT s.event_id, series, {R('drift', 8)} AS drift, (r_us-ts_us)/1000.0e0 AS reaction_ms FROM shocks s LEFT JOIN rx USING (event_id)")
