@@ -54,3 +54,22 @@ def test_dense_shocks_without_a_move_cost_no_more_a_row(spark, monkeypatch):
     began = time.monotonic()
     r = P.shock_reaction(spark, "").agg(F.count("*").alias("n"), F.count("reaction_ms").alias("moved")).first()
     assert r.n > 50_000 and r.moved == 0 and time.monotonic() - began < 45
+
+
+def test_dense_latencies_cost_no_more_a_row(spark, monkeypatch):
+    """All shocks wait for one move near the end; before, a frame was read anew for each row and each shock met all rows behind it."""
+    from tidebook.plans import feeds as P
+
+    n, at = 400_000, 399_000
+    quote = F.when(F.col("id") < at, 0.5).otherwise(0.6)
+    df = spark.range(n).select(F.col("id").alias("event_id"), F.lit("hot").alias("series"), (F.col("id") * 3000).alias("ts_us"), *[quote.alias(q) for q in QUOTES[:4]])
+    monkeypatch.setattr(P, "ticks", lambda *_: df)
+    began = time.monotonic()
+    got = {r.series: r for r in P.latency_summary(spark, "").collect()}
+    assert time.monotonic() - began < 90
+    hot = [i * 31 % 97 * 0.5 >= 20 for i in range(n)]  # against the first row's price of 100
+    edges = [i for i in range(1, n) if hot[i] and not hot[i - 1]]
+    ms = sorted(3 * (at - i) for i in edges if i < at)
+    for r in (got["hot"], got[None]):
+        assert (r.shocks, r.reactions, r.min_ms, r.p95_ms) == (len(edges), len(ms), ms[0], ms[int(len(ms) * 0.95)])
+        assert r.mean_ms == pytest.approx(sum(ms) / len(ms), abs=0.1)
