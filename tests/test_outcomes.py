@@ -141,3 +141,23 @@ def test_a_leg_without_a_mid_is_filed_as_in_the_sql(spark, monkeypatch):
     lab = "WITH lab AS (SELECT 'naked' AS outcome, NULL::DOUBLE AS dz_mid, NULL::DOUBLE AS dz_bid, NULL::DOUBLE AS close_value, NULL::DOUBLE AS hold_value, NULL::BOOLEAN AS won)"
     sql = duckdb.connect().execute(lab + R._BK.removeprefix(P.LAB_SQL) + "SELECT bucket, n, mean_leg_price FROM bk").fetchone()
     assert (b.bucket, b.n, b.mean_leg_price) == sql == (0.95, 1, None)
+
+
+def test_buckets_hold_the_distributions_of_legs_valued_both_ways(spark, monkeypatch):
+    import statistics
+
+    from tidebook.plans import outcomes as P
+    from tidebook.plans import results as R
+
+    up, down = (0.60, 0.62, 0.49, 0.51), (0.09, 0.11, 0.89, 0.91)
+    legs = {"a": ((0.40, 0.44), up), "b": ((0.41, 0.43), down), "c": ((0.405, 0.435), down), "d": ((0.39, 0.45), FLAT), "e": ((None, 0.425), up)}
+    rows = [r for cid, (quote, last) in legs.items() for r in window(cid, [FLAT] * 27 + [(*quote, 0.57, 0.59), last], {2: [("u", 0.48)]})]
+    df = spark.createDataFrame(rows, DDL)
+    monkeypatch.setattr(P, "ticks", lambda *_: df)
+    (b,) = R.naked_leg_buckets(spark, "").collect()
+    assert (b.bucket, b.n, b.n_valued, b.n_no_mid, b.mean_bid_minus_mid) == (0.4, 5, 3, 0, -0.015)
+    values = {"close": [round((x - 0.48) * 100 - 7 * x * (1 - x), 4) for x in (0.40, 0.41, 0.405)], "hold": [52.0, -48.0, -48.0]}
+    for name, v in values.items():
+        q = statistics.quantiles(v, n=4)
+        want = {"mean": statistics.fmean(v), "median": statistics.median(v), "std": statistics.pstdev(v), "p25": q[0], "p75": q[2]}
+        assert {k: b[f"valued_{name}_{k}"] for k in want} == {k: pytest.approx(x, abs=1.01e-4) for k, x in want.items()}
